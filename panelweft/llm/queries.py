@@ -1,7 +1,8 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
+from panelweft.llm.bpe import op3_bpe
 from panelweft.llm.decontaminate import ORACLE as OP2
 from panelweft.llm.decontaminate import op2_decontaminate
 
-QUERIES = {"op2_decontaminate": op2_decontaminate}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe}
 ORACLES = {"op2_decontaminate": OP2}
