@@ -3,6 +3,7 @@
 from panelweft.llm.bpe import op3_bpe
 from panelweft.llm.decontaminate import ORACLE as OP2
 from panelweft.llm.decontaminate import op2_decontaminate
+from panelweft.llm.neardup import op7_minhash
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe, "op7_minhash": op7_minhash}
 ORACLES = {"op2_decontaminate": OP2}
