@@ -114,10 +114,10 @@ ALNUM = Alphabet(bytes(b for b in NOT_WORD if not 65 <= b <= 90), fold_case=True
 class Words:
     """Words of a block: byte bounds, 64-bit hashes, and where each document's words begin."""
 
-    __slots__ = ("bounds", "end", "hash", "start")
+    __slots__ = ("bounds", "end", "hash", "prefix", "start")
 
-    def __init__(self, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> None:
-        self.start, self.end, self.hash, self.bounds = start, end, hashes, bounds
+    def __init__(self, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, prefix: list[np.ndarray]) -> None:
+        self.start, self.end, self.hash, self.bounds, self.prefix = start, end, hashes, bounds, prefix
 
     @property
     def counts(self) -> np.ndarray:
@@ -151,9 +151,13 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> list[int]:
     return cuts
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet) -> Words:
-    """Split data (bytes of documents end to end, document i in offsets[i]:offsets[i+1]) into words."""
+def words_of(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet, prefixes: tuple[int, ...] = ()) -> Words:
+    """Split data (bytes of documents end to end, document i in offsets[i]:offsets[i+1]) into words.
+
+    prefixes: byte lengths for which words also get the hash of their beginning (0 for shorter words).
+    """
     starts, ends, hashes = [], [], []
+    heads: list[list[np.ndarray]] = [[] for _ in prefixes]
     cuts = _cuts(data, offsets, alphabet.word)
     for a, b in zip(cuts, cuts[1:], strict=False):
         part = data[a:b]
@@ -177,11 +181,14 @@ def words_of(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet) -> Words
         starts.append(s + a)
         ends.append(e + a)
         hashes.append(mix(h))
+        for k, head in zip(prefixes, heads, strict=True):
+            at = np.minimum(s + k, e)
+            head.append(np.where(e - s >= k, mix((total[at] - total[s]) * down[s] + np.uint64(k * 0x2545F4914F6CDD1D & _MASK)), 0).astype(np.uint64))
     none = np.zeros(0, np.int64)
     start = np.concatenate(starts) if starts else none
     end = np.concatenate(ends) if ends else none
     h = np.concatenate(hashes) if hashes else none.astype(np.uint64)
-    return Words(start, end, h, np.searchsorted(start, offsets))
+    return Words(start, end, h, np.searchsorted(start, offsets), [np.concatenate(x) if x else none.astype(np.uint64) for x in heads])
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
