@@ -3,7 +3,21 @@
 from panelweft.llm.bpe import op3_bpe
 from panelweft.llm.decontaminate import ORACLE as OP2
 from panelweft.llm.decontaminate import op2_decontaminate
+from panelweft.llm.fingerprint import op9_fingerprint
+from panelweft.llm.language import op6_language
 from panelweft.llm.neardup import op7_minhash
+from panelweft.llm.sstable import op8_sstable
+from panelweft.llm.toxicity import op10_toxicity
+from panelweft.llm.warc import op4_warc
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe, "op7_minhash": op7_minhash}
+QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op3_bpe": op3_bpe,
+    "op4_warc": op4_warc,
+    "op6_language": op6_language,
+    "op7_minhash": op7_minhash,
+    "op8_sstable": op8_sstable,
+    "op9_fingerprint": op9_fingerprint,
+    "op10_toxicity": op10_toxicity,
+}
 ORACLES = {"op2_decontaminate": OP2}
