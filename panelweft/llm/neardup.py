@@ -6,15 +6,18 @@ in which they differ.  The signature is split into `n_chunks` chunks.  By pigeon
 signatures within `max_distance` have a chunk with at most max_distance // n_chunks errors,
 so the join keys of a chunk are its symbols with every choice of that many left out: every
 pair within max_distance shares a key.  With the defaults (128 symbols, 32 chunks, distance
-63) a pair of similarity 0.75 lies 6 standard deviations inside the threshold.
+63) a pair of similarity 0.75 lies 6 standard deviations inside the threshold.  `n_check`
+further symbols of 8 bits sharpen the distance before sets are compared: pairs beyond
+`max_check` of them (4.5 standard deviations from similarity 0.75) are not confirmed.
 
 No bucket is expanded into pairs.  Sets that are equal are one vertex.  In a first pass
 each bucket is a star about its smallest document (first within a task, then over all), the
 star's edges within the distance are confirmed on full sets, and links become components.
-Only buckets that still hold several components are looked at again: their members are
-compared by signature, in blocks, across components, and what is within the distance is
-confirmed, nearest first, until no such pair is left between components.  So a link can be
-skipped only where its ends are already connected.
+Then turns follow over the buckets that still hold several components: in each, a member's
+nearest few of the others that are in another component and not yet compared are confirmed
+(in the first turns only a spanning forest of these), and components are taken anew.  The
+few grow fourfold a turn and a bucket leaves when nothing in it is left over, so the turns
+end only when every pair within the distance was confirmed or is connected already.
 
 Null, empty and word-less texts have empty sets and link with nothing.  A row whose id is
 null is never linked: its component is null and it is kept.  Rows that repeat an id share a
@@ -44,25 +47,39 @@ PAIR_BLOCK = 4096
 class Scheme:
     """The signature's hash functions and the join keys of its chunks."""
 
-    def __init__(self, n_symbols: int = 128, bits: int = 16, n_chunks: int = 32, max_distance: int = 63, seed: int = 7) -> None:
+    def __init__(self, n_symbols: int = 128, bits: int = 16, n_chunks: int = 32, max_distance: int = 63, n_check: int = 384, max_check: int = 134, seed: int = 7) -> None:
         if n_symbols % n_chunks:
             raise ValueError("n_chunks must divide n_symbols")
         self.n_symbols, self.bits, self.n_chunks, self.max_distance = n_symbols, bits, n_chunks, max_distance
-        raw = C.mix(np.arange(1, 2 * n_symbols + 1, dtype=np.uint64) + np.uint64(seed << 32))
-        self.xor = (raw[:n_symbols] >> np.uint64(32)).astype(np.uint32)[:, None]
-        self.mul = ((raw[n_symbols:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1))[:, None]
+        self.n_check, self.max_check = n_check, max_check
+        n = n_symbols + n_check
+        raw = C.mix(np.arange(1, 2 * n + 1, dtype=np.uint64) + np.uint64(seed << 32))
+        self.xor = (raw[:n] >> np.uint64(32)).astype(np.uint32)[:, None]
+        self.mul = ((raw[n:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1))[:, None]
         self.width = n_symbols // n_chunks
         self.errors = min(max_distance // n_chunks, self.width - 1)
         self.kept = list(combinations(range(self.width), self.width - self.errors))
 
-    def signature(self, hashes: np.ndarray) -> np.ndarray:
-        """The symbols of a set of 64-bit hashes (repeats don't matter)."""
+    def signature(self, hashes: np.ndarray) -> bytes:
+        """The symbols of a set of 64-bit hashes (repeats don't matter), then its check symbols."""
         x = (hashes >> np.uint64(32)).astype(np.uint32)
         low = None
-        for at in range(0, len(x), 2048):
-            m = ((x[None, at : at + 2048] ^ self.xor) * self.mul).min(axis=1)
+        for at in range(0, len(x), 512):
+            m = ((x[None, at : at + 512] ^ self.xor) * self.mul).min(axis=1)
             low = m if low is None else np.minimum(low, m)
-        return ((low * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)).astype(np.uint16)
+        low = low * np.uint32(0x9E3779B1)
+        return (low[: self.n_symbols] >> np.uint32(32 - self.bits)).astype(np.uint16).tobytes() + (low[self.n_symbols :] >> np.uint32(24)).astype(np.uint8).tobytes()
+
+    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and check symbols of a column of signatures, a row each."""
+        flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * self.n_symbols + self.n_check)
+        return np.ascontiguousarray(flat[:, : 2 * self.n_symbols]).view(np.uint16), flat[:, 2 * self.n_symbols :]
+
+    def near(self, s, t, sc, tc) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows of t are within both distances of the row s (or of the rows s), and their check distances."""
+        ok = np.flatnonzero((s != t).sum(axis=-1) <= self.max_distance)
+        d = ((sc if sc.ndim == 1 else sc[ok]) != tc[ok]).sum(axis=-1)
+        return ok[d <= self.max_check], d[d <= self.max_check]
 
     def keys(self, signatures: np.ndarray) -> np.ndarray:
         """(documents, keys) of uint64 from (documents, symbols)."""
@@ -98,7 +115,7 @@ def signatures(docs: DataFrame, scheme: Scheme, *, id_col: str = "doc_id", text_
                         continue
                     a.append(int(C.mix(s).sum().astype(np.int64)))
                     b.append(int(C.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64)))
-                    sig.append(scheme.signature(s).tobytes())
+                    sig.append(scheme.signature(s))
                 yield C.batch_of(schema, C.column(part, id_col).cast(pa.int64()), n, a, b, sig)
 
     return docs.select(id_col, text_col).mapInArrow(run, "id long, n long, set_a long, set_b long, sig binary")
@@ -134,8 +151,7 @@ def star_edges(reps: DataFrame, scheme: Scheme, n_parts: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, flush):
                 part = batch.slice(at, flush)
-                sig = np.frombuffer(b"".join(C.column(part, "sig").to_pylist()), np.uint16).reshape(part.num_rows, -1)
-                keys = scheme.keys(sig)
+                keys = scheme.keys(scheme.read(C.column(part, "sig"))[0])
                 ids = np.repeat(_id_array(part, "id"), keys.shape[1])
                 k, least, a, b = _stars(keys.ravel(), ids)
                 some, (kb, vb) = _pack(k, least, n_parts=n_parts)
@@ -171,10 +187,9 @@ def _distances(pairs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s, t = (np.frombuffer(b"".join(C.column(batch, c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            d = (s != t).sum(axis=1)
-            ok = d <= scheme.max_distance
-            yield C.batch_of(schema, _id_array(batch, "a")[ok], _id_array(batch, "b")[ok], d[ok].astype(np.int32))
+            (s, sc), (t, tc) = (scheme.read(C.column(batch, c)) for c in ("sa", "sb"))
+            ok, d = scheme.near(s, t, sc, tc)
+            yield C.batch_of(schema, _id_array(batch, "a")[ok], _id_array(batch, "b")[ok], d.astype(np.int32))
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, d int")
 
@@ -223,8 +238,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
     return rows.mapInArrow(run, "a long, b long, both long, either long")
 
 
-def _still_apart(reps: DataFrame, labels: DataFrame, scheme: Scheme, path: str, n_parts: int) -> DataFrame:
-    """(a, b, d): pairs within the distance that share a bucket and lie in different components."""
+def _mixed_members(reps: DataFrame, labels: DataFrame, scheme: Scheme, path: str) -> DataFrame:
+    """(key, id, blocks): members of the buckets that hold several components, and into how many blocks each bucket is cut."""
     active = reps.join(labels, "id").select("id", "label", "sig")
     width = len(scheme.kept) * scheme.n_chunks
 
@@ -234,7 +249,7 @@ def _still_apart(reps: DataFrame, labels: DataFrame, scheme: Scheme, path: str,
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 14):
                 part = batch.slice(at, 1 << 14)
-                keys = scheme.keys(np.frombuffer(b"".join(C.column(part, "sig").to_pylist()), np.uint16).reshape(part.num_rows, -1)).ravel()
+                keys = scheme.keys(scheme.read(C.column(part, "sig"))[0]).ravel()
                 label = np.repeat(_id_array(part, "label"), width)
                 order = np.argsort(keys, kind="stable")
                 keys, label = keys[order], label[order]
@@ -246,61 +261,102 @@ def _still_apart(reps: DataFrame, labels: DataFrame, scheme: Scheme, path: str,
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 14):
                 part = batch.slice(at, 1 << 14)
-                keys = scheme.keys(np.frombuffer(b"".join(C.column(part, "sig").to_pylist()), np.uint16).reshape(part.num_rows, -1)).ravel()
+                keys = scheme.keys(scheme.read(C.column(part, "sig"))[0]).ravel()
                 yield C.batch_of(schema, keys.view(np.int64), np.repeat(_id_array(part, "id"), width))
 
     mixed = C.stored(active.mapInArrow(spans, "key long, lo long, hi long").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("key"), f"{path}/mixed")
     found = only(active.mapInArrow(members, "key long, id long"), "key", mixed.select(F.col("key").alias("id"))).join(mixed, "key", "left_semi")
-    # Buckets with the same members are one: their sums of hashed ids agree.
     whole = C.stored(found, f"{path}/members")
-    sizes = whole.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("s1"), F.bit_xor(F.xxhash64("id")).alias("s2"))
-    keep = sizes.groupBy("n", "s1", "s2").agg(F.min("key").alias("key"))
-    blocked = whole.join(keep.select("key", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # Each member goes to every pair of blocks that has its own.
-    dealt = blocked.select("key", "id", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "id", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).join(active, "id")
-    rows = dealt.repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.int32())])
+    sizes = whole.groupBy("key").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    return whole.join(sizes, "key")
 
-    def compare(batches):
-        at, held = None, []
 
-        def pairs():
-            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            ids, label, mine = (C.column(batch, c).to_numpy() for c in ("id", "label", "mine"))
-            sig = np.frombuffer(b"".join(C.column(batch, "sig").to_pylist()), np.uint16).reshape(len(ids), -1)
-            i, j = C.column(batch, "i")[0].as_py(), C.column(batch, "j")[0].as_py()
-            out = []
-            for x in np.flatnonzero(mine == i):
-                y = np.flatnonzero((label != label[x]) & (mine == j) & ((ids > ids[x]) | (i != j)))
-                if not len(y):
-                    continue
-                # The first half of the symbols turns most pairs away.
-                half = scheme.n_symbols // 2
-                d = (sig[y, :half] != sig[x, :half]).sum(axis=1)
-                y, d = y[d <= scheme.max_distance], d[d <= scheme.max_distance]
-                d = d + (sig[y, half:] != sig[x, half:]).sum(axis=1)
-                y, d = y[d <= scheme.max_distance], d[d <= scheme.max_distance]
-                out.append((np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x]), d))
-            if out:
-                yield C.batch_of(schema, *(np.concatenate(c) for c in zip(*[(a, b, d.astype(np.int32)) for a, b, d in out], strict=True)))
+def _nearest(members: DataFrame, reps: DataFrame, labels: DataFrame, done: DataFrame, scheme: Scheme, few: int, forest: bool, n_parts: int) -> DataFrame:
+    """(key, a, b): of each member, its nearest few of another component that aren't in done(a, b); and (key, null, null) where more are left over."""
+    known = done.groupBy(F.col("b").alias("id")).agg(F.collect_list("a").alias("closed"))
+    dealt = members.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # Each member goes to every pair of blocks that has its own.
+    dealt = dealt.select("key", "id", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "id", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    rows = dealt.join(labels.join(reps, "id").join(known, "id", "left"), "id").repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def block(held: list[pa.RecordBatch]):
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ids, label, mine = (C.column(batch, c).to_numpy() for c in ("id", "label", "mine"))
+        if (label == label[0]).all():
+            return
+        key, i, j = (C.column(batch, c)[0].as_py() for c in ("key", "i", "j"))
+        sig, check = scheme.read(C.column(batch, "sig"))
+        keys = scheme.keys(sig)
+        n = len(ids)
+        closed = np.zeros((n, n), bool)
+        by_id = np.argsort(ids)
+        for x, others in enumerate(C.column(batch, "closed").to_pylist()):
+            if others:
+                at = by_id[np.minimum(np.searchsorted(ids[by_id], others), n - 1)]
+                at = at[np.isin(ids[at], others)]
+                closed[x, at] = closed[at, x] = True
+        edges, more = [], False
+        for x in np.flatnonzero(mine == i):
+            y = np.flatnonzero((label != label[x]) & (mine == j) & ~closed[x] & ((ids > ids[x]) | (i != j)))
+            ok, d = scheme.near(sig[x], sig[y], check[x], check[y]) if len(y) else (y, y)
+            y = y[ok]
+            if not len(y):
+                continue
+            # A pair belongs to the least of the keys that it shares, so it is met once.
+            least = np.where(keys[y] == keys[x], keys[y], np.iinfo(np.uint64).max).min(axis=1)
+            own = least == np.int64(key).astype(np.uint64)
+            y, d = y[own], d[own]
+            if len(y) > few:
+                more = True
+                best = np.lexsort((ids[y], d))[:few]
+                y, d = y[best], d[best]
+            edges += [(int(a), int(x), int(b)) for a, b in zip(d, y, strict=True)]
+        if forest:
+            edges, all_ = _forest(sorted(edges), label), len(edges)
+            more |= len(edges) < all_
+        if more:
+            yield C.batch_of(schema, [key], [None], [None])
+        if edges:
+            a, b = ids[[e[1] for e in edges]], ids[[e[2] for e in edges]]
+            yield C.batch_of(schema, np.full(len(a), key), np.minimum(a, b), np.maximum(a, b))
 
+    def run(batches):
+        at, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
             k, i, j = (C.column(batch, c).to_numpy() for c in ("key", "i", "j"))
             cut = [0, *(np.flatnonzero((np.diff(k) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cut, cut[1:], strict=False):
-                here = (k[lo], i[lo], j[lo])
-                if here != at and held:
-                    yield from pairs()
-                    held.clear()
+                if (here := (k[lo], i[lo], j[lo])) != at and held:
+                    yield from block(held)
+                    held = []
                 at = here
                 held.append(batch.slice(lo, hi - lo))
         if held:
-            yield from pairs()
+            yield from block(held)
+
+    return rows.select("key", "i", "j", "mine", "id", "label", "sig", "closed").mapInArrow(run, "key long, a long, b long")
+
+
+def _forest(edges: list[tuple[int, int, int]], label: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of edges (distance, x, y) in order, those that join components not joined by earlier ones."""
+    parent: dict[int, int] = {}
 
-    return rows.select("key", "i", "j", "mine", "id", "label", "sig").mapInArrow(compare, "a long, b long, d int").distinct()
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    out = []
+    for e in edges:
+        a, b = root(int(label[e[1]])), root(int(label[e[2]]))
+        if a != b:
+            parent[a] = b
+            out.append(e)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, scheme: Scheme | None = None) -> DataFrame:
@@ -313,6 +369,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = C.stored(sigs.filter("n > 0 AND id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("id").alias("rep")), f"{path}/sets")
     reps = sigs.filter("n > 0").join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
     reps = C.stored(reps.select("id", "sig"), f"{path}/reps")
+    sigs = C.stored(sigs.drop("sig"), f"{path}/sizes")
+    C.remove(spark, f"{path}/signatures")
     stars = C.stored(star_edges(reps, scheme, n_parts), f"{path}/stars")
     near = C.stored(_distances(stars, reps, scheme), f"{path}/near0")
     linked = lambda t: t.filter(F.lit(100) * F.col("both") >= F.lit(percent) * F.col("either"))
@@ -320,29 +378,41 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = linked(done).select("a", "b")
     labels = components(links, f"{path}/cc0")
     # Every document that met another in some bucket; alone, it is its own component.
-    met = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    placed = C.stored(met.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label")), f"{path}/placed0")
-    apart = _still_apart(reps, placed, scheme, path, n_parts).join(done.select("a", "b"), ["a", "b"], "left_anti")
-    apart = C.stored(apart, f"{path}/apart0")
-    turn, most = 0, 4
-    while not apart.isEmpty():
+    met = C.stored(stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct(), f"{path}/met")
+    place = lambda labels: met.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    members = _mixed_members(reps, place(labels), scheme, path)
+    done = C.stored(done.select("a", "b"), f"{path}/done0")
+    turn, few = 0, 4
+    while True:
         turn += 1
-        # Of each document, the nearest few of its open pairs; more in each turn, so turns are few.
-        ranked = apart.withColumn("_n", F.expr("row_number() over (partition by b order by d, a)"))
-        now = C.stored(ranked.filter(F.col("_n") <= most).select("a", "b"), f"{path}/open{turn}")
-        done = C.stored(confirmed(now, docs, id_col, text_col, shingle, n_parts), f"{path}/confirmed{turn}")
-        links = links.unionByName(linked(done).select("a", "b"))
+        found = C.stored(_nearest(members, reps, place(labels), done, scheme, few, turn <= 2, n_parts), f"{path}/found{turn}")
+        now = found.filter("a IS NOT NULL").select("a", "b").distinct()
+        if now.isEmpty():
+            break
+        checked = C.stored(confirmed(now, docs, id_col, text_col, shingle, n_parts), f"{path}/confirmed{turn}")
+        links = links.unionByName(linked(checked).select("a", "b"))
         labels = components(links, f"{path}/cc{turn}")
-        left = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
-        right = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-        rest = apart.join(now, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-        apart = C.stored(rest.select("a", "b", "d"), f"{path}/apart{turn}")
-        most *= 8
+        over = found.filter("a IS NULL").select("key").distinct()
+        if over.isEmpty():
+            break
+        done = done.unionByName(checked.select("a", "b"))
+        members = members.join(over, "key", "left_semi")
+        few *= 4
     by_set = C.stored(sets.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("component")), f"{path}/by_set")
     out = sigs.select("id", "n", "set_a", "set_b").join(by_set, ["set_a", "set_b"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
+def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs, with all its columns, with one document of each component: the one of least id, once. Rows without an id stay."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty():
+        return left
+    return left.filter(F.col(id_col).isNull()).unionByName(left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+
+
 def op7_minhash(spark, sf_dir: str) -> DataFrame:
     """The contract's columns from near_duplicates() over documents."""
     out = near_duplicates(C.table(spark, sf_dir, "documents"))
