@@ -114,49 +114,66 @@ def _descend(rows, cols, n: int, y: np.ndarray, pairs, swap_penalty: float, ridg
     return w, float(bias)
 
 
-def fit_rows(texts: list[np.ndarray], y: np.ndarray, changes: list[tuple[int, np.ndarray, np.ndarray]], *, swap_penalty: float = 5.0, ridge: float = 2e-4, max_features: int = MAX_FEATURES) -> Model:
-    """texts: distinct features of each row; changes: (row, features lost, features won) of each counterfactual."""
+def fit_rows(kept: np.ndarray, texts: list[np.ndarray], y: np.ndarray, changes: list[tuple[int, np.ndarray, np.ndarray]], *, swap_penalty: float = 5.0, ridge: float = 2e-4) -> Model:
+    """kept: sorted features of the model; texts: places in kept of each row's; changes: (row, places lost, places won) of each counterfactual."""
     if not len(y):
         return Model(np.zeros(0, np.uint64), np.zeros(0), -3.0)
-    flat = np.concatenate([*texts, np.zeros(0, np.uint64)])
     rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    keys, cols = np.unique(flat, return_inverse=True)
-    pos = np.bincount(cols, y[rows], len(keys))
-    df = np.bincount(cols, minlength=len(keys))
-    neg = df - pos
-    n1, n0 = y.sum(), len(y) - y.sum()
-    odds = np.log((pos + 0.5) / (n1 - pos + 0.5)) - np.log((neg + 0.5) / (n0 - neg + 0.5))
-    sure = np.abs(odds) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    sure[df < 3] = 0
-    swapped = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.concatenate(x[1:]) for x in changes)]))
-    chosen = np.lexsort((keys, -sure))[:max_features]
-    kept = np.union1d(keys[chosen[sure[chosen] > 1.5]], np.intersect1d(keys, swapped))
-    at = np.searchsorted(kept, keys)
-    at[at == len(kept)] = 0
-    new = np.where(kept[at] == keys, at, -1) if len(kept) else np.full(len(keys), -1)
-    c = new[cols]
-    prow, pcol, psign = [], [], []
-    for i, (_, lost, won) in enumerate(changes):
-        for feats, sign in ((lost, -1.0), (won, 1.0)):
-            inside = feats[np.isin(feats, kept)]
-            prow += [i] * len(inside)
-            pcol += np.searchsorted(kept, inside).tolist()
-            psign += [sign] * len(inside)
-    pairs = (np.array(prow, np.int64), np.array(pcol, np.int64), np.array(psign), len(changes))
-    w, bias = _descend(rows[c >= 0], c[c >= 0], len(y), y.astype(float), pairs, swap_penalty, ridge, len(kept))
+    cols = np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64)
+    none = np.zeros(0, np.int64)
+    prow = np.concatenate([none, *(np.full(len(lost) + len(won), i) for i, (_, lost, won) in enumerate(changes))])
+    pcol = np.concatenate([none, *(np.concatenate([lost, won]) for _, lost, won in changes)]).astype(np.int64)
+    psign = np.concatenate([np.zeros(0), *(np.repeat([-1.0, 1.0], [len(lost), len(won)]) for _, lost, won in changes)])
+    w, bias = _descend(rows, cols, len(y), y.astype(float), (prow, pcol, psign, len(changes)), swap_penalty, ridge, len(kept))
     return Model(kept, w, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, swap_penalty: float = 5.0) -> Model:
+def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> tuple[DataFrame, int, int]:
+    """(text, _id, _y) of the sample, and its rows by label."""
+    sample = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
+    got = [tuple(r) for r in sample.orderBy(F.xxhash64("_id"), "_id").limit(max_rows).collect()]
+    n_pos = sum(y for _, y in got)
+    sample = docs.sparkSession.createDataFrame(got, "_id long, _y int")
+    return docs.join(F.broadcast(sample), F.col(id_col).cast("long") == F.col("_id")).select(F.col(text_col).alias("text"), "_id", "_y"), n_pos, len(got) - n_pos
+
+
+def _selected(rows: DataFrame, n_pos: int, n_neg: int, max_features: int) -> np.ndarray:
+    """The surest features of the sample, and those of identity terms; counted by tasks, so the driver gets max_features rows at most."""
+    schema = pa.schema([("f", pa.int64()), ("pos", pa.int64()), ("neg", pa.int64())])
+
+    def count(batches):
+        held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for batch in batches:
+            for part in C.blocks(batch, "text"):
+                w = _words(*C.text_buffers(C.column(part, "text")))
+                f = _features(w)
+                own = [np.setdiff1d(f[a:b].ravel(), np.zeros(1, np.uint64)) for a, b in zip(w.bounds, w.bounds[1:], strict=False)]
+                y = np.repeat(C.column(part, "_y").to_numpy(), [len(x) for x in own]).astype(np.int64)
+                keys, back = np.unique(np.concatenate(own), return_inverse=True)
+                pos = np.bincount(back, y, len(keys)).astype(np.int64)
+                held.append((keys, pos, np.bincount(back, minlength=len(keys)) - pos))
+        keys, back = np.unique(np.concatenate([k for k, _, _ in held]), return_inverse=True)
+        pos, neg = (np.bincount(back, np.concatenate([h[i] for h in held]), len(keys)).astype(np.int64) for i in (1, 2))
+        for at in range(0, len(keys), 1 << 17):
+            e = slice(at, at + (1 << 17))
+            yield C.batch_of(schema, keys[e].view(np.int64), pos[e], neg[e])
+
+    sums = rows.mapInArrow(count, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).filter("p + n >= 3")
+    odds = f"ln((p + 0.5) / ({n_pos} - p + 0.5)) - ln((n + 0.5) / ({n_neg} - n + 0.5))"
+    best = sums.select("f", F.expr(f"abs({odds}) / sqrt(1 / (p + 0.5) + 1 / (n + 0.5))").alias("sure")).filter("sure > 1.5").orderBy(F.desc("sure"), "f").limit(max_features)
+    named = np.concatenate([np.concatenate([own, *others]) for own, others in swaps().values()])
+    return np.union1d(np.array([r["f"] for r in best.select("f").collect()], np.int64).view(np.uint64), named)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, swap_penalty: float = 5.0) -> Model:
     """A model from at most max_rows labelled rows; both frames must hold rows to learn from only."""
     C.ship(docs.sparkSession)
-    sample = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
-    sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    sample = docs.sparkSession.createDataFrame([tuple(r) for r in sample.collect()], "_id long, _y int")
-    rows = docs.join(F.broadcast(sample), F.col(id_col).cast("long") == F.col("_id")).select(F.col(text_col).alias("text"), "_id", "_y")
+    rows, n_pos, n_neg = _sampled(docs, labels, id_col, text_col, label_col, max_rows)
+    kept = _selected(rows, n_pos, n_neg, max_features)
     known = swaps()
 
     def run(batches):
+        at = lambda x: np.searchsorted(kept, x[np.isin(x, kept)]).astype(np.int32).tobytes()
         for batch in batches:
             for part in C.blocks(batch, "text"):
                 w = _words(*C.text_buffers(C.column(part, "text")))
@@ -167,15 +184,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                     named = [known[h] for h in set(w.hash[a:b].tolist()) if h in known]
                     gone = np.unique(np.concatenate([x for x, _ in named])) if named else np.zeros(0, np.uint64)
                     came = np.unique(np.concatenate([x[int(own[0] % len(x))] for _, x in named])) if named else gone
-                    feats.append(own.tobytes())
-                    lost.append(np.setdiff1d(gone, came).tobytes())
-                    won.append(np.setdiff1d(came, own).tobytes())
+                    feats.append(at(own)), lost.append(at(np.setdiff1d(gone, came))), won.append(at(np.setdiff1d(came, own)))
                 yield pa.RecordBatch.from_arrays([C.column(part, "_id"), C.column(part, "_y"), *(pa.array(x, pa.binary()) for x in (feats, lost, won))], ["id", "y", "feats", "lost", "won"])
 
     got = sorted((r["id"], r["y"], bytes(r["feats"]), bytes(r["lost"]), bytes(r["won"])) for r in rows.mapInArrow(run, "id long, y int, feats binary, lost binary, won binary").toLocalIterator())
-    array = lambda b: np.frombuffer(b, np.uint64)
+    array = lambda b: np.frombuffer(b, np.int32)
     changes = [(i, array(x[3]), array(x[4])) for i, x in enumerate(got) if x[3] or x[4]]
-    return fit_rows([array(x[2]) for x in got], np.array([x[1] for x in got], np.int64), changes, swap_penalty=swap_penalty)
+    return fit_rows(kept, [array(x[2]) for x in got], np.array([x[1] for x in got], np.int64), changes, swap_penalty=swap_penalty)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
