@@ -334,6 +334,22 @@ def encoded_digests(docs: DataFrame, *, vocabulary: str | None = None, id_col: s
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokens(docs: DataFrame, *, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = ENCODE_BLOCK) -> DataFrame:
+    """(id_col, ids array<int>, n_tokens, decoded_sha256) of each document: what training reads, and a digest of the way back."""
+    C.ship(docs.sparkSession)
+    path = vocabulary or default_vocabulary()
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        e = encoder(path)
+        for part, texts in _parts(batches, text_col, block):
+            ids, bounds = e.encode([e.chunks(t) for t in texts])
+            sums = [hashlib.sha256(decode(e.v, ids[a:b])).hexdigest() for a, b in zip(bounds, bounds[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([C.column(part, id_col), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(np.diff(bounds)), pa.array(sums, pa.string())], [id_col, "ids", "n_tokens", "decoded_sha256"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long, decoded_sha256 string")
+
+
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
     """The contract's digest of encode() and decode() over documents."""
     return encoded_digests(C.table(spark, sf_dir, "documents"))

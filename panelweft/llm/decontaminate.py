@@ -18,10 +18,9 @@ columns pass through; an empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,31 +124,52 @@ def _verified(w: C.Words, at: np.ndarray, which: np.ndarray, place: np.ndarray,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """One row per document: id_col, n_words, n_hit, n_items, items (sorted, comma-joined), contaminated, and hits (byte-free word intervals)."""
-    spark = docs.sparkSession
-    C.ship(spark)
-    # A word and its separator are two characters at least, so this bounds the windows.
-    most = benchmark.agg(F.sum(F.floor(F.length(item_text_col) / 2) + 1)).first()[0] or 0
-    if most > max_broadcast_windows:
+    C.ship(docs.sparkSession)
+    if not _bounded(benchmark, item_text_col, max_broadcast_windows):
         return _join_shuffled(docs, benchmark, id_col, text_col, item_col, item_text_col, window, shingle)
-    items = [(r[0], r[1]) for r in benchmark.select(item_col, item_text_col).collect()]
-    win = Windows(items, window, shingle)
-    keys = win.by_width()
-    counts = {(r["width"], r["shingle"]): r["n"] for r in shingle_counts(docs, keys, text_col).collect()} if keys else {}
-    prefixes = _prefixes(win, counts)
-    flat = np.concatenate(win.seqs) if win.seqs else np.zeros(0, np.uint64)
-    begins = np.concatenate([[0], np.cumsum(win.lengths)])
-    shared = spark.sparkContext.broadcast((prefixes, win.lengths, flat, begins, win.items))
+    shared = _prepared(docs, benchmark, text_col, item_col, item_text_col, window, shingle)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def match(batches):
-        prefixes, lengths, flat, begins, names = shared.value
         for batch in batches:
             for part in C.blocks(batch, text_col):
-                yield _match_block(part, id_col, text_col, prefixes, lengths, flat, begins, names)
+                yield _match_block(part, id_col, text_col, *shared.value)
 
     return docs.select(id_col, text_col).mapInArrow(match, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items string, contaminated boolean, hits array<struct<start:long,end:long>>")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+    """docs, with all its columns, without the rows that hold a window of the benchmark."""
+    C.ship(docs.sparkSession)
+    if not _bounded(benchmark, item_text_col, max_broadcast_windows):
+        found = _join_shuffled(docs, benchmark, id_col, text_col, item_col, item_text_col, window, shingle).filter("contaminated").select(F.col(id_col).alias("_hit")).distinct()
+        return docs.join(found, F.col(id_col) == F.col("_hit"), "left_anti")
+    shared = _prepared(docs, benchmark, text_col, item_col, item_text_col, window, shingle)
+
+    def keep(batches):
+        for batch in batches:
+            for part in C.blocks(batch, text_col):
+                hit = C.column(_match_block(part, id_col, text_col, *shared.value), "contaminated")
+                yield part.filter(pc.invert(hit))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _bounded(benchmark: DataFrame, item_text_col: str, most: int) -> bool:
+    """Whether the windows are few enough to be sent to every task: a word and its separator are two characters at least."""
+    return (benchmark.agg(F.sum(F.floor(F.length(item_text_col) / 2) + 1)).first()[0] or 0) <= most
+
+
+def _prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, shingle: int):
+    """A broadcast of the prefixes and the windows of a bounded benchmark."""
+    win = Windows([(r[0], r[1]) for r in benchmark.select(item_col, item_text_col).collect()], window, shingle)
+    keys = win.by_width()
+    counts = {(r["width"], r["shingle"]): r["n"] for r in shingle_counts(docs, keys, text_col).collect()} if keys else {}
+    flat = np.concatenate(win.seqs) if win.seqs else np.zeros(0, np.uint64)
+    begins = np.concatenate([[0], np.cumsum(win.lengths)])
+    return docs.sparkSession.sparkContext.broadcast((_prefixes(win, counts), win.lengths, flat, begins, win.items))
+
+
 def _match_block(part, id_col, text_col, prefixes, lengths, flat, begins, names) -> pa.RecordBatch:
     w = C.words_of(*C.text_buffers(C.column(part, text_col)), C.ALNUM)
     starts, whiches = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]

@@ -161,6 +161,40 @@ def _has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
+def _judged(part: pa.RecordBatch, text_col: str, model: Model) -> tuple[list[str], list[float], list[list[tuple[str, float]]]]:
+    """Prediction, score and selected shares of each row."""
+    data, offsets = C.text_buffers(C.column(part, text_col))
+    share, words = mixtures(model, data, offsets)
+    texts = C.column(part, text_col)
+    plain = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(_LETTER[data] & (data < 128), out=plain[1:])
+    sure = plain[offsets[1:]] > plain[offsets[:-1]]
+    langs, scores, maps = [], [], []
+    for i in range(part.num_rows):
+        n, s = int(words[i]), share[i]
+        if not n or not len(s) or not (sure[i] or _has_letter(texts[i].as_py())):
+            langs.append(UNKNOWN), scores.append(0.0), maps.append([])
+            continue
+        k = int(np.argmax(s))
+        langs.append(model.languages[k])
+        scores.append(float((n * s[k] + 0.25) / (n + 0.25 * len(s))))
+        maps.append([(model.languages[j], float(s[j])) for j in np.flatnonzero(s)])
+    return langs, scores, maps
+
+
+def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = 0.3) -> DataFrame:
+    """docs, with all its columns, without the rows of no known language: `und`, or no language with min_score of the words."""
+    C.ship(docs.sparkSession)
+
+    def keep(batches):
+        for batch in batches:
+            for part in C.blocks(batch, text_col, 1 << 21):
+                langs, scores, _ = _judged(part, text_col, model)
+                yield part.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """id_col, the extra columns, lang_pred, score and languages (map of the selected set's shares)."""
     C.ship(docs.sparkSession)
@@ -170,22 +204,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     def run(batches):
         for batch in batches:
             for part in C.blocks(batch, text_col, 1 << 21):
-                data, offsets = C.text_buffers(C.column(part, text_col))
-                share, words = mixtures(model, data, offsets)
-                langs, scores, maps = [], [], []
-                texts = C.column(part, text_col)
-                plain = np.zeros(len(data) + 1, np.int64)
-                np.cumsum(_LETTER[data] & (data < 128), out=plain[1:])
-                sure = plain[offsets[1:]] > plain[offsets[:-1]]
-                for i in range(part.num_rows):
-                    n, s = int(words[i]), share[i]
-                    if not n or not len(s) or not (sure[i] or _has_letter(texts[i].as_py())):
-                        langs.append(UNKNOWN), scores.append(0.0), maps.append([])
-                        continue
-                    k = int(np.argmax(s))
-                    langs.append(model.languages[k])
-                    scores.append(float((n * s[k] + 0.25) / (n + 0.25 * len(s))))
-                    maps.append([(model.languages[j], float(s[j])) for j in np.flatnonzero(s)])
+                langs, scores, maps = _judged(part, text_col, model)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs), pa.array(scores), pa.array(maps, pa.map_(pa.string(), pa.float64()))], [*part.schema.names, "lang_pred", "score", "languages"])
 
     return held.mapInArrow(run, schema)

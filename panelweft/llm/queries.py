@@ -6,14 +6,18 @@ from panelweft.llm.decontaminate import op2_decontaminate
 from panelweft.llm.fingerprint import op9_fingerprint
 from panelweft.llm.language import op6_language
 from panelweft.llm.neardup import op7_minhash
+from panelweft.llm.pii import op5_pii
 from panelweft.llm.sstable import op8_sstable
+from panelweft.llm.substrings import op1_substrings
 from panelweft.llm.toxicity import op10_toxicity
 from panelweft.llm.warc import op4_warc
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
     "op4_warc": op4_warc,
+    "op5_pii": op5_pii,
     "op6_language": op6_language,
     "op7_minhash": op7_minhash,
     "op8_sstable": op8_sstable,
