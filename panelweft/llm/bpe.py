@@ -33,9 +33,9 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPLIT = regex.compile(f"[{WHITE}]+")
 #: Chunks that a worker remembers; then it forgets them all.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Bytes of text that are encoded together.
-ENCODE_BLOCK = 1 << 24
+ENCODE_BLOCK = 1 << 22
 
 
 def byte_symbols() -> list[str]:
@@ -310,6 +310,7 @@ def encode(docs: DataFrame, *, vocabulary: str | None = None, id_col: str = "doc
             ids, bounds = e.encode([e.chunks(t) for t in texts])
             decoded = [decode(e.v, ids[a:b]).decode() for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([C.column(part, id_col), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
+        e.forget()  # an idle worker keeps no memory
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
 
@@ -330,6 +331,7 @@ def encoded_digests(docs: DataFrame, *, vocabulary: str | None = None, id_col: s
                 ids_sha.append(hashlib.sha256(raw[4 * a : 4 * b]).hexdigest())
                 text_sha.append(hashlib.sha256(decode(e.v, ids[a:b])).hexdigest())
             yield pa.RecordBatch.from_arrays([C.column(part, id_col), pa.array(np.diff(bounds)), pa.array(ids_sha), pa.array(text_sha)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        e.forget()  # an idle worker keeps no memory
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -346,6 +348,7 @@ def tokens(docs: DataFrame, *, vocabulary: str | None = None, id_col: str = "doc
             ids, bounds = e.encode([e.chunks(t) for t in texts])
             sums = [hashlib.sha256(decode(e.v, ids[a:b])).hexdigest() for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([C.column(part, id_col), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(np.diff(bounds)), pa.array(sums, pa.string())], [id_col, "ids", "n_tokens", "decoded_sha256"])
+        e.forget()  # an idle worker keeps no memory
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long, decoded_sha256 string")
 
