@@ -1,0 +1,268 @@
+"""Each operator on small and awkward tables against brute force."""
+
+import base64
+import hashlib
+import re
+import sys
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent.parent))
+from oracle import close, duck, rows
+
+from panelweft.llm import bpe, decontaminate, fingerprint, language, neardup, pii, queries, sstable, substrings, toxicity, warc
+from panelweft.llm import common as C
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, key string, id string"
+LONG = " ".join(f"w{i * i % 977}" for i in range(6000))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, ties, and columns with names that the operators use themselves."""
+    base = " ".join(f"word{i}" for i in range(60))
+    near = base.replace("word59", "other")
+    texts = [base, near, base, None, "", " \n ", "one two", "one two", LONG, LONG + " more", "For " * 50, base + " " + base, "123 !!", "a@b.org 10.0.0.1"]
+    data = [(i, t, "en" if i % 3 else "de", "s", len(t or ""), i, "k", "x") for i, t in enumerate(texts)]
+    data += [data[0], (None, base, None, None, None, None, None, None)]
+    return spark.createDataFrame(data, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t, fold=False):
+    t = t or ""
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t) if fold else t)
+
+
+def test_oracles(spark):
+    con = duck(SF)
+    for name, sql in queries.ORACLES.items():
+        close(rows(queries.QUERIES[name](spark, SF).toPandas()), rows(con.execute(sql).df()))
+
+
+def substring_truth(pairs):
+    seen, out = {}, {}
+    order = sorted(pairs, key=lambda p: (-(1 << 63) if p[0] is None else p[0]))
+    done = set()
+    for i, t in order:
+        if (i, t) in done:
+            continue
+        done.add((i, t))
+        w = words(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            g = tuple(w[k : k + 20])
+            if g in seen:
+                gone[k : k + 20] = [True] * 20
+            else:
+                seen[g] = (i, k)
+        out[i, t] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_substrings(spark, odd, none, hot):
+    got = substrings.deduplicate(odd, hot_segments=hot).collect()
+    truth = substring_truth([(r["doc_id"], r["text"]) for r in odd.collect()])
+    by_id = {i: v for (i, _), v in truth.items()}
+    assert len(got) == odd.count()
+    for r in got:
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == by_id[r["doc_id"]]
+        assert sum(s["stop"] - s["start"] for s in r["removed"]) == r["n_removed"]
+    assert substrings.deduplicate(none).count() == 0
+
+
+def test_substrings_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    truth = substring_truth([(r["doc_id"], r["text"]) for r in docs.collect()])
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in queries.QUERIES["op1_substrings"](spark, SF).collect()}
+    assert got == {i: v for (i, _), v in truth.items()}
+
+
+def test_decontamination(spark, odd, none):
+    bench = spark.createDataFrame([(2, "Word3 word4 WORD5 word6 word7 word8 word9 word10 word11 word12 word13"), (10, "one two"), (3, None), (4, ""), (5, "one two")], "item_id int, text string")
+    for most in (200_000, 1):
+        got = {(r["doc_id"], r["n_words"]): r for r in decontaminate.decontaminate(odd, bench, max_broadcast_windows=most).collect()}
+        assert got[0, 60]["n_hit"] == 11 and got[0, 60]["items"] == "2"
+        assert got[6, 2]["items"] == "10,5" and got[6, 2]["n_hit"] == 2
+        assert not got[3, 0]["contaminated"] and not got[8, 6000]["contaminated"] and got[11, 120]["n_hit"] == 22
+        kept = decontaminate.clean(odd, bench, max_broadcast_windows=most)
+        assert kept.columns == odd.columns
+        assert sorted(r[0] for r in kept.select("doc_id").collect() if r[0] is not None) == [3, 4, 5, 8, 9, 10, 12, 13]
+    assert decontaminate.decontaminate(none, bench).count() == 0
+    assert decontaminate.decontaminate(odd, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_tokens(spark, odd, none):
+    lib = pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.default_vocabulary())
+    want = {(r["doc_id"], r["n_chars"]): lib.encode(r["text"] or "", add_special_tokens=False).ids for r in odd.collect()}
+    got = {(r["doc_id"]): r for r in bpe.encode(odd).collect()}
+    for (i, _), ids in want.items():
+        assert got[i]["ids"] == ids and got[i]["decoded"] == lib.decode(ids, skip_special_tokens=False)
+    for r in bpe.encoded_digests(odd).collect():
+        assert r["ids_sha256"] == hashlib.sha256(np.array(got[r["doc_id"]]["ids"], "<u4").tobytes()).hexdigest()
+    assert bpe.tokens(none).count() == 0
+
+
+def test_archives(spark):
+    data = [(1, "u", "same"), (2, None, "same"), (2, None, "same"), (3, "v\r\nX: y", ""), (4, "w", None), (None, "n", "same"), (5, "l", "é" * 70_000)]
+    df = spark.createDataFrame([(*r, "extra") for r in data], "page_id long, url string, html string, digest string")
+    manifest = warc.write_archives(df, C.shared_dir(spark), chunk_bytes=1000)
+    got = warc.read_archives(manifest, with_data=True, chunk_bytes=999).orderBy("page_id", "chunk_no").toPandas()
+    last = got[got["last"]]
+    assert len(last) == len(data)
+    kinds = {(None if pd.isna(r.page_id) else int(r.page_id)): (r.record_type, None if pd.isna(r.refers_to) else int(r.refers_to)) for r in last.itertuples()}
+    assert kinds == {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), None: ("revisit", 2), 5: ("response", None)}
+    long = b"".join(bytes(x) for x in got[got.page_id == 5].data)
+    assert long.decode() == "é" * 70_000
+    assert last[last.page_id == 5].payload_digest.iloc[0] == base64.b32encode(hashlib.sha1(long).digest()).decode()
+    few = warc.read_archives(warc.write_archives(df, C.shared_dir(spark), min_revisit_bytes=5)).filter("record_type = 'revisit'")
+    assert few.count() == 0
+    assert warc.read_archives(warc.write_archives(df.limit(0), C.shared_dir(spark))).count() == 0
+
+
+def test_surrogates(spark, odd, none):
+    out = pii.scrub(odd, b"key").collect()
+    by = {(r["doc_id"], r["n_chars"]): r for r in out}
+    assert [e["type"] for e in by[13, 16]["entities"]] == ["email", "ip"]
+    assert all(r["text"] == s["text"] for r, s in zip(sorted(out, key=str), sorted(pii.scrub(odd, b"key").collect(), key=str), strict=True))
+    assert by[3, 0]["text"] is None and by[4, 0]["text"] == ""
+    assert pii.scrub(none, b"key").count() == 0
+
+
+def test_languages(spark, odd, none):
+    got = queries.QUERIES["op6_language"](spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas())
+    assert (got[got.held_out].lang_pred == got[got.held_out].lang).mean() > 0.95 and got.score.between(0, 1).all()
+    out = {(r["doc_id"]): r["lang_pred"] for r in language.predict(odd, language.fit(odd)).collect()}
+    assert out[3] == out[4] == out[5] == out[12] == "und" and out[0] in ("en", "de")
+    assert {r["lang_pred"] for r in language.predict(odd, language.fit(none)).collect()} == {"und"}
+    assert language.accepted(odd, language.fit(odd)).filter("doc_id IN (3, 4, 5, 12)").count() == 0
+
+
+def near_truth(pairs):
+    sets = {}
+    for i, t in pairs:
+        w = words(t, True)
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            a, b = sets[i], sets[j]
+            if a and b and min(len(a), len(b)) * 4 >= 3 * max(len(a), len(b)) and 100 * len(a & b) >= 75 * len(a | b):
+                p, q = sorted((root(i), root(j)))
+                parent[q] = p
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def test_near_duplicates(spark, odd, none):
+    got = neardup.near_duplicates(odd).collect()
+    truth = near_truth([(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None])
+    assert len(got) == odd.count()
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None
+        else:
+            assert (r["n_shingles"], r["component_id"]) == truth[r["doc_id"]]
+    kept = neardup.without_copies(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r[0] for r in kept.select("doc_id").collect() if r[0] is not None) == sorted(i for i, (_, c) in truth.items() if i == c)
+    assert neardup.near_duplicates(none).count() == 0
+
+
+def test_near_duplicates_in_a_large_family(spark):
+    """Copies that were edited apart: many pairs lie on either side of the threshold."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(90)]
+    data = []
+    for i in range(70):
+        w = list(base)
+        for p in rng.choice(90, rng.integers(0, 7), replace=False):
+            w[p] = f"e{i}x{p}"
+        data.append((int(rng.integers(0, 10**6)), " ".join(w)))
+    data = list({i: t for i, t in data}.items())
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == near_truth(data)
+
+
+def test_token_files(spark, odd, none):
+    lib = pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.default_vocabulary())
+    docs = odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    got = sstable.read_shards(sstable.write_shards(docs, C.shared_dir(spark))).orderBy("id").collect()
+    start = 0
+    for r, d in zip(got, docs.orderBy("doc_id").collect(), strict=True):
+        ids = np.array([*lib.encode(d["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (r["id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (d["doc_id"], start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert sstable.read_shards(sstable.write_shards(odd, C.shared_dir(spark))).count() == odd.count()
+    assert sstable.read_shards(sstable.write_shards(none, C.shared_dir(spark))).count() == 0
+
+
+def test_fingerprints(spark, odd, none):
+    docs = odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    order = [(r["doc_id"], r["text"] or "") for r in docs.orderBy(F.desc("doc_id")).collect()]
+    want = {}
+    for k, (i, t) in enumerate(order):
+        e = fingerprint.edited(t, order[(k + 1) % len(order)][1])
+        want[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprint.to_text(fingerprint.sketch(fingerprint.shingle_hashes(e.encode()))))
+    got = {r["doc_id"]: (r["n_chars"], r["edited_sha256"], r["edited_fingerprint"]) for r in fingerprint.neighbours(docs).collect()}
+    assert got == want
+    assert fingerprint.neighbours(odd).count() == odd.count() and fingerprint.neighbours(none).count() == 0
+    one = fingerprint.neighbours(docs.limit(1)).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1.0
+    prints = fingerprint.fingerprints(odd).collect()
+    assert len({r["fingerprint"] for r in prints if r["doc_id"] in (0, 2, None)}) == 1
+
+
+def test_toxicity(spark, odd, none):
+    got = queries.QUERIES["op10_toxicity"](spark, "/root/testdata/sf0.01").toPandas().merge(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas())
+    held = got[got.held_out]
+    rank = held.score.rank()
+    n1 = held.toxic.sum()
+    assert (rank[held.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(held) - n1)) > 0.9
+    labels = spark.createDataFrame([(0, 1), (1, None), (6, 0), (None, 1)], "doc_id long, toxic int")
+    out = toxicity.score(odd, toxicity.fit(odd, labels)).collect()
+    assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out)
+    assert toxicity.score(odd, toxicity.fit(none, labels.limit(0))).count() == odd.count()
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+    got = p.run(spark, SF).toPandas()
+    # By brute force: languages as the operator finds them, then links, benchmark windows, surrogates, tokens.
+    known = {r["doc_id"] for r in language.accepted(spark.read.parquet(f"{SF}/documents.parquet"), language.fit(spark.read.parquet(f"{SF}/documents.parquet").filter(~language.held_out()))).collect()}
+    left = docs[docs.doc_id.isin(known)]
+    comp = near_truth(list(zip(left.doc_id, left.text, strict=True)))
+    left = left[[comp[i][1] == i for i in left.doc_id]]
+    pat = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    low = lambda t: re.findall(pat, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = set()
+    for t in spark.read.parquet(f"{SF}/benchmark.parquet").toPandas().text:
+        w = low(t)
+        windows |= {tuple(w[k : k + min(10, len(w))]) for k in range(len(w) - min(10, len(w)) + 1)}
+    left = left[[not any(tuple(w[k : k + 10]) in windows for k in range(len(w) - 9)) for w in map(low, left.text)]]
+    assert sorted(got.doc_id) == sorted(left.doc_id)
+    made, e = pii.Surrogates(pii.QUERY_KEY), bpe.encoder(bpe.default_vocabulary())
+    texts = [pii.scrub_text(t, made)[0] for t in left.text]
+    ids, bounds = e.encode([e.chunks(t) for t in texts])
+    want = {i: ids[bounds[k] : bounds[k + 1]].tolist() for k, i in enumerate(left.doc_id)}
+    assert {r.doc_id: list(r.ids) for r in got.itertuples()} == want
