@@ -36,7 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="panelweft-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/panelweft-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if full.startswith("file:/") and not full.startswith("file://"):
+        full = "file://" + full[len("file:") :]  # as readers other than Hadoop's write it
+    return f"{full.rstrip('/')}/panelweft-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:

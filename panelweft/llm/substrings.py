@@ -277,17 +277,18 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     C.ship(spark)
     path, n = C.shared_dir(spark), C.width(spark)
-    texts = C.stored(contents(docs, id_col, text_col), f"{path}/contents")
-    marks = C.stored(repeated(texts, window, n), f"{path}/marks")
-    found = C.stored(_earliest(segments(texts.join(marks, ["row", "row2"]), window)), f"{path}/segments")
+    work = f"{path}/work"
+    texts = C.stored(contents(docs, id_col, text_col), f"{work}/contents")
+    marks = C.stored(repeated(texts, window, n), f"{work}/marks")
+    found = C.stored(_earliest(segments(texts.join(marks, ["row", "row2"]), window)), f"{work}/segments")
     hot = found.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_segments).select("key")
     split = _earliest(_split_hot(found.join(hot, "key", "left_semi"), window))
     every = found.join(hot, "key", "left_anti").unionByName(split)
-    firsts = C.stored(first_windows(every, window, n).groupBy("row", "row2").agg(F.collect_list("at").alias("firsts")), f"{path}/firsts")
-    C.remove(spark, f"{path}/segments")
+    firsts = C.stored(first_windows(every, window, n).groupBy("row", "row2").agg(F.collect_list("at").alias("firsts")), f"{work}/firsts")
+    C.remove(spark, f"{work}/segments")
     both = marks.join(firsts, ["row", "row2"], "left")
     done = C.stored(cut(texts.join(both, ["row", "row2"], "left"), window), f"{path}/done")
-    C.remove(spark, f"{path}/contents")
+    C.remove(spark, work)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("row"), F.xxhash64(F.lit(1), F.coalesce(text_col, F.lit(""))).alias("row2"))
     out = rows.join(done, ["row", "row2"])
     copy = (F.col("_id") != F.col("id")) & (F.col("n_words") >= window)
