@@ -289,6 +289,7 @@ def _nearest(members: DataFrame, reps: DataFrame, labels: DataFrame, done: DataF
         key, i, j = (C.column(batch, c)[0].as_py() for c in ("key", "i", "j"))
         sig, check = scheme.read(C.column(batch, "sig"))
         keys = scheme.keys(sig)
+        by_key, owner = np.ascontiguousarray(keys.T), np.int64(key).astype(np.uint64)
         n = len(ids)
         closed = np.zeros((n, n), bool)
         by_id = np.argsort(ids)
@@ -300,14 +301,17 @@ def _nearest(members: DataFrame, reps: DataFrame, labels: DataFrame, done: DataF
         edges, more = [], False
         for x in np.flatnonzero(mine == i):
             y = np.flatnonzero((label != label[x]) & (mine == j) & ~closed[x] & ((ids > ids[x]) | (i != j)))
+            # A pair belongs to the least of the keys that it shares, so it is met once; a few lesser keys turn most pairs away.
+            for c in np.flatnonzero(by_key[:, x] < owner)[:8]:
+                y = y[by_key[c, y] != by_key[c, x]]
             ok, d = scheme.near(sig[x], sig[y], check[x], check[y]) if len(y) else (y, y)
             y = y[ok]
             if not len(y):
                 continue
-            # A pair belongs to the least of the keys that it shares, so it is met once.
             least = np.where(keys[y] == keys[x], keys[y], np.iinfo(np.uint64).max).min(axis=1)
-            own = least == np.int64(key).astype(np.uint64)
-            y, d = y[own], d[own]
+            y, d = y[least == owner], d[least == owner]
+            if not len(y):
+                continue
             if len(y) > few:
                 more = True
                 best = np.lexsort((ids[y], d))[:few]
@@ -365,33 +369,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     C.ship(spark)
     scheme = scheme or Scheme()
     path, n_parts = C.shared_dir(spark), C.width(spark)
-    sigs = C.stored(signatures(docs, scheme, id_col=id_col, text_col=text_col, shingle=shingle), f"{path}/signatures")
-    sets = C.stored(sigs.filter("n > 0 AND id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("id").alias("rep")), f"{path}/sets")
+    work = f"{path}/work"
+    sigs = C.stored(signatures(docs, scheme, id_col=id_col, text_col=text_col, shingle=shingle), f"{work}/signatures")
+    sets = C.stored(sigs.filter("n > 0 AND id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("id").alias("rep")), f"{work}/sets")
     reps = sigs.filter("n > 0").join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    reps = C.stored(reps.select("id", "sig"), f"{path}/reps")
+    reps = C.stored(reps.select("id", "sig"), f"{work}/reps")
     sigs = C.stored(sigs.drop("sig"), f"{path}/sizes")
-    C.remove(spark, f"{path}/signatures")
-    stars = C.stored(star_edges(reps, scheme, n_parts), f"{path}/stars")
-    near = C.stored(_distances(stars, reps, scheme), f"{path}/near0")
+    C.remove(spark, f"{work}/signatures")
+    stars = C.stored(star_edges(reps, scheme, n_parts), f"{work}/stars")
+    near = C.stored(_distances(stars, reps, scheme), f"{work}/near0")
     linked = lambda t: t.filter(F.lit(100) * F.col("both") >= F.lit(percent) * F.col("either"))
-    done = C.stored(confirmed(near, docs, id_col, text_col, shingle, n_parts), f"{path}/confirmed0")
+    done = C.stored(confirmed(near, docs, id_col, text_col, shingle, n_parts), f"{work}/confirmed0")
     links = linked(done).select("a", "b")
-    labels = components(links, f"{path}/cc0")
+    labels = components(links, f"{work}/cc0")
     # Every document that met another in some bucket; alone, it is its own component.
-    met = C.stored(stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct(), f"{path}/met")
+    met = C.stored(stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct(), f"{work}/met")
     place = lambda labels: met.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    members = _mixed_members(reps, place(labels), scheme, path)
-    done = C.stored(done.select("a", "b"), f"{path}/done0")
+    members = _mixed_members(reps, place(labels), scheme, work)
+    done = C.stored(done.select("a", "b"), f"{work}/done0")
     turn, few = 0, 4
     while True:
         turn += 1
-        found = C.stored(_nearest(members, reps, place(labels), done, scheme, few, turn <= 2, n_parts), f"{path}/found{turn}")
+        found = C.stored(_nearest(members, reps, place(labels), done, scheme, few, turn <= 2, n_parts), f"{work}/found{turn}")
         now = found.filter("a IS NOT NULL").select("a", "b").distinct()
         if now.isEmpty():
             break
-        checked = C.stored(confirmed(now, docs, id_col, text_col, shingle, n_parts), f"{path}/confirmed{turn}")
+        checked = C.stored(confirmed(now, docs, id_col, text_col, shingle, n_parts), f"{work}/confirmed{turn}")
         links = links.unionByName(linked(checked).select("a", "b"))
-        labels = components(links, f"{path}/cc{turn}")
+        labels = components(links, f"{work}/cc{turn}")
         over = found.filter("a IS NULL").select("key").distinct()
         if over.isEmpty():
             break
@@ -399,6 +404,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         members = members.join(over, "key", "left_semi")
         few *= 4
     by_set = C.stored(sets.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("component")), f"{path}/by_set")
+    C.remove(spark, work)
     out = sigs.select("id", "n", "set_a", "set_b").join(by_set, ["set_a", "set_b"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
