@@ -380,30 +380,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     near = C.stored(_distances(stars, reps, scheme), f"{work}/near0")
     linked = lambda t: t.filter(F.lit(100) * F.col("both") >= F.lit(percent) * F.col("either"))
     done = C.stored(confirmed(near, docs, id_col, text_col, shingle, n_parts), f"{work}/confirmed0")
-    links = linked(done).select("a", "b")
-    labels = components(links, f"{work}/cc0")
+    labels = components(linked(done).select("a", "b"), f"{work}/cc0")
     # Every document that met another in some bucket; alone, it is its own component.
-    met = C.stored(stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct(), f"{work}/met")
-    place = lambda labels: met.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    members = _mixed_members(reps, place(labels), scheme, work)
+    met = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
+    placed = C.stored(met.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label")), f"{work}/placed0")
+    members = _mixed_members(reps, placed, scheme, work)
     done = C.stored(done.select("a", "b"), f"{work}/done0")
     turn, few = 0, 4
     while True:
         turn += 1
-        found = C.stored(_nearest(members, reps, place(labels), done, scheme, few, turn <= 2, n_parts), f"{work}/found{turn}")
+        found = C.stored(_nearest(members, reps, placed, done, scheme, few, turn <= 2, n_parts), f"{work}/found{turn}")
         now = found.filter("a IS NOT NULL").select("a", "b").distinct()
         if now.isEmpty():
             break
         checked = C.stored(confirmed(now, docs, id_col, text_col, shingle, n_parts), f"{work}/confirmed{turn}")
-        links = links.unionByName(linked(checked).select("a", "b"))
-        labels = components(links, f"{work}/cc{turn}")
+        # New links join components, so only those are put together: few vertices, whatever the components' sizes.
+        ends = linked(checked).join(placed.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(placed.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
+        up = components(ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), f"{work}/cc{turn}")
+        moved = placed.join(up.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left")
+        placed = C.stored(moved.select("id", F.coalesce("up", "label").alias("label")), f"{work}/placed{turn}")
         over = found.filter("a IS NULL").select("key").distinct()
         if over.isEmpty():
             break
         done = done.unionByName(checked.select("a", "b"))
         members = members.join(over, "key", "left_semi")
         few *= 4
-    by_set = C.stored(sets.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("component")), f"{path}/by_set")
+    by_set = C.stored(sets.join(placed.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("component")), f"{path}/by_set")
     C.remove(spark, work)
     out = sigs.select("id", "n", "set_a", "set_b").join(by_set, ["set_a", "set_b"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
