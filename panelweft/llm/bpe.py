@@ -199,7 +199,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, encode_new) -> None:
-        self.encode_new = encode_new
+        self.encode_new, self.remembered = encode_new, REMEMBERED
         self.forget()
 
     def forget(self) -> None:
@@ -209,7 +209,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (each given as chunks), and the bounds of each text's."""
-        if len(self.codes) > REMEMBERED:
+        if len(self.codes) > self.remembered:
             self.forget()
         known = len(self.codes)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))

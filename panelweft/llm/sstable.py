@@ -32,6 +32,8 @@ from panelweft.llm.files import opened, written
 MAGIC = b"PWSST\x00\x00\x01"
 FOOTER = struct.Struct("<QQQQQQI8s")
 BLOCK_BYTES = 1 << 18
+#: Bytes of text that are encoded together, and chunks that a writing task remembers.
+ENCODE_BLOCK, REMEMBERED = 1 << 22, 400_000
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
 
@@ -196,6 +198,7 @@ def write_shards(docs: DataFrame, path: str, *, vocabulary: str | None = None, i
 
     def run(batches):
         encoder = bpe.encoder(names)
+        encoder.remembered = REMEMBERED
         state: list = [None, None, None, None]  # shard, context, writer, uri
 
         def close():
@@ -209,7 +212,7 @@ def write_shards(docs: DataFrame, path: str, *, vocabulary: str | None = None, i
 
         try:
             for batch in batches:
-                for part in C.blocks(batch, "text", bpe.ENCODE_BLOCK // 4):
+                for part in C.blocks(batch, "text", ENCODE_BLOCK):
                     texts = [t.decode() for t in ordered.unpacked(C.column(part, "text"))]
                     ids, bounds = encoder.encode([encoder.chunks(t) for t in texts])
                     for j, (shard, i) in enumerate(zip(C.column(part, "shard").to_pylist(), C.column(part, "id").to_pylist(), strict=True)):
