@@ -8,11 +8,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors through Spark's file server, once for each application."""
+    """Send the package to the executors through Spark's file server, once for each application.
+
+    A session with the default Arrow batch size also gets a smaller one.
+    """
+    if spark.conf.get(_BATCH, None) == "10000":
+        spark.conf.set(_BATCH, "1000")  # rows hold texts: ten thousand of them are too much for one buffer
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
