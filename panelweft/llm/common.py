@@ -7,6 +7,7 @@ the slab (plus eight bytes a word), not the length of a document or of a batch.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -61,6 +62,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give the memory that a task freed back to the system: an idle worker of a later stage holds none of it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """run, a function of record batches, with release() after its last batch."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def width(spark: SparkSession) -> int:
     """Partitions that a shuffle of this session makes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -87,7 +87,7 @@ def shingle_counts(docs: DataFrame, keys: dict[int, np.ndarray], text_col: str =
             some = np.flatnonzero(sums[k])
             yield C.batch_of(schema, np.full(len(some), k, np.int32), v[some].view(np.int64), sums[k][some])
 
-    return docs.select(text_col).mapInArrow(count, "width int, shingle long, n long").groupBy("width", "shingle").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(C.tidy(count), "width int, shingle long, n long").groupBy("width", "shingle").agg(F.sum("n").alias("n"))
 
 
 def _prefixes(win: Windows, counts: dict[tuple[int, int], int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -135,7 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
             for part in C.blocks(batch, text_col):
                 yield _match_block(part, id_col, text_col, *shared.value)
 
-    return docs.select(id_col, text_col).mapInArrow(match, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items string, contaminated boolean, hits array<struct<start:long,end:long>>")
+    return docs.select(id_col, text_col).mapInArrow(C.tidy(match), f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items string, contaminated boolean, hits array<struct<start:long,end:long>>")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
@@ -152,7 +152,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
                 hit = C.column(_match_block(part, id_col, text_col, *shared.value), "contaminated")
                 yield part.filter(pc.invert(hit))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(C.tidy(keep), docs.schema)
 
 
 def _bounded(benchmark: DataFrame, item_text_col: str, most: int) -> bool:

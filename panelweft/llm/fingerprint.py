@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 s = [sketch(shingle_hashes(data[a:b], shingle), k) for a, b in zip(offsets, offsets[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([C.column(part, id_col), pa.array(map(to_text, s), pa.string()), pa.array([distinct(x, k) for x in s])], [id_col, "fingerprint", "n_shingles"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string, n_shingles double")
+    return docs.select(id_col, text_col).mapInArrow(C.tidy(run), f"`{id_col}` {kind}, fingerprint string, n_shingles double")
 
 
 def edited(text: str, following: str) -> str:
@@ -159,7 +159,7 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         if held is not None:
             yield C.batch_of(schema, *map(list, zip(judged(held, first), strict=True)))
 
-    done = rows.mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    done = rows.mapInArrow(C.tidy(run), "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return done.withColumnRenamed("id", id_col)
 
 
@@ -176,7 +176,7 @@ def _heads(ids: DataFrame, cuts: np.ndarray) -> dict[int, int | None]:
                 best[s] = i if old is None else old if i is None else max(old, i)
         yield C.batch_of(schema, list(best), list(best.values()))
 
-    got = ids.mapInArrow(run, "shard int, id long").groupBy("shard").agg(F.max("id").alias("id")).collect()
+    got = ids.mapInArrow(C.tidy(run), "shard int, id long").groupBy("shard").agg(F.max("id").alias("id")).collect()
     return {r["shard"]: r["id"] for r in got}
 
 

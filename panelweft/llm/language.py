@@ -82,7 +82,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_
 
     counts = np.zeros((len(languages), BUCKETS))
     if languages:
-        for r in rows.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in rows.mapInArrow(C.tidy(count), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
             counts[r["lang"], r["bucket"]] = r["n"]
     return Model(languages, counts)
 
@@ -192,7 +192,7 @@ def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", min_score
                 langs, scores, _ = _judged(part, text_col, model)
                 yield part.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(C.tidy(keep), docs.schema)
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 langs, scores, maps = _judged(part, text_col, model)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs), pa.array(scores), pa.array(maps, pa.map_(pa.string(), pa.float64()))], [*part.schema.names, "lang_pred", "score", "languages"])
 
-    return held.mapInArrow(run, schema)
+    return held.mapInArrow(C.tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):

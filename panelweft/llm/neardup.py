@@ -118,7 +118,7 @@ def signatures(docs: DataFrame, scheme: Scheme, *, id_col: str = "doc_id", text_
                     sig.append(scheme.signature(s))
                 yield C.batch_of(schema, C.column(part, id_col).cast(pa.int64()), n, a, b, sig)
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, n long, set_a long, set_b long, sig binary")
+    return docs.select(id_col, text_col).mapInArrow(C.tidy(run), "id long, n long, set_a long, set_b long, sig binary")
 
 
 def _pack(keys: np.ndarray, *values: np.ndarray, n_parts: int):
@@ -172,9 +172,9 @@ def star_edges(reps: DataFrame, scheme: Scheme, n_parts: int) -> DataFrame:
             _, _, a, b = _stars(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    packed = reps.select("id", "sig").mapInArrow(local, "part int, k binary, v binary")
+    packed = reps.select("id", "sig").mapInArrow(C.tidy(local), "part int, k binary, v binary")
     spread = packed.repartition(n_parts, F.when(F.col("part") < 0, F.xxhash64("k")).otherwise(F.col("part").cast("long")))
-    return spread.mapInArrow(merged, "a long, b long").distinct()
+    return spread.mapInArrow(C.tidy(merged), "a long, b long").distinct()
 
 
 def _distances(pairs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
@@ -191,7 +191,7 @@ def _distances(pairs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
             ok, d = scheme.near(s, t, sc, tc)
             yield C.batch_of(schema, _id_array(batch, "a")[ok], _id_array(batch, "b")[ok], d.astype(np.int32))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, d int")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(C.tidy(run), "a long, b long, d int")
 
 
 def only(docs: DataFrame, id_col: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
@@ -235,7 +235,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
                         x.append(y)
                 yield C.batch_of(schema, *out)
 
-    return rows.mapInArrow(run, "a long, b long, both long, either long")
+    return rows.mapInArrow(C.tidy(run), "a long, b long, both long, either long")
 
 
 def _mixed_members(reps: DataFrame, labels: DataFrame, scheme: Scheme, path: str) -> DataFrame:
@@ -264,8 +264,8 @@ def _mixed_members(reps: DataFrame, labels: DataFrame, scheme: Scheme, path: str
                 keys = scheme.keys(scheme.read(C.column(part, "sig"))[0]).ravel()
                 yield C.batch_of(schema, keys.view(np.int64), np.repeat(_id_array(part, "id"), width))
 
-    mixed = C.stored(active.mapInArrow(spans, "key long, lo long, hi long").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("key"), f"{path}/mixed")
-    found = only(active.mapInArrow(members, "key long, id long"), "key", mixed.select(F.col("key").alias("id"))).join(mixed, "key", "left_semi")
+    mixed = C.stored(active.mapInArrow(C.tidy(spans), "key long, lo long, hi long").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("key"), f"{path}/mixed")
+    found = only(active.mapInArrow(C.tidy(members), "key long, id long"), "key", mixed.select(F.col("key").alias("id"))).join(mixed, "key", "left_semi")
     whole = C.stored(found, f"{path}/members")
     sizes = whole.groupBy("key").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
     return whole.join(sizes, "key")
@@ -342,7 +342,7 @@ def _nearest(members: DataFrame, reps: DataFrame, labels: DataFrame, done: DataF
         if held:
             yield from block(held)
 
-    return rows.select("key", "i", "j", "mine", "id", "label", "sig", "closed").mapInArrow(run, "key long, a long, b long")
+    return rows.select("key", "i", "j", "mine", "id", "label", "sig", "closed").mapInArrow(C.tidy(run), "key long, a long, b long")
 
 
 def _forest(edges: list[tuple[int, int, int]], label: np.ndarray) -> list[tuple[int, int, int]]:

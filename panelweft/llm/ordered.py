@@ -50,7 +50,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, cuts: np.ndarray, also:
                     own = [ids[int(i)].as_py() for i in hit]
                     yield C.batch_of(schema, np.array([twice[i] for i in own], np.int32), np.ones(len(hit), bool), own, [text[i] for i in hit])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "shard int, extra boolean, id long, text binary")
+    return docs.select(id_col, text_col).mapInArrow(C.tidy(run), "shard int, extra boolean, id long, text binary")
 
 
 def dealt(rows: DataFrame, n: int) -> DataFrame:

@@ -341,7 +341,7 @@ def scrub(docs: DataFrame, key: bytes, *, text_col: str = "text", entities_col:
                 arrays = [pa.array(texts, pa.string()) if c == text_col else C.column(part, c) for c in columns]
                 yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(entities, kind)] if entities_col else [])], [*columns, *([entities_col] if entities_col else [])])
 
-    return held.mapInArrow(run, schema)
+    return held.mapInArrow(C.tidy(run), schema)
 
 
 #: The key of the registered queries; a production run passes its own secret.

@@ -230,7 +230,7 @@ def write_shards(docs: DataFrame, path: str, *, vocabulary: str | None = None, i
                 state[1].__exit__(type(e), e, e.__traceback__)
             raise
 
-    return C.stored(rows.mapInArrow(run, "shard int, path string, n_docs long, n_ids long"), f"{path}/manifest")
+    return C.stored(rows.mapInArrow(C.tidy(run), "shard int, path string, n_docs long, n_ids long"), f"{path}/manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     yield C.batch_of(schema, *map(list, zip(*out, strict=True)))
                 reader.close()
 
-    return spark.createDataFrame(rows, "path string, base long").repartition(max(1, len(rows))).mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
+    return spark.createDataFrame(rows, "path string, base long").repartition(max(1, len(rows))).mapInArrow(C.tidy(run), "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_sstable(spark, sf_dir: str) -> DataFrame:

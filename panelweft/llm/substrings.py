@@ -86,7 +86,7 @@ def contents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 raw = memoryview(data)
                 yield pa.RecordBatch.from_arrays([*(C.column(part, c) for c in ("id", "row", "row2")), pa.array([z.compress(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)], pa.binary())], schema=schema)
 
-    return rows.mapInArrow(run, "id long, row long, row2 long, text binary").groupBy("row", "row2").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+    return rows.mapInArrow(C.tidy(run), "id long, row long, row2 long, text binary").groupBy("row", "row2").agg(F.min("id").alias("id"), F.first("text").alias("text"))
 
 
 def repeated(texts: DataFrame, window: int, n_parts: int) -> DataFrame:
@@ -149,9 +149,9 @@ def repeated(texts: DataFrame, window: int, n_parts: int) -> DataFrame:
             hit = np.union1d(hit, np.flatnonzero(lone[back] & ~several))
             yield C.batch_of(schema, row[hit], row2[hit], start[hit])
 
-    packed = texts.select("row", "row2", "text").mapInArrow(local, "part int, blob binary")
+    packed = texts.select("row", "row2", "text").mapInArrow(C.tidy(local), "part int, blob binary")
     spread = packed.repartition(n_parts, F.when(F.col("part") < 0, F.xxhash64("blob")).otherwise(F.col("part").cast("long")))
-    return spread.mapInArrow(merged, "row long, row2 long, start int").groupBy("row", "row2").agg(F.collect_list("start").alias("starts"))
+    return spread.mapInArrow(C.tidy(merged), "row long, row2 long, start int").groupBy("row", "row2").agg(F.collect_list("start").alias("starts"))
 
 
 def segments(marked: DataFrame, window: int) -> DataFrame:
@@ -173,7 +173,7 @@ def segments(marked: DataFrame, window: int) -> DataFrame:
                 own = [C.column(part, c).to_numpy()[doc[take]] for c in ("id", "row", "row2")]
                 yield C.batch_of(schema, key[take].view(np.int64), words, own[0], start[take].astype(np.int32), own[1], own[2])
 
-    return marked.mapInArrow(run, "key long, words binary, id long, start int, row long, row2 long")
+    return marked.mapInArrow(C.tidy(run), "key long, words binary, id long, start int, row long, row2 long")
 
 
 def _split_hot(hot: DataFrame, window: int) -> DataFrame:
@@ -193,7 +193,7 @@ def _split_hot(hot: DataFrame, window: int) -> DataFrame:
                             c.append(v)
                 yield C.batch_of(schema, *out)
 
-    return hot.mapInArrow(run, "key long, words binary, id long, start int, row long, row2 long")
+    return hot.mapInArrow(C.tidy(run), "key long, words binary, id long, start int, row long, row2 long")
 
 
 def _earliest(rows: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def first_windows(rows: DataFrame, window: int, n_parts: int) -> DataFrame:
             yield from judged(held)
 
     dealt = rows.repartition(n_parts, "key").sortWithinPartitions("key")
-    return dealt.select("key", "words", "id", "row", "row2", "start").mapInArrow(run, "row long, row2 long, at int")
+    return dealt.select("key", "words", "id", "row", "row2", "start").mapInArrow(C.tidy(run), "row long, row2 long, at int")
 
 
 def cut(marked: DataFrame, window: int) -> DataFrame:
@@ -269,7 +269,7 @@ def cut(marked: DataFrame, window: int) -> DataFrame:
                     spans.append([{"start": int(x), "stop": int(y)} for x, y in zip(a, b, strict=True)])
                 yield C.batch_of(schema, C.column(part, "row"), C.column(part, "row2"), C.column(part, "id"), n, removed, sha, pa.array(spans, schema.field("removed").type))
 
-    return marked.mapInArrow(run, "row long, row2 long, id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,stop:long>>")
+    return marked.mapInArrow(C.tidy(run), "row long, row2 long, id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,stop:long>>")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, hot_segments: int = HOT_SEGMENTS) -> DataFrame:

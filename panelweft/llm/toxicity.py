@@ -158,7 +158,7 @@ def _selected(rows: DataFrame, n_pos: int, n_neg: int, max_features: int) -> np.
             e = slice(at, at + (1 << 17))
             yield C.batch_of(schema, keys[e].view(np.int64), pos[e], neg[e])
 
-    sums = rows.mapInArrow(count, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).filter("p + n >= 3")
+    sums = rows.mapInArrow(C.tidy(count), "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).filter("p + n >= 3")
     odds = f"ln((p + 0.5) / ({n_pos} - p + 0.5)) - ln((n + 0.5) / ({n_neg} - n + 0.5))"
     best = sums.select("f", F.expr(f"abs({odds}) / sqrt(1 / (p + 0.5) + 1 / (n + 0.5))").alias("sure")).filter("sure > 1.5").orderBy(F.desc("sure"), "f").limit(max_features)
     named = np.concatenate([np.concatenate([own, *others]) for own, others in swaps().values()])
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                     feats.append(at(own)), lost.append(at(np.setdiff1d(gone, came))), won.append(at(np.setdiff1d(came, own)))
                 yield pa.RecordBatch.from_arrays([C.column(part, "_id"), C.column(part, "_y"), *(pa.array(x, pa.binary()) for x in (feats, lost, won))], ["id", "y", "feats", "lost", "won"])
 
-    got = sorted((r["id"], r["y"], bytes(r["feats"]), bytes(r["lost"]), bytes(r["won"])) for r in rows.mapInArrow(run, "id long, y int, feats binary, lost binary, won binary").toLocalIterator())
+    got = sorted((r["id"], r["y"], bytes(r["feats"]), bytes(r["lost"]), bytes(r["won"])) for r in rows.mapInArrow(C.tidy(run), "id long, y int, feats binary, lost binary, won binary").toLocalIterator())
     array = lambda b: np.frombuffer(b, np.int32)
     changes = [(i, array(x[3]), array(x[4])) for i, x in enumerate(got) if x[3] or x[4]]
     return fit_rows(kept, [array(x[2]) for x in got], np.array([x[1] for x in got], np.int64), changes, swap_penalty=swap_penalty)
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 z = model.logits(_words(*C.text_buffers(C.column(part, text_col))))
                 yield pa.RecordBatch.from_arrays([C.column(part, id_col), pa.array(1 / (1 + np.exp(-z)))], [id_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return docs.select(id_col, text_col).mapInArrow(C.tidy(run), f"`{id_col}` {kind}, score double")
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

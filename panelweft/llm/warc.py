@@ -66,7 +66,7 @@ def digests(chunks: DataFrame, keys: list[str]) -> DataFrame:
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([*(C.column(batch, k).take(at) for k in keys), pa.array(size, pa.int64()), pa.array(sums)], [*keys, "payload_bytes", "digest"])
 
-    return chunks.select(*keys, "last", "data").mapInArrow(run, f"{kinds}, payload_bytes long, digest string")
+    return chunks.select(*keys, "last", "data").mapInArrow(C.tidy(run), f"{kinds}, payload_bytes long, digest string")
 
 
 def _line(value: str) -> str:
@@ -147,7 +147,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
             raise
 
     cut = chunked(keyed, "html", chunk_bytes)
-    return C.stored(cut.select("page_id", "url", "payload_bytes", "digest", "refers_to", "chunk_no", "last", "data").mapInArrow(run, "path string, n_records long"), f"{path}/manifest")
+    return C.stored(cut.select("page_id", "url", "payload_bytes", "digest", "refers_to", "chunk_no", "last", "data").mapInArrow(C.tidy(run), "path string, n_records long"), f"{path}/manifest")
 
 
 class _Inflated:
@@ -247,7 +247,7 @@ def read_archives(manifest: DataFrame, *, with_data: bool = False, chunk_bytes:
                         yield C.batch_of(schema, *map(list, zip(*out, strict=True)))
 
     spread = manifest.select("path").repartition(C.width(manifest.sparkSession))
-    return spread.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, chunk_no int, last boolean, bytes_so_far long, digest_so_far string, payload_bytes long, payload_digest string, data binary")
+    return spread.mapInArrow(C.tidy(run), "page_id long, url string, record_type string, refers_to long, chunk_no int, last boolean, bytes_so_far long, digest_so_far string, payload_bytes long, payload_digest string, data binary")
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
