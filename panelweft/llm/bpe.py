@@ -29,7 +29,22 @@ from panelweft.llm import common as C
 
 #: The white space of Unicode, the file's pre-tokeniser pattern (without case: it is applied to lower case).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
+#: Letters and numbers of later Unicode versions than the tokenizers library's, which are symbols to it.
+LATER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2),
+    (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F),
+    (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24),
+    (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED),
+    (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+#: Capitals that this Python's tables don't lower yet, and the library's do: first, last, first small letter.
+CAPITALS = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB))
+_LOWER = {a + i: low + i for a, b, low in CAPITALS for i in range(b - a + 1)}
+_CAPITAL = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in CAPITALS) + "]")
+_LATER = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in LATER)
+PIECES = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER}]]+|[\p{{N}}--[{_LATER}]]|[[^{WHITE}\p{{L}}\p{{N}}]||[{_LATER}]]+")
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPLIT = regex.compile(f"[{WHITE}]+")
 #: Chunks that a worker remembers; then it forgets them all.
@@ -174,6 +189,8 @@ def normalised(text: str) -> str:
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:
             text = text.replace("Σ", "σ")
+        if _CAPITAL.search(text):
+            text = text.translate(_LOWER)
     return text.lower()
 
 
@@ -312,7 +329,7 @@ def encode(docs: DataFrame, *, vocabulary: str | None = None, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([C.column(part, id_col), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
         e.forget()  # an idle worker keeps no memory
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return docs.select(id_col, text_col).mapInArrow(C.tidy(run), f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
 def encoded_digests(docs: DataFrame, *, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = ENCODE_BLOCK) -> DataFrame:
@@ -333,7 +350,7 @@ def encoded_digests(docs: DataFrame, *, vocabulary: str | None = None, id_col: s
             yield pa.RecordBatch.from_arrays([C.column(part, id_col), pa.array(np.diff(bounds)), pa.array(ids_sha), pa.array(text_sha)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
         e.forget()  # an idle worker keeps no memory
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(C.tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def tokens(docs: DataFrame, *, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = ENCODE_BLOCK) -> DataFrame:
@@ -350,7 +367,7 @@ def tokens(docs: DataFrame, *, vocabulary: str | None = None, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([C.column(part, id_col), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(np.diff(bounds)), pa.array(sums, pa.string())], [id_col, "ids", "n_tokens", "decoded_sha256"])
         e.forget()  # an idle worker keeps no memory
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(C.tidy(run), f"`{id_col}` {kind}, ids array<int>, n_tokens long, decoded_sha256 string")
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
