@@ -302,8 +302,9 @@ def _nearest(members: DataFrame, reps: DataFrame, labels: DataFrame, done: DataF
         for x in np.flatnonzero(mine == i):
             y = np.flatnonzero((label != label[x]) & (mine == j) & ~closed[x] & ((ids > ids[x]) | (i != j)))
             # A pair belongs to the least of the keys that it shares, so it is met once; a few lesser keys turn most pairs away.
-            for c in np.flatnonzero(by_key[:, x] < owner)[:8]:
-                y = y[by_key[c, y] != by_key[c, x]]
+            if len(y) > 64:
+                for c in np.flatnonzero(by_key[:, x] < owner)[:8]:
+                    y = y[by_key[c, y] != by_key[c, x]]
             ok, d = scheme.near(sig[x], sig[y], check[x], check[y]) if len(y) else (y, y)
             y = y[ok]
             if not len(y):
