@@ -7,8 +7,8 @@ card number for a valid one, an address of the same network class, a known given
 gender and script.  Equal entities so get equal surrogates in every document and every run
 with the key (coreference), and as each mapping is one-to-one within its format, distinct
 entities get distinct surrogates, with no table of the entities seen.  The permutation has
-no fixed point.  Each document is checked for collisions all the same, and a collision
-raises.
+no fixed point.  Names that are not listed are permuted under their shape alone, whatever
+title stands before them, so this holds for them over all titles too.
 
 Null texts stay null, texts without entities are unchanged, repeated rows change alike,
 extra columns pass through.
@@ -213,16 +213,25 @@ class Surrogates:
         host, _, tld = text.rpartition(".")
         return self.shaped("email/" + tld, host) + "." + tld
 
-    def given(self, name: str, gender: str | None) -> str:
+    def given(self, name: str) -> str:
         if name in _GENDER_OF:
             names = GIVEN[_GENDER_OF[name]]
             return names[self._perm(f"given/{names[0]}", len(names))(names.index(name))]
         out = name
         while True:  # a made-up name is never one of the known ones
-            out = self.shaped(f"name/{gender}", out)
+            out = self.shaped("name", out)
             if out not in _GENDER_OF:
                 return out
 
+    def secret(self, text: str) -> str:
+        if all(c in _HEX for c in text):
+            return self.shaped("hex", text, _HEX)
+        out = text
+        while True:  # never one of hexadecimal digits alone: those have surrogates of their own
+            out = self.shaped("secret", out)
+            if not all(c in _HEX for c in out):
+                return out
+
     def of(self, kind: str, text: str) -> str:
         """The surrogate of a normalised entity; remembered for as long as some thousands are in use."""
         if (got := self.known.get((kind, text))) is None:
@@ -236,9 +245,9 @@ class Surrogates:
             elif base == "card":
                 got = self.card(text)
             elif base == "secret":
-                got = self.shaped("hex", text, _HEX) if all(c in _HEX for c in text) else self.shaped("secret", text)
+                got = self.secret(text)
             elif base == "given":
-                got = self.given(text, kind.partition("/")[2])
+                got = self.given(text)
             elif base == "family":
                 got = self.shaped("family", text)
             else:
@@ -261,29 +270,20 @@ def scrub_text(text: str, made: Surrogates) -> tuple[str, list[tuple[str, int, i
     if not text:
         return text, []
     found: list[tuple[str, int, int, str]] = []
-    seen: dict[tuple[str, str], str] = {}
-    back: dict[tuple[str, str], str] = {}
-
-    def tied(kind: str, normal: str, surrogate: str) -> str:
-        seen[kind, normal] = surrogate
-        if back.setdefault((kind, surrogate), normal) != normal:
-            raise ValueError(f"two {kind} entities of a document have one surrogate")
-        return surrogate
-
     for m in (m for a, b in _windows(text) for m in DETECT.finditer(text, a, b)):
         kind = m.lastgroup if m.lastgroup in PATTERNS else next(k for k in PATTERNS if m[k] is not None)
         a, b = m.span()
         raw = m[0]
         if kind == "email":
             low = raw.lower()
-            new = _cased(raw, tied(kind, low, made.of(kind, low)))
+            new = _cased(raw, made.of(kind, low))
         elif kind == "secret":
             a, b = m.span("secret_value")
             raw = m["secret_value"]
-            new = tied(kind, raw, made.of(kind, raw))
+            new = made.of(kind, raw)
         elif kind == "ip":
             low = ".".join(str(int(x)) for x in raw.split("."))
-            new = tied(kind, low, made.of(kind, low))
+            new = made.of(kind, low)
         elif kind == "person":
             a, b = m.span("name")
             parts = m["name"].split()
@@ -292,21 +292,17 @@ def scrub_text(text: str, made: Surrogates) -> tuple[str, list[tuple[str, int, i
                     continue
                 parts = parts[:1]
                 b = a + len(parts[0])
-            gender = TITLES[m["title"]]
-            if len(parts) == 2:
-                new = " ".join([tied("given", parts[0], made.of(f"given/{gender}", parts[0])), tied("family", parts[1], made.of("family", parts[1]))])
-            else:
-                new = tied("family", parts[0], made.of("family", parts[0]))
+            new = " ".join(made.of(k, p) for k, p in zip(("given", "family")[-len(parts) :], parts, strict=True))
         else:
             d = "".join(c for c in raw if c.isdigit())
             if kind == "phone":
                 code = re.match(r"\+(\d{1,3})(?=[ .(-])", raw)
                 cc = code[1] if code else ""
-                new = _refilled(raw, cc + tied(f"phone+{cc}/{len(d)}", d, made.of(f"phone/{cc}", d[len(cc) :])))
+                new = _refilled(raw, cc + made.of(f"phone/{cc}", d[len(cc) :]))
             elif kind == "ssn":
-                new = _refilled(raw, tied(kind, d, made.of("ssn", d)))
+                new = _refilled(raw, made.of("ssn", d))
             else:
-                new = _refilled(raw, tied(kind, d, made.of("card", d)))
+                new = _refilled(raw, made.of("card", d))
         found.append((kind, a, b, new))
     if not found:
         return text, found

@@ -191,6 +191,23 @@ def test_distinct_entities_stay_distinct(mails):
     assert len({made.of("email", m) for m in mails}) == len(mails)
 
 
+def test_unlisted_given_names_are_one_to_one_over_all_titles():
+    made = pii.Surrogates(b"key")
+    names = [a + b + c for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou" for c in "bcdfghjklmnpqrstvwxyz"]
+    # A document with every name of one shape behind unlike titles: each stays apart from all others.
+    out, found = pii.scrub_text("; ".join(f"{('Mr', 'Dr', 'Ms')[i % 3]} {n} Brown" for i, n in enumerate(names)), made)
+    new = [x.split()[0] for *_, x in found]
+    assert len(set(new)) == len(names) and all(a != b for a, b in zip(names, new, strict=True))
+    one = {pii.scrub_text(f"{t} Kim Lee", made)[0].partition(" ")[2] for t in ("Dr", "Ms", "Mr")}
+    assert len(one) == 1
+
+
+def test_secrets_stay_apart_from_hexadecimal_ones():
+    made = pii.Surrogates(b"key")
+    made.shaped = lambda label, text, classes=pii._CLASS: {"zz": "ab", "ab": "xx"}[text] if label == "secret" else "ab"
+    assert made.of("secret", "zz") == "xx" and made.of("secret", "ff") == "ab"
+
+
 def test_windows_hold_every_entity():
     rng = random.Random(2)
     parts = ["word", "a.b@c.org", "10.1.2.3", "+44 (020) 555-1234", "4845168114407329", "Frau Schmidt", "key: abcdefghijkl99", "\n", "x" * 90]
