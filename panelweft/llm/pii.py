@@ -10,6 +10,10 @@ entities get distinct surrogates, with no table of the entities seen.  The permu
 no fixed point.  Names that are not listed are permuted under their shape alone, whatever
 title stands before them, so this holds for them over all titles too.
 
+A person is found by a title; once found, the bare mentions of either name in the same
+document are replaced alike.  A phone number is found by a plus, brackets, a phone word or
+groups that numbers grouped by threes don't have.
+
 Null texts stay null, texts without entities are unchanged, repeated rows change alike,
 extra columns pass through.
 """
@@ -91,18 +95,38 @@ _GENDER_OF = {n: k for k, names in GIVEN.items() for n in names}
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Madam": "f", "Dr": None, "Prof": None, "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mademoiselle": "f", "Señor": "m", "Señora": "f", "Don": "m", "Doña": "f", "господин": "m", "госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 
 _NAME = r"[^\W\d_]+"
+_EMAIL = r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9_+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9_])"
+_IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
+_SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+_CARD = r"(?<![\d-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\d-])"
+#: Country calling codes (ITU-T E.164); no code begins another, so digits alone tell the code.
+_CODE = r"(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d)"
+#: What stands between the digits of a phone number, and what a group of its digits can't be.
+_GAP = r"(?:[ \u00a0./-]?\(|\)[ \u00a0./-]?|[ \u00a0./-])"
+_OTHER = rf"(?!{_IP}|{_SSN}|{_CARD}|(?:19|20)\d\d-\d\d-\d\d(?!\d))"
+_DIGIT = rf"(?:{_GAP}{_OTHER}(?=\d\d))?\d"
+#: Words that announce a phone number.
+_PHONE_WORD = r"\b(?:(?:tele|cell)?phones?|tel|mobile|cell|fax|whatsapp|call|dial|telefon|telefax|handy|mobil|rufnummer|tel[eé]fono|m[oó]vil|t[eé]l[eé]phone|portable|телефон|тел|моб|τηλ[εέ]φωνο|τηλ|κινητό)\b"
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9_+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9_])",
+    "email": _EMAIL,
     "secret": r"""(?i:\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth)\b["']?\s*[:=]\s*["']?)(?P<secret_value>[A-Za-z0-9+/_=-]{12,})""",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|(?<=[ .-])\d{2,4}[ .-]\d{3}[ .-]\d{3,4}|\d{3}-\d{3}-\d{4})(?!\d)",
+    "ip": _IP,
+    "ssn": _SSN,
+    "card": _CARD,
+    # With a plus: ten digits after 1 and 7, 6 to 12 after other codes, in any groups.  After a phone word: 7 to 14 digits in any
+    # groups.  Else brackets, a group of four at the end, hyphens or a zero at the start: numbers grouped by threes have none of these.
+    "phone": rf"(?<![\w+])(?:\+(?:[17](?:{_GAP})?\d{_DIGIT * 9}|(?![17]){_CODE}(?:{_GAP}{_OTHER})?\d(?:{_DIGIT}){{5,11}})(?!\d)"
+    r"|(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}[ .-]?\d{2,4}[ .-]\d{3}[ .-]\d{3,4}(?!\d)"
+    r"|\d{2,4}(?:-\d{3}[ .-]|[ .]\d{3}-)\d{3,4}(?!\d)"
+    r"|(?:(?:(?<!\d[ .,-])|(?<=\b1[ .-]))\d{2,4}[ .]\d{3}[ .]\d{4}|(?<!\d[ .,-])0\d{1,3}[ .]\d{3}[ .]\d{3})(?!\d|[.,-]\d)"
+    rf"|(?i:{_PHONE_WORD})[^\w\n+(]{{0,3}}(?:(?i:number|nummer|numéro|número|no|nr|num|is|at|on|me|us|ist|est|es)\b[^\w\n+(]{{0,3}}){{0,3}}(?P<phone_value>\+?\(?{_OTHER}\d(?:{_DIGIT}){{6,13}})(?!\d|-\d))",
     "person": rf"\b(?P<title>{'|'.join(TITLES)})\b\.?\s(?P<name>{_NAME}(?:\s{_NAME})?)",
 }
 DETECT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 #: Every entity has one of these, or a title before it.
-_ANCHOR = re.compile("[0-9@=:]")
+_ANCHOR = re.compile(r"[\d@=:]")
+_CODE_OF = re.compile(rf"\+({_CODE})")
+_WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 _REACH = 64
 
 
@@ -261,6 +285,46 @@ def _refilled(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+def _phone(raw: str, made: Surrogates) -> str:
+    """A phone number's surrogate: its country code and the bracketed zero that isn't dialled stay, whatever its groups are."""
+    code = _CODE_OF.match(raw)
+    cc = code[1] if code else ""
+    kept = raw.replace("(0)", "()") if cc else raw
+    d = "".join(c for c in kept if c.isdigit())
+    return _refilled(kept, cc + made.of(f"phone/{cc}", d[len(cc) :])).replace("()", "(0)")
+
+
+def _mentions(text: str, found: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
+    """found, and the bare mentions of its persons' names: both names in a row, or either alone."""
+    names: dict[str, str] = {}
+    first: dict[str, str] = {}
+    pairs: set[tuple[str, str]] = set()
+    for kind, a, b, new in found:
+        if kind == "person":
+            old, new = text[a:b].split(), new.split()
+            if len(old) == 2:
+                pairs.add((old[0], old[1]))
+                first[old[0]] = new[0]
+            names[old[-1]] = new[-1]
+    if not names:
+        return found
+    spans = [(a, b) for _, a, b, _ in found] + [(len(text) + 1, len(text) + 1)]
+    out, k, skip = list(found), 0, 0
+    words = [m.span() for m in _WORD.finditer(text)]
+    for i, (a, b) in enumerate(words):
+        while spans[k][1] <= a:
+            k += 1
+        w = text[a:b]
+        if a < skip or b > spans[k][0] or w not in names and w not in first:
+            continue
+        if i + 1 < len(words) and (w, text[slice(*words[i + 1])]) in pairs and text[b : words[i + 1][0]].isspace() and words[i + 1][1] <= spans[k][0]:
+            skip = words[i + 1][1]
+            out.append(("person", a, skip, first[w] + text[b : words[i + 1][0]] + names[text[slice(*words[i + 1])]]))
+        else:
+            out.append(("person", a, b, names.get(w) or first[w]))
+    return sorted(out, key=lambda f: f[1])
+
+
 def _cased(like: str, text: str) -> str:
     return "".join(b.upper() if a.isupper() and not b.isupper() else b for a, b in zip(like, text, strict=True)) if len(like) == len(text) else text
 
@@ -296,9 +360,9 @@ def scrub_text(text: str, made: Surrogates) -> tuple[str, list[tuple[str, int, i
         else:
             d = "".join(c for c in raw if c.isdigit())
             if kind == "phone":
-                code = re.match(r"\+(\d{1,3})(?=[ .(-])", raw)
-                cc = code[1] if code else ""
-                new = _refilled(raw, cc + made.of(f"phone/{cc}", d[len(cc) :]))
+                if m["phone_value"]:
+                    a, b = m.span("phone_value")
+                new = _phone(text[a:b], made)
             elif kind == "ssn":
                 new = _refilled(raw, made.of("ssn", d))
             else:
@@ -306,6 +370,7 @@ def scrub_text(text: str, made: Surrogates) -> tuple[str, list[tuple[str, int, i
         found.append((kind, a, b, new))
     if not found:
         return text, found
+    found = _mentions(text, found)
     out, at = [], 0
     for _, a, b, new in found:
         out += [text[at:a], new]

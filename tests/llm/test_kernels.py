@@ -208,6 +208,36 @@ def test_secrets_stay_apart_from_hexadecimal_ones():
     assert made.of("secret", "zz") == "xx" and made.of("secret", "ff") == "ab"
 
 
+@pytest.mark.parametrize("text", ["+15551234567", "+44 20 7946 0958", "+33 6 12 34 56 78", "+49 170 1234567", "+44 (0)20 7946 0958", "call 5551234567", "Tel.: 5551234567", "phone number is 12 345 678", "555 123 4567", "a:555 123 4567", "(555 123 4567)", "x +91 98765 43210 y", "+1 (555) 123-4567", "a 020 555 123 b", "a 12-345-678 b", "1-555-123-4567", "2 555-123-4567", "1 555 123 4567"])
+def test_phone_numbers_are_found(text):
+    out, found = pii.scrub_text(text, pii.Surrogates(b"key"))
+    assert [k for k, *_ in found] == ["phone"] and out != text and re.sub(r"\d", "9", out) == re.sub(r"\d", "9", text)
+    assert sum(c.isdigit() for c in text) - sum(c.isdigit() for c in text[found[0][1] : found[0][2]]) == (text[:2] in ("1-", "1 ", "2 "))
+    assert out.partition("+")[2][:1] == text.partition("+")[2][:1]
+
+
+@pytest.mark.parametrize("text", ["about 12 345 678 people", "about 12.345.678 people", "1 123 456 789 or 123 456 789", "1 020 555 123", "in 2023 555 123 people", "12 345 678 2020", "in 2020 2021 2022", "call 2024-01-15 10:30", "a + 12345678", "call me at 5 or 12"])
+def test_other_numbers_are_left_alone(text):
+    assert pii.scrub_text(text, pii.Surrogates(b"key")) == (text, [])
+
+
+def test_a_phone_number_has_one_surrogate_in_every_form():
+    made = pii.Surrogates(b"key")
+    for forms in (("+1 (555) 123-4567", "+15551234567", "+1 555.123.4567"), ("+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958")):
+        assert len({re.sub(r"\D", "", pii.scrub_text(x, made)[0].replace("(0)", "")) for x in forms}) == 1
+    assert [k for k, *_ in pii.scrub_text("+44 (020) 555-1234 10.1.2.3 +33 6 12 34 56 78 4111 1111 1111 1111", made)[1]] == ["phone", "ip", "phone", "card"]
+
+
+def test_bare_mentions_of_a_name_are_replaced():
+    text = "Smith wrote. Dr John Smith, j.Smith@x.org. John  Smith and Smith's John; Smithson, smith, John1. Mrs Ida Berg met Berg."
+    out, found = pii.scrub_text(text, pii.Surrogates(b"key"))
+    john, smith = next(n for k, a, b, n in found if text[a:b] == "John Smith").split()
+    berg = next(n for k, a, b, n in found if text[a:b] == "Ida Berg").split()[1]
+    assert out.startswith(f"{smith} wrote. Dr {john} {smith}, ") and f". {john}  {smith} and {smith}'s {john}; Smithson, smith, John1. Mrs " in out and out.endswith(f" met {berg}.")
+    assert all(a >= b for (_, a, *_), (_, _, b, _) in zip(found[1:], found, strict=False))
+    assert pii.scrub_text("Smith and John Smith", pii.Surrogates(b"key"))[1] == []
+
+
 def test_windows_hold_every_entity():
     rng = random.Random(2)
     parts = ["word", "a.b@c.org", "10.1.2.3", "+44 (020) 555-1234", "4845168114407329", "Frau Schmidt", "key: abcdefghijkl99", "\n", "x" * 90]
