@@ -7,6 +7,9 @@ proportions; the language set is selected among the sets of the k largest propor
 log-likelihood penalised by `penalty` * k * log(words) / 2.  The prediction is the largest
 share of the selected mixture and the score that share, smoothed for short texts.
 
+A text is accepted unless it is `und` or speaks against every language that was learned:
+the best language of each word is held against a background in which all trigrams are alike.
+
 A text that is null or has no letter is `und` with score 0, as is every text where nothing
 could be learned (no labelled rows).  Repeated rows and ties: languages are in sorted order
 and the first of equals wins, so equal texts have equal results.
@@ -26,6 +29,8 @@ BUCKETS = 1 << 14
 MAX_LANGUAGES = 256
 SMOOTHING = 0.5
 UNKNOWN = "und"
+#: Share of the background in a language when the two are compared: what one trigram never seen can count.
+FOREIGN = 0.1
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -107,18 +112,42 @@ def _loglik(lik: np.ndarray, bounds: np.ndarray, share: np.ndarray) -> np.ndarra
     return np.add.reduceat(np.log(np.maximum(p, 1e-30)), bounds[:-1])
 
 
+def _starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are letters, and where words begin; a word doesn't run on over a text's end."""
+    letter = _LETTER[data]
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    begin = offsets[:-1][offsets[:-1] < len(data)]
+    first[begin] = letter[begin]
+    return letter, np.flatnonzero(first)
+
+
+def gains(model: Model) -> np.ndarray:
+    """Log-odds of trigram buckets by language against the background."""
+    return np.log((1 - FOREIGN) * BUCKETS * np.exp(model.log) + FOREIGN).astype(np.float32)
+
+
+def evidence(gain: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Log-odds of each text, every word by the language that suits it best, against the background; no matter how many languages there are."""
+    letter, start = _starts(data, offsets) if len(data) else (None, np.zeros(0, np.int64))
+    if not len(start) or not len(gain):
+        return np.zeros(len(offsets) - 1)
+    grams = _trigrams(data, offsets)
+    best = np.full(len(start), -np.inf, np.float32)
+    for g in gain:
+        np.maximum(best, np.add.reduceat(np.where(letter, g[grams], np.float32(0)), start), out=best)
+    total = np.concatenate([[0.0], np.cumsum(best, dtype=np.float64)])
+    bounds = np.searchsorted(start, offsets)
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
 def mixtures(model: Model, data: np.ndarray, offsets: np.ndarray, penalty: float = 2.0, turns: int = 25) -> np.ndarray:
     """The selected language proportions of each text; all zero where a text has no word."""
     n_docs, n_lang = len(offsets) - 1, len(model.languages)
     out = np.zeros((n_docs, n_lang))
     if not len(data) or not n_lang:
         return out, np.zeros(n_docs, np.int64)
-    letter = _LETTER[data]
-    first = letter.copy()
-    first[1:] &= ~letter[:-1]
-    begin = offsets[:-1][offsets[:-1] < len(data)]
-    first[begin] = letter[begin]
-    start = np.flatnonzero(first)
+    letter, start = _starts(data, offsets)
     if not len(start):
         return out, np.zeros(n_docs, np.int64)
     stop = np.append(start[1:], len(data))
@@ -182,15 +211,21 @@ def _judged(part: pa.RecordBatch, text_col: str, model: Model) -> tuple[list[str
     return langs, scores, maps
 
 
-def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = 0.3) -> DataFrame:
-    """docs, with all its columns, without the rows of no known language: `und`, or no language with min_score of the words."""
+def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", odds: float = 1000.0) -> DataFrame:
+    """docs, with all its columns, without the rows of no known language: `und`, or odds against every learned language of more than `odds` to one."""
     C.ship(docs.sparkSession)
 
     def keep(batches):
+        gain = gains(model)
         for batch in batches:
             for part in C.blocks(batch, text_col, 1 << 21):
-                langs, scores, _ = _judged(part, text_col, model)
-                yield part.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+                texts = C.column(part, text_col)
+                data, offsets = C.text_buffers(texts)
+                plain = np.zeros(len(data) + 1, np.int64)
+                np.cumsum(_LETTER[data] & (data < 128), out=plain[1:])
+                sure = plain[offsets[1:]] > plain[offsets[:-1]]
+                fit_ = evidence(gain, data, offsets) >= -np.log(odds)
+                yield part.filter(pa.array([bool(len(gain) and f and (s or _has_letter(texts[i].as_py()))) for i, (f, s) in enumerate(zip(fit_, sure, strict=True))], pa.bool_()))
 
     return docs.mapInArrow(C.tidy(keep), docs.schema)
 

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,25 @@ def test_languages(spark, odd, none):
     assert language.accepted(odd, language.fit(odd)).filter("doc_id IN (3, 4, 5, 12)").count() == 0
 
 
+def test_accepted_whatever_the_number_of_languages(spark):
+    rng = np.random.default_rng(1)
+    known = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for _ in range(100)]
+    data, offsets = C.text_buffers(pa.array([" ".join(w) for w in known]))
+    grams, own = language._trigrams(data, offsets), np.repeat(np.arange(100), np.diff(offsets))
+    counts = np.zeros((100, language.BUCKETS))
+    np.add.at(counts, (own[language._LETTER[data]], grams[language._LETTER[data]]), 10_000)
+    model = language.Model([f"l{i:03}" for i in range(100)], counts)
+    clean = [(i, w[i % 12]) for i, w in enumerate(known)]  # one word of each language
+    mixed = [(1000 + i, " ".join(w for k in range(4) for w in known[(i + k) % 100][:6])) for i in range(20)]  # four languages alike
+    foreign = [(2000, "это совсем другой язык"), (2001, " ".join("".join(rng.choice(list("qxzjkv"), 7)) for _ in range(30))), (2002, "12 34"), (2003, None)]
+    got = language.accepted(spark.createDataFrame(clean + mixed + foreign, "doc_id long, text string"), model)
+    assert sorted(r["doc_id"] for r in got.collect()) == [i for i, _ in clean + mixed]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    # Every labelled document with a letter is of a known language.
+    left = docs.join(language.accepted(docs, language.fit(docs.filter(~language.held_out()))).select("doc_id"), "doc_id", "left_anti")
+    assert left.filter("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").count() == 0
+
+
 def near_truth(pairs):
     sets = {}
     for i, t in pairs:
