@@ -125,16 +125,25 @@ def backlinks(docs: DataFrame, id_col: str, title_col: str, text_col: str, max_w
     """(src, dst): documents whose text names another's title.
 
     Titles of up to max_words words meet texts on word runs of their length (an equi-join),
-    and each meeting is verified; a text isn't compared with every title.
+    longer ones on their first max_words words, and are then verified whole in the text; a
+    text isn't compared with every title.
     """
     low = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\w]+", " "))
-    titles = docs.select(F.col(id_col).alias("dst"), low(F.col(title_col)).alias("_title")).filter("_title <> ''").withColumn("_k", F.size(F.split("_title", " "))).filter(F.col("_k") <= max_words)
+    every = docs.select(F.col(id_col).alias("dst"), low(F.col(title_col)).alias("_title")).filter("_title <> ''").withColumn("_k", F.size(F.split("_title", " ")))
     texts = docs.select(F.col(id_col).alias("src"), low(F.col(title_col)).alias("_own"), F.split(low(F.col(text_col)), " ").alias("_w"))
-    sizes = [r[0] for r in titles.select("_k").distinct().collect()]
-    if not sizes:
-        return docs.select(F.col(id_col).alias("src"), F.col(id_col).alias("dst")).limit(0)
-    runs = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - k + 1, F.lit(1))), _run(k)) for k in sizes])))
-    return texts.select("src", "_own", F.explode(runs).alias("_title")).join(titles, "_title").filter("src <> dst AND _own <> _title").select("src", "dst").distinct()
+    sizes = [r[0] for r in every.select(F.least("_k", F.lit(max_words + 1))).distinct().collect()]
+    named = lambda ks: F.explode(F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - k + 1, F.lit(1))), _run(k)) for k in ks]))))
+    out = docs.select(F.col(id_col).alias("src"), F.col(id_col).alias("dst")).limit(0)
+    if short := [k for k in sizes if k <= max_words]:
+        titles = every.filter(F.col("_k") <= max_words)
+        out = texts.select("src", "_own", named(short).alias("_title")).join(titles, "_title").filter("src <> dst AND _own <> _title").select("src", "dst").distinct()
+    if len(short) < len(sizes):
+        titles = every.filter(F.col("_k") > max_words).select("dst", "_title", F.substring_index("_title", " ", max_words).alias("_run"))
+        met = texts.select("src", named([max_words]).alias("_run")).join(titles, "_run").filter("src <> dst").select("src", "dst", "_title").distinct()
+        whole = texts.select("src", "_own", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_body"))
+        long = met.join(whole, "src").filter(F.expr("_own <> _title AND contains(_body, concat(' ', _title, ' '))")).select("src", "dst").distinct()
+        out = out.unionByName(long).distinct() if short else long
+    return out
 
 
 def edges(docs: DataFrame, title_col: str, links_col: str) -> DataFrame:

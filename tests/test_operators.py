@@ -176,6 +176,18 @@ def test_links(spark):
     assert (one["n_docs"], one["n_without_links"], one["n_broken"]) == (3, 1, 1)
 
 
+def test_backlinks_of_long_titles(spark):
+    long = "DCLO Data Plan from India Data Portal (Granular India Coverage)"
+    near = "DCLO Data Plan from India Data Portal Granular Other"
+    data = [(1, long, f"own {long}"), (2, "Short", f"See {long.upper()}, then."), (3, "Other", "dclo data plan from india data portal granular india"), (4, near, "short other"), (5, "More", near + "s and " + near), (6, long, f"x {long} y"), (7, "Some Eight Words That Make One Title Here", "nothing"), (8, "Z", "some eight words that make one title here")]
+    df = frame(spark, data, "id long, title string, text string")
+    # Words 1 to 8 and 1 to 9 alone aren't the title; a title's own documents don't count.
+    want = {(2, 1), (2, 6), (5, 3), (5, 4), (4, 2), (4, 3), (8, 7)}
+    assert {(r["src"], r["dst"]) for r in text.backlinks(df, "id", "title", "text").collect()} == want
+    assert {(r["src"], r["dst"]) for r in text.backlinks(df, "id", "title", "text", max_words=1).collect()} == want
+    assert {(r["src"], r["dst"]) for r in text.backlinks(df.filter("id IN (1, 6) OR id = 2").withColumn("title", text.F.when(text.F.col("id") == 2, "").otherwise(text.F.col("title"))), "id", "title", "text").collect()} == {(2, 1), (2, 6)}
+
+
 def test_feed(spark):
     rss = "<rss><channel><item><title><![CDATA[A &amp; B]]></title><link>http://x/1</link><description>&lt;p&gt;hi&lt;/p&gt;</description><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate></item><item><title></title></item></channel></rss>"
     atom = '<feed xmlns="a"><entry><title>T</title><link rel="self" href="http://s"/><link href="http://y/2"/><updated>2024-01-02T00:00:00Z</updated></entry></feed>'
