@@ -126,7 +126,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """One row per document: id_col, n_words, n_hit, n_items, items (sorted, comma-joined), contaminated, and hits (byte-free word intervals)."""
     C.ship(docs.sparkSession)
     if not _bounded(benchmark, item_text_col, max_broadcast_windows):
-        return _join_shuffled(docs, benchmark, id_col, text_col, item_col, item_text_col, window, shingle)
+        return _join_shuffled(docs, benchmark, id_col, text_col, item_col, item_text_col, window, shingle).drop("_row")
     shared = _prepared(docs, benchmark, text_col, item_col, item_text_col, window, shingle)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -142,8 +142,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     """docs, with all its columns, without the rows that hold a window of the benchmark."""
     C.ship(docs.sparkSession)
     if not _bounded(benchmark, item_text_col, max_broadcast_windows):
-        found = _join_shuffled(docs, benchmark, id_col, text_col, item_col, item_text_col, window, shingle).filter("contaminated").select(F.col(id_col).alias("_hit")).distinct()
-        return docs.join(found, F.col(id_col) == F.col("_hit"), "left_anti")
+        found = _join_shuffled(docs, benchmark, id_col, text_col, item_col, item_text_col, window, shingle).filter("contaminated").select("_row").distinct()
+        return docs.withColumn("_row", F.xxhash64(id_col, text_col)).join(found, "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
     shared = _prepared(docs, benchmark, text_col, item_col, item_text_col, window, shingle)
 
     def keep(batches):
@@ -208,7 +208,8 @@ def _join_shuffled(docs, benchmark, id_col, text_col, item_col, item_text_col, w
 
     Windows and documents become rows of (shingle, ...), rarity comes from a join with the
     counts of all documents' shingles, only each window's rarest shingle stays, and the
-    candidates that pass both bounds travel to their document to be verified there.
+    candidates that pass both bounds travel to their document to be verified there.  _row, the
+    hash of id and text, tells rows apart whose ids are null or repeated.
     """
     lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = lambda c: F.regexp_extract_all(lower(F.coalesce(c, F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
@@ -225,9 +226,11 @@ def _join_shuffled(docs, benchmark, id_col, text_col, item_col, item_text_col, w
     rarest = places.join(counts, "token", "left").groupBy("win", "items").agg(F.min_by(F.struct("token", "place"), F.struct(F.coalesce("n_rows", F.lit(0)), "token", "place")).alias("p")).select("win", "items", "p.token", "p.place")
     cand = tokens.join(rarest, "token").select("row", "id", (F.col("pos") - F.col("place")).alias("start"), "n", "win", "items").filter((F.col("start") >= 0) & (F.col("start") + F.size("win") <= F.col("n"))).distinct()
     true = cand.select("row", "id", "start", "win", "items").join(rows.dropDuplicates(["row"]), ["row"]).filter(F.slice("dw", F.col("start") + 1, F.size("win")) == F.col("win"))
-    per = true.groupBy("row").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.size("win") - 1))))).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"), F.sort_array(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.size("win")).cast("long").alias("end")))).alias("hits"))
+    per = true.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.size("win") - 1))))).alias("hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"))
+    begins, ends = F.expr("filter(hit, (p, i) -> get(hit, i - 1) IS DISTINCT FROM p - 1)"), F.expr("filter(hit, (p, i) -> get(hit, i + 1) IS DISTINCT FROM p + 1)")
+    per = per.select("row", "ids", F.size("hit").cast("long").alias("n_hit"), begins.alias("a"), ends.alias("b")).withColumn("hits", F.expr("transform(a, (p, i) -> named_struct('start', cast(p AS bigint), 'end', cast(get(b, i) + 1 AS bigint)))"))
     out = rows.select("row", "id", F.size("dw").cast("long").alias("n_words")).join(per, "row", "left")
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("hits", F.array().cast("array<struct<start:long,end:long>>")).alias("hits"))
+    return out.select(F.col("row").alias("_row"), F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("hits", F.array().cast("array<struct<start:long,end:long>>")).alias("hits"))
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

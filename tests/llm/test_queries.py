@@ -104,6 +104,18 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.decontaminate(odd, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_is_by_row_for_any_size_of_benchmark(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(14)))], "item_id int, text string")
+    bad = "x " + " ".join(f"b{i}" for i in range(12)) + " y " + " ".join(f"b{i}" for i in range(4, 14))
+    docs = spark.createDataFrame([(None, bad), (None, "fine"), (1, bad), (1, "fine too"), (2, None), (3, bad), (3, bad)], "doc_id long, text string")
+    for most in (200_000, 1):
+        kept = decontaminate.clean(docs, bench, max_broadcast_windows=most)
+        assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, [(None, "fine"), (1, "fine too"), (2, None)]))
+        got = decontaminate.decontaminate(docs, bench, max_broadcast_windows=most)
+        assert got.columns == ["doc_id", "n_words", "n_hit", "n_items", "items", "contaminated", "hits"]
+        assert [[tuple(h) for h in r["hits"]] for r in got.filter("contaminated").collect()] == [[(1, 13), (14, 24)]] * 4
+
+
 def test_tokens(spark, odd, none):
     lib = pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.default_vocabulary())
     want = {(r["doc_id"], r["n_chars"]): lib.encode(r["text"] or "", add_special_tokens=False).ids for r in odd.collect()}
