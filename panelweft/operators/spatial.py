@@ -11,7 +11,7 @@ from panelweft.functions.exprs import _col
 
 #: WGS 84.
 A, INV_F, K0 = 6378137.0, 298.257223563, 0.9996
-#: Places that are sent to every task; more are met through grid cells.
+#: Most places that are sent to every task; nearest_place() raises for more.
 MAX_PLACES = 2_000
 
 
