@@ -546,3 +546,8 @@ def change_detection(spark, d):
 @query("SELECT count(*) AS n_rows FROM lineitem")
 def fingerprint_counts(spark, d):
     return changes.fingerprint(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_quantity"]).select("n_rows")
+
+
+@query()
+def fingerprint_digests(spark, d):
+    return changes.fingerprint(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_quantity"])

@@ -224,6 +224,43 @@ def test_verify_and_audit(spark):
     assert verify.check_manifest("{").has_errors
 
 
+def _xxhash64(data, seed):
+    """XXH64 of under 32 bytes."""
+    m, p1, p2, p3, p4, p5 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    rot = lambda x, r: (x << r | x >> (64 - r)) & m
+    h, at = (seed + p5 + len(data)) & m, 0
+    for at in range(0, len(data) - 7, 8):
+        h ^= rot(int.from_bytes(data[at : at + 8], "little") * p2 & m, 31) * p1 & m
+        h = (rot(h, 27) * p1 + p4) & m
+    at = len(data) // 8 * 8
+    if len(data) - at >= 4:
+        h ^= int.from_bytes(data[at : at + 4], "little") * p1 & m
+        h, at = (rot(h, 23) * p2 + p3) & m, at + 4
+    for b in data[at:]:
+        h = rot(h ^ b * p5 & m, 11) * p1 & m
+    h = (h ^ h >> 33) * p2 & m
+    h = (h ^ h >> 29) * p3 & m
+    return h ^ h >> 32
+
+
+def test_fingerprint_by_brute_force(spark):
+    from panelweft.plans import queries as library
+
+    assert library.QUERIES["fingerprint_digests"](spark, "/root/testdata/sf0.001").columns == ["n_rows", "xor", "total"]
+    data = [(1, "a"), (2, None), (None, "twelve bytes"), (1, "a"), (77, "")]
+    hashes = []
+    for row in data:
+        h = 42
+        for v in row:
+            h = _xxhash64(("\0" if v is None else str(v)).encode(), h)
+        hashes.append(h - (1 << 64) * (h >> 63))
+    xor = 0
+    for h in hashes:
+        xor ^= h
+    got = changes.fingerprint(frame(spark, data, "i int, s string"), ["i", "s"]).first()
+    assert (got["n_rows"], got["xor"], int(got["total"])) == (5, xor, sum(hashes))
+
+
 def test_fingerprint_is_independent_of_order(spark):
     a = frame(spark, [(1, "x"), (2, None)], "i int, s string")
     b = frame(spark, [(2, None), (1, "x")], "i int, s string")
