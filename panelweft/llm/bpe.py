@@ -45,6 +45,9 @@ _LOWER = {a + i: low + i for a, b, low in CAPITALS for i in range(b - a + 1)}
 _CAPITAL = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in CAPITALS) + "]")
 _LATER = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in LATER)
 PIECES = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER}]]+|[\p{{N}}--[{_LATER}]]|[[^{WHITE}\p{{L}}\p{{N}}]||[{_LATER}]]+")
+_LATER_SYMBOL = regex.compile(f"[{_LATER}]")
+#: Punctuation that ends a word and is a piece of its own; an apostrophe may begin a longer one.
+ENDS = frozenset('.,;:!?)]}"')
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPLIT = regex.compile(f"[{WHITE}]+")
 #: Chunks that a worker remembers; then it forgets them all.
@@ -201,6 +204,15 @@ def chunks_of(text: str) -> list[str]:
     return text.split()
 
 
+def plain_pieces(chunk: str) -> tuple[str, str] | None:
+    """The word of a chunk that is letters alone, or letters and one closing mark, and that mark or nothing; None for others."""
+    if not chunk.isascii() and _LATER_SYMBOL.search(chunk):
+        return None
+    if chunk.isalpha():
+        return chunk, ""
+    return (chunk[:-1], chunk[-1]) if chunk[-1] in ENDS and chunk[:-1].isalpha() else None
+
+
 class _Codes(dict):
     """Numbers chunks in the order in which they are first met."""
 
@@ -246,7 +258,7 @@ class PairIndexEncoder(ChunkEncoder):
     """Chunks are normalised texts' parts; special tokens are cut out of texts before."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v = vocabulary
+        self.v, self.special_pattern = vocabulary, vocabulary.special_pattern
         super().__init__(self._new)
 
     def _new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +269,8 @@ class PairIndexEncoder(ChunkEncoder):
                 which.append(-1 - self.v.special[c[1:]])
                 sizes.append(1)
                 continue
-            pieces = PIECES.findall(c)
+            plain = plain_pieces(c)
+            pieces = PIECES.findall(c) if plain is None else plain if plain[1] else plain[:1]
             sizes.append(len(pieces))
             which += [words.setdefault(p, len(words)) for p in pieces]
         ids, bounds = encode_words(self.v, [w.encode() for w in words])
@@ -276,10 +289,10 @@ class PairIndexEncoder(ChunkEncoder):
 
     def chunks(self, text: str) -> list[str]:
         """A special token is a chunk that begins with a space, as no other does."""
-        if self.v.special_pattern is None or not self.v.special_pattern.search(text):
+        if self.special_pattern is None or not self.special_pattern.search(text):
             return chunks_of(normalised(text))
         out, at = [], 0
-        for m in self.v.special_pattern.finditer(text):
+        for m in self.special_pattern.finditer(text):
             out += [*self._plain(text[at : m.start()]), " " + m[0]]
             at = m.end()
         return out + self._plain(text[at:])

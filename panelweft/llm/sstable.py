@@ -5,6 +5,8 @@ size.  A block holds entries (shared key length, own key length, value length, o
 value) in key order, each key without the prefix it shares with the one before, and is
 compressed with zstd.  The index has each block's first key and place; the footer the place
 of index and filter.  A lookup asks the filter, bisects the index and reads one block.
+Texts are encoded by the `tokenizers` library's pre-tokeniser and BPE model, each distinct
+chunk between white space once; plain words need no pre-tokeniser.
 Keys are order-preserving: a flag byte (0 for a null identifier) and the identifier in
 big-endian with its sign bit turned.  A value is the start of the document's ids in its
 shard (64 bits) and the ids, all little-endian, 32 bits each.
@@ -16,8 +18,11 @@ their compressed text and each keeps its own entry; an empty table writes no fil
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +187,60 @@ class Reader:
                 yield id_of(key), start, value
 
 
+class LibraryEncoder(bpe.ChunkEncoder):
+    """Ids as the tokenizers library gives them; a chunk that begins with a space is a special token."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special_pattern = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+        self.model, self.byte_names = self.library.model, dict(enumerate(bpe.byte_symbols()))
+        super().__init__(self._new)
+
+    def _new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        known, words, ids = len(self.bounds) - 1, {}, []
+
+        def piece(name: str) -> list[int]:
+            """name: the piece's bytes as the file names them."""
+            if name not in words:
+                words[name] = [t.id for t in self.model.tokenize(name)]
+            return words[name]
+
+        def word(w: str) -> list[int]:
+            at = self.codes.get(w, known)
+            if at < known:
+                return self.flat[self.bounds[at] : self.bounds[at + 1]].tolist()
+            return piece(w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_names))
+
+        for c in chunks:
+            if c[0] == " ":
+                ids.append([self.special[c[1:]]])
+            elif (plain := bpe.plain_pieces(c)) is None:
+                # Chunks are normalised; a second time might compose letters that became lower case.
+                ids.append([i for name, _ in self.library.pre_tokenizer.pre_tokenize_str(c) for i in piece(name)])
+            else:
+                ids.append(word(plain[0]) + word(plain[1]) if plain[1] else word(c))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), np.concatenate([[0], np.cumsum(lengths)])
+
+    chunks, _plain = bpe.PairIndexEncoder.chunks, bpe.PairIndexEncoder._plain
+
+
+_ENCODERS: dict[str, LibraryEncoder] = {}
+
+
+def encoder(path: str) -> LibraryEncoder:
+    """The worker's encoder of a vocabulary file."""
+    if path not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are Spark's to deal out
+        _ENCODERS[path] = LibraryEncoder(path)
+    return _ENCODERS[path]
+
+
 def write_shards(docs: DataFrame, path: str, *, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, n_shards: int | None = None) -> DataFrame:
     """Encode docs into one file for each identifier range under path.
 
@@ -197,8 +256,8 @@ def write_shards(docs: DataFrame, path: str, *, vocabulary: str | None = None, i
     schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches):
-        encoder = bpe.encoder(names)
-        encoder.remembered = REMEMBERED
+        own = encoder(names)
+        own.remembered = REMEMBERED
         state: list = [None, None, None, None]  # shard, context, writer, uri
 
         def close():
@@ -214,7 +273,7 @@ def write_shards(docs: DataFrame, path: str, *, vocabulary: str | None = None, i
             for batch in batches:
                 for part in C.blocks(batch, "text", ENCODE_BLOCK):
                     texts = [t.decode() for t in ordered.unpacked(C.column(part, "text"))]
-                    ids, bounds = encoder.encode([encoder.chunks(t) for t in texts])
+                    ids, bounds = own.encode([own.chunks(t) for t in texts])
                     for j, (shard, i) in enumerate(zip(C.column(part, "shard").to_pylist(), C.column(part, "id").to_pylist(), strict=True)):
                         if shard != state[0]:
                             if (done := close()) is not None:
