@@ -13,7 +13,8 @@ beyond that the same join runs on shuffled prefix shingles (see `_join_shuffled`
 nothing unbounded is broadcast.
 
 Null or empty texts have no words and no hits; repeated rows are judged one by one; extra
-columns pass through; an empty benchmark leaves every document clean.
+columns pass through; an empty benchmark leaves every document clean.  An item whose id is
+null hits words as any other, but isn't counted or named among a document's items.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ class Windows:
             size = min(window, len(seq))
             for at in range(len(seq) - size + 1 if size else 0):
                 part = seq[at : at + size]
-                found.setdefault(part.tobytes(), (part, set()))[1].add(str(item))
+                found.setdefault(part.tobytes(), (part, set()))[1].update([item] if item is not None else [])
         self.seqs = [s for s, _ in found.values()]
         self.items = [sorted(x) for _, x in found.values()]
         self.lengths = np.array([len(s) for s in self.seqs], np.int64)
@@ -162,7 +163,7 @@ def _bounded(benchmark: DataFrame, item_text_col: str, most: int) -> bool:
 
 def _prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, shingle: int):
     """A broadcast of the prefixes and the windows of a bounded benchmark."""
-    win = Windows([(r[0], r[1]) for r in benchmark.select(item_col, item_text_col).collect()], window, shingle)
+    win = Windows([(r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("string"), item_text_col).collect()], window, shingle)
     keys = win.by_width()
     counts = {(r["width"], r["shingle"]): r["n"] for r in shingle_counts(docs, keys, text_col).collect()} if keys else {}
     flat = np.concatenate(win.seqs) if win.seqs else np.zeros(0, np.uint64)

@@ -122,10 +122,7 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     heads = _heads(ids, cuts)
     present = sorted(heads, reverse=True)
     # The first row of a shard (its greatest id) follows the last row of the next shard above it that has rows.
-    also: dict[int, int] = {}
-    for above, own in zip(present[-1:] + present[:-1], present, strict=True):
-        if heads[own] is not None:
-            also[heads[own]] = above
+    also = {heads[own]: above for above, own in zip(present[-1:] + present[:-1], present, strict=True)}
     rows = ordered.dealt(ordered.packed(docs, id_col, text_col, cuts, also), max(n, len(cuts) + 1)).sortWithinPartitions("shard", "extra", F.col("id").desc_nulls_last(), "text")
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

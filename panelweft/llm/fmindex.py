@@ -78,42 +78,38 @@ class FMIndex:
         text = np.zeros(len(tokens) + len(ends), np.int64)
         self.place = np.arange(len(tokens)) + pieces  # of each token in the text
         text[self.place] = codes + 1
-        self.text = text
-        self.order = suffix_order(text, depth)
-        bwt = text[self.order - 1]
+        self.size = len(text)
+        order = suffix_order(text, depth)
+        bwt = text[order - 1]
+        self.order = order.astype(np.int32)
         self.counts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))])
         self.wavelet = WaveletMatrix(bwt, max(1, int(len(self.alphabet)).bit_length()))
 
-    def intervals(self, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of the text's own length-token patterns that end before the given places."""
-        lo = np.zeros(len(ends), np.int64)
-        hi = np.full(len(ends), len(self.text), np.int64)
-        for back in range(1, length + 1):
-            c = self.text[ends - back]
-            a, b, _ = self.wavelet.rank(c, lo, hi)
-            lo, hi = self.counts[c] + a, self.counts[c] + b
-        return lo, hi
-
-    def statistics(self, tokens: np.ndarray, cap: int) -> np.ndarray:
-        """Matching statistics of a streamed document, capped: the longest match that begins at each token, up to cap tokens."""
-        n = len(tokens)
+    def matches(self, tokens: np.ndarray, ends: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a streamed document's matches that end before the given places: their length, up to cap tokens, and suffix interval."""
+        n = len(ends)
         code = np.searchsorted(self.alphabet, tokens)
         code[code == len(self.alphabet)] = 0
-        code = np.where(self.alphabet[code] == tokens, code + 1, -1) if len(self.alphabet) else np.full(n, -1)
-        # For every end, how far a match reaches back; from these, how far it reaches on from every start.
-        lo, hi = np.zeros(n, np.int64), np.full(n, len(self.text), np.int64)
+        code = np.where(self.alphabet[code] == tokens, code + 1, -1) if len(self.alphabet) else np.full(len(tokens), -1)
+        lo, hi = np.zeros(n, np.int64), np.full(n, self.size, np.int64)
         reach, live = np.zeros(n, np.int64), np.arange(n)
         for back in range(1, cap + 1):
-            live = live[live + 1 >= back]
-            c = code[live + 1 - back]
+            live = live[ends[live] >= back]
+            c = code[ends[live] - back]
             live, c = live[c > 0], c[c > 0]
             if not len(live):
                 break
             a, b, _ = self.wavelet.rank(c, lo[live], hi[live])
-            lo[live], hi[live] = self.counts[c] + a, self.counts[c] + b
-            live = live[hi[live] > lo[live]]
-            reach[live] = back
-        out = np.zeros(n, np.int64)
+            a, b = self.counts[c] + a, self.counts[c] + b
+            some = b > a
+            live = live[some]
+            lo[live], hi[live], reach[live] = a[some], b[some], back
+        return reach, lo, hi
+
+    def statistics(self, tokens: np.ndarray, cap: int) -> np.ndarray:
+        """Matching statistics of a streamed document, capped: the longest match that begins at each token, up to cap tokens."""
+        reach, _, _ = self.matches(tokens, np.arange(1, len(tokens) + 1), cap)
+        out = np.zeros(len(tokens), np.int64)
         for length in range(1, cap + 1):
             good = np.flatnonzero(reach >= length)
             out[good + 1 - length] = np.maximum(out[good + 1 - length], length)
@@ -125,5 +121,5 @@ class FMIndex:
         stops = np.empty(len(starts), np.int64)
         stops[back] = hi
         edges = np.stack([starts, stops], axis=1).ravel()
-        padded = np.append(self.order, np.iinfo(np.int64).max)
+        padded = np.append(self.order, np.iinfo(np.int32).max)
         return np.minimum.reduceat(padded, edges)[::2][back]

@@ -27,17 +27,17 @@ def shard_of(ids: pa.Array, cuts: np.ndarray) -> np.ndarray:
     return at.astype(np.int32)
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str, cuts: np.ndarray, also: dict[int, int] | None = None) -> DataFrame:
+def packed(docs: DataFrame, id_col: str, text_col: str, cuts: np.ndarray, also: dict[int | None, int] | None = None) -> DataFrame:
     """(shard, extra, id, text): texts compressed for the shuffle, each in its range's shard.
 
-    also: identifiers whose rows go to one more shard each, marked extra.
+    also: identifiers whose rows go to one more shard each, marked extra (of null ones, each block's least).
     """
     twice = also or {}
     schema = pa.schema([("shard", pa.int32()), ("extra", pa.bool_()), ("id", pa.int64()), ("text", pa.binary())])
 
     def run(batches):
         z = zstandard.ZstdCompressor(level=1)
-        keys = np.array(sorted(twice), np.int64)
+        keys = np.array(sorted(i for i in twice if i is not None), np.int64)
         for batch in batches:
             for part in C.blocks(batch, text_col):
                 data, offsets = C.text_buffers(C.column(part, text_col))
@@ -45,7 +45,10 @@ def packed(docs: DataFrame, id_col: str, text_col: str, cuts: np.ndarray, also:
                 text = [z.compress(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
                 ids = C.column(part, id_col).cast(pa.int64())
                 yield C.batch_of(schema, shard_of(ids, cuts), np.zeros(len(text), bool), ids, text)
-                hit = np.flatnonzero(np.isin(ids.fill_null(-1).to_numpy(zero_copy_only=False), keys) & ~np.asarray(ids.is_null()))
+                null = np.asarray(ids.is_null())
+                hit = np.flatnonzero(np.isin(ids.fill_null(-1).to_numpy(zero_copy_only=False), keys) & ~null)
+                if None in twice and null.any():
+                    hit = np.append(hit, min(np.flatnonzero(null), key=text.__getitem__))
                 if len(hit):
                     own = [ids[int(i)].as_py() for i in hit]
                     yield C.batch_of(schema, np.array([twice[i] for i in own], np.int32), np.ones(len(hit), bool), own, [text[i] for i in hit])

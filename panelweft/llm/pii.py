@@ -15,7 +15,8 @@ document are replaced alike.  A phone number is found by a plus, brackets, a pho
 groups that numbers grouped by threes don't have.
 
 Null texts stay null, texts without entities are unchanged, repeated rows change alike,
-extra columns pass through.
+extra columns pass through (a column named like entities_col is replaced); an empty table
+gives none.  A text of any length is searched about its digits, signs and titles only.
 """
 
 from __future__ import annotations
@@ -94,7 +95,10 @@ _GENDER_OF = {n: k for k, names in GIVEN.items() for n in names}
 #: Titles that announce a person, with the gender they tell (None: either).
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Madam": "f", "Dr": None, "Prof": None, "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mademoiselle": "f", "Señor": "m", "Señora": "f", "Don": "m", "Doña": "f", "господин": "m", "госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 
+#: Small words before a family name, which stay as they are.
+PARTICLES = ("af", "al", "ben", "bin", "da", "de", "del", "della", "den", "der", "di", "do", "dos", "du", "el", "la", "le", "ten", "ter", "van", "vom", "von", "zu", "zur")
 _NAME = r"[^\W\d_]+"
+_SMALL = rf"(?:(?:{'|'.join(PARTICLES)})\s){{0,3}}"
 _EMAIL = r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9_+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9_])"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -120,7 +124,7 @@ PATTERNS = {
     r"|\d{2,4}(?:-\d{3}[ .-]|[ .]\d{3}-)\d{3,4}(?!\d)"
     r"|(?:(?:(?<!\d[ .,-])|(?<=\b1[ .-]))\d{2,4}[ .]\d{3}[ .]\d{4}|(?<!\d[ .,-])0\d{1,3}[ .]\d{3}[ .]\d{3})(?!\d|[.,-]\d)"
     rf"|(?i:{_PHONE_WORD})[^\w\n+(]{{0,3}}(?:(?i:number|nummer|numéro|número|no|nr|num|is|at|on|me|us|ist|est|es)\b[^\w\n+(]{{0,3}}){{0,3}}(?P<phone_value>\+?\(?{_OTHER}\d(?:{_DIGIT}){{6,13}})(?!\d|-\d))",
-    "person": rf"\b(?P<title>{'|'.join(TITLES)})\b\.?\s(?P<name>{_NAME}(?:\s{_NAME})?)",
+    "person": rf"\b(?P<title>{'|'.join(TITLES)})\b\.?\s(?P<name>{_SMALL}{_NAME}(?:\s{_SMALL}{_NAME})?)",
 }
 DETECT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 #: Every entity has one of these, or a title before it.
@@ -248,9 +252,14 @@ class Surrogates:
                 return out
 
     def secret(self, text: str) -> str:
-        if all(c in _HEX for c in text):
-            return self.shaped("hex", text, _HEX)
+        if text.isascii() and text.isdigit():
+            return self.digits("secret", text)
         out = text
+        if all(c in _HEX for c in text):
+            while True:  # never one of decimal digits alone: those have surrogates of their own
+                out = self.shaped("hex", out, _HEX)
+                if not out.isdigit():
+                    return out
         while True:  # never one of hexadecimal digits alone: those have surrogates of their own
             out = self.shaped("secret", out)
             if not all(c in _HEX for c in out):
@@ -301,7 +310,7 @@ def _mentions(text: str, found: list[tuple[str, int, int, str]]) -> list[tuple[s
     pairs: set[tuple[str, str]] = set()
     for kind, a, b, new in found:
         if kind == "person":
-            old, new = text[a:b].split(), new.split()
+            old, new = ([w for w in x.split() if w not in PARTICLES] for x in (text[a:b], new))
             if len(old) == 2:
                 pairs.add((old[0], old[1]))
                 first[old[0]] = new[0]
@@ -351,12 +360,19 @@ def scrub_text(text: str, made: Surrogates) -> tuple[str, list[tuple[str, int, i
         elif kind == "person":
             a, b = m.span("name")
             parts = m["name"].split()
-            if not all(p[0].isupper() for p in parts):
-                if not parts[0][0].isupper():
+            capital = [k for k, p in enumerate(parts) if p[0].isupper()]
+            if not capital:
+                continue
+            # Up to the last capital; a small word that isn't a particle ends the name.
+            last = capital[-1]
+            if any(p not in PARTICLES for p in parts[: last + 1] if not p[0].isupper()):
+                last = capital[0]
+                if any(p not in PARTICLES for p in parts[:last]):
                     continue
-                parts = parts[:1]
-                b = a + len(parts[0])
-            new = " ".join(made.of(k, p) for k, p in zip(("given", "family")[-len(parts) :], parts, strict=True))
+            capital = [k for k in capital if k <= last]
+            kinds = dict(zip(capital, ("given", "family")[-len(capital) :], strict=True))
+            b = a + [w.end() for w in re.finditer(r"\S+", m["name"])][last]
+            new = "".join(made.of(kinds[k], p) + gap if k in kinds else p + gap for k, (p, gap) in enumerate(re.findall(r"(\S+)(\s*)", text[a:b])))
         else:
             d = "".join(c for c in raw if c.isdigit())
             if kind == "phone":

@@ -16,7 +16,7 @@ anchor travel as one segment.  Four passes:
    combine again where they are equal and spread over the shards where they aren't.
    A shard builds an FM-index (wavelet matrix over the Burrows-Wheeler transform) of its
    segments, in pieces of bounded size that hold all of an anchor's segments, streams the
-   segments' windows through it by backward search, and reports for each segment the
+   segments through it, and by their matching statistics reports for each segment the
    windows whose suffix interval has nothing earlier.
 4. Each content is cut: windows of repeated anchors are repeats except those reported first.
 
@@ -215,8 +215,9 @@ def first_windows(rows: DataFrame, window: int, n_parts: int) -> DataFrame:
         seg = np.repeat(np.arange(len(held)), counts)
         inside = np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts)
         begin = index.place[w.bounds[seg] + inside]
-        lo, hi = index.intervals(begin + window, window)
-        fresh = index.earliest(lo, hi) == begin
+        # Streamed through the index, a window is an interval above the threshold; it is a repeat if its suffixes begin earlier too.
+        reach, lo, hi = index.matches(w.hash, w.bounds[seg] + inside + window, window)
+        fresh = (reach < window) | (index.earliest(lo, hi) == begin)
         seg, inside = seg[fresh], inside[fresh]
         start, row, row2 = (np.array([r[k] for r in held], np.int64) for k in (4, 2, 3))
         yield C.batch_of(schema, row[seg], row2[seg], (start[seg] + inside).astype(np.int32))

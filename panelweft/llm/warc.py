@@ -11,6 +11,7 @@ is a response and the others revisit it; smaller payloads are all responses.
 Null html is an empty payload; a null url is archived as urn:page:<id>.  A null page id is
 a response (it is below every other id, and revisits the response of an equal payload).
 Repeated rows each have a record; those that repeat the largest id are all responses.
+Extra columns don't matter; an empty table writes no archive.
 """
 
 from __future__ import annotations
@@ -40,11 +41,12 @@ def base32(digest: bytes) -> str:
 
 def chunked(pages: DataFrame, html: str, chunk_bytes: int = CHUNK) -> DataFrame:
     """pages with html replaced by rows (chunk_no, last, data) in order; other columns repeat."""
-    payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
+    payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     n = F.greatest(F.lit(1), F.ceil(F.length("_payload") / chunk_bytes)).cast("int")
-    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).alias("chunk_no"), (i == n).alias("last"), F.substring(F.col("_payload"), (i - 1) * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data")))
     others = [c for c in pages.columns if c != html]
-    return pages.withColumn("_payload", payload).select(*others, F.explode(cut).alias("_c")).select(*others, "_c.*")
+    # Chunk numbers are exploded, not chunks: each is cut from the payload as its row is made.
+    rows = pages.withColumn("_payload", payload).withColumn("_n", n).select(*others, "_payload", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk_no"))
+    return rows.select(*others, "chunk_no", (F.col("chunk_no") == F.col("_n") - 1).alias("last"), F.substring(F.col("_payload"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data"))
 
 
 def digests(chunks: DataFrame, keys: list[str]) -> DataFrame:

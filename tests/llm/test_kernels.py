@@ -51,8 +51,8 @@ def test_fm_index_finds_every_pattern(tokens, length):
     t = np.array(tokens, np.uint64)
     index = FMIndex(t, np.array([len(t)]), 2 * length + 2)
     if len(t) >= length:
-        ends = index.place[np.arange(length - 1, len(t))] + 1
-        lo, hi = index.intervals(ends, length)
+        reach, lo, hi = index.matches(t, np.arange(length, len(t) + 1), length)
+        assert (reach == length).all()
         grams = [tuple(tokens[i : i + length]) for i in range(len(t) - length + 1)]
         assert (hi - lo).tolist() == [grams.count(g) for g in grams]
         assert index.earliest(lo, hi).tolist() == [grams.index(g) for g in grams]
@@ -289,3 +289,30 @@ def test_counterfactuals_calm_identity_terms():
         gap.append(abs(z[0] - z[1]))
         assert z[2] > z[1]
     assert gap[1] < gap[0] / 3
+
+
+def test_names_with_particles_and_secrets_of_digits():
+    made = pii.Surrogates(b"k")
+    out, found = pii.scrub_text("Mr de Vries met Frau Anna von der Leyen. Later Vries called Leyen, and Mr van arrived.", made)
+    assert [f[0] for f in found] == ["person"] * 4
+    assert "Vries" not in out and "Leyen" not in out and "Anna" not in out
+    assert out.startswith("Mr de ") and " von der " in out and out.endswith("and Mr van arrived.")
+    a, b = out.split()[2], out.split("Later ")[1].split()[0]
+    assert a == b
+    digits = {pii.scrub_text(f"token={i:012d}", made)[0] for i in range(300)}
+    assert len(digits) == 300 and all(d[6:].isdigit() for d in digits)
+    mixed = {pii.scrub_text(f"token={i:011d}a", made)[0] for i in range(300)}
+    assert len(mixed | digits) == 600 and not any(d[6:].isdigit() for d in mixed)
+
+
+def test_surrogates_of_two_titles_and_two_genders_agree_and_stay_apart():
+    made = pii.Surrogates(b"k")
+    out, _ = pii.scrub_text("Mr Kofi Abara met Dr Kofi Abara", made)
+    assert out[3:].split(" met ")[0] == out.split(" met Dr ")[1]
+    names = [f"{a}{b}" for a in "BDFGKLMNPRT" for b in "aeiou"]
+    pairs = [pii.scrub_text(f"{t} {n} Smith", made)[0].split()[1] for n in names for t in ("Mr", "Mrs", "Dr")]
+    assert len(set(pairs)) == len(names) and all(len(set(pairs[3 * k : 3 * k + 3])) == 1 for k in range(len(names)))
+    for text, script in (("Κύριος Νίκος Παπαδόπουλος", "GREEK"), ("господин Иван Петров", "CYRILLIC")):
+        new = pii.scrub_text(text, made)[0].split()
+        assert new[0] == text.split()[0] and all(pii._script(w[0]) == script for w in new) and not set(new[1:]) & set(text.split())
+        assert pii._GENDER_OF[new[1]][0] == "m"

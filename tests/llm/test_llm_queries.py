@@ -104,6 +104,14 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.decontaminate(odd, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_items_without_an_id_are_hit_but_not_named(spark):
+    bench = spark.createDataFrame([(None, "a b c"), ("7", "b c")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x a b c"), (2, "b c")], "doc_id long, text string")
+    for most in (200_000, 1):
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"]) for r in decontaminate.decontaminate(docs, bench, max_broadcast_windows=most).collect()}
+        assert got == {1: (3, 1, "7"), 2: (2, 1, "7")}
+
+
 def test_decontamination_is_by_row_for_any_size_of_benchmark(spark):
     bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(14)))], "item_id int, text string")
     bad = "x " + " ".join(f"b{i}" for i in range(12)) + " y " + " ".join(f"b{i}" for i in range(4, 14))
@@ -234,6 +242,32 @@ def test_near_duplicates_in_a_large_family(spark):
     assert got == near_truth(data)
 
 
+def test_rows_that_repeat_an_id_tie_their_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    data = [(5, a), (5, b), (7, near(a)), (9, near(b)), (11, near(b)), (12, "alone in the whole wide world"), (3, near(a) + " end"), (20, None), (20, "one two")]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert {i: c for (i, _), c in got.items()} == {5: 3, 7: 3, 9: 3, 11: 3, 12: 12, 3: 3, 20: 20}
+    kept = neardup.without_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [3, 12, 20]
+
+
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """Blocks and set blocks of a few documents: every pair is still met."""
+    monkeypatch.setattr(neardup, "PAIR_BLOCK", 7)
+    monkeypatch.setattr(neardup, "SET_BLOCK", 400)
+    monkeypatch.setattr(neardup, "STAR_CHUNKS", 0)
+    rng = np.random.default_rng(3)
+    base, data = [f"w{i}" for i in range(90)], []
+    for i in range(60):
+        w = list(base)
+        for p in rng.choice(90, rng.integers(0, 9), replace=False):
+            w[p] = f"e{i % 9}x{p}"
+        data.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == near_truth(data)
+
+
 def test_token_files(spark, odd, none):
     lib = pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.default_vocabulary())
     docs = odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
@@ -256,6 +290,14 @@ def test_fingerprints(spark, odd, none):
         want[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprint.to_text(fingerprint.sketch(fingerprint.shingle_hashes(e.encode()))))
     got = {r["doc_id"]: (r["n_chars"], r["edited_sha256"], r["edited_fingerprint"]) for r in fingerprint.neighbours(docs).collect()}
     assert got == want
+    few = spark.createDataFrame([(1, "abc" * 20), (2, "defg" * 20), (3, "hij" * 20), (None, "nul" * 30)], "doc_id long, text string")
+    by = {r["doc_id"]: r for r in fingerprint.neighbours(few).collect()}
+    for i, nxt in ((3, "defg" * 20), (2, "abc" * 20), (1, "nul" * 30), (None, "hij" * 20)):
+        own = {1: "abc" * 20, 2: "defg" * 20, 3: "hij" * 20, None: "nul" * 30}[i]
+        e = fingerprint.edited(own, nxt)
+        s, es, ns = (fingerprint.sketch(fingerprint.shingle_hashes(t.encode())) for t in (own, e, nxt))
+        assert by[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest() and by[i]["fingerprint"] == fingerprint.to_text(s)
+        assert by[i]["near_edited"] == fingerprint.resemblance(s, es, fingerprint.K) and by[i]["near_next"] == fingerprint.resemblance(s, ns, fingerprint.K)
     assert fingerprint.neighbours(odd).count() == odd.count() and fingerprint.neighbours(none).count() == 0
     one = fingerprint.neighbours(docs.limit(1)).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
