@@ -1,8 +1,11 @@
 """Rows of a Spark query and of its SQL, in one form."""
 
+import numbers
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -15,11 +18,18 @@ def duck(sf_dir):
     return con
 
 
+def _plain(v):
+    """Nulls alike, numbers as doubles (a nullable column of integers is one of doubles on one side), all else as text."""
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v:
+        return None
+    return round(float(v), 5) + 0.0 if isinstance(v, numbers.Real) and not isinstance(v, bool | np.bool_) else str(v)
+
+
 def rows(pdf):
     pdf = pdf[sorted(pdf.columns)]
     out = []
     for r in pdf.itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else round(float(v), 5) + 0.0 if isinstance(v, float) else str(v) for v in r))
+        out.append(tuple(_plain(v) for v in r))
     return sorted(out, key=repr)
 
 
