@@ -126,10 +126,14 @@ def strip_tags(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
+def raw_tokens(c: Column | str) -> Column:
+    """Runs of word characters (of any script) in lower case, whatever their length; stop words too."""
+    return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), r"(?U)[^\w\s]", " ")), r"(?U)\s+")
+
+
 def tokens(c: Column | str) -> Column:
-    """Search tokens: lower case, runs of word characters (of any script) longer than 1, no stop words."""
-    parts = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), r"(?U)[^\w\s]", " ")), r"(?U)\s+")
-    return F.filter(parts, lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
+    """Search tokens: raw_tokens() longer than 1 without stop words."""
+    return F.filter(raw_tokens(c), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
 def slug(c: Column | str) -> Column:
@@ -189,3 +193,49 @@ def parse_time(c: Column | str) -> Column:
     s = F.regexp_replace(F.trim(_col(c)), r"^[A-Za-z]{3},\s*", "")
     s = F.regexp_replace(s, r"\s(GMT|UTC|Z)$", " +0000")
     return F.coalesce(F.try_to_timestamp(s), F.try_to_timestamp(s, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(s, F.lit("d MMM yyyy HH:mm Z")))
+
+
+def word_chunks(c: Column | str, size: int, overlap: int = 0) -> Column:
+    """Runs of size words, each beginning overlap words before the end of the one before; an empty text has none."""
+    if not 0 <= overlap < size:
+        raise ValueError("0 <= overlap < size")
+    words = F.filter(F.split(F.trim(F.coalesce(_col(c), F.lit(""))), r"\s+"), lambda w: w != "")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(size - overlap)), lambda i: (F.size(words) > 0) & ((i == 1) | (i + overlap <= F.size(words))))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+
+
+def sentences(c: Column | str) -> Column:
+    """What a text's full stops, question and exclamation marks end."""
+    return F.filter(F.transform(F.split(F.coalesce(_col(c), F.lit("")), r"(?<=[.!?])\s+"), lambda t: F.trim(t)), lambda t: t != "")
+
+
+def title_case(c: Column | str) -> Column:
+    return F.initcap(F.regexp_replace(_col(c), "[-_]", " "))
+
+
+def uniform(seed: int, *columns: Column | str) -> Column:
+    """A number in (0, 1) that the seed and the values fix: the same in every run and on every executor."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *[_col(c).cast("string") for c in columns]), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+
+
+def normal(seed: int, *columns: Column | str) -> Column:
+    """A standard normal number fixed like uniform()."""
+    return F.sqrt(-2 * F.log(uniform(seed, *columns, F.lit("r")))) * F.cos(6.283185307179586 * uniform(seed, *columns, F.lit("a")))
+
+
+def poisson(mean: float, seed: int, *columns: Column | str) -> Column:
+    """A Poisson number fixed like uniform(), by the inverse of its distribution (up to mean + 12 standard deviations + 12)."""
+    import math
+
+    most, p, total, sums = int(mean + 12 * math.sqrt(mean) + 12), math.exp(-mean), 0.0, []
+    for k in range(most):
+        total += p
+        sums.append(total)
+        p *= mean / (k + 1)
+    u = uniform(seed, *columns)
+    return F.size(F.filter(F.array(*[F.lit(x) for x in sums]), lambda x: x < u))
+
+
+def chosen(values: Sequence, seed: int, *columns: Column | str) -> Column:
+    """One of the values, fixed like uniform()."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(uniform(seed, *columns) * len(values)) + 1).cast("int"))

@@ -1,0 +1,17 @@
+"""Filters of fixed size that turn rows away before they are shuffled."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Bits of a filter, whatever the size of the set: at most bits / 64 rows are broadcast.
+BITS = 1 << 23
+
+
+def maybe_in(df: DataFrame, hashed: Column, hashes: DataFrame, bits: int = BITS) -> DataFrame:
+    """df without most rows whose 64-bit hash isn't in hashes(h); rows that pass by chance do no harm."""
+    at = lambda c: F.pmod(c, F.lit(bits))
+    masks = hashes.select(at(F.col("h")).alias("x")).groupBy(F.shiftright("x", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("_mask"))
+    marked = df.withColumn("_x", at(hashed))
+    return marked.join(F.broadcast(masks), F.shiftright("_x", 6) == F.col("_word")).filter(F.expr("shiftright(_mask, cast(_x & 63 as int)) & 1L = 1L")).drop("_x", "_word", "_mask")

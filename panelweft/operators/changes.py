@@ -42,3 +42,22 @@ def should_rebuild(before: dict | None, after: dict) -> tuple[bool, list[str]]:
     why = ["content_changed"] if (before.get("xor"), before.get("total")) != (after.get("xor"), after.get("total")) else []
     why += [f"{k}_increased" for k, v in after.items() if isinstance(v, int) and k not in ("xor",) and v > (before.get(k) or 0)]
     return bool(why), why
+
+
+def reasons(before: DataFrame, after: DataFrame, *, source: str = "source", present: str = "present", digest: str = "digest", metrics: Sequence[str] = ("row_count",), latest: str = "max_year") -> DataFrame:
+    """(source, reason) between two snapshots, a row a source: a new file, other content, a metric that differs, a later year.
+
+    A source that isn't present now has none; with no snapshot before, the present ones are first syncs.
+    """
+    old = before.select(source, *[F.col(c).alias(f"_{c}") for c in (present, digest, *metrics, latest)])
+    both = after.filter(F.col(present)).join(old, source, "left")
+    had = F.coalesce(F.col(f"_{present}"), F.lit(False))
+    why = [F.when(~had, "new_source_file"), F.when(had & ~F.col(digest).eqNullSafe(F.col(f"_{digest}")), "fingerprint_changed")]
+    why += [F.when(had & (F.col(m) != F.col(f"_{m}")), f"{m}_changed") for m in metrics]
+    why.append(F.when(had & (F.col(latest) > F.col(f"_{latest}")), f"{latest}_increased"))
+    return both.select(source, F.explode(F.array_compact(F.array(*why))).alias("reason"))
+
+
+def later_years(before: DataFrame, after: DataFrame, code: str, year: str = "max_year") -> DataFrame:
+    """Codes whose last year rose; new codes aren't counted."""
+    return after.join(before.select(code, F.col(year).alias("_y")), code).filter(F.col(year) > F.col("_y")).select(code, F.col("_y").alias("before"), F.col(year).alias("after"))

@@ -120,6 +120,14 @@ def _solve(use, y, xs, entity, time, entity_effects, time_effects, clustered) ->
     return Fit(xs, beta.tolist(), se.tolist(), n, g, t, absorbed, df_res, r2, 1 - (1 - r2) * (n - 1) / df_res if df_res > 0 else float("nan"), f, math.sqrt(ssr / df_res) if df_res > 0 else float("nan"), dw, {"ssr": ssr, "sst": sst})
 
 
+def ols_with_constant(df: DataFrame, y: str, xs: Sequence[str], entity: str, time: str, *, clustered: bool = True) -> tuple[Fit, float]:
+    """Exact two-way fixed effects and the constant that goes with effects of mean zero: the grand means' residual."""
+    use = df.select(entity, time, *[F.col(c).cast("double").alias(c) for c in (y, *xs)]).dropna()
+    fit = ols(use, y, xs, entity, time, exact=True, clustered=clustered)
+    mean = use.agg(*[F.avg(c).alias(c) for c in (y, *xs)]).first()
+    return fit, mean[y] - sum(b * mean[x] for b, x in zip(fit.coef, xs, strict=True))
+
+
 def placebo(df: DataFrame, columns: Sequence[str], entity: str, time: str, seed: int) -> DataFrame:
     """Each column's values permuted among the entities of a time, independently, nulls too."""
     out = df

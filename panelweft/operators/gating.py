@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweft.functions.exprs import classify_domain
 from panelweft.functions.stats import corr_pairs, vif
-from panelweft.operators.panel import coverage, pivot_mean, top_k
+from panelweft.operators.panel import coverage, pivot_mean
 
 #: The order in which domains are listed.
 DOMAINS = ("ACC", "SKL", "SRV", "AGR", "ECO", "OUT")
@@ -76,5 +76,3 @@ def selected(long: DataFrame, stats: DataFrame, **options) -> tuple[dict[str, li
     core = [c for cs in out.values() for c in cs]
     return out, g.withColumn("role", F.when(F.col("indicator_code").isin(core), "core_formative").when(F.col("gate_pass"), "context_only").otherwise("exclude"))
 
-
-__all__ = ["DOMAINS", "gated", "indicator_stats", "picked", "pruned", "selected", "top_k"]

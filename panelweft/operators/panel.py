@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweft.functions.stats import _back
+from panelweft.session import checkpoints
 
 
 def select_or_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -75,7 +76,7 @@ def fill(df: DataFrame, columns: Sequence[str], entity: str, time: str) -> DataF
     return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)) for c in columns})
 
 
-def nearest(left: DataFrame, right: DataFrame, time: str, columns: Sequence[str], max_points: int = 100_000) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, time: str, columns: Sequence[str]) -> DataFrame:
     """The columns of right's row nearest in time (the earlier of two); null for a null time.
 
     Only distinct times are matched, by two ordered scans over the union of both sides'
@@ -119,13 +120,16 @@ def shifted(df: DataFrame, columns: Sequence[str], entity: str, time: str, by: i
 
 
 def demean(df: DataFrame, columns: Sequence[str], entity: str | None, time: str | None) -> DataFrame:
-    """Entity and time means taken off, the grand mean put back (exact for balanced panels)."""
+    """Entity and time means taken off, the grand mean put back (exact for balanced panels).
+
+    Means are aggregates joined back: a time with very many rows is summed in parts.
+    """
     out = df
     whole = df.agg(*[F.avg(c).alias(f"_g_{c}") for c in columns])
     parts = []
     for key, tag in ((entity, "_e_"), (time, "_t_")):
         if key:
-            out = out.withColumns({f"{tag}{c}": F.avg(c).over(Window.partitionBy(key)) for c in columns})
+            out = _back(out, df.groupBy(key).agg(*[F.avg(c).alias(f"{tag}{c}") for c in columns]), [key])
             parts.append(tag)
     out = _back(out, whole, [])
     new = {c: F.col(c) - sum((F.col(f"{t}{c}") for t in parts), F.lit(0.0)) + (F.col(f"_g_{c}") * (len(parts) - 1)) for c in columns}
@@ -133,17 +137,20 @@ def demean(df: DataFrame, columns: Sequence[str], entity: str | None, time: str
 
 
 def demean_iterated(df: DataFrame, columns: Sequence[str], entity: str, time: str, tolerance: float = 1e-10, most: int = 200) -> DataFrame:
-    """Alternating projections: exact for unbalanced panels too. Lineage is cut by checkpoints."""
+    """Alternating projections: exact for unbalanced panels too, to a part of each column's size. Lineage is cut by checkpoints; raises if most rounds aren't enough."""
+    checkpoints(df.sparkSession)
     out = df
+    size = df.agg(*[F.sqrt(F.avg(F.col(c) * F.col(c))).alias(c) for c in columns]).first()
     for i in range(most):
         for key in (entity, time):
-            out = out.withColumns({c: F.col(c) - F.avg(c).over(Window.partitionBy(key)) for c in columns})
-        if i % 8 == 7:
+            means = out.groupBy(key).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
+            out = _back(out, means, [key]).withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
+        if i % 3 == 2:
             out = out.checkpoint()
             means = out.groupBy(entity).agg(*[F.abs(F.avg(c)).alias(c) for c in columns]).agg(*[F.max(c).alias(c) for c in columns]).first()
-            if max(x or 0.0 for x in means) <= tolerance:
-                break
-    return out
+            if max((x or 0.0) / (s or 1.0) for x, s in zip(means, size, strict=True)) <= tolerance:
+                return out
+    raise ValueError(f"no convergence in {most} rounds")
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence, last: bool = False) -> DataFrame:

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweft.functions.exprs import _col
+from panelweft.session import checkpoints
 
 #: WGS 84.
 A, INV_F, K0 = 6378137.0, 298.257223563, 0.9996
-#: Most places that are sent to every task; nearest_place() raises for more.
-MAX_PLACES = 2_000
+#: Places up to which they are an expression of the scan; more are met through cells.
+FEW_PLACES = 2_000
+#: Places that a cell of the grid should have.
+PER_CELL = 16
 
 
 def utm(lat: Column | str, lon: Column | str, zone: int = 45) -> tuple[Column, Column]:
@@ -36,22 +39,57 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return 2 * 6371.0088 * F.asin(F.sqrt(h))
 
 
-def nearest_place(points: DataFrame, places: DataFrame, *, x: str, y: str, place: str, px: str, py: str) -> DataFrame:
+def nearest_place(points: DataFrame, places: DataFrame, *, x: str, y: str, place: str, px: str, py: str, few: int = FEW_PLACES) -> DataFrame:
     """points with place and distance of the nearest place (least name among equals).
 
-    Places are few by nature (service centres); their number is checked, and they become an
-    expression of the scan.
+    Few places (counted first) become an expression of the scan; more are met through the
+    cells of a grid, a ring of cells after the other (see _by_rings), with the same result.
     """
-    rows = places.select(place, px, py).filter(F.col(px).isNotNull() & F.col(py).isNotNull()).limit(MAX_PLACES + 1).collect()
-    if len(rows) > MAX_PLACES:
-        raise ValueError(f"more than {MAX_PLACES} places: split them by region")
+    known = places.select(place, F.col(px).cast("double").alias(px), F.col(py).cast("double").alias(py)).filter(F.col(px).isNotNull() & F.col(py).isNotNull())
+    rows = known.limit(few + 1).collect()
+    if len(rows) > few:
+        return _by_rings(points, known, x, y, place, px, py)
     if not rows:
-        return points.withColumns({place: F.lit(None).cast("string"), "distance": F.lit(None).cast("double")})
+        return points.withColumns({place: F.lit(None).cast(places.schema[place].dataType), "distance": F.lit(None).cast("double")})
     table = places.sparkSession.createDataFrame([([tuple(r) for r in rows],)], f"_places array<struct<p:{places.schema[place].dataType.simpleString()},x:double,y:double>>")
     best = F.array_min(F.transform("_places", lambda r: F.struct(F.sqrt(F.pow(r["x"] - F.col(x), 2) + F.pow(r["y"] - F.col(y), 2)).alias("d"), r["p"].alias("p"))))
     return points.crossJoin(F.broadcast(table)).withColumn("_b", best).withColumns({place: F.col("_b.p"), "distance": F.col("_b.d")}).drop("_b", "_places")
 
 
+def _by_rings(points: DataFrame, places: DataFrame, x: str, y: str, place: str, px: str, py: str) -> DataFrame:
+    """The nearest place through a grid: equi-joins on cells, in squares about each distinct spot that grow twofold.
+
+    A spot is done when its best place is no farther than the square reaches on every side;
+    only the others go on, so the rounds are the logarithm of the largest empty square.
+    """
+    checkpoints(points.sparkSession)
+    one = places.agg(F.count("*").alias("n"), F.min(px).alias("x0"), F.max(px).alias("x1"), F.min(py).alias("y0"), F.max(py).alias("y1")).first()
+    wide = max(one["x1"] - one["x0"], one["y1"] - one["y0"]) or 1.0
+    cell = wide / max(1, round(math.sqrt(one["n"] / PER_CELL)))
+    at = lambda c, low: F.floor((F.col(c) - low) / cell)
+    grid = places.groupBy(px, py).agg(F.min(place).alias("_p")).select(at(px, one["x0"]).alias("_i"), at(py, one["y0"]).alias("_j"), F.col(px).alias("_px"), F.col(py).alias("_py"), "_p")
+    spots = points.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna().distinct()
+    # Spots outside the places' box start from its nearest edge, and from there their distance counts in full.
+    last = int(wide / cell) + 1
+    inside = lambda c, low: F.greatest(F.lit(0), F.least(F.lit(last), at(c, low)))
+    left, done, reach = spots.withColumns({"_ci": inside("_x", one["x0"]), "_cj": inside("_y", one["y0"])}), None, 1
+    distance = F.sqrt(F.pow(F.col("_px") - F.col("_x"), 2) + F.pow(F.col("_py") - F.col("_y"), 2))
+    while True:
+        span = lambda c: F.explode(F.sequence(F.greatest(F.col(c) - reach, F.lit(0)), F.least(F.col(c) + reach, F.lit(last))))  # noqa: B023, E731
+        near = left.withColumn("_i", span("_ci")).withColumn("_j", span("_cj")).join(grid, ["_i", "_j"]).groupBy("_x", "_y", "_ci", "_cj").agg(F.min(F.struct(distance.alias("d"), F.col("_p").alias("p"))).alias("_b"))
+        # How far the square reaches from the spot on its nearest side; beyond the places' box there is nothing.
+        sides = [F.when((F.col("_ci") - reach) > 0, F.col("_x") - one["x0"] - (F.col("_ci") - reach) * cell), F.when((F.col("_ci") + reach) < last, (F.col("_ci") + reach + 1) * cell + one["x0"] - F.col("_x")), F.when((F.col("_cj") - reach) > 0, F.col("_y") - one["y0"] - (F.col("_cj") - reach) * cell), F.when((F.col("_cj") + reach) < last, (F.col("_cj") + reach + 1) * cell + one["y0"] - F.col("_y"))]
+        sure = F.coalesce(F.least(*sides), F.lit(float("inf")))
+        found = near.withColumn("_ok", F.col("_b.d") <= sure).checkpoint()
+        good = found.filter("_ok").select("_x", "_y", "_b")
+        done = good if done is None else done.unionByName(good)
+        left = left.join(good.select("_x", "_y"), ["_x", "_y"], "left_anti").checkpoint()
+        if left.isEmpty():
+            break
+        reach *= 2
+    return points.join(done, (points[x] == done["_x"]) & (points[y] == done["_y"]), "left").select(points["*"], F.col("_b.p").alias(place), F.col("_b.d").alias("distance"))
+
+
 def accessibility(km: Column | str) -> Column:
     """10 within two kilometres, then falling exponentially."""
     return 10 * F.exp(-0.15 * F.greatest(F.lit(0.0), _col(km) - 2))

@@ -117,3 +117,13 @@ def sessions(events: DataFrame, *, key: str, time: str, gap_seconds: int) -> Dat
     w = Window.partitionBy(key).orderBy(time)
     new = F.coalesce((_micros(time) - F.lag(_micros(time)).over(w) > gap_seconds * 1_000_000).cast("int"), F.lit(0))
     return events.withColumn("_n", new).withColumn("session", F.sum("_n").over(w.rangeBetween(Window.unboundedPreceding, 0))).groupBy(key, "session").agg(F.count("*").alias("n"), F.min(time).alias("started"), F.max(time).alias("ended"))
+
+
+def question_message(step, name, *, intro: str, prompts: Sequence[str], closing: str):
+    """The text of a step (from 0): the introduction and the first question, a later question, or after the last the closing; {name} is the respondent's."""
+    n, named = len(prompts), lambda t: F.replace(F.lit(t), F.lit("{name}"), F.coalesce(_col(name), F.lit("")))
+    out = named(closing)
+    for k, prompt in reversed(list(enumerate(prompts))):
+        line = F.lit(f"Q{k + 1}/{n}: {prompt}")
+        out = F.when(_col(step) == k, F.concat(named(intro), F.lit("\n\n"), line) if k == 0 else line).otherwise(out)
+    return out

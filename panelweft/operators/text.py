@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweft.functions.exprs import tokens
+from panelweft.functions.exprs import raw_tokens, tokens
+from panelweft.functions.filters import maybe_in
 from panelweft.functions.stats import _back
 from panelweft.operators.panel import keep_one
 
@@ -18,12 +19,8 @@ def normal_text(c):
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
 
 
-def _is(word: str):
-    return lambda t: t == word
-
-
-def _run(k: int):
-    return lambda i: F.array_join(F.slice("_w", i, k), " ")
+def _spot(k: int):
+    return lambda i: F.struct(F.xxhash64(F.array_join(F.slice("_w", i, k), " ")).alias("h"), i.alias("i"), F.lit(k).alias("k"))
 
 
 def keyword_index(config: dict[str, dict[str, Sequence[str]]]) -> list[tuple[str, str, str]]:
@@ -81,69 +78,80 @@ def idf(index: DataFrame, id_col: str, n_docs: DataFrame) -> DataFrame:
 def search(docs: DataFrame, query: str, *, id_col: str, text_col: str, title_col: str | None = None, summary_col: str | None = None, top: int = 20, title_boost: float = 2.0, summary_boost: float = 1.5) -> DataFrame:
     """(id, score): the best documents by TF-IDF; a repeated query word counts again, matches that score 0 are kept.
 
-    Only the query's terms are posted, so the index that is shuffled is as large as the matches.
+    Only the query's terms are posted: tokens are exploded and filtered in the scan, so what
+    is shuffled, and what document frequencies are counted from, is as large as the matches.
     """
     spark = docs.sparkSession
     terms = spark.createDataFrame([(query,)], "q string").select(F.explode(tokens("q")).alias("term")).groupBy("term").agg(F.count("*").alias("times")).collect()
     if not terms:
         return docs.select(id_col).limit(0).withColumn("score", F.lit(0.0))
     words = [r["term"] for r in terms]
-    named = lambda c, w: F.array_contains(tokens(c), w) if c else F.lit(False)
-    toks = docs.withColumn("_k", F.filter(tokens(text_col), lambda t: t.isin(words)))
-    wide = toks.select(id_col, *[F.size(F.filter("_k", _is(w))).alias(f"tf{i}") for i, w in enumerate(words)], *[named(title_col, w).alias(f"t{i}") for i, w in enumerate(words)], *[named(summary_col, w).alias(f"s{i}") for i, w in enumerate(words)])
-    df = wide.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
-    scored = _back(wide, df, [])
-    part = lambda i, r: F.when(F.col(f"tf{i}") > 0, r["times"] * (1 + F.log(F.col(f"tf{i}").cast("double"))) * F.log(F.col("n").cast("double") / F.col(f"df{i}")) * F.when(F.col(f"t{i}"), title_boost).otherwise(1.0) * F.when(F.col(f"s{i}"), summary_boost).otherwise(1.0)).otherwise(0.0)
-    hit = sum((F.col(f"tf{i}") for i in range(len(words))), F.lit(0)) > 0
-    return scored.filter(hit).select(id_col, F.round(sum((part(i, r) for i, r in enumerate(terms)), F.lit(0.0)), 3).alias("score")).orderBy(F.desc("score"), id_col).limit(top)
+    named = lambda c: F.array_intersect(tokens(c), F.array(*[F.lit(w) for w in words])) if c else F.array().cast("array<string>")
+    found = docs.select(id_col, named(title_col).alias("_t"), named(summary_col).alias("_s"), F.explode(raw_tokens(text_col)).alias("term")).filter(F.col("term").isin(words))
+    tf = found.groupBy(id_col, "term", "_t", "_s").agg(F.count("*").alias("tf"))
+    df = F.broadcast(tf.groupBy("term").agg(F.count("*").alias("df")))  # a row for each word of the query
+    times = F.create_map(*[x for r in terms for x in (F.lit(r["term"]), F.lit(r["times"]))])
+    scored = _back(tf.join(df, "term"), docs.agg(F.count("*").alias("n")), [])
+    boost = F.when(F.array_contains("_t", F.col("term")), title_boost).otherwise(1.0) * F.when(F.array_contains("_s", F.col("term")), summary_boost).otherwise(1.0)
+    part = times[F.col("term")] * (1 + F.log(F.col("tf").cast("double"))) * F.log(F.col("n").cast("double") / F.col("df")) * boost
+    return scored.groupBy(id_col).agg(F.round(F.sum(part), 3).alias("score")).orderBy(F.desc("score"), id_col).limit(top)
 
 
 def jaccard_pairs(docs: DataFrame, id_col: str, token_col: str, threshold: float = 0.85) -> DataFrame:
     """(a, b, jaccard): pairs of documents whose distinct tokens are at least so alike; exact.
 
     Equal sets are joined through their least member.  Distinct sets meet on their prefixes
-    of rarest tokens alone, under a length bound, and each meeting is verified on the sets.
+    of rarest tokens alone (as 64-bit hashes), under a length and a positional bound, and each
+    meeting is verified on the sets themselves.
     """
     sets = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(token_col)).alias("set")).filter(F.size("set") > 0)
-    one = sets.groupBy("set").agg(F.min("id").alias("rep"))
-    terms = one.select("rep", F.size("set").alias("n"), F.explode("set").alias("t"))
+    keyed = sets.select("id", "set", F.xxhash64("set").alias("h"), F.xxhash64(F.lit(1), "set").alias("g"))
+    same = keyed.groupBy("h", "g").agg(F.min("id").alias("rep"))
+    one = keyed.join(same.select("h", "g", F.col("rep").alias("id")), ["h", "g", "id"]).select(F.col("id").alias("rep"), "set")
+    terms = one.select("rep", F.size("set").alias("n"), F.explode(F.transform("set", lambda t: F.xxhash64(t))).alias("t"))
     df = terms.groupBy("t").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("rep").orderBy("df", "t")
-    prefix = terms.join(df, "t").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).filter("df > 1")
-    a = prefix.select("t", F.col("rep").alias("a"), F.col("n").alias("na"))
-    b = prefix.select("t", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    cand = a.join(b, "t").filter((F.col("a") < F.col("b")) & (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9)).select("a", "b").distinct()
+    ranked = terms.join(df, "t").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("r"))
+    kept = F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    prefix = ranked.select("rep", "n", F.posexplode(kept).alias("k", "r")).filter("r.df > 1").select("rep", "n", "k", F.col("r.t").alias("t"))
+    a = prefix.select("t", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"))
+    b = prefix.select("t", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"))
+    size = (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9)
+    # What the first common token leaves must be enough for the overlap that the threshold asks for.
+    enough = F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
+    cand = a.join(b, "t").filter((F.col("a") < F.col("b")) & size & enough).select("a", "b").distinct()
     full = cand.join(one.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(one.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     j = both.cast("double") / (F.size("sa") + F.size("sb") - both)
     near = full.select("a", "b", j.alias("jaccard")).filter(F.col("jaccard") >= threshold)
-    copies = sets.join(one, "set").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    copies = keyed.join(same, ["h", "g"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     return near.unionByName(copies)
 
 
-def backlinks(docs: DataFrame, id_col: str, title_col: str, text_col: str, max_words: int = 8) -> DataFrame:
-    """(src, dst): documents whose text names another's title.
+#: Words of a title on which it meets texts; a longer one is verified whole.
+RUN_WORDS = 8
+
+
+def backlinks(docs: DataFrame, id_col: str, title_col: str, text_col: str, run_words: int = RUN_WORDS) -> DataFrame:
+    """(src, dst): documents whose text names another's title, of any length.
 
-    Titles of up to max_words words meet texts on word runs of their length (an equi-join),
-    longer ones on their first max_words words, and are then verified whole in the text; a
-    text isn't compared with every title.
+    Titles meet texts on their first run_words words (all, if they have fewer).  A text's runs
+    are hashed in the scan and all but those that some title begins with are turned away by a
+    filter of fixed size before anything is shuffled; the rest are compared as words.
     """
     low = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\w]+", " "))
-    every = docs.select(F.col(id_col).alias("dst"), low(F.col(title_col)).alias("_title")).filter("_title <> ''").withColumn("_k", F.size(F.split("_title", " ")))
-    texts = docs.select(F.col(id_col).alias("src"), low(F.col(title_col)).alias("_own"), F.split(low(F.col(text_col)), " ").alias("_w"))
-    sizes = [r[0] for r in every.select(F.least("_k", F.lit(max_words + 1))).distinct().collect()]
-    named = lambda ks: F.explode(F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - k + 1, F.lit(1))), _run(k)) for k in ks]))))
-    out = docs.select(F.col(id_col).alias("src"), F.col(id_col).alias("dst")).limit(0)
-    if short := [k for k in sizes if k <= max_words]:
-        titles = every.filter(F.col("_k") <= max_words)
-        out = texts.select("src", "_own", named(short).alias("_title")).join(titles, "_title").filter("src <> dst AND _own <> _title").select("src", "dst").distinct()
-    if len(short) < len(sizes):
-        titles = every.filter(F.col("_k") > max_words).select("dst", "_title", F.substring_index("_title", " ", max_words).alias("_run"))
-        met = texts.select("src", named([max_words]).alias("_run")).join(titles, "_run").filter("src <> dst").select("src", "dst", "_title").distinct()
-        whole = texts.select("src", "_own", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_body"))
-        long = met.join(whole, "src").filter(F.expr("_own <> _title AND contains(_body, concat(' ', _title, ' '))")).select("src", "dst").distinct()
-        out = out.unionByName(long).distinct() if short else long
-    return out
+    titles = docs.select(F.col(id_col).alias("dst"), low(F.col(title_col)).alias("_title")).filter("_title <> ''").withColumn("_run", F.substring_index("_title", " ", run_words))
+    sizes = [r[0] for r in titles.select(F.size(F.split("_run", " "))).distinct().collect()]  # run_words at most
+    if not sizes:
+        return docs.select(F.col(id_col).alias("src"), F.col(id_col).alias("dst")).limit(0)
+    texts = docs.select(F.col(id_col).alias("src"), low(F.col(title_col)).alias("_own"), low(F.col(text_col)).alias("_body")).withColumn("_w", F.split("_body", " "))
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - k + 1, F.lit(1))), _spot(k)) for k in sizes]
+    spots = texts.select("src", "_own", "_w", F.explode(runs[0] if len(runs) == 1 else F.concat(*runs)).alias("_s"))
+    met = maybe_in(spots, F.col("_s.h"), titles.select(F.xxhash64("_run").alias("h")))
+    met = met.select("src", "_own", F.array_join(F.slice("_w", F.col("_s.i"), F.col("_s.k")), " ").alias("_run")).distinct()
+    found = met.join(titles, "_run").filter("src <> dst AND _own <> _title").select("src", "dst", "_title", (F.col("_run") == F.col("_title")).alias("_whole"))
+    short = found.filter("_whole").select("src", "dst")
+    long = found.filter("NOT _whole").select("src", "dst", "_title").join(texts.select("src", "_body"), "src").filter(F.expr("contains(concat(' ', _body, ' '), concat(' ', _title, ' '))")).select("src", "dst")
+    return short.unionByName(long).distinct() if run_words in sizes else short.distinct()
 
 
 def edges(docs: DataFrame, title_col: str, links_col: str) -> DataFrame:
@@ -164,12 +172,20 @@ def orphans(docs: DataFrame, title_col: str, links_col: str) -> DataFrame:
     return docs.join(e, F.lower(docs[title_col]) == e["_d"], "left_anti")
 
 
-def kb_stats(docs: DataFrame, title_col: str, text_col: str, links_col: str) -> DataFrame:
-    """One row: documents, words, mean words, documents without links, distinct broken targets."""
+def kb_stats(docs: DataFrame, title_col: str, text_col: str, links_col: str, category_col: str | None = None, tags_col: str | None = None, top: int = 10) -> DataFrame:
+    """One row: documents, words, links and their means, documents without links, distinct broken targets, most common categories and tags."""
     words = F.when(F.trim(F.col(text_col)) == "", 0).otherwise(F.size(F.split(F.trim(F.col(text_col)), r"\s+")))
-    a = docs.agg(F.count("*").alias("n_docs"), F.sum(words).alias("n_words"), F.avg(words).alias("mean_words"), F.count_if(F.size(links_col) == 0).alias("n_without_links"))
-    b = broken_links(docs, title_col, links_col).agg(F.count_distinct("dst").alias("n_broken"))
-    return _back(a, b, [])
+    a = docs.agg(F.count("*").alias("n_docs"), F.sum(words).alias("n_words"), F.avg(words).alias("mean_words"), F.sum(F.size(links_col)).cast("long").alias("n_links"), F.avg(F.size(links_col)).alias("mean_links"), F.count_if(F.size(links_col) == 0).alias("n_without_links"))
+    out = _back(a, broken_links(docs, title_col, links_col).agg(F.count_distinct("dst").alias("n_broken")), [])
+    for name, values in (("categories", category_col and docs.select(F.col(category_col).alias("v"))), ("tags", tags_col and docs.select(F.explode(tags_col).alias("v")))):
+        if values is not None:
+            out = _back(out, most_common(values, "v", top).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "value"))), lambda x: F.concat(x["value"], F.lit(": "), (-x["n"]).cast("string"))).alias(f"top_{name}")), [])
+    return out
+
+
+def most_common(df: DataFrame, column: str, top: int = 10) -> DataFrame:
+    """(value, n): the most frequent values, equals by value; null isn't one."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).filter("value IS NOT NULL").orderBy(F.desc("n"), "value").limit(top)
 
 
 def concept_map(docs: DataFrame, title_col: str, concepts_col: str, least: int = 3) -> DataFrame:

@@ -6,10 +6,11 @@ import hashlib
 import json
 import platform
 from collections.abc import Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from panelweft.functions.exprs import row_count, to_number
@@ -29,6 +30,10 @@ NON_NEGATIVE = (
 )
 
 
+#: The columns of domain scores.
+DOMAIN_SCORES = ("ACC_score", "SKL_score", "SRV_score", "AGR_score", "ECO_score", "OUT_score")
+
+
 @dataclass
 class Result:
     """What a run of checks found."""
@@ -235,21 +240,96 @@ def check_model(fit, placebo_fit=None, others: Sequence = (), *, stability: Data
     return out
 
 
+def check_state(df: DataFrame, *, entity: str = "state_name", time: str = "year", score: str = "composite_score", adjusted: str = "composite_context_adjusted", domains: Sequence[str] = DOMAIN_SCORES, min_domains: int = 3) -> Result:
+    """The suite for the state track: keys, scores, fences of domain scores, extreme z-scores, known bounds, domains a row."""
+    out = Result("state")
+    lost = [c for c in (entity, time, score) if c not in df.columns]
+    out.add("required_columns", not lost, "error", f"missing columns: {lost}", columns=lost)
+    if lost:
+        return out
+    have = [c for c in domains if c in df.columns]
+    zs = [c for c in df.columns if c.startswith("Z_")]
+    bounds = known_bounds(df.columns)
+    aggs = [F.count("*").alias("n"), F.count_distinct(F.struct(entity, time)).alias("cells"), F.count_if(F.col(score).isNull()).alias("no_score"), F.min(time).alias("t0"), F.max(time).alias("t1"), F.count_distinct(entity).alias("entities"), F.count_distinct(time).alias("times")]
+    aggs += [F.count_if(F.col(adjusted).isNull()).alias("no_adjusted")] if adjusted in df.columns else []
+    aggs += [F.count_if(F.abs(F.col(c)) > 5).alias(f"z|{c}") for c in zs]
+    aggs += [F.count_if(F.col(c) < lo if hi is None else (F.col(c) < lo) | (F.col(c) > hi)).alias(f"b|{c}") for c, (lo, hi) in bounds.items()]
+    aggs += [F.count_if(row_count(have) < min_domains).alias("sparse")] if have else []
+    r = df.agg(*aggs).first().asDict()
+    out.add("duplicate_keys", r["cells"] == r["n"], "error", f"{r['n'] - r['cells']} duplicates", n=r["n"] - r["cells"])
+    out.add("null_score", r["no_score"] == 0, "error", f"{r['no_score']} rows without a score", n=r["no_score"])
+    if adjusted in df.columns:
+        out.add("null_adjusted_score", r["no_adjusted"] == 0, "error", f"{r['no_adjusted']} rows without", n=r["no_adjusted"])
+    for x in outlier_report(df, have).collect() if have else []:
+        out.add(f"outliers_{x['column']}", x["n_out"] == 0, "warning", f"{x['n_out']} outliers", n=x["n_out"])
+    for c in zs:
+        out.add(f"extreme_{c}", r[f"z|{c}"] == 0, "warning", f"{r[f'z|{c}']} beyond 5", n=r[f"z|{c}"])
+    for c in bounds:
+        out.add(f"range_{c}", r[f"b|{c}"] == 0, "warning", f"{r[f'b|{c}']} out of range", n=r[f"b|{c}"])
+    if have:
+        out.add("sparse_domains", r["sparse"] == 0, "warning", f"{r['sparse']} rows with fewer than {min_domains} domains", n=r["sparse"])
+    out.add("rows", r["n"] > 0, "error", "no rows", n=r["n"], span=(r["t0"], r["t1"]), n_entities=r["entities"], n_times=r["times"])
+    return out
+
+
+def check_api(df: DataFrame, years: tuple[int, int], *, entity: str = "iso3c", time: str = "year", score: str = "composite_score", domains: Sequence[str] = DOMAIN_SCORES, tier: str = "model_trust_tier", min_rows: int = 100) -> Result:
+    """The suite for the API track; Result.has_errors is what an exit code tells."""
+    out = Result("api")
+    lost = [c for c in (entity, time, score, tier) if c not in df.columns]
+    out.add("required_columns", not lost, "error", f"missing columns: {lost}", columns=lost)
+    if lost:
+        return out
+    r = df.agg(F.count("*").alias("n"), F.count_distinct(F.struct(entity, time)).alias("cells"), F.count_if(F.col(score).isNull()).alias("no_score"), F.min(time).alias("t0"), F.max(time).alias("t1"), F.collect_set(F.when(F.col(tier).isin("High", "Medium", "Low"), "known").otherwise(F.col(tier))).alias("tiers")).first()
+    out.add("duplicate_keys", r["cells"] == r["n"], "error", f"{r['n'] - r['cells']} duplicates")
+    out.add("null_score", r["no_score"] == 0, "error", f"{r['no_score']} rows without a score")
+    out.add("year_min", r["t0"] is None or r["t0"] >= years[0], "error", f"first year {r['t0']}")
+    out.add("year_max", r["t1"] is None or r["t1"] <= years[1], "error", f"last year {r['t1']}")
+    for c in domains:
+        out.add(f"domain_{c}", c in df.columns, "error", f"no {c}")
+    out.add("tiers_known", set(r["tiers"]) <= {"known"}, "error", "unknown tiers", tiers=sorted(set(r["tiers"]) - {"known"}))
+    out.add("rows", r["n"] >= min_rows, "error", f"{r['n']} rows, {min_rows} needed")
+    return out
+
+
+def scan_reports(reports: DataFrame, wanted: Sequence[str], *, name: str = "name", content: str = "content") -> DataFrame:
+    """(report, section, issue, n) of verification reports, a JSON document a row: missing, invalid, or with errors in a section.
+
+    A report is either one section (it has issues itself) or an object of sections.
+    """
+    section = "struct<issues:array<struct<severity:string>>>"
+    names = reports.sparkSession.createDataFrame([(w,) for w in wanted], "report string")
+    read = names.join(reports.select(F.col(name).alias("report"), F.col(content).alias("_c")), "report", "left").withColumn("_m", F.from_json("_c", "map<string,string>"))
+    valid = F.coalesce(F.col("_m").isNotNull() & F.startswith(F.ltrim("_c"), F.lit("{")) & F.expr("try_parse_json(_c) IS NOT NULL"), F.lit(False))
+    bad = read.filter(~valid).select("report", F.lit(None).cast("string").alias("section"), F.when(F.col("_c").isNull(), "missing").otherwise("invalid").alias("issue"), F.lit(1).cast("long").alias("n"))
+    good = read.filter(valid)
+    parts = good.select("report", F.explode("_m").alias("section", "_s")).unionByName(good.select("report", F.lit("").alias("section"), F.col("_c").alias("_s"))).select("report", "section", F.from_json("_s", section).alias("s")).filter("s.issues IS NOT NULL")
+    errors = parts.select("report", "section", F.lit("errors").alias("issue"), F.size(F.filter("s.issues", lambda i: i["severity"] == "error")).cast("long").alias("n")).filter("n > 0")
+    return bad.unionByName(errors)
+
+
 class Audit:
     """A run's manifest: configuration hash, seeds, inputs, row accounting, outputs."""
 
-    def __init__(self, pipeline: str, config: dict | None = None, seeds: dict | None = None) -> None:
+    def __init__(self, pipeline: str, config: dict | None = None, seeds: dict | None = None, commit: str | None = None) -> None:
         text = json.dumps(config or {}, sort_keys=True, default=str)
-        self.manifest: dict = {"pipeline": pipeline, "run_id": hashlib.sha256(f"{pipeline}{self._now()}".encode()).hexdigest()[:16], "started_at_utc": self._now(), "environment": {"python_version": platform.python_version(), "platform": platform.platform()}, "config_snapshot": config or {}, "config_sha256": hashlib.sha256(text.encode()).hexdigest(), "random_seeds": seeds or {}, "inputs": [], "parameters": {}, "stages": [], "outputs": [], "status": "running"}
+        self.manifest: dict = {"pipeline": pipeline, "run_id": hashlib.sha256(f"{pipeline}{self._now()}".encode()).hexdigest()[:16], "started_at_utc": self._now(), "environment": {"python_version": platform.python_version(), "platform": platform.platform()}, "config_snapshot": config or {}, "git_commit": commit, "config_sha256": hashlib.sha256(text.encode()).hexdigest(), "random_seeds": seeds or {}, "inputs": [], "parameters": {}, "stages": [], "outputs": [], "status": "running"}
 
     @staticmethod
     def _now() -> str:
         return datetime.now(timezone.utc).isoformat()
 
     def record_input(self, name: str, files: DataFrame) -> None:
-        """files: a binaryFile scan; digests are taken where the files are."""
-        for r in files.select("path", F.sha2("content", 256).alias("sha"), "length").collect():
-            self.manifest["inputs"].append({"name": name, "path": r["path"], "exists": True, "sha256": r["sha"], "size_bytes": r["length"]})
+        """files: sources.readers.digests(); a row a file."""
+        for r in files.select("path", "sha256", "length").collect():
+            self.manifest["inputs"].append({"name": name, "path": r["path"], "exists": True, "sha256": r["sha256"], "size_bytes": r["length"]})
+
+    @contextmanager
+    def observe(self, stage: str, df: DataFrame):
+        """Rows of df (as a stage's output) counted while its own action runs: no second pass."""
+        seen = Observation(stage)
+        yield df.observe(seen, F.count(F.lit(1)).alias("n"))
+        n = seen.get["n"]
+        self.record_stage(stage, n, n)
 
     def record_stage(self, stage: str, rows_in: int, rows_out: int, rows_dropped: int = 0, **more) -> None:
         row = {"stage": stage, "timestamp_utc": self._now(), "rows_in": rows_in, "rows_out": rows_out, "rows_dropped": rows_dropped} | more
@@ -278,6 +358,7 @@ def check_manifest(text: str) -> Result:
         return out
     for f in ("pipeline", "run_id", "started_at_utc", "environment", "inputs", "stages", "outputs", "status"):
         out.add(f"field_{f}", f in m, "error", f"no {f}")
+    out.add("git_commit", bool(m.get("git_commit")), "warning", "no commit")
     out.add("checksums", all(i.get("sha256") for i in m.get("inputs", []) if i.get("exists")), "warning", "an input has no checksum")
     out.add("accounting", not any("accounting_warning" in s for s in m.get("stages", [])), "warning", "rows don't add up")
     out.add("status", m.get("status") == "success", "error", f"status {m.get('status')}")

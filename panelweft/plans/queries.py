@@ -551,3 +551,6 @@ def fingerprint_counts(spark, d):
 @query()
 def fingerprint_digests(spark, d):
     return changes.fingerprint(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_quantity"])
+
+
+from panelweft.plans import further  # noqa: E402, F401  registers its queries

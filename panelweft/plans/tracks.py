@@ -70,7 +70,7 @@ def scored(panel: DataFrame, domains: dict[str, Sequence[str]], context: DataFra
 def country_year(long: DataFrame, mapping: DataFrame, observed: DataFrame, *, years: tuple[int, int] = (2014, 2025), high: int = 4, medium: int = 3, **options) -> tuple[DataFrame, DataFrame, dict[str, list[str]]]:
     """Scores by economy and year, the intake table, and the selected indicators. Two round trips: selection and nothing else."""
     name = next((c for c in ("indicator_name", "indicator_name.y", "indicator_name.x") if c in long.columns), None)
-    meta = mapping.dropDuplicates(["indicator_code"]).select("indicator_code", F.col("indicator_name").alias("_name"), F.col("pillar").alias("_pillar"))
+    meta = mapping.groupBy("indicator_code").agg(F.min(F.struct("indicator_name", "pillar")).alias("_m")).select("indicator_code", "_m.*").select("indicator_code", F.col("indicator_name").alias("_name"), F.col("pillar").alias("_pillar"))
     use = long.filter(F.lower(F.trim("include_v2")) == "yes") if "include_v2" in long.columns else long
     rows = use.withColumn("_n", F.col(f"`{name}`") if name else F.lit(None).cast("string")).withColumn("_p", F.col("pillar") if "pillar" in long.columns else F.lit(None).cast("string")).join(meta, "indicator_code", "left")
     rows = rows.select("indicator_code", F.coalesce("_n", "_name", "indicator_code").alias("indicator_name"), F.coalesce("_p", "_pillar").alias("pillar"), "economy", F.col("year").cast("int").alias("year"), to_number("norm_score").alias("value"), to_bool("was_imputed").alias("was_imputed")).filter(F.col("year").between(*years))

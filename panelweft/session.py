@@ -15,9 +15,9 @@ _SHIPPED: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors through Spark's file server, once for each application.
 
-    A session with the default Arrow batch size also gets a smaller one.
+    A session whose user chose no Arrow batch size also gets a smaller one.
     """
-    if spark.conf.get(_BATCH, None) == "10000":
+    if _BATCH not in spark.conf.getAll:
         spark.conf.set(_BATCH, "1000")  # rows hold texts: ten thousand of them are too much for one buffer
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
@@ -29,3 +29,13 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"{here.name}/{p.relative_to(here)}")
     sc.addPyFile(str(archive))
     _SHIPPED.add(sc.applicationId)
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Make sure that checkpoint() has a folder: the session's spark.checkpoint.dir, or on one machine a temporary one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="panelweft-"))

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import urllib.request
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweft.functions.exprs import parse_time, short_id, strip_tags, to_number
+from panelweft.session import ship
 
 #: What a cell without a value may hold.
 NA_TEXT = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "#N/A")
 
 
-def csv(spark: SparkSession, path, schema: T.StructType | str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-    """A headed CSV as text columns (or by schema), missing-value marks as null; only the columns asked for are parsed."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def csv(spark: SparkSession, path, schema: T.StructType | str | None = None, columns: Sequence[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """A headed CSV as text columns (or by schema), missing-value marks as null; only the columns asked for are parsed.
+
+    multi_line is for cells with line breaks: such a file can't be split, so one task reads it.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     df = reader.schema(schema).csv(path) if schema else reader.csv(path)
     df = df.select(*[c for c in df.columns if columns is None or c in columns])
     text = [f.name for f in df.schema.fields if f.dataType == T.StringType()]
@@ -77,6 +85,13 @@ def country_payloads(raw: DataFrame, column: str = "value") -> DataFrame:
     return r.select(F.col("r.cca3").alias("iso3c"), F.col("r.name.common").alias("country_name"), F.col("r.name.official").alias("country_official_name"), "r.region", "r.subregion", "r.population", "r.independent", F.get("r.capital", 0).alias("capital"), F.get("r.latlng", 0).alias("lat"), F.get("r.latlng", 1).alias("lon")).filter("iso3c IS NOT NULL")
 
 
+def country_pages(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Pages {data: {objects: [...]}} of a country list, as rows."""
+    item = "struct<codes:struct<alpha_3:string>,names:struct<common:string,official:string>,region:string,subregion:string,population:bigint,capitals:array<struct<name:string>>,coordinates:struct<lat:double,lng:double>>"
+    r = raw.select(F.explode(F.from_json(F.get_json_object(column, "$.data.objects"), f"array<{item}>")).alias("r"))
+    return r.select(F.col("r.codes.alpha_3").alias("iso3c"), F.col("r.names.common").alias("country_name"), F.col("r.names.official").alias("country_official_name"), "r.region", "r.subregion", "r.population", F.get("r.capitals", 0)["name"].alias("capital"), F.col("r.coordinates.lat").alias("lat"), F.col("r.coordinates.lng").alias("lon")).filter("iso3c IS NOT NULL")
+
+
 def wb_country_payloads(raw: DataFrame, column: str = "value") -> DataFrame:
     """World Bank country lists; aggregates (ids that begin with X) are left out."""
     item = "struct<id:string,iso2Code:string,name:string,region:struct<value:string>,capitalCity:string,latitude:string,longitude:string>"
@@ -122,9 +137,85 @@ def excerpt(path: str, content: str):
     return F.when(ext.isin("md", "txt", "html", "yml", "yaml"), F.col(content)).when(ext == "csv", F.array_join(F.slice(F.split(content, "\n"), 1, 100), "\n")).when(ext == "json", F.substring(content, 1, 5000)).otherwise(F.concat(F.lit("[binary file: "), F.col(path), F.lit("]")))
 
 
+def digests(spark: SparkSession, path: str, piece: int = 1 << 20) -> DataFrame:
+    """(path, sha256, length) of every file under path, read in pieces where it is: files of any size."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            sums = []
+            for uri in batch.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(uri) if not uri.startswith("file:") else (fs.LocalFileSystem(), "/" + unquote(uri[len("file:") :]).lstrip("/"))
+                h = hashlib.sha256()
+                with system.open_input_stream(at, compression=None) as f:
+                    while block := f.read(piece):
+                        h.update(block)
+                sums.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.string()), batch.column(1)], ["path", "sha256", "length"])
+
+    return files.mapInArrow(run, "path string, sha256 string, length long")
+
+
 def ingested(spark: SparkSession, path: str) -> DataFrame:
-    """Files with digest and size; the metadata that an intake keeps."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(~F.col("path").endswith(".meta.yml")).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("original_name"), "path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), F.current_timestamp().alias("ingested_at"))
+    """Files with digest and size, and from the sidecars <name>.meta.json beside them tags, title and whether they are compiled."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    files = digests(spark, path).filter(~F.col("path").rlike(r"\.meta\.(yml|json)$")).select(name.alias("original_name"), "path", "sha256", F.col("length").alias("size_bytes"), F.current_timestamp().alias("ingested_at"))
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").text(path, wholetext=True)
+    side = texts.select(F.regexp_replace("_metadata.file_path", r"\.meta\.json$", "").alias("path"), F.from_json("value", "tags array<string>, title string, compiled boolean").alias("m"))
+    return files.join(side, "path", "left").select(*files.columns, F.coalesce("m.tags", F.array().cast("array<string>")).alias("tags"), "m.title", F.coalesce("m.compiled", F.lit(False)).alias("compiled"))
+
+
+def download(spark: SparkSession, url: str, target: str, fetch=None) -> str:
+    """Bytes of a URL written to the shared file system, where every executor can read them; fetch(url) gives a stream."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(target)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        with (fetch or urllib.request.urlopen)(url) as stream:
+            while block := stream.read(1 << 20):
+                out.write(bytearray(block))
+    finally:
+        out.close()
+    return target
+
+
+def paged(spark: SparkSession, n_rows: int, fetch, limit: int = 1000) -> DataFrame:
+    """(offset, value): payloads of a REST source, a page each; fetch(offset, limit) runs on the executors."""
+    pages = spark.range(0, max(1, -(-n_rows // limit))).select((F.col("id") * limit).alias("offset"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fetch(i, limit) for i in batch.column(0).to_pylist()], pa.string())], ["offset", "value"])
+
+    return pages.repartition(max(1, min(200, -(-n_rows // limit)))).mapInArrow(run, "offset long, value string")
+
+
+def records(raw: DataFrame, schema: str, column: str = "value", key: str = "records") -> DataFrame:
+    """Rows of paged payloads {key: [{...}]}; a page without them gives none."""
+    return raw.select(F.explode(F.from_json(F.get_json_object(column, f"$.{key}"), f"array<struct<{schema}>>")).alias("r")).select("r.*")
+
+
+def table(spark: SparkSession, name: str, jdbc: str | None = None, **options) -> DataFrame:
+    """A catalog table, or a table or query of a database by JDBC; its partitioning is in the options."""
+    return spark.read.format("jdbc").options(url=jdbc, dbtable=name, **options).load() if jdbc else spark.table(name)
+
+
+def config(spark: SparkSession, path: str) -> dict:
+    """A JSON (or, with PyYAML, YAML) configuration; an empty or missing file is an empty one."""
+    if not exists(spark, path):
+        return {}
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one small file
+    if path.endswith(".json"):
+        return json.loads(text or "{}")
+    import yaml
+
+    return yaml.safe_load(text) or {}
 
 
 def normal_header(name: str) -> str:

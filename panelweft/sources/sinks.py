@@ -29,6 +29,11 @@ def table(df: DataFrame, name: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").saveAsTable(name)
 
 
+def replaced_rows(df: DataFrame, path: str, key: str) -> None:
+    """Rows of df's values of key in place of those that a table at path has (delete and insert), a partition a value."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
 def key_values(pairs: dict) -> str:
     """Lines of key=value, as CI systems read them."""
     return "\n".join(f"{k}={str(v).lower() if isinstance(v, bool) else v}" for k, v in pairs.items())

@@ -184,7 +184,7 @@ def test_backlinks_of_long_titles(spark):
     # Words 1 to 8 and 1 to 9 alone aren't the title; a title's own documents don't count.
     want = {(2, 1), (2, 6), (5, 3), (5, 4), (4, 2), (4, 3), (8, 7)}
     assert {(r["src"], r["dst"]) for r in text.backlinks(df, "id", "title", "text").collect()} == want
-    assert {(r["src"], r["dst"]) for r in text.backlinks(df, "id", "title", "text", max_words=1).collect()} == want
+    assert {(r["src"], r["dst"]) for r in text.backlinks(df, "id", "title", "text", run_words=1).collect()} == want
     assert {(r["src"], r["dst"]) for r in text.backlinks(df.filter("id IN (1, 6) OR id = 2").withColumn("title", text.F.when(text.F.col("id") == 2, "").otherwise(text.F.col("title"))), "id", "title", "text").collect()} == {(2, 1), (2, 6)}
 
 
