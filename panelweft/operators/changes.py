@@ -20,7 +20,7 @@ def small_fingerprint(df: DataFrame, columns: Sequence[str], max_rows: int = 100
     rows = df.select(line.alias("l"))
     if rows.count() > max_rows:
         raise ValueError(f"more than {max_rows} rows: use fingerprint()")
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256)).first()[0]
+    return rows.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("l")), "\n"), 256)).first()[0]
 
 
 def latest_by(df: DataFrame, key: str, time: str) -> DataFrame:

@@ -19,10 +19,6 @@ def normal_text(c):
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
 
 
-def _spot(k: int):
-    return lambda i: F.struct(F.xxhash64(F.array_join(F.slice("_w", i, k), " ")).alias("h"), i.alias("i"), F.lit(k).alias("k"))
-
-
 def keyword_index(config: dict[str, dict[str, Sequence[str]]]) -> list[tuple[str, str, str]]:
     """(domain, language, keyword) of a configuration domain -> language -> keywords; blank ones dropped."""
     return [(d, lang, " ".join(str(k).lower().split())) for d, langs in config.items() for lang, ks in langs.items() for k in ks if str(k).strip()]
@@ -39,7 +35,7 @@ def map_articles(articles: DataFrame, keywords: Sequence[tuple[str, str, str]],
     out = articles.withColumn("_t", text)
     score = lambda d: sum((F.col("_t").contains(k).cast("int") for x, _, k in keywords if x == d), F.lit(0))
     out = out.withColumns({f"score_{d}": score(d) for d in domains})
-    ranked = F.array_sort(F.filter(F.array(*[F.struct((-F.col(f"score_{d}")).alias("s"), F.lit(d).alias("d")) for d in domains]), lambda x: x["s"] < 0))
+    ranked = F.sort_array(F.filter(F.array(*[F.struct((-F.col(f"score_{d}")).alias("s"), F.lit(d).alias("d")) for d in domains]), lambda x: x["s"] < 0))
     total = sum((F.col(f"score_{d}") for d in domains), F.lit(0))
     hit = F.filter(F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(k).alias("keyword")) for d, _, k in keywords]), lambda x: F.contains(F.col("_t"), x["keyword"]))
     out = out.withColumn("_r", ranked).withColumns({"primary_domain": F.coalesce(F.get("_r", 0)["d"], F.lit(UNMAPPED)), "secondary_domains": F.transform(F.slice("_r", 2, 2), lambda x: x["d"]), "confidence": F.coalesce(F.bround(F.try_divide((-F.get("_r", 0)["s"]).cast("double"), total.cast("double")), 4), F.lit(0.0)), "matched_keywords": F.to_json(hit)})
@@ -104,10 +100,9 @@ def jaccard_pairs(docs: DataFrame, id_col: str, token_col: str, threshold: float
     of rarest tokens alone (as 64-bit hashes), under a length and a positional bound, and each
     meeting is verified on the sets themselves.
     """
-    sets = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(token_col)).alias("set")).filter(F.size("set") > 0)
-    keyed = sets.select("id", "set", F.xxhash64("set").alias("h"), F.xxhash64(F.lit(1), "set").alias("g"))
-    same = keyed.groupBy("h", "g").agg(F.min("id").alias("rep"))
-    one = keyed.join(same.select("h", "g", F.col("rep").alias("id")), ["h", "g", "id"]).select(F.col("id").alias("rep"), "set")
+    keyed = docs.select(F.col(id_col).alias("id"), F.sort_array(F.array_distinct(token_col)).alias("set")).select("id", "set", F.xxhash64("set").alias("h"), F.xxhash64(F.lit(1), "set").alias("g"))
+    # The texts are tokenised once for the distinct sets, and once for the copies' keys.
+    one = keyed.groupBy("h", "g").agg(F.min("id").alias("rep"), F.any_value("set").alias("set")).filter(F.size("set") > 0)
     terms = one.select("rep", F.size("set").alias("n"), F.explode(F.transform("set", lambda t: F.xxhash64(t))).alias("t"))
     df = terms.groupBy("t").agg(F.count("*").alias("df"))
     ranked = terms.join(df, "t").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("r"))
@@ -123,7 +118,7 @@ def jaccard_pairs(docs: DataFrame, id_col: str, token_col: str, threshold: float
     both = F.size(F.array_intersect("sa", "sb"))
     j = both.cast("double") / (F.size("sa") + F.size("sb") - both)
     near = full.select("a", "b", j.alias("jaccard")).filter(F.col("jaccard") >= threshold)
-    copies = keyed.join(same, ["h", "g"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    copies = keyed.select("id", "h", "g").join(one.select("h", "g", "rep"), ["h", "g"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     return near.unionByName(copies)
 
 
@@ -144,10 +139,12 @@ def backlinks(docs: DataFrame, id_col: str, title_col: str, text_col: str, run_w
     if not sizes:
         return docs.select(F.col(id_col).alias("src"), F.col(id_col).alias("dst")).limit(0)
     texts = docs.select(F.col(id_col).alias("src"), low(F.col(title_col)).alias("_own"), low(F.col(text_col)).alias("_body")).withColumn("_w", F.split("_body", " "))
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - k + 1, F.lit(1))), _spot(k)) for k in sizes]
-    spots = texts.select("src", "_own", "_w", F.explode(runs[0] if len(runs) == 1 else F.concat(*runs)).alias("_s"))
-    met = maybe_in(spots, F.col("_s.h"), titles.select(F.xxhash64("_run").alias("h")))
-    met = met.select("src", "_own", F.array_join(F.slice("_w", F.col("_s.i"), F.col("_s.k")), " ").alias("_run")).distinct()
+    # A hash of words skips nulls, so a title's shorter run hashes as a text's run of its width.
+    words = lambda c, at, k: F.xxhash64(*[F.get(c, at + j) for j in range(k)])
+    spots = texts.select("src", "_own", "_w", F.posexplode("_w").alias("_i", "_first"))
+    spots = spots.select("src", "_own", "_w", "_i", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), words("_w", F.col("_i"), k).alias("h")) for k in sizes])).alias("_s"))
+    met = maybe_in(spots, F.col("_s.h"), titles.select(words(F.split("_run", " "), F.lit(0), max(sizes)).alias("h")))
+    met = met.select("src", "_own", F.array_join(F.slice("_w", F.col("_i") + 1, F.col("_s.k")), " ").alias("_run")).distinct()
     found = met.join(titles, "_run").filter("src <> dst AND _own <> _title").select("src", "dst", "_title", (F.col("_run") == F.col("_title")).alias("_whole"))
     short = found.filter("_whole").select("src", "dst")
     long = found.filter("NOT _whole").select("src", "dst", "_title").join(texts.select("src", "_body"), "src").filter(F.expr("contains(concat(' ', _body, ' '), concat(' ', _title, ' '))")).select("src", "dst")
@@ -179,7 +176,7 @@ def kb_stats(docs: DataFrame, title_col: str, text_col: str, links_col: str, cat
     out = _back(a, broken_links(docs, title_col, links_col).agg(F.count_distinct("dst").alias("n_broken")), [])
     for name, values in (("categories", category_col and docs.select(F.col(category_col).alias("v"))), ("tags", tags_col and docs.select(F.explode(tags_col).alias("v")))):
         if values is not None:
-            out = _back(out, most_common(values, "v", top).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "value"))), lambda x: F.concat(x["value"], F.lit(": "), (-x["n"]).cast("string"))).alias(f"top_{name}")), [])
+            out = _back(out, most_common(values, "v", top).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "value"))), lambda x: F.concat(x["value"], F.lit(": "), (-x["n"]).cast("string"))).alias(f"top_{name}")), [])
     return out
 
 

@@ -76,7 +76,7 @@ def monitor(tables: dict[str, DataFrame], status: tuple[str, str], eligible: tup
 
 def chart_series(df: DataFrame, x: str, y: str, series: str) -> DataFrame:
     """(series, x, y): one array of points for each series, in order: chart data; a series has as many points as x has values."""
-    return df.filter(F.col(y).isNotNull()).groupBy(F.col(series).alias("series")).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("p")).select("series", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    return df.filter(F.col(y).isNotNull()).groupBy(F.col(series).alias("series")).agg(F.sort_array(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("p")).select("series", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
 def running_rank(df: DataFrame, time: str, entity: str, score: str) -> DataFrame:
