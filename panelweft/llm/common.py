@@ -31,10 +31,12 @@ _Q = np.uint64(0xD6E8FEB86659FD93)
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the session names none (tests, one machine) a temporary folder is set for it.
+    Where the session names none, a temporary folder is set for it on one machine; a cluster has to name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="panelweft-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
