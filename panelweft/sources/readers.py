@@ -138,7 +138,7 @@ def excerpt(path: str, content: str):
 
 
 def digests(spark: SparkSession, path: str, piece: int = 1 << 20) -> DataFrame:
-    """(path, sha256, length) of every file under path, read in pieces where it is: files of any size."""
+    """(path, sha256, length) of every file under path that isn't empty (Spark lists no others), read in pieces where it is: files of any size."""
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
 

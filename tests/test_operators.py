@@ -220,7 +220,7 @@ def test_verify_and_audit(spark):
     assert verify.verify(df, "d", required=["zz"]).has_errors
     a = verify.Audit("p", {"x": 1})
     a.record_stage("s", 3, 1, 1)
-    assert {i["check"] for i in verify.check_manifest(a.complete()).issues} == {"accounting"}
+    assert {i["check"] for i in verify.check_manifest(a.complete()).issues} == {"accounting", "git_commit"}
     assert verify.check_manifest("{").has_errors
 
 
@@ -291,3 +291,87 @@ def test_country_and_api_tracks(spark):
     api = frame(spark, [(c, c[:3].upper(), "negative" if j else "positive", e, y, v) for j, (c, _, _, e, y, v, _, _) in enumerate(rows)], "indicator_code string, domain string, direction string, iso3c string, year int, value double").replace({"SKI": "SKL", "INT": "ACC", "TRA": "ECO"}, subset=["domain"])
     scored = tracks.api_year(api, frame(spark, [("E1", "One")], "iso3c string, country_name string")).toPandas()
     assert len(scored) == 6 and scored.composite_score.notna().all()
+
+
+def test_places_by_rings_are_those_of_the_scan(spark):
+    import random
+
+    rng = random.Random(4)
+    places = [(f"p{i:03}", rng.gauss(0, 1) ** 3, rng.gauss(0, 5)) for i in range(300)] + [("same", 50.0, 50.0), ("a_same", 50.0, 50.0)]
+    points = [(i, rng.uniform(-80, 80), rng.uniform(-80, 80)) for i in range(200)] + [(900, None, 1.0), (901, 50.0, 51.0)]
+    args = dict(x="x", y="y", place="p", px="px", py="py")
+    df, to = frame(spark, points, "id int, x double, y double"), frame(spark, places, "p string, px double, py double")
+    scan = {r["id"]: (r["p"], r["distance"]) for r in spatial.nearest_place(df.filter("x IS NOT NULL"), to, **args).collect()}
+    rings = {r["id"]: (r["p"], r["distance"]) for r in spatial.nearest_place(df, to, few=10, **args).collect()}
+    assert rings.pop(900) == (None, None) and rings[901][0] == "a_same"
+    assert {i: (p, round(d, 9)) for i, (p, d) in rings.items()} == {i: (p, round(d, 9)) for i, (p, d) in scan.items()}
+
+
+def test_constant_and_effects_equal_dummies(spark):
+    import numpy as np
+
+    from panelweft.operators import econometrics
+
+    rng = np.random.default_rng(2)
+    rows = [(f"e{e}", t, float(rng.normal()), 0.0) for e in range(8) for t in range(6) if (e + t) % 7]
+    rows = [(e, t, x, 2 * x + int(e[1:]) - t + float(rng.normal()) / 10) for e, t, x, _ in rows]
+    fit, constant = econometrics.ols_with_constant(frame(spark, rows, "e string, t int, x double, y double"), "y", ["x"], "e", "t")
+    es, ts = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    d = np.array([[r[2], *(float(r[0] == e) for e in es), *(float(r[1] == t) for t in ts)] for r in rows])
+    b = np.linalg.lstsq(d, np.array([r[3] for r in rows]), rcond=None)[0]
+    assert abs(fit.coef[0] - b[0]) < 1e-7
+    assert abs(constant - (np.mean([r[3] for r in rows]) - b[0] * np.mean([r[2] for r in rows]))) < 1e-6
+
+
+def test_files_are_hashed_in_pieces_and_have_their_sidecars(spark, tmp_path):
+    import hashlib
+
+    from panelweft.sources import readers
+
+    (tmp_path / "a b.txt").write_bytes(b"x" * 100_000)
+    (tmp_path / "a b.txt.meta.json").write_text('{"tags": ["t"], "title": "T", "compiled": true}')
+    (tmp_path / "c.bin").write_bytes(b"y")
+    got = {r["original_name"]: r for r in readers.ingested(spark, str(tmp_path)).collect()}
+    assert got["c.bin"]["sha256"] == hashlib.sha256(b"y").hexdigest() and got["c.bin"]["tags"] == [] and not got["c.bin"]["compiled"]
+    one = next(v for k, v in got.items() if k.startswith("a"))
+    assert one["sha256"] == hashlib.sha256(b"x" * 100_000).hexdigest() and one["size_bytes"] == 100_000
+
+
+def test_a_large_csv_is_read_in_several_tasks(spark, tmp_path):
+    from panelweft.sources import readers
+
+    (tmp_path / "big.csv").write_text("a,b\n" + "".join(f"{i},x{i}\n" for i in range(400_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512k")
+    try:
+        df = readers.csv(spark, str(tmp_path / "big.csv"), columns=["a"])
+        assert df.rdd.getNumPartitions() > 4 and df.count() == 400_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_suites_of_state_and_api(spark):
+    df = frame(spark, [("A", 2015, 1.0, 0.5, 9.0, None, "High"), ("A", 2015, None, 0.6, 1.0, 101.0, "Odd"), ("B", 2030, 2.0, 0.1, 1.0, 5.0, "Low")], "state_name string, year int, composite_score double, ACC_score double, Z_x double, SKL_fem_literacy double, model_trust_tier string")
+    found = {i["check"] for i in verify.check_state(df).issues}
+    assert found == {"duplicate_keys", "null_score", "extreme_Z_x", "range_SKL_fem_literacy", "sparse_domains"}
+    assert verify.check_state(df.drop("year")).has_errors
+    api = {i["check"] for i in verify.check_api(df, (2014, 2025), entity="state_name").issues}
+    assert {"duplicate_keys", "null_score", "year_max", "tiers_known", "rows", "domain_SKL_score"} <= api and "year_min" not in api
+
+
+def test_reports_and_slides(spark):
+    from panelweft.operators import knowledge
+
+    docs = knowledge.articles(frame(spark, [(f"wiki/a/{i}.md", f"# Title {i}\n\nWater and more water flows in the river of place number {i}." + " desert" * (i == 2)) for i in range(4)], "path string, content string"))
+    out = knowledge.report(docs, "desert")
+    assert out.startswith("# desert") and "## Title 2" in out and "Title 1" not in out
+    assert knowledge.slides(docs, "desert").count("---") == 1
+    assert knowledge.master_index(docs).count() == 4
+
+
+def test_seeded_draws(spark):
+    from pyspark.sql import functions as F
+
+    from panelweft.functions import exprs as X
+
+    r = spark.range(20_000).select(X.normal(1, "id").alias("n"), X.poisson(3.0, 2, "id").alias("p"), X.chosen(["a", "b"], 3, "id").alias("c")).agg(F.avg("n"), F.stddev("n"), F.avg("p"), F.var_samp("p"), F.avg((F.col("c") == "a").cast("double"))).first()
+    assert abs(r[0]) < 0.03 and abs(r[1] - 1) < 0.03 and abs(r[2] - 3) < 0.06 and abs(r[3] - 3) < 0.15 and abs(r[4] - 0.5) < 0.02
