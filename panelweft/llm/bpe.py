@@ -9,7 +9,8 @@ beside a merged position are looked up again and appended to the index.
 Ascending order over all words gives each word the merges it would get alone, because no
 merge of the file uses a token that a later merge makes; `Vocabulary` checks that.
 
-Null texts are empty texts; empty texts have no ids; repeated rows are encoded alike.
+Null texts are empty texts; empty texts have no ids; repeated rows are encoded alike; texts
+of any length are encoded whole; extra columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations

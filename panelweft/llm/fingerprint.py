@@ -9,8 +9,9 @@ The query joins each document with its neighbour in identifier order by dealing
 range shards; the first row of each shard is also sent to the shard before it.  A task
 streams its shard with one row held back, so it holds two texts at a time.
 
-Null texts are empty texts.  Equal identifiers are ordered by text.  Null identifiers come
-last in descending order.
+Null texts are empty texts.  Equal identifiers are ordered by text, and each repeated row
+has its own result.  Null identifiers come last in descending order.  Extra columns don't
+matter; an empty table gives no rows; texts of any length are taken whole.
 """
 
 from __future__ import annotations

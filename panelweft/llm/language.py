@@ -12,7 +12,8 @@ the best language of each word is held against a background in which all trigram
 
 A text that is null or has no letter is `und` with score 0, as is every text where nothing
 could be learned (no labelled rows).  Repeated rows and ties: languages are in sorted order
-and the first of equals wins, so equal texts have equal results.
+and the first of equals wins, so equal texts have equal results.  Extra columns pass through
+accepted() and don't matter elsewhere; an empty table gives no rows; texts are taken whole.
 """
 
 from __future__ import annotations

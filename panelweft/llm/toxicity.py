@@ -7,7 +7,8 @@ the squared change of the text's logit is added to the loss with weight `swap_pe
 a neutral mention of a group then moves no score, and no group is scored unlike another.
 
 The fitted weights are a fixed-size vector.  Null and empty texts score as a text without
-features does; repeated texts have equal scores.
+features does; repeated texts have equal scores, and ties of features go to the least
+number.  Extra columns don't matter; an empty table gives no rows; texts are taken whole.
 """
 
 from __future__ import annotations

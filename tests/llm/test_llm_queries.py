@@ -340,3 +340,24 @@ def test_pipeline(spark):
     ids, bounds = e.encode([e.chunks(t) for t in texts])
     want = {i: ids[bounds[k] : bounds[k + 1]].tolist() for k, i in enumerate(left.doc_id)}
     assert {r.doc_id: list(r.ids) for r in got.itertuples()} == want
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, none):
+    import corpus_pipeline as p
+
+    stages = dict(p.STAGES)
+    for name, f in p.STAGES[:-1]:
+        assert f(spark, none, SF).count() == 0 and f(spark, none, SF).columns == none.columns
+    assert stages["bpe"](spark, none, SF).count() == 0
+    ids = lambda df: sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=lambda i: -1 if i is None else i)
+    all_ids = ids(odd)
+    known = stages["language"](spark, odd, SF)
+    assert known.columns == odd.columns and not {3, 4, 5, 12} & set(ids(known)) and {0, 8} <= set(ids(known))
+    once = stages["near_duplicates"](spark, odd, SF)
+    assert once.columns == odd.columns and ids(once) == [None, 0, 3, 4, 5, 6, 8, 10, 12, 13]
+    assert ids(stages["decontamination"](spark, odd, SF)) == all_ids
+    clean = {(r["doc_id"], r["row"]): r for r in stages["pii"](spark, odd, SF).collect()}
+    assert len(clean) == len({(r["doc_id"], r["row"]) for r in odd.collect()}) and clean[3, 3]["text"] is None and clean[13, 13]["text"] != "a@b.org 10.0.0.1"
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in clean.values())
+    coded = stages["bpe"](spark, odd, SF).collect()
+    assert len(coded) == len(all_ids) and {len(r["ids"]) for r in coded if r["doc_id"] in (3, 4, 5)} == {0}
