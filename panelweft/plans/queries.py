@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelweft.functions import exprs as X
 from panelweft.functions import stats as S
 from panelweft.operators import changes, econometrics, gating, panel, spatial, survey, text, verify
+from panelweft.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +20,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _wide(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The table for work that is long next to its reading."""
+    return readers.parquet(spark, f"{d}/{name}.parquet")
+
+
 def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
@@ -342,7 +348,7 @@ def verify_ranges(spark, d):
 
 @query("""WITH l AS (SELECT 'price' AS "column", l_extendedprice AS v FROM lineitem UNION ALL SELECT 'qty', l_quantity FROM lineitem), q AS (SELECT "column", count(*) AS n, quantile_cont(v, 0.25e0) AS a, quantile_cont(v, 0.75e0) AS b FROM l GROUP BY 1), f AS (SELECT "column", n, a - 0.5e0 * (b - a) AS lo, b + 0.5e0 * (b - a) AS hi FROM q WHERE n >= 10 AND b > a) SELECT l."column", n, round(lo, 2) AS lo, round(hi, 2) AS hi, count(*) FILTER (v < lo OR v > hi) AS n_out FROM l JOIN f USING ("column") GROUP BY ALL""")
 def verify_outliers(spark, d):
-    return _round(verify.outlier_report(_t(spark, d, "lineitem").select(F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("qty")), ["price", "qty"], 0.5), 2)
+    return _round(verify.outlier_report(_wide(spark, d, "lineitem").select(F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("qty")), ["price", "qty"], 0.5), 2)
 
 
 @query("SELECT min(y) AS lo, max(y) AS hi, count(DISTINCT y) AS n_times, count(*) FILTER (y < 1996 OR y > 2000) AS n_out FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders)")
@@ -387,7 +393,7 @@ _NEWS = "n AS (SELECT *, trim(regexp_replace(lower(coalesce(text, '')), '\\s+',
 
 
 def _news(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", "text", "lang", "source").withColumn("title", F.lit(""))
+    docs = _wide(spark, d, "documents").select("doc_id", "text", "lang", "source").withColumn("title", F.lit(""))
     return text.map_articles(docs, KEYWORDS, summary="text")
 
 
@@ -413,7 +419,7 @@ _TOK = "tk AS (SELECT doc_id, unnest(regexp_split_to_array(trim(regexp_replace(l
 
 @query(f"WITH {_TOK}, i AS (SELECT t AS term, count(DISTINCT doc_id) AS df FROM tokens GROUP BY t) SELECT term, df, {R('ln((SELECT count(*) FROM documents) / CAST(df AS DOUBLE))')} AS idf FROM i")
 def idf_table(spark, d):
-    docs = _t(spark, d, "documents")
+    docs = _wide(spark, d, "documents")
     index = text.postings(docs, "doc_id", "text")
     return _round(text.idf(index, "doc_id", docs.agg(F.count("*").alias("n"))))
 
@@ -421,19 +427,19 @@ def idf_table(spark, d):
 @query(f"""WITH {_TOK}, q AS (SELECT * FROM (VALUES ('idiot', 1), ('thion', 2), ('que', 1)) v(t, times)), tf AS (SELECT doc_id, t, count(*) AS tf FROM tokens WHERE t IN (SELECT t FROM q) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t)
 SELECT doc_id, round(sum(times * (1 + ln(CAST(tf AS DOUBLE))) * ln((SELECT count(*) FROM documents) / CAST(df AS DOUBLE))), 3) AS score FROM tf JOIN df USING (t) JOIN q USING (t) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""")
 def tfidf_search(spark, d):
-    return text.search(_t(spark, d, "documents"), "idiot thion que thion", id_col="doc_id", text_col="text")
+    return text.search(_wide(spark, d, "documents"), "idiot thion que thion", id_col="doc_id", text_col="text")
 
 
 @query(f"""WITH {_TOK}, u AS (SELECT DISTINCT doc_id, t FROM tokens), n AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id), x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL), j AS (SELECT a, b, CAST(c AS DOUBLE) / (m.n + k.n - c) AS jaccard FROM x JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b),
 s AS (SELECT doc_id, list(t ORDER BY t) AS s FROM u GROUP BY doc_id), r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM s) SELECT a, b, {R('jaccard')} AS jaccard FROM j JOIN r p ON p.doc_id = a JOIN r q ON q.doc_id = b WHERE jaccard >= 0.85 AND p.rep = a AND (q.rep = b OR q.rep = a)""")
 def jaccard_near_dupes(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", X.tokens("text").alias("k"))
+    docs = _wide(spark, d, "documents").select("doc_id", X.tokens("text").alias("k"))
     return _round(text.jaccard_pairs(docs, "doc_id", "k"))
 
 
-@query("""WITH t AS (SELECT doc_id AS dst, trim(regexp_replace(lower(array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:2], ' ')), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+', ' ', 'g')) AS title FROM documents WHERE doc_id % 10 = 0), b AS (SELECT doc_id AS src, trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+', ' ', 'g')) AS body, trim(regexp_replace(lower(array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:2], ' ')), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+', ' ', 'g')) AS own FROM documents WHERE doc_id % 10 = 0) SELECT src, dst FROM b JOIN t ON src <> dst AND own <> title AND title <> '' AND contains(' ' || body || ' ', ' ' || title || ' ')""".replace(" WHERE doc_id % 10 = 0", ""))
+@query("""WITH t AS (SELECT doc_id AS dst, trim(regexp_replace(lower(array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:2], ' ')), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+', ' ', 'g')) AS title FROM documents), b AS (SELECT doc_id AS src, trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+', ' ', 'g')) AS body, trim(regexp_replace(lower(array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:2], ' ')), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+', ' ', 'g')) AS own FROM documents) SELECT src, dst FROM b JOIN t ON src <> dst AND own <> title AND title <> '' AND contains(' ' || body || ' ', ' ' || title || ' ')""")
 def title_mention_backlinks(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", "text", F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 2), " ").alias("title"))
+    docs = _wide(spark, d, "documents").select("doc_id", "text", F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 2), " ").alias("title"))
     return text.backlinks(docs, "doc_id", "title", "text")
 
 

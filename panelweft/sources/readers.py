@@ -18,6 +18,9 @@ from panelweft.session import ship
 #: What a cell without a value may hold.
 NA_TEXT = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "#N/A")
 
+#: Bytes a core up to which a table of few files is dealt over the cores.
+CORE_BYTES = 32 << 20
+
 
 def csv(spark: SparkSession, path, schema: T.StructType | str | None = None, columns: Sequence[str] | None = None, multi_line: bool = False) -> DataFrame:
     """A headed CSV as text columns (or by schema), missing-value marks as null; only the columns asked for are parsed.
@@ -35,6 +38,21 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
+def parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, dealt over all cores if its files are fewer than these and small.
+
+    A file of one row group is read by one task however many cores there are.  Such a table is at
+    most a partition's bytes a core, so dealing it out costs little; any other is left as it lies.
+    """
+    df, sc = spark.read.parquet(path), spark.sparkContext
+    cores, files = sc.defaultParallelism, df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    paths, conf = [sc._jvm.org.apache.hadoop.fs.Path(sc._jvm.java.net.URI(f)) for f in files], sc._jsc.hadoopConfiguration()
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(cores) if size <= cores * CORE_BYTES else df
+
+
 def jsonl(spark: SparkSession, path, schema: T.StructType | str, tolerant: bool = False) -> DataFrame:
     """JSON lines; blank lines are skipped, malformed ones fail or (tolerant) are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
