@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from panelweft.session import ship
+from panelweft.sources import readers
 
 #: Bytes of text that one pass of a kernel takes; a longer unbroken word makes one longer slab.
 SLAB = 1 << 18
@@ -61,7 +62,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return readers.parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def release() -> None:
