@@ -174,7 +174,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = swaps()
 
     def run(batches):
-        at = lambda x: np.searchsorted(kept, x[np.isin(x, kept)]).astype(np.int32).tobytes()
+        def at(x: np.ndarray) -> bytes:
+            if not len(kept):
+                return b""
+            k = np.minimum(np.searchsorted(kept, x), len(kept) - 1)
+            return k[kept[k] == x].astype(np.int32).tobytes()
+
         for batch in batches:
             for part in C.blocks(batch, "text"):
                 w = _words(*C.text_buffers(C.column(part, "text")))
@@ -188,7 +193,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                     feats.append(at(own)), lost.append(at(np.setdiff1d(gone, came))), won.append(at(np.setdiff1d(came, own)))
                 yield pa.RecordBatch.from_arrays([C.column(part, "_id"), C.column(part, "_y"), *(pa.array(x, pa.binary()) for x in (feats, lost, won))], ["id", "y", "feats", "lost", "won"])
 
-    got = sorted((r["id"], r["y"], bytes(r["feats"]), bytes(r["lost"]), bytes(r["won"])) for r in rows.mapInArrow(C.tidy(run), "id long, y int, feats binary, lost binary, won binary").toLocalIterator())
+    # All tasks at once write the sample's features; the driver then reads them part by part.
+    folder = C.shared_dir(docs.sparkSession)
+    sample = C.stored(rows.mapInArrow(C.tidy(run), "id long, y int, feats binary, lost binary, won binary"), folder)
+    got = sorted((r["id"], r["y"], bytes(r["feats"]), bytes(r["lost"]), bytes(r["won"])) for r in sample.toLocalIterator())
+    C.remove(docs.sparkSession, folder)
     array = lambda b: np.frombuffer(b, np.int32)
     changes = [(i, array(x[3]), array(x[4])) for i, x in enumerate(got) if x[3] or x[4]]
     return fit_rows(kept, [array(x[2]) for x in got], np.array([x[1] for x in got], np.int64), changes, swap_penalty=swap_penalty)
