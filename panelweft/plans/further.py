@@ -11,8 +11,10 @@ from panelweft.functions import exprs as X
 from panelweft.functions import hooks
 from panelweft.functions import stats as S
 from panelweft.operators import changes, econometrics, knowledge, panel, spatial, survey, text, verify, views
-from panelweft.plans.queries import _NEWS, _PLACES, _TOK, BASE, LONG, R, _news, _round, _t, base, long, query
+from panelweft.plans import tracks
+from panelweft.plans.queries import _NEWS, _PLACES, _TOK, BASE, KEYWORDS, LONG, R, _news, _round, _t, _wide, base, long, query
 from panelweft.sources import readers, sinks
+from panelweft.streaming import live
 
 
 def _scratch(spark) -> str:
@@ -472,3 +474,18 @@ def spatial_nearest_by_grid(spark, d):
     e = _t(spark, d, "embeddings").select("vec_id", F.get("embedding", 0).cast("double").alias("x"), F.get("embedding", 1).cast("double").alias("y"))
     c = spark.createDataFrame(_PLACES, "place string, px double, py double")
     return _round(spatial.nearest_place(e, c, x="x", y="y", place="place", px="px", py="py", few=3).select("vec_id", "place", "distance"))
+
+
+@query(f"""WITH {_NEWS}, a AS (SELECT doc_id % 700 AS k, doc_id, lang, primary_domain, CAST(doc_id % 2 AS INTEGER) AS b, CASE WHEN doc_id % 5 > 0 THEN TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 700 AS INTEGER)) END AS ts FROM m), l AS (SELECT *, row_number() OVER (PARTITION BY k, doc_id ORDER BY b DESC) AS i FROM a) SELECT lang, count(*) AS n, count(*) FILTER (primary_domain <> 'UNMAPPED') AS mapped, round(count(*) FILTER (primary_domain <> 'UNMAPPED') / 1.0e0 / count(*), 4) AS mapping_rate FROM l WHERE i = 1 AND (ts IS NULL OR ts >= TIMESTAMP '2024-01-25' - INTERVAL 14 DAYS) GROUP BY lang""")
+def news_turn(spark, d):
+    """Half of the documents are the intake of the turn before."""
+    docs = _wide(spark, d, "documents").select("doc_id", "text", "lang", F.lit("").alias("title"), F.when(F.col("doc_id") % 5 > 0, F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=(F.col("doc_id") % 700).cast("int"))).alias("ts")).withColumnRenamed("text", "summary")
+    old = text.map_articles(docs.filter("doc_id % 2 = 0"), KEYWORDS)
+    return tracks.news(old, docs.filter("doc_id % 2 = 1"), KEYWORDS, now="2024-01-25", key="doc_id", published="ts", by=["lang"])["groups"]
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN event_type = 'error' THEN ' ' ELSE event_type END AS r FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, trim(r) <> '') AS i FROM e), s AS (SELECT user_id, CAST(least(count(*) FILTER (i > 1 AND trim(r) <> ''), 60) AS INTEGER) AS step FROM f GROUP BY user_id) SELECT user_id, CASE WHEN step = 60 THEN 'completed' ELSE 'awaiting_reply' END AS status, step FROM s""")
+def questionnaire_replay(spark, d):
+    """Events as replies, the errors blank."""
+    e = _t(spark, d, "events").withColumn("reply", F.when(F.col("event_type") == "error", " ").otherwise(F.col("event_type")))
+    return live.questionnaire(e, key="user_id", time="ts", n_questions=60)

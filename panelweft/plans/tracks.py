@@ -1,4 +1,4 @@
-"""The pipelines: state-year, country-year and API tracks, each one lazy plan from typed inputs to scored panels."""
+"""The pipelines: state-year, country-year, API and news tracks, each one lazy plan from typed inputs to its results."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelweft.functions.exprs import oriented, replaced, row_count, row_mean, to_bool, to_number, trust_tier, weighted_mean, year_of_period
 from panelweft.functions.stats import _back, tukey_clip, winsor_zscore, winsor_zscores
+from panelweft.operators import text
 from panelweft.operators.gating import DOMAINS, indicator_stats, selected
 from panelweft.operators.panel import group_mean, group_sum, impute, interpolate, nearest, outer_mean, pivot_mean, with_fallback
 from panelweft.operators.verify import clamped, known_bounds
@@ -108,3 +109,15 @@ def api_year(long: DataFrame, countries: DataFrame, *, years: tuple[int, int] =
 def with_share(df: DataFrame, value: str, out: str) -> DataFrame:
     """A column's share of its total."""
     return _back(df, df.agg(F.sum(value).alias("_t")), []).withColumn(out, F.try_divide(F.col(value), F.col("_t"))).drop("_t")
+
+
+def news(old: DataFrame | None, fetched: DataFrame, keywords: Sequence[tuple[str, str, str]], *, now, key: str = "article_id", published: str = "published_at", by: Sequence[str] = ("country_iso3",), days: int = 14) -> dict[str, DataFrame]:
+    """A turn of the news agent: fetched articles mapped, merged into the intake, summed up.
+
+    intake: the last of each key within the look-back (with no old intake, all fetched ones as they are);
+    domains: (primary_domain, n); groups: (by, n, mapped, mapping_rate); totals: one row (n, mapped,
+    mapping_rate), nulls and zeros of an empty turn included.  Write the intake before the next turn reads it.
+    """
+    mapped = text.map_articles(fetched, keywords)
+    intake = mapped if old is None else text.rolling_intake(old, mapped, key=key, published=published, now=now, days=days)
+    return {"intake": intake, "domains": intake.groupBy("primary_domain").agg(F.count("*").alias("n")), "groups": text.news_summary(intake, by), "totals": text.news_summary(intake, [])}

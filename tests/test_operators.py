@@ -1,5 +1,6 @@
 """Operators on small frames, against pandas and NumPy or by their invariants."""
 
+import datetime as dt
 import json
 
 import numpy as np
@@ -375,3 +376,18 @@ def test_seeded_draws(spark):
 
     r = spark.range(20_000).select(X.normal(1, "id").alias("n"), X.poisson(3.0, 2, "id").alias("p"), X.chosen(["a", "b"], 3, "id").alias("c")).agg(F.avg("n"), F.stddev("n"), F.avg("p"), F.var_samp("p"), F.avg((F.col("c") == "a").cast("double"))).first()
     assert abs(r[0]) < 0.03 and abs(r[1] - 1) < 0.03 and abs(r[2] - 3) < 0.06 and abs(r[3] - 3) < 0.15 and abs(r[4] - 0.5) < 0.02
+
+
+def test_news_turn(spark):
+    schema = "article_id string, title string, summary string, published_at timestamp, country_iso3 string"
+    day = lambda n: dt.datetime(2024, 1, n)
+    kw = [("ACC", "en", "net"), ("ECO", "en", "bank")]
+    first = tracks.news(None, frame(spark, [("a", "Net", "", day(1), "IND"), ("b", "x", None, None, "IND")], schema), kw, now="2024-01-20")
+    old = first["intake"]
+    assert first["totals"].first()["n"] == 2 and {tuple(r) for r in first["domains"].collect()} == {("ACC", 1), ("UNMAPPED", 1)}
+    new = frame(spark, [("c", "Bank", "", day(19), "KEN"), ("b", "net", "", day(18), "IND")], schema)
+    turn = tracks.news(old, new, kw, now="2024-01-20")
+    assert {(r["article_id"], r["primary_domain"]) for r in turn["intake"].collect()} == {("b", "ACC"), ("c", "ECO")}
+    assert {tuple(r) for r in turn["groups"].collect()} == {("IND", 1, 1, 1.0), ("KEN", 1, 1, 1.0)}
+    none = tracks.news(old.limit(0), new.limit(0), kw, now="2024-01-20")
+    assert none["groups"].count() == 0 and none["totals"].first()["n"] == 0
