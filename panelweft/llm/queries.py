@@ -9,6 +9,8 @@ from panelweft.llm.neardup import op7_minhash
 from panelweft.llm.pii import op5_pii
 from panelweft.llm.quality import ORACLE as OP13
 from panelweft.llm.quality import op13_quality
+from panelweft.llm.resample import ORACLE as OP11
+from panelweft.llm.resample import op11_resample
 from panelweft.llm.sstable import op8_sstable
 from panelweft.llm.substrings import op1_substrings
 from panelweft.llm.toxicity import op10_toxicity
@@ -25,6 +27,7 @@ QUERIES = {
     "op8_sstable": op8_sstable,
     "op9_fingerprint": op9_fingerprint,
     "op10_toxicity": op10_toxicity,
+    "op11_resample": op11_resample,
     "op13_quality": op13_quality,
 }
 
@@ -58,4 +61,4 @@ least_ AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(doc_id, m) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_ USING (doc_id)
 """
-ORACLES = {"op1_substrings": OP1, "op2_decontaminate": OP2, "op4_warc": OP4, "op7_minhash": OP7, "op13_quality": OP13}
+ORACLES = {"op1_substrings": OP1, "op2_decontaminate": OP2, "op4_warc": OP4, "op7_minhash": OP7, "op11_resample": OP11, "op13_quality": OP13}
