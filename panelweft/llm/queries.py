@@ -1,6 +1,8 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
 from panelweft.llm.bpe import op3_bpe
+from panelweft.llm.conversation import ORACLE as OP12
+from panelweft.llm.conversation import op12_conversations
 from panelweft.llm.decontaminate import ORACLE as OP2
 from panelweft.llm.decontaminate import op2_decontaminate
 from panelweft.llm.fingerprint import op9_fingerprint
@@ -28,6 +30,7 @@ QUERIES = {
     "op9_fingerprint": op9_fingerprint,
     "op10_toxicity": op10_toxicity,
     "op11_resample": op11_resample,
+    "op12_conversations": op12_conversations,
     "op13_quality": op13_quality,
 }
 
@@ -61,4 +64,4 @@ least_ AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(doc_id, m) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_ USING (doc_id)
 """
-ORACLES = {"op1_substrings": OP1, "op2_decontaminate": OP2, "op4_warc": OP4, "op7_minhash": OP7, "op11_resample": OP11, "op13_quality": OP13}
+ORACLES = {"op1_substrings": OP1, "op2_decontaminate": OP2, "op4_warc": OP4, "op7_minhash": OP7, "op11_resample": OP11, "op12_conversations": OP12, "op13_quality": OP13}
