@@ -20,15 +20,20 @@ null role or text is one space, a null conversation id an id of its own, and rep
 duplicates.  A conversation without rows (only such whose times are 0) has zeros and an empty
 audit.  Extra columns don't matter; an empty table gives no rows; texts are taken whole.
 
-A conversation is a row of the result, with its audit and its turns, so it has to fit into a
-task; tasks hold one at a time.
+A task repairs whole conversations of up to `long_rows` rows, one at a time.  Longer ones are cut
+into chunks all over the cluster: a chunk's costs are a 4 x 4 matrix, a fold over the matrices
+gives each chunk the vector behind it, and then each chunk is scanned and traced by itself.
+Their results are the same; only the row of the result, with the audit and the turns, is whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +43,10 @@ from panelweft.llm.resample import CRC_OF, CRC_TABLE
 MARKS = ".!?"
 WORD = r"[^\x20\x09-\x0D]"
 RETAG, DELETE, INSERT, UNFINISHED = 3, 4, 3, 3
-_NEVER = 1 << 30
+_NEVER = 1 << 50
+#: Rows up to which a conversation is left whole, and rows of a chunk of a longer one.
+LONG_ROWS = 50_000
+CHUNK_ROWS = 4096
 
 #: Structure states: nothing yet, after the system turn, after a user's, after an assistant's turn.
 ACCEPTING = (0, 3)
@@ -81,13 +89,14 @@ class Repairer:
         self.table: list[list[tuple[int, int] | None]] = []
         self.moves: dict[tuple[int, int, int], tuple[str, int]] = {}
         self.end, _ = self._state([0 if q in ACCEPTING else _NEVER for q in range(4)])
+        self.only = [self._state([0 if q == end else _NEVER for q in range(4)])[0] for end in range(4)]
 
     def _state(self, costs: list[int]) -> tuple[int, int]:
         """The state of a vector of costs, after insertions, and the least of them."""
         for _ in range(3):  # an insertion leads to its place from at most two others
-            costs = [min(costs[q], INSERT + costs[_NEXT[q][0]]) for q in range(4)]
+            costs = [min(costs[q], INSERT + costs[_NEXT[q][0]], _NEVER) for q in range(4)]
         least = min(costs)
-        vector = tuple(c - least for c in costs)
+        vector = tuple(c - least if c < _NEVER else c for c in costs)
         if vector not in self.number:
             self.number[vector] = len(self.vectors)
             self.vectors.append(vector)
@@ -114,32 +123,54 @@ class Repairer:
             if e != "I":
                 return made, q
 
-    def repair(self, symbols: list[int]) -> tuple[int, list[str]]:
-        """The least cost, and the edits up to each row's own, then those after the last row."""
-        state, cost, states = self.end, 0, [self.end]
+    def scan(self, symbols: Sequence[int], state: int) -> tuple[list[int], int]:
+        """The states after each row and, at last, before the first, last row first; and what they have in common."""
+        cost, states = 0, [state]
         for sym in reversed(symbols):
             state, more = self.step(state, sym)
             cost += more
             states.append(state)
-        states.pop()
-        cost += self.vectors[state][0]
-        out, q = [], 0
-        for sym in symbols:
-            key = states.pop(), sym, q
+        return states, cost
+
+    def trace(self, symbols: Sequence[int], states: list[int], q: int) -> tuple[list[str], int]:
+        """The edits up to each row's own from structure state q on, and the structure state after the last; states as of scan()."""
+        out = []
+        for sym, state in zip(symbols, reversed(states[:-1]), strict=True):
+            key = state, sym, q
             if (got := self.moves.get(key)) is None:
                 got = self.moves[key] = self._move(*key)
             out.append(got[0])
             q = got[1]
-        last = ""
-        while q not in ACCEPTING:
-            last, q = last + "I", _NEXT[q][0]
-        return cost, [*out, last]
+        return out, q
+
+    def repair(self, symbols: Sequence[int]) -> tuple[int, list[str]]:
+        """The least cost, and the edits up to each row's own, then those after the last row."""
+        states, cost = self.scan(symbols, self.end)
+        out, q = self.trace(symbols, states, 0)
+        return cost + self.vectors[states[-1]][0], [*out, closing(q)]
+
+    def span(self, symbols: Sequence[int]) -> list[int]:
+        """Costs of rows as a 4 x 4 matrix, from the structure state before them to the one after: scans that only one end is good for."""
+        out = [0] * 16
+        for end in range(4):
+            states, cost = self.scan(symbols, self.only[end])
+            for q, c in enumerate(self.vectors[states[-1]]):
+                out[4 * q + end] = min(c + cost, _NEVER)
+        return out
+
+
+def closing(q: int) -> str:
+    """Insertions that end a conversation from structure state q."""
+    out = ""
+    while q not in ACCEPTING:
+        out, q = out + "I", _NEXT[q][0]
+    return out
 
 
-def applied(edits: list[str], rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """The turns that edits, as repair() gives them, make of rows (role, text)."""
-    out, q = [], 0
-    for made, row in zip(edits, [*rows, None], strict=True):
+def applied(edits: list[str], rows: Sequence[tuple[str, str]], q: int = 0) -> list[tuple[str, str]]:
+    """The turns that edits, from structure state q on, make of rows (role, text); one more edit may follow the last row's."""
+    out = []
+    for made, row in zip(edits, [*rows, None], strict=False):
         for e in made:
             if e == "K":
                 q = _KEEP[q][row[0][0]]
@@ -171,17 +202,30 @@ def _summary(machine: Repairer, rows: list[tuple[int | None, str, str]]) -> tupl
     return gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, "".join(edits), [{"role": r, "text": t} for r, t in turned]
 
 
-def repair(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", times_col: str | None = None) -> DataFrame:
+_COUNTS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+_TURNS = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+
+
+def repair(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", times_col: str | None = None, long_rows: int = LONG_ROWS) -> DataFrame:
     """(conv_col, gaps, blank, duplicate, truncated, illegal, cost, audit, turns) of every conversation; turns: array of (role, text).
 
     times_col: how often a row stands, one after the other; 0 only tells that its conversation is there.
     """
-    C.ship(rows.sparkSession)
-    kind = rows.schema[conv_col].dataType
-    names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
-    turn_type = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+    spark = rows.sparkSession
+    C.ship(spark)
     times = F.col(f"`{times_col}`") if times_col else F.lit(1)
-    held = rows.select(F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit(" ")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit(" ")).alias("text"), times.cast("int").alias("times"))
+    held = rows.select(F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit(" ")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit(" ")).alias("text"), times.cast("long").alias("times"))
+    path = C.shared_dir(spark)
+    long = C.stored(held.groupBy("conv").agg(F.sum("times").alias("n")).filter(F.col("n") > long_rows).select(F.col("conv").alias("of")), f"{path}/long")
+    if long.isEmpty():
+        return _whole(held).withColumnRenamed("conv", conv_col)
+    same = F.col("conv").eqNullSafe(F.col("of"))
+    out = _whole(held.join(long, same, "left_anti")).unionByName(_chunked(held.join(long, same, "left_semi"), path))
+    return out.withColumnRenamed("conv", conv_col)
+
+
+def _whole(held: DataFrame) -> DataFrame:
+    """Conversations, each by one task."""
 
     def run(batches):
         machine, conv, own, open_ = Repairer(), None, [], False
@@ -191,7 +235,7 @@ def repair(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn"
         def flush():
             convs, found = [c for c, _ in done], [s for _, s in done]
             done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(convs, conv_type), *(pa.array([s[i] for s in found], pa.int64()) for i in range(6)), pa.array([s[6] for s in found], pa.string()), pa.array([s[7] for s in found], turn_type)], ["conv", *names, "audit", "turns"])
+            return pa.RecordBatch.from_arrays([pa.array(convs, conv_type), *(pa.array([s[i] for s in found], pa.int64()) for i in range(6)), pa.array([s[6] for s in found], pa.string()), pa.array([s[7] for s in found], _TURNS)], ["conv", *_COUNTS, "audit", "turns"])
 
         for batch in batches:
             conv_type = C.column(batch, "conv").type
@@ -210,8 +254,116 @@ def repair(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn"
             yield flush()
 
     ordered = held.repartition("conv").sortWithinPartitions("conv", F.asc_nulls_first("turn"), "role", "text")
-    out = ordered.mapInArrow(C.tidy(run), f"conv {kind.simpleString()}, {', '.join(f'{x} long' for x in names)}, audit string, turns array<struct<role:string,text:string>>")
-    return out.withColumnRenamed("conv", conv_col)
+    kind = held.schema["conv"].dataType.simpleString()
+    return ordered.mapInArrow(C.tidy(run), f"conv {kind}, {', '.join(f'{x} long' for x in _COUNTS)}, audit string, turns array<struct<role:string,text:string>>")
+
+
+def _chunked(held: DataFrame, path: str) -> DataFrame:
+    """Long conversations: equal rows as one with their number, then chunks of consecutive rows."""
+    kind = held.schema["conv"].dataType.simpleString()
+    one = held.groupBy("conv", "turn", "role", "text").agg(F.sum("times").alias("times")).filter("times > 0").withColumn("key", F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256))
+    one = C.stored(one, f"{path}/distinct")
+    at = F.struct(F.col("turn").isNotNull().alias("has"), F.col("turn").alias("turn"))
+    first = one.groupBy(F.col("conv").alias("of"), F.col("key").alias("what")).agg(F.min(at).alias("first"))
+    marked = one.join(first, F.col("conv").eqNullSafe(F.col("of")) & (F.col("key") == F.col("what"))).select("conv", "turn", "role", "text", "times", at.eqNullSafe(F.col("first")).alias("fresh"))
+    keys = ["conv", F.asc_nulls_first("turn"), "role", "text"]
+    cut = marked.repartitionByRange(C.width(held.sparkSession), *keys).sortWithinPartitions(*keys)
+    stats = ("n", "blank", "duplicate", "truncated", "illegal", "turns", "low", "high")
+
+    def chunk(batches):
+        machine, part, seq = Repairer(), TaskContext.get().partitionId(), 0
+        conv, rows, open_, conv_type = None, [], False, None
+
+        def flush():
+            nonlocal seq
+            seq += 1
+            faults = [f for *_, f in rows]
+            initials = [role[:1] for _, role, _, _ in rows]
+            symbols = bytes(GONE if f in ("blank", "duplicate") else symbol(i, f == "truncated") for f, i in zip(faults, initials, strict=True))
+            known = [t for t, *_ in rows if t is not None]
+            found = (len(rows), *map(faults.count, ("blank", "duplicate", "truncated")), sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False)), len(set(known)), min(known, default=None), max(known, default=None))
+            texts = [{"role": role, "text": text} if f not in ("blank", "duplicate") else {"role": "", "text": ""} for _, role, text, f in rows]
+            return pa.RecordBatch.from_arrays([pa.array([conv], conv_type), pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([symbols], pa.binary()), pa.array([machine.span(symbols)], pa.list_(pa.int64())), *(pa.array([x], pa.int64()) for x in found), pa.array([initials[0]]), pa.array([initials[-1]]), pa.array([texts], _TURNS)], ["conv", "part", "seq", "symbols", "costs", *stats, "opens", "closes", "rows"])
+
+        for batch in batches:
+            conv_type = C.column(batch, "conv").type
+            for c, turn, role, text, n, fresh in zip(*(C.column(batch, x).to_pylist() for x in ("conv", "turn", "role", "text", "times", "fresh")), strict=True):
+                if rows and (c != conv or len(rows) >= CHUNK_ROWS):
+                    yield flush()
+                    rows = []
+                conv = c
+                for k in range(n):
+                    if len(rows) >= CHUNK_ROWS:
+                        yield flush()
+                        rows = []
+                    fault = _faults(role, text, set())
+                    rows.append((turn, role, text, fault if fault == "blank" else "duplicate" if k or not fresh else fault))
+        if rows:
+            yield flush()
+
+    turns = "array<struct<role:string,text:string>>"
+    chunks = C.stored(cut.mapInArrow(C.tidy(chunk), f"conv {kind}, part int, seq int, symbols binary, costs array<long>, {', '.join(f'{x} long' for x in stats)}, opens string, closes string, rows {turns}"), f"{path}/chunks")
+    small = chunks.drop("rows", "symbols")
+
+    def behind(own: pd.DataFrame) -> pd.DataFrame:
+        """The vector of costs behind each chunk, and the conversation's counts on each."""
+        own = own.sort_values(["part", "seq"], ignore_index=True)
+        right, ends = [0, 6, 3, 0], []
+        for m in own["costs"][::-1]:
+            ends.append(right)
+            right = [min(int(m[4 * q + p]) + right[p] for p in range(4)) for q in range(4)]
+        own["behind"] = ends[::-1]
+        shared = (own["low"].to_numpy()[1:] == own["high"].to_numpy()[:-1]).sum()  # a turn on both sides of a cut
+        n_turns = own["turns"].sum() - shared
+        own["gaps"] = int(own["high"].max() - own["low"].min() + 1 - n_turns) if n_turns else 0
+        own["illegal"] = int(own["illegal"].sum()) + sum(a + b not in ("su", "ua", "au") for a, b in zip(own["closes"], own["opens"][1:], strict=False))
+        for c in ("blank", "duplicate", "truncated"):
+            own[c] = own[c].sum()
+        return own.assign(cost=right[0])[["conv", "part", "seq", "behind", *_COUNTS]]
+
+    place = "conv", "part", "seq"
+    folded = C.stored(small.groupBy("conv").applyInPandas(behind, f"conv {kind}, part int, seq int, behind array<long>, {', '.join(f'{x} long' for x in _COUNTS)}"), f"{path}/folded")
+
+    def traced(batches):
+        machine = Repairer()
+        for batch in batches:
+            made, ends = [], []
+            for symbols, right in zip(C.column(batch, "symbols").to_pylist(), C.column(batch, "behind").to_pylist(), strict=True):
+                states, _ = machine.scan(symbols, machine._state(right)[0])
+                found = [machine.trace(symbols, states, q) for q in range(4)]
+                made.append([",".join(e) for e, _ in found])
+                ends.append([q for _, q in found])
+            yield pa.RecordBatch.from_arrays([*(C.column(batch, x) for x in place), pa.array(made, pa.list_(pa.string())), pa.array(ends, pa.list_(pa.int32()))], [*place, "made", "ends"])
+
+    # part and seq name a chunk: a null conversation needs no null-safe key
+    paths = C.stored(chunks.select(*place, "symbols").join(folded.select("part", "seq", "behind"), ["part", "seq"]).select(*place, "symbols", "behind").mapInArrow(C.tidy(traced), f"conv {kind}, part int, seq int, made array<string>, ends array<int>"), f"{path}/paths")
+
+    def chosen(own: pd.DataFrame) -> pd.DataFrame:
+        """The structure state before each chunk, and the edits after the last."""
+        own = own.sort_values(["part", "seq"], ignore_index=True)
+        q, starts = 0, []
+        for ends in own["ends"]:
+            starts.append(q)
+            q = int(ends[q])
+        own["start"], own["tail"] = starts, ""
+        own.loc[len(own) - 1, "tail"] = closing(q)
+        return own[["part", "seq", "start", "tail"]]
+
+    starts = paths.drop("made").groupBy("conv").applyInPandas(chosen, "part int, seq int, start int, tail string")
+
+    def apply(batches):
+        for batch in batches:
+            audits, out = [], []
+            for rows, made, start, tail in zip(*(C.column(batch, x).to_pylist() for x in ("rows", "made", "start", "tail")), strict=True):
+                edits = made[start].split(",")
+                audits.append("".join(edits) + tail)
+                out.append([{"role": r, "text": t} for r, t in applied([*edits, tail], [(x["role"], x["text"]) for x in rows], start)])
+            yield pa.RecordBatch.from_arrays([*(C.column(batch, x) for x in place), pa.array(audits), pa.array(out, _TURNS)], [*place, "audit", "turns"])
+
+    done = chunks.select(*place, "rows").join(paths.select("part", "seq", "made"), ["part", "seq"]).join(starts, ["part", "seq"]).select(*place, "rows", "made", "start", "tail").mapInArrow(C.tidy(apply), f"conv {kind}, part int, seq int, audit string, turns {turns}")
+    gathered = done.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("part", "seq", "audit", "turns"))).alias("x"))
+    counts = folded.select(F.col("conv").alias("of"), *_COUNTS).dropDuplicates(["of"])
+    return gathered.join(counts, F.col("conv").eqNullSafe(F.col("of"))).select("conv", *_COUNTS, F.array_join("x.audit", "").alias("audit"), F.flatten("x.turns").alias("turns"))
 
 
 def damaged(rows: DataFrame) -> DataFrame:
