@@ -144,7 +144,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     C.ship(docs.sparkSession)
     if not _bounded(benchmark, item_text_col, max_broadcast_windows):
         found = _join_shuffled(docs, benchmark, id_col, text_col, item_col, item_text_col, window, shingle).filter("contaminated").select("_row").distinct()
-        return docs.withColumn("_row", F.xxhash64(id_col, text_col)).join(found, "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+        rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("_row"), F.struct("*").alias("held"))  # whatever docs' columns are called
+        return rows.join(found, "_row", "left_anti").select("held.*")
     shared = _prepared(docs, benchmark, text_col, item_col, item_text_col, window, shingle)
 
     def keep(batches):

@@ -2,7 +2,8 @@
 
 Training counts hashed byte trigrams (boundaries included) of every training text by its
 label.  A document is a mixture of languages: each word comes from one of them with the
-likelihood of its trigrams.  Expectation-maximisation estimates the document's language
+likelihood of its trigrams (where a script puts no spaces between words, four characters count
+as a word).  Expectation-maximisation estimates the document's language
 proportions; the language set is selected among the sets of the k largest proportions by
 log-likelihood penalised by `penalty` * k * log(words) / 2.  The prediction is the largest
 share of the selected mixture and the score that share, smoothed for short texts.
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from panelweft.llm import common as C
 
 BUCKETS = 1 << 14
-#: Languages that may be learned; the model is BUCKETS numbers for each of them.
-MAX_LANGUAGES = 256
+#: Counts that a training task holds before it sends them on.
+HELD = 1 << 22
+#: Characters of a script without spaces that count as a word.
+UNSPACED_RUN = 4
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Share of the background in a language when the two are compared: what one trigram never seen can count.
@@ -35,6 +38,9 @@ FOREIGN = 0.1
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+#: First bytes of characters of Thai, Lao, Burmese, Khmer, kana and Han (some only with certain second bytes).
+_UNSPACED = np.zeros(256, bool)
+_UNSPACED[[0xE0, 0xE1, *range(0xE3, 0xEA), 0xF0]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[~_LETTER] = 32
@@ -63,28 +69,44 @@ class Model:
         self.log = np.log(p / p.sum(axis=1, keepdims=True)).astype(np.float32) if len(languages) else np.zeros((0, BUCKETS), np.float32)
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES) -> Model:
-    """A model from every labelled row of docs."""
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model from every labelled row of docs: BUCKETS numbers for each language, however many there are."""
     C.ship(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    languages = sorted(r[0] for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
-    if len(languages) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
     code = {x: i for i, x in enumerate(languages)}
     schema = pa.schema([("lang", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
-        sums = np.zeros(len(code) * BUCKETS, np.int64)
+        dense = len(code) * BUCKETS <= HELD
+        sums, held, n_held = np.zeros(len(code) * BUCKETS if dense else 0, np.int64), [], 0
+
+        def sent(keys, n):
+            return C.batch_of(schema, (keys // BUCKETS).astype(np.int32), (keys % BUCKETS).astype(np.int32), n)
+
+        def flush():
+            keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return sent(keys, np.bincount(back, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64))
+
         for batch in batches:
             for part in C.blocks(batch, "text"):
                 data, offsets = C.text_buffers(C.column(part, "text"))
                 grams = _trigrams(data, offsets)
                 own = np.array([code[x] for x in C.column(part, "lang").to_pylist()], np.int64)
-                letters = _LETTER[data]
-                key = grams + np.repeat(own * BUCKETS, np.diff(offsets))
-                sums += np.bincount(key[letters], minlength=len(sums))
-        some = np.flatnonzero(sums)
-        yield C.batch_of(schema, (some // BUCKETS).astype(np.int32), (some % BUCKETS).astype(np.int32), sums[some])
+                key = (grams + np.repeat(own * BUCKETS, np.diff(offsets)))[_LETTER[data]]
+                if dense:
+                    sums += np.bincount(key, minlength=len(sums))
+                    continue
+                held.append(np.unique(key, return_counts=True))
+                n_held += len(held[-1][0])
+                if n_held >= HELD:
+                    yield flush()
+                    held, n_held = [], 0
+        if held:
+            yield flush()
+        if dense:
+            some = np.flatnonzero(sums)
+            yield sent(some, sums[some])
 
     counts = np.zeros((len(languages), BUCKETS))
     if languages:
@@ -97,13 +119,15 @@ def _em(lik: np.ndarray, bounds: np.ndarray, share: np.ndarray, turns: int) -> n
     """Proportions (documents, languages) from word likelihoods (words, languages); languages of share 0 stay out."""
     counts = np.diff(bounds)
     n = np.maximum(counts, 1)[:, None]
+    open_ = np.ones(len(counts), bool)
     for _ in range(turns):
         r = lik * np.repeat(share, counts, axis=0)
         r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-30)
         new = np.add.reduceat(r, bounds[:-1], axis=0) / n
-        moved = np.abs(new - share).max(initial=0)
-        share = new
-        if moved < 1e-3:
+        moved = np.abs(new - share).max(axis=1, initial=0)
+        share = np.where(open_[:, None], new, share)  # a text stops by itself, whatever is next to it
+        open_ &= moved >= 1e-3
+        if not open_.any():
             break
     return share
 
@@ -120,9 +144,32 @@ def _starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first[1:] &= ~letter[:-1]
     begin = offsets[:-1][offsets[:-1] < len(data)]
     first[begin] = letter[begin]
+    _cut_unspaced(data, begin, letter, first)
     return letter, np.flatnonzero(first)
 
 
+def _cut_unspaced(data: np.ndarray, begin: np.ndarray, letter: np.ndarray, first: np.ndarray) -> None:
+    """Mark word beginnings in runs of scripts that put no spaces between words: every UNSPACED_RUN characters, and where such a run ends."""
+    at = np.flatnonzero(_UNSPACED[data])
+    at = at[at + 2 < len(data)]
+    second = data[at + 1]
+    # Thai and Lao share their first byte with Indic scripts, Burmese and Khmer theirs with Hangul letters, Georgian and others.
+    own = np.where(data[at] == 0xE0, (second >= 0xB8) & (second <= 0xBB), np.where(data[at] == 0xE1, (second >= 0x80) & (second <= 0x82) | (second == 0x9E) | (second == 0x9F), (data[at] != 0xF0) | (second >= 0xA0) & (second <= 0xB3)))
+    at = at[own]
+    if not len(at):
+        return
+    size = np.where(data[at] == 0xF0, 4, 3)
+    joined = np.zeros(len(at), bool)
+    joined[1:] = (at[1:] == at[:-1] + size[:-1]) & ~np.isin(at[1:], begin)
+    start = np.maximum.accumulate(np.where(joined, 0, np.arange(len(at))))
+    first[at[(np.arange(len(at)) - start) % UNSPACED_RUN == 0]] = True
+    after = at + size
+    last = np.ones(len(at), bool)
+    last[:-1] = ~joined[1:]
+    after = after[last & (after < len(data))]
+    first[after[letter[after]]] = True
+
+
 def gains(model: Model) -> np.ndarray:
     """Log-odds of trigram buckets by language against the background."""
     return np.log((1 - FOREIGN) * BUCKETS * np.exp(model.log) + FOREIGN).astype(np.float32)
@@ -187,6 +234,11 @@ def mixtures(model: Model, data: np.ndarray, offsets: np.ndarray, penalty: float
     return out, np.diff(bounds)
 
 
+def _block(n_lang: int) -> int:
+    """Bytes of text judged at once: fewer for more languages, as every word has a likelihood of each."""
+    return max((1 << 23) // max(n_lang, 4), 1 << 12)
+
+
 def _has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
@@ -239,7 +291,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches:
-            for part in C.blocks(batch, text_col, 1 << 21):
+            for part in C.blocks(batch, text_col, _block(len(model.languages))):
                 langs, scores, maps = _judged(part, text_col, model)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs), pa.array(scores), pa.array(maps, pa.map_(pa.string(), pa.float64()))], [*part.schema.names, "lang_pred", "score", "languages"])
 

@@ -469,15 +469,16 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Of rows that repeat that id, one with the least hash of its text stays.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty():
-        return left
-    known = left.filter(F.col(id_col).isNotNull()).withColumn("_hash", F.xxhash64(text_col))
-    least = known.groupBy(F.col(id_col).alias("_id")).agg(F.min("_hash").alias("_least"))
-    one = known.join(least, (F.col(id_col) == F.col("_id")) & (F.col("_hash") == F.col("_least"))).drop("_hash", "_id", "_least").dropDuplicates([id_col])
-    return left.filter(F.col(id_col).isNull()).unionByName(one)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.struct("*").alias("row"))  # whatever docs' columns are called
+    found = near_duplicates(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), id_col="id", text_col="text", **options)
+    gone = found.filter("id <> component_id").select(F.col("id").alias("gone")).distinct()
+    left = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    if rows.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").isEmpty():
+        return left.select("row.*")
+    known = left.filter("id IS NOT NULL")
+    least = known.groupBy(F.col("id").alias("of")).agg(F.min("hash").alias("least"))
+    one = known.join(least, (F.col("id") == F.col("of")) & (F.col("hash") == F.col("least"))).select("id", "row").dropDuplicates(["id"])
+    return left.filter("id IS NULL").select("row.*").unionByName(one.select("row.*"))
 
 
 def op7_minhash(spark, sf_dir: str) -> DataFrame:

@@ -80,6 +80,7 @@ class Permutation:
 #: Alphabets of format classes; a letter stays in its class.
 CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèìòùâêîôûäëïöü", "çñß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ")
 _CLASS = {c: s for s in CLASSES for c in s}
+_VOWELS = frozenset(c for s in CLASSES if s[0] in "aáаα" for c in s)
 _HEX = {**{c: "0123456789abcdef" for c in "0123456789abcdef"}}
 
 #: Given names by gender and script.
@@ -241,13 +242,16 @@ class Surrogates:
         host, _, tld = text.rpartition(".")
         return self.shaped("email/" + tld, host) + "." + tld
 
-    def given(self, name: str) -> str:
+    def name(self, name: str) -> str:
+        """One surrogate for a name, be it a given or a family name: after a title it may be either."""
         if name in _GENDER_OF:
             names = GIVEN[_GENDER_OF[name]]
             return names[self._perm(f"given/{names[0]}", len(names))(names.index(name))]
+        # A last vowel stays, as it tells the gender in many languages.
+        end = name[-1] if len(name) > 2 and name[-1] in _VOWELS else ""
         out = name
         while True:  # a made-up name is never one of the known ones
-            out = self.shaped("name", out)
+            out = self.shaped(f"name/{end}", out[: len(out) - len(end)]) + end
             if out not in _GENDER_OF:
                 return out
 
@@ -279,10 +283,8 @@ class Surrogates:
                 got = self.card(text)
             elif base == "secret":
                 got = self.secret(text)
-            elif base == "given":
-                got = self.given(text)
-            elif base == "family":
-                got = self.shaped("family", text)
+            elif base == "name":
+                got = self.name(text)
             else:
                 got = self.digits(kind, text)
             self.known[kind, text] = got
@@ -370,9 +372,8 @@ def scrub_text(text: str, made: Surrogates) -> tuple[str, list[tuple[str, int, i
                 if any(p not in PARTICLES for p in parts[:last]):
                     continue
             capital = [k for k in capital if k <= last]
-            kinds = dict(zip(capital, ("given", "family")[-len(capital) :], strict=True))
             b = a + [w.end() for w in re.finditer(r"\S+", m["name"])][last]
-            new = "".join(made.of(kinds[k], p) + gap if k in kinds else p + gap for k, (p, gap) in enumerate(re.findall(r"(\S+)(\s*)", text[a:b])))
+            new = "".join(made.of("name", p) + gap if k in capital else p + gap for k, (p, gap) in enumerate(re.findall(r"(\S+)(\s*)", text[a:b])))
         else:
             d = "".join(c for c in raw if c.isdigit())
             if kind == "phone":

@@ -7,8 +7,8 @@ the squared change of the text's logit is added to the loss with weight `swap_pe
 a neutral mention of a group then moves no score, and no group is scored unlike another.
 
 The fitted weights are a fixed-size vector.  Null and empty texts score as a text without
-features does; repeated texts have equal scores, and ties of features go to the least
-number.  Extra columns don't matter; an empty table gives no rows; texts are taken whole.
+features does; repeated texts have equal scores, rows that repeat an id are one labelled text
+(that of least hash, toxic where a label says so), and ties of features go to the least number.  Extra columns don't matter; an empty table gives no rows; texts are taken whole.
 """
 
 from __future__ import annotations
@@ -129,13 +129,13 @@ def fit_rows(kept: np.ndarray, texts: list[np.ndarray], y: np.ndarray, changes:
     return Model(kept, w, bias)
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> tuple[DataFrame, int, int]:
-    """(text, _id, _y) of the sample, and its rows by label."""
+def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
+    """(text, _id, _y) of the sample, a row an id: of several texts the one of least hash."""
     sample = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     got = [tuple(r) for r in sample.orderBy(F.xxhash64("_id"), "_id").limit(max_rows).collect()]
-    n_pos = sum(y for _, y in got)
     sample = docs.sparkSession.createDataFrame(got, "_id long, _y int")
-    return docs.join(F.broadcast(sample), F.col(id_col).cast("long") == F.col("_id")).select(F.col(text_col).alias("text"), "_id", "_y"), n_pos, len(got) - n_pos
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("_id"))
+    return rows.groupBy("_id", "_y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).repartition(C.width(docs.sparkSession))
 
 
 def _selected(rows: DataFrame, n_pos: int, n_neg: int, max_features: int) -> np.ndarray:
@@ -169,8 +169,10 @@ def _selected(rows: DataFrame, n_pos: int, n_neg: int, max_features: int) -> np.
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, swap_penalty: float = 5.0) -> Model:
     """A model from at most max_rows labelled rows; both frames must hold rows to learn from only."""
     C.ship(docs.sparkSession)
-    rows, n_pos, n_neg = _sampled(docs, labels, id_col, text_col, label_col, max_rows)
-    kept = _selected(rows, n_pos, n_neg, max_features)
+    folder = C.shared_dir(docs.sparkSession)
+    rows = C.stored(_sampled(docs, labels, id_col, text_col, label_col, max_rows), f"{folder}/rows")
+    n_pos, n_all = rows.agg(F.coalesce(F.sum("_y"), F.lit(0)), F.count("*")).first()
+    kept = _selected(rows, n_pos, n_all - n_pos, max_features)
     known = swaps()
 
     def run(batches):
@@ -194,8 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([C.column(part, "_id"), C.column(part, "_y"), *(pa.array(x, pa.binary()) for x in (feats, lost, won))], ["id", "y", "feats", "lost", "won"])
 
     # All tasks at once write the sample's features; the driver then reads them part by part.
-    folder = C.shared_dir(docs.sparkSession)
-    sample = C.stored(rows.mapInArrow(C.tidy(run), "id long, y int, feats binary, lost binary, won binary"), folder)
+    sample = C.stored(rows.mapInArrow(C.tidy(run), "id long, y int, feats binary, lost binary, won binary"), f"{folder}/features")
     got = sorted((r["id"], r["y"], bytes(r["feats"]), bytes(r["lost"]), bytes(r["won"])) for r in sample.toLocalIterator())
     C.remove(docs.sparkSession, folder)
     array = lambda b: np.frombuffer(b, np.int32)

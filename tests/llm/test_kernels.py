@@ -316,3 +316,79 @@ def test_surrogates_of_two_titles_and_two_genders_agree_and_stay_apart():
         new = pii.scrub_text(text, made)[0].split()
         assert new[0] == text.split()[0] and all(pii._script(w[0]) == script for w in new) and not set(new[1:]) & set(text.split())
         assert pii._GENDER_OF[new[1]][0] == "m"
+
+
+def test_one_surrogate_for_a_name_of_a_document():
+    made = pii.Surrogates(b"any key")
+    for text, names in (("Don Pedro met Señor Pedro García. Pedro left.", ("Pedro", "García")), ("Sir Paul spoke. Mr Paul Smith left.", ("Paul", "Smith")), ("Mr Kim Lee came. Dr Kim left, then Mr Lee, Ms Lee Kim and Kim.", ("Kim", "Lee"))):
+        new, _ = pii.scrub_text(text, made)
+        words, old = re.findall(r"\w+", new), re.findall(r"\w+", text)
+        for name in names:
+            found = {w for w, o in zip(words, old, strict=True) if o == name}
+            assert len(found) == 1 and name not in found
+        assert len({w for w, o in zip(words, old, strict=True) if o in names}) == len(names)
+
+
+def test_names_keep_the_vowel_at_their_end():
+    made = pii.Surrogates(b"any key")
+    names = [a + b + c for a in "BCDFG" for b in "aeiou" for c in ("na", "la", "no", "n", "k")]
+    new = [made.of("name", x) for x in names]
+    assert len(set(new)) == len(names)
+    assert all(x[-1] == y[-1] for x, y in zip(names, new, strict=True) if x[-1] in "aeiou" and x not in pii._GENDER_OF)
+
+
+def test_languages_without_spaces_mix():
+    """Thai and Japanese texts have many words without a space; a text half of each is a mixture of both."""
+    rng = np.random.default_rng(1)
+    thai, kana = [chr(0x0E01 + i) for i in range(40)], [chr(0x3042 + i) for i in range(60)]
+    write = lambda letters, n: "".join(rng.choice(letters, n))
+    counts = np.zeros((2, language.BUCKETS))
+    for k, letters in enumerate((kana, thai)):
+        data, offsets = C.text_buffers(pa.array([write(letters, 5000)], pa.large_string()))
+        np.add.at(counts[k], language._trigrams(data, offsets)[language._LETTER[data]], 1)
+    model = language.Model(["ja", "th"], counts)
+    texts = [write(kana, 200), write(thai, 200), write(kana, 200) + write(thai, 200), "漢字かな abc" + write(thai, 9)]
+    share, words = language.mixtures(model, *C.text_buffers(pa.array(texts, pa.large_string())))
+    assert words.tolist() == [50, 50, 100, 1 + 1 + 3]
+    assert share[0].tolist() == [1, 0] and share[1].tolist() == [0, 1]
+    assert abs(share[2][0] - 0.5) < 0.05
+    spaced = ["plain words", "naïve Ünïcode", "हिन्दी भाषा", "한국어 말", "ქართული ენა"]
+    assert language.mixtures(model, *C.text_buffers(pa.array(spaced, pa.large_string())))[1].tolist() == [2] * 5
+
+
+def test_mixtures_against_plain_em():
+    """The selected sets and shares of short documents equal those of a loop over words."""
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 30, (3, language.BUCKETS)) * (rng.random((3, language.BUCKETS)) < 0.5)
+    model = language.Model(["a", "b", "c"], counts.astype(float))
+    texts = ["".join(rng.choice(list("abcdefghij "), 80)) for _ in range(30)]
+    got, _ = language.mixtures(model, *C.text_buffers(pa.array(texts, pa.large_string())))
+    for text, share in zip(texts, got, strict=True):
+        liks = []
+        padded = b"  " + text.encode()
+        for m in re.finditer(rb"[a-j]+", padded):
+            h = [((padded[i - 2] << 16 | padded[i - 1] << 8 | padded[i]) * 0x9E3779B1 & 0xFFFFFFFF) >> 18 for i in range(*m.span())]
+            ll = [sum(float(model.log[k][x]) for x in h) for k in range(3)]
+            liks.append([np.exp(x - max(ll)) for x in ll])
+
+        def em(langs, liks=liks):
+            p = {k: 1 / len(langs) for k in langs}
+            for _ in range(25):
+                new = dict.fromkeys(langs, 0.0)
+                for lik in liks:
+                    total = sum(p[k] * lik[k] for k in langs)
+                    for k in langs:
+                        new[k] += p[k] * lik[k] / total / len(liks)
+                moved, p = max(abs(new[k] - p[k]) for k in langs), new
+                if moved < 1e-3:
+                    break
+            return p, sum(np.log(max(sum(p[k] * lik[k] for k in langs), 1e-30)) for lik in liks)
+
+        order = sorted(range(3), key=lambda k: -em([0, 1, 2])[0][k])
+        best, cost = None, np.inf
+        for n in (1, 2, 3):
+            p, ll = em(sorted(order[:n]))
+            c = -2 * ll + 2.0 * n * np.log(len(liks) + 1)
+            if c < cost - 1e-9:
+                best, cost = p, c
+        assert [best.get(k, 0.0) for k in range(3)] == pytest.approx(share.tolist(), abs=1e-6)

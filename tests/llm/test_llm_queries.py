@@ -361,3 +361,62 @@ def test_stages_on_odd_and_empty_tables(spark, odd, none):
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in clean.values())
     coded = stages["bpe"](spark, odd, SF).collect()
     assert len(coded) == len(all_ids) and {len(r["ids"]) for r in coded if r["doc_id"] in (3, 4, 5)} == {0}
+
+
+INTERNAL = ("_gone", "_least", "_id", "_hash", "_row", "hash", "gone", "least", "of", "held", "row", "component_id", "n_shingles", "contaminated", "dw", "win", "token", "n", "sig", "label", "a", "b")
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_stages_keep_columns_of_any_name(spark, bounded):
+    """Columns named like anything inside the operators come back as they were, repeated ids and large benchmarks included."""
+    base = " ".join(f"word{i}" for i in range(40))
+    texts = [base, base + " more", "quite another text of some ten or so words here now", None, ""]
+    data = [(i, t, *["mine"] * len(INTERNAL)) for i, t in enumerate(texts)] + [(1, "twice the same id", *["mine"] * len(INTERNAL))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in INTERNAL))
+    bench = spark.createDataFrame([(7, "another text of some ten or so words here"), (8, None)], "item_id long, text string")
+    kept = neardup.without_copies(docs)
+    assert kept.columns == docs.columns and kept.filter("doc_id = 2 AND text IS NOT NULL").count() == 1
+    clean = decontaminate.clean(docs, bench, window=8, max_broadcast_windows=10**6 if bounded else 0)
+    assert clean.columns == docs.columns and clean.count() == docs.count() - 1
+    for out in (kept, clean):
+        assert all(r[c] == "mine" for r in out.collect() for c in INTERNAL)
+
+
+def test_toxicity_of_repeated_rows(spark):
+    """Ids with many rows weigh like any other: many rows an id and one row an id teach alike."""
+    texts = [("you are an idiot and a fool", 1), ("the weather is mild and fine today", 0)]
+    few = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts * 30) for _ in range(30)], "doc_id long, text string")
+    once = few.dropDuplicates()
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts * 30)], "doc_id long, toxic int")
+    two = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts) for _ in range(30)], "doc_id long, text string")
+    scores = []
+    for docs in (few, once):
+        model = toxicity.fit(docs, labels)
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(once, model).collect()}
+        scores.append(got)
+        assert all(got[i] > 0.9 if i % 2 == 0 else got[i] < 0.1 for i in got)
+    assert scores[0] == pytest.approx(scores[1])
+    toxicity.fit(two, labels.limit(2))  # two labelled texts teach little, and don't fail
+
+
+def test_toxicity_against_a_plain_fit(spark):
+    """Scores of a small table order as those of a logistic model fitted by plain gradient steps on the words."""
+    rng = np.random.default_rng(2)
+    vocab = ["sun", "rain", "idiot", "stupid", "lovely", "kind", "vile", "tree"]
+    bad = np.array([0, 0, 1, 1, 0, 0, 1, 0])
+    docs, y = [], []
+    for i in range(300):
+        w = rng.choice(8, 6)
+        docs.append((i, " ".join(vocab[k] for k in w)))
+        y.append(int(bad[w].sum() >= 2))
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    x = np.array([[float(v in t.split()) for v in vocab] for _, t in docs])
+    w, b = np.zeros(8), 0.0
+    for _ in range(3000):
+        e = 1 / (1 + np.exp(-(x @ w + b))) - np.array(y)
+        w, b = w - 0.5 * x.T @ e / 300, b - 0.5 * e.mean()
+    plain = 1 / (1 + np.exp(-(x @ w + b)))
+    ours = np.array([got[i] for i in range(300)])
+    assert np.corrcoef(plain, ours)[0, 1] > 0.97
+    assert ((plain >= 0.5) == (ours >= 0.5)).mean() > 0.97
