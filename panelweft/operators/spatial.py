@@ -99,20 +99,3 @@ def exclusion(access: Column | str, speaks: Column | str) -> Column:
     """10 less accessibility, 1.4 times that where nobody speaks the language, at most 10."""
     base = 10 - _col(access)
     return F.least(F.lit(10.0), F.when(_col(speaks), base).otherwise(base * 1.4))
-
-
-def service_panel(villages: DataFrame, centres: DataFrame, start: str, days: int, *, zone: int = 45, event_day: int = 15, seed: int = 42) -> DataFrame:
-    """A daily panel: nearest centre, accessibility, language exclusion, and a seeded outcome that the hash of village and day fixes."""
-    ve, vn = utm("latitude", "longitude", zone)
-    ce, cn = utm("latitude", "longitude", zone)
-    v = villages.withColumns({"_x": ve, "_y": vn})
-    c = centres.withColumns({"_cx": ce, "_cy": cn})
-    near = nearest_place(v, c, x="_x", y="_y", place="csc_id", px="_cx", py="_cy").withColumnRenamed("distance", "_m")
-    spoken = near.join(centres.select("csc_id", "supported_languages"), "csc_id", "left")
-    km = F.col("_m") / 1000
-    out = spoken.withColumns({"dist_to_csc_km": km, "ACC_spatial": accessibility(km), "_speaks": F.coalesce(F.array_contains("supported_languages", F.col("primary_language")), F.lit(False))})
-    out = out.withColumn("spatial_linguistic_exclusion", exclusion("ACC_spatial", "_speaks"))
-    daily = out.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).withColumn("date", F.date_add(F.lit(start).cast("date"), F.col("day")))
-    noise = (F.pmod(F.xxhash64(F.lit(seed), F.col("village_id").cast("string"), "day"), F.lit(10_000)) / 10_000.0) - 0.5
-    season = F.sin(2 * math.pi * F.col("day") / 30.0)
-    return daily.withColumns({"treatment_status": (F.col("day") >= event_day).cast("int"), "livelihood_outcome": F.round(50 + 2 * F.col("ACC_spatial") - F.col("spatial_linguistic_exclusion") + season + noise, 4)}).drop("_x", "_y", "_m", "_speaks", "supported_languages", "day")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from panelweft.functions import exprs as X
@@ -13,39 +10,30 @@ from panelweft.functions import stats as S
 from panelweft.operators import changes, econometrics, knowledge, panel, spatial, survey, text, verify, views
 from panelweft.plans import tracks
 from panelweft.plans.queries import _NEWS, _PLACES, _TOK, BASE, KEYWORDS, LONG, R, _news, _round, _t, _wide, base, long, query
+from panelweft.session import scratch
 from panelweft.sources import readers, sinks
 from panelweft.streaming import live
 
 
-def _scratch(spark) -> str:
-    """A new folder under spark.checkpoint.dir, or where the session has none, on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="panelweft-")
-    return f"{root.rstrip('/')}/panelweft-{uuid.uuid4().hex}"
-
-
 # Sources and sinks
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
 def csv_scan(spark, d):
-    path = _scratch(spark)
+    path = scratch(spark)
     sinks.csv(_t(spark, d, "nation"), path)
     return readers.csv(spark, path, columns=["n_nationkey", "n_name"])
 
 
 @query("SELECT * FROM (VALUES ('r_regionkey'), ('r_name')) v(name)")
 def csv_header(spark, d):
-    path = _scratch(spark)
+    path = scratch(spark)
     sinks.csv(_t(spark, d, "region").select("r_regionkey", "r_name"), path)
     return spark.createDataFrame([(c,) for c in readers.header(spark, path)], "name string")
 
 
 @query("SELECT event_id, user_id, event_type FROM events UNION ALL SELECT event_id, user_id, event_type FROM events WHERE event_id % 2 = 0")
 def jsonl_append(spark, d):
-    path, e = _scratch(spark), _t(spark, d, "events").select("event_id", "user_id", "event_type")
+    path, e = scratch(spark), _t(spark, d, "events").select("event_id", "user_id", "event_type")
     sinks.jsonl(e, path)
     sinks.jsonl(e.filter("event_id % 2 = 0"), path)
     return readers.jsonl(spark, path, "event_id long, user_id long, event_type string")
@@ -53,7 +41,7 @@ def jsonl_append(spark, d):
 
 @query("SELECT event_id, user_id FROM events WHERE event_id % 7 <> 0")
 def jsonl_tolerant(spark, d):
-    path = _scratch(spark)
+    path = scratch(spark)
     line = F.to_json(F.struct("event_id", "user_id"))
     _t(spark, d, "events").select(F.when(F.col("event_id") % 7 == 0, F.substring(line, 1, 14)).otherwise(line).alias("value")).write.text(path)
     return readers.jsonl(spark, path, "event_id long, user_id long", tolerant=True)
@@ -98,7 +86,7 @@ def first_available(spark, d):
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 0")
 def snapshot_latest(spark, d):
-    path, o = _scratch(spark), _t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    path, o = scratch(spark), _t(spark, d, "orders").select("o_orderkey", "o_custkey")
     sinks.snapshot_and_latest(o.filter("o_orderkey % 2 = 0"), path, "20240101T000000Z")
     sinks.snapshot_and_latest(o.filter("o_orderkey % 3 = 0"), path, "20240102T000000Z")
     return spark.read.parquet(f"{path}/latest")
@@ -106,7 +94,7 @@ def snapshot_latest(spark, d):
 
 @query("SELECT r_regionkey AS k, CASE WHEN r_regionkey = 2 THEN 'new' ELSE r_name END AS v FROM region")
 def replaced_partitions(spark, d):
-    path, r = _scratch(spark), _t(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("k"), F.col("r_name").alias("v"))
+    path, r = scratch(spark), _t(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("k"), F.col("r_name").alias("v"))
     sinks.replaced_rows(r, path, "k")
     sinks.replaced_rows(r.filter("k = 2").withColumn("v", F.lit("new")), path, "k")
     return spark.read.schema("v string, k long").parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,11 +32,24 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """Make sure that checkpoint() has a folder: the session's spark.checkpoint.dir, or on one machine a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not sc.master.startswith("local"):
+def shared_root(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which driver and executors share; on one machine, where it is unset, a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="panelweft-"))
+        root = "file://" + tempfile.mkdtemp(prefix="panelweft-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under shared_root()."""
+    return f"{shared_root(spark).rstrip('/')}/panelweft-{uuid.uuid4().hex}"
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Make sure that checkpoint() has a folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))

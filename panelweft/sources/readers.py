@@ -45,12 +45,14 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
     most a partition's bytes a core, so dealing it out costs little; any other is left as it lies.
     """
     df, sc = spark.read.parquet(path), spark.sparkContext
-    cores, files = sc.defaultParallelism, df.inputFiles()
-    if not 0 < len(files) < cores:
-        return df
-    paths, conf = [sc._jvm.org.apache.hadoop.fs.Path(sc._jvm.java.net.URI(f)) for f in files], sc._jsc.hadoopConfiguration()
-    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
-    return df.repartition(cores) if size <= cores * CORE_BYTES else df
+    cores, at = sc.defaultParallelism, sc._jvm.org.apache.hadoop.fs.Path(path)
+    listed = at.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(at, True)
+    n = size = 0
+    while n < cores and listed.hasNext():  # as many files as cores tell enough of a table of any size
+        f = listed.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            n, size = n + 1, size + f.getLen()
+    return df.repartition(cores) if 0 < n < cores and size <= cores * CORE_BYTES else df
 
 
 def jsonl(spark: SparkSession, path, schema: T.StructType | str, tolerant: bool = False) -> DataFrame:
