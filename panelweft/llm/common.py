@@ -8,14 +8,13 @@ the slab (plus eight bytes a word), not the length of a document or of a batch.
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweft.session import ship
+from panelweft.session import shared_root, ship
 from panelweft.sources import readers
 
 #: Bytes of text that one pass of a kernel takes; a longer unbroken word makes one longer slab.
@@ -34,12 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the session names none, a temporary folder is set for it on one machine; a cluster has to name one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="panelweft-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = shared_root(spark)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     if full.startswith("file:/") and not full.startswith("file://"):
