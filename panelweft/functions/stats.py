@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweft.functions.exprs import _col
+from panelweft.functions.order import average_ranks, big_groups, quantiles
+from panelweft.session import stored
 
 
 def _back(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -25,15 +27,16 @@ def _back(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def winsor_bounds(df: DataFrame, column: str, by: Sequence[str] = (), low: float = 0.05, high: float = 0.95) -> DataFrame:
     """by, lo, hi: exact interpolated quantiles."""
-    return df.groupBy(*by).agg(F.percentile(F.col(column), F.lit(low)).alias("lo"), F.percentile(F.col(column), F.lit(high)).alias("hi"))
+    return quantiles(df, [column], [low, high], by).withColumnsRenamed({"q0_0": "lo", "q0_1": "hi"})
 
 
 def winsor_zscores(df: DataFrame, columns: dict[str, str], by: Sequence[str] = (), ddof: int = 1, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Of each column: its name for the result. Clip to quantiles, then standardise; 0 for every row (null ones too) where nothing varies.
 
-    All columns share one aggregate for the bounds and one for the moments.
+    All columns share the passes for the bounds and one aggregate for the moments.
     """
-    bounds = df.groupBy(*by).agg(*[F.percentile(F.col(c), F.lit(p)).alias(f"_{n}_{c}") for c in columns for n, p in (("lo", low), ("hi", high))])
+    df = stored(df)
+    bounds = quantiles(df, list(columns), [low, high], by, kept=True).withColumnsRenamed({f"q{j}_{i}": f"_{n}_{c}" for j, c in enumerate(columns) for i, n in enumerate(("lo", "hi"))})
     cut = _back(df, bounds, by).withColumns({f"_w_{c}": F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_hi_{c}")), F.col(f"_lo_{c}"))) for c in columns})
     cut = cut.drop(*[f"_{n}_{c}" for c in columns for n in ("lo", "hi")])
     sd = F.stddev_samp if ddof else F.stddev_pop
@@ -48,7 +51,8 @@ def winsor_zscore(df: DataFrame, column: str, out: str, by: Sequence[str] = (),
 
 def tukey_clip(df: DataFrame, columns: Sequence[str], k: float = 2.95, by: Sequence[str] = ()) -> DataFrame:
     """Clip columns to k interquartile ranges beyond the quartiles."""
-    q = df.groupBy(*by).agg(*[F.percentile(F.col(c), F.lit(p)).alias(f"_{c}_{n}") for c in columns for n, p in (("a", 0.25), ("b", 0.75))])
+    df = stored(df)
+    q = quantiles(df, columns, [0.25, 0.75], by, kept=True).withColumnsRenamed({f"q{j}_{i}": f"_{c}_{n}" for j, c in enumerate(columns) for i, n in enumerate("ab")})
     wide = _back(df, q, by)
     for c in columns:
         a, b = F.col(f"_{c}_a"), F.col(f"_{c}_b")
@@ -72,17 +76,11 @@ def corr_pairs(long: DataFrame, code: str, keys: Sequence[str], value: str) -> D
     return left.join(right, list(keys)).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), correlation("_x", "_y").alias("corr"))
 
 
-def average_rank(c: str, by: Sequence[str], descending: bool = True) -> Column:
-    """Rank with ties at their mean; null for null."""
-    order = F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last()
-    ties = F.count("*").over(Window.partitionBy(*by, c))
-    return F.when(F.col(c).isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(order)) + (ties - 1) / 2)
-
-
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], min_n: int = 5) -> DataFrame:
     """(by, n, rho) of complete pairs, for groups of at least min_n."""
-    full = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = full.withColumns({"_x": average_rank(x, by, False), "_y": average_rank(y, by, False)})
+    full = stored(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*dict.fromkeys([*by, x, y])))
+    big = big_groups(full, by)
+    ranked = average_ranks(average_ranks(full, x, "_x", by, descending=False, big=big), y, "_y", by, descending=False, big=big)
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation("_x", "_y").alias("rho")).filter(F.col("n") >= min_n)
 
 

@@ -13,8 +13,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweft.functions.stats import _back, average_rank, spearman
+from panelweft.functions.order import average_ranks, big_groups, numbered
+from panelweft.functions.stats import _back, spearman
 from panelweft.operators.panel import demean, demean_iterated, shifted
+from panelweft.session import stored
 
 
 def p_value(t: float | None) -> float | None:
@@ -65,7 +67,10 @@ def durbin_watson(df: DataFrame, residual: str, entity: str, time: str, per_enti
     if per_entity:
         return inner.select(F.try_divide("_n", F.when(F.col("_s") != 0, F.col("_s"))).alias("dw"))
     ends = df.groupBy(entity).agg(F.min_by(residual, time).alias("_first"), F.max_by(residual, time).alias("_last"))
-    cross = ends.withColumn("_d", F.col("_first") - F.lag("_last").over(Window.orderBy(entity))).agg(F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0.0)).alias("_c"))
+    ends = stored(ends)
+    nth = numbered(ends, [], [F.col(entity)], "_k", big=big_groups(ends, []))
+    linked = nth.select("_k", "_first").join(nth.select((F.col("_k") + 1).alias("_k"), "_last"), "_k")
+    cross = linked.agg(F.coalesce(F.sum((F.col("_first") - F.col("_last")) * (F.col("_first") - F.col("_last"))), F.lit(0.0)).alias("_c"))
     return _back(inner, cross, []).select(F.try_divide(F.coalesce("_n", F.lit(0.0)) + F.col("_c"), F.when(F.col("_s") != 0, F.col("_s"))).alias("dw"))
 
 
@@ -130,14 +135,14 @@ def ols_with_constant(df: DataFrame, y: str, xs: Sequence[str], entity: str, tim
 
 def placebo(df: DataFrame, columns: Sequence[str], entity: str, time: str, seed: int) -> DataFrame:
     """Each column's values permuted among the entities of a time, independently, nulls too."""
-    out = df
+    df = stored(df)
+    big = big_groups(df, [time])
+    out = numbered(df, [time], [F.col(entity)], "_k", big=big)
     for c in columns:
-        here = Window.partitionBy(time).orderBy(entity)
-        there = Window.partitionBy(time).orderBy(F.xxhash64(F.lit(seed), F.lit(c), F.col(entity).cast("string")), entity)
-        source = out.select(F.col(time).alias("_t"), F.col(c).alias("_v"), F.row_number().over(there).alias("_k"))
-        left = out.withColumn("_k", F.row_number().over(here))
-        out = left.join(source, (left[time].eqNullSafe(source["_t"])) & (left["_k"] == source["_k"])).select(*[F.col("_v").alias(c) if x == c else left[x] for x in df.columns])
-    return out
+        there = [F.xxhash64(F.lit(seed), F.lit(c), F.col(entity).cast("string")), F.col(entity)]
+        source = numbered(df.select(entity, time, c), [time], there, "_j", big=big).select(F.col(time).alias("_t"), F.col(c).alias("_v"), "_j")
+        out = out.join(source, out[time].eqNullSafe(source["_t"]) & (F.col("_k") == F.col("_j"))).withColumn(c, F.col("_v")).select(*df.columns, "_k")
+    return out.drop("_k")
 
 
 def specification(df: DataFrame, y: str, x: str, controls: Sequence[str], entity: str, time: str, *, lag: int = 1, effects: bool = True, placebo_seed: int | None = None, min_rows: int = 5) -> Fit:
@@ -160,14 +165,20 @@ def weight_draws(df: DataFrame, time: str, domains: Sequence[str], draws: int, s
 
 def rank_stability(df: DataFrame, domains: Sequence[str], entity: str, time: str, *, draws: int = 250, top: int = 20, seed: int = 42) -> DataFrame:
     """(entity, time, mean_rank, sd_rank, top_share) over draws of domain weights; ranks are within time and draw."""
-    joined = df.select(entity, time, *domains).join(weight_draws(df, time, domains, draws, seed), time)
+    df = stored(df.select(entity, time, *domains))
+    joined = df.join(weight_draws(df, time, domains, draws, seed), time)
     num = sum((F.coalesce(F.col(d), F.lit(0.0)) * F.col(f"w_{d}") for d in domains), F.lit(0.0))
     den = sum((F.when(F.col(d).isNotNull(), F.col(f"w_{d}")).otherwise(0.0) for d in domains), F.lit(0.0))
     scored = joined.withColumn("_s", F.try_divide(num, F.when(den > 0, den)))
-    ranked = scored.withColumn("_r", average_rank("_s", [time, "draw"])).filter("_r IS NOT NULL")
+    ranked = average_ranks(scored, "_s", "_r", [time, "draw"], big=_of_draws(big_groups(df, [time]), draws)).filter("_r IS NOT NULL")
     return ranked.groupBy(entity, time).agg(F.avg("_r").alias("mean_rank"), F.coalesce(F.stddev_samp("_r"), F.lit(0.0)).alias("sd_rank"), F.avg((F.col("_r") <= top).cast("double")).alias("top_share"))
 
 
+def _of_draws(big, draws: int):
+    """Groups that are big in each draw."""
+    return big and (big[0], big[1] * draws)
+
+
 def method_agreement(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, y: str, by: Sequence[str], min_n: int = 5) -> DataFrame:
     """Spearman correlation of two methods' scores by group."""
     return spearman(a.select(*keys, F.col(x).alias("_a")).join(b.select(*keys, F.col(y).alias("_b")), list(keys)).withColumnsRenamed({"_a": "x", "_b": "y"}), "x", "y", by, min_n)

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweft.functions.order import quantiles
 from panelweft.functions.stats import _back
-from panelweft.session import checkpoints
+from panelweft.session import checkpoints, stored
 
 
 def select_or_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -50,10 +51,11 @@ def coverage(long: DataFrame, keys: Sequence[str], code: str, value: str) -> Dat
 
 def impute(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
     """Group median, then the median of what that gave, then 0."""
-    med = df.groupBy(by).agg(*[F.median(c).alias(f"_{c}") for c in columns])
-    one = _back(df, med, [by]).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
-    whole = one.agg(*[F.median(c).alias(f"_{c}") for c in columns])
-    return _back(one, whole, []).withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}"), F.lit(0.0)) for c in columns}).drop(*[f"_{c}" for c in columns])
+    df = stored(df)
+    middle = lambda rows, by=(): quantiles(rows, columns, [0.5], by, kept=True).withColumnsRenamed({f"q{j}_0": f"_{c}" for j, c in enumerate(columns)})
+    one = _back(df, middle(df, [by]), [by]).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+    one = stored(one)
+    return _back(one, middle(one), []).withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}"), F.lit(0.0)) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
 def interpolate(df: DataFrame, columns: Sequence[str], entity: str, time: str, by_time: bool = False) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from panelweft.functions.exprs import row_count, to_number
+from panelweft.functions.order import quantiles
 from panelweft.functions.stats import _back, corr_pairs
 
 #: Indicators between 0 and 100, and indicators that are never negative.
@@ -106,10 +107,12 @@ def known_bounds(columns: Sequence[str]) -> dict[str, tuple[float | None, float
 
 def outlier_report(df: DataFrame, columns: Sequence[str], k: float = 3.0, min_n: int = 10) -> DataFrame:
     """(column, n, lo, hi, n_out): values beyond k interquartile ranges; columns with too few values or no range are left out."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("r")).select("r.*").filter("v IS NOT NULL")
-    q = long.groupBy("column").agg(F.count("*").alias("n"), F.percentile("v", F.lit(0.25)).alias("a"), F.percentile("v", F.lit(0.75)).alias("b")).filter((F.col("n") >= min_n) & (F.col("b") > F.col("a")))
-    q = q.select("column", "n", (F.col("a") - k * (F.col("b") - F.col("a"))).alias("lo"), (F.col("b") + k * (F.col("b") - F.col("a"))).alias("hi"))
-    return long.join(F.broadcast(q), "column").groupBy("column", "n", "lo", "hi").agg(F.count_if((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))).alias("n_out"))
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    q = quantiles(rows, columns, [0.25, 0.75])
+    fence = {c: (F.col(f"q{j}_0") - k * (F.col(f"q{j}_1") - F.col(f"q{j}_0")), F.col(f"q{j}_1") + k * (F.col(f"q{j}_1") - F.col(f"q{j}_0"))) for j, c in enumerate(columns)}
+    at = {c: (F.max(lo), F.max(hi)) for c, (lo, hi) in fence.items()}  # the fences are one row's
+    found = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), at[c][0].alias("lo"), at[c][1].alias("hi"), F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias("n_out")) for c, (lo, hi) in fence.items()]
+    return rows.crossJoin(F.broadcast(q)).agg(F.array(*found).alias("r")).select(F.inline("r")).filter((F.col("n") >= min_n) & (F.col("hi") > F.col("lo")))
 
 
 def extreme_z(df: DataFrame, columns: Sequence[str], limit: float = 5.0) -> DataFrame:

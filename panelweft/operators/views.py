@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweft.functions.order import big_groups, numbered, quantiles
 from panelweft.functions.stats import _back
+from panelweft.session import stored
 
 
 def kpis(df: DataFrame, entity: str, time: str, score: str) -> DataFrame:
@@ -39,7 +41,10 @@ def profile(df: DataFrame, entity: str, time: str, domains: Sequence[str], who,
 
 def coverage_view(df: DataFrame, time: str, *, ratio: str = "coverage_share", observed: str = "observed_indicator_points", imputed: str = "imputed_indicator_points", tier: str = "model_trust_tier") -> DataFrame:
     """(time, mean_coverage_pct, median_observed, median_imputed, high_trust_pct)."""
-    return df.groupBy(time).agg((F.avg(ratio) * 100).alias("mean_coverage_pct"), F.median(observed).alias("median_observed"), F.median(imputed).alias("median_imputed"), (F.avg(F.coalesce(F.col(tier) == "High", F.lit(False)).cast("double")) * 100).alias("high_trust_pct"))
+    df = stored(df.select(*dict.fromkeys([time, ratio, observed, imputed, tier])))
+    means = df.groupBy(time).agg((F.avg(ratio) * 100).alias("mean_coverage_pct"), (F.avg(F.coalesce(F.col(tier) == "High", F.lit(False)).cast("double")) * 100).alias("high_trust_pct"))
+    middle = quantiles(df, [observed, imputed], [0.5], [time], kept=True).withColumnsRenamed({"q0_0": "median_observed", "q1_0": "median_imputed"})
+    return _back(means, middle, [time]).select(time, "mean_coverage_pct", "median_observed", "median_imputed", "high_trust_pct")
 
 
 def significant_terms(models: DataFrame, p: str = "p_value", limit: float = 0.05) -> DataFrame:
@@ -81,6 +86,6 @@ def chart_series(df: DataFrame, x: str, y: str, series: str) -> DataFrame:
 
 def running_rank(df: DataFrame, time: str, entity: str, score: str) -> DataFrame:
     """(entity, time, rank, moved): places within times, and how many were gained since the entity's time before."""
-    w = Window.partitionBy(time).orderBy(F.col(score).desc_nulls_last(), entity)
-    ranked = df.select(entity, time, F.row_number().over(w).alias("rank"))
+    df = stored(df.select(entity, time, score))
+    ranked = numbered(df, [time], [F.col(score).desc_nulls_last(), F.col(entity)], "rank", big=big_groups(df, [time])).select(entity, time, "rank")
     return ranked.withColumn("moved", F.lag("rank").over(Window.partitionBy(entity).orderBy(time)) - F.col("rank"))

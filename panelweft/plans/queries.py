@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelweft.functions import exprs as X
 from panelweft.functions import stats as S
+from panelweft.functions.order import average_ranks, big_groups
 from panelweft.operators import changes, econometrics, gating, panel, spatial, survey, text, verify
 from panelweft.sources import readers
 
@@ -247,7 +248,7 @@ def spearman_by_year(spark, d):
 @query(f"""WITH {BASE}, v AS (SELECT entity, yr, round(disc, 2) AS v FROM p), r AS (SELECT *, rank() OVER (PARTITION BY yr ORDER BY v DESC) + (count(*) OVER (PARTITION BY yr, v) - 1) / 2.0e0 AS r FROM v) SELECT entity, yr, r, r <= 5 AS top5 FROM r""")
 def avg_rank_topk(spark, d):
     v = base(spark, d).select("entity", "yr", F.round("disc", 2).alias("v"))
-    return v.withColumn("r", S.average_rank("v", ["yr"])).select("entity", "yr", "r", (F.col("r") <= 5).alias("top5"))
+    return average_ranks(v, "v", "r", ["yr"], big=big_groups(v, ["yr"])).select("entity", "yr", "r", (F.col("r") <= 5).alias("top5"))
 
 
 def _vif_frame(spark, d):
