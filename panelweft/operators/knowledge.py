@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweft.functions.exprs import slug, summary_of, title_of, wikilinks
-from panelweft.operators.text import category_balance, concept_map, jaccard_pairs, most_common, search
+from panelweft.operators.text import concept_map, jaccard_pairs, most_common, orphans, search
 
 CONCEPTS = "concepts/"
 
@@ -15,7 +15,7 @@ def articles(files: DataFrame, path: str = "path", content: str = "content", cat
     """(path, title, category, content, links, has_summary) of wiki files."""
     name = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
     group = F.col(category) if category in files.columns else F.regexp_extract(path, r"^(?:.*/)?([^/]+)/[^/]+$", 1)
-    return files.select(F.col(path).alias("path"), title_of(content, name).alias("title"), group.alias("category"), F.col(content).alias("content"), wikilinks(content).alias("links"), F.col(content).rlike(r"(?im)^##\s+summary\b").alias("has_summary"))
+    return files.select(F.col(path).alias("path"), title_of(content, name).alias("title"), group.alias("category"), F.col(content).alias("content"), wikilinks(content).alias("links"), F.col(content).rlike(r"(?m)^> \*\*Summary\*\*:").alias("has_summary"))
 
 
 def _finding(df: DataFrame, check: str, severity: str, item, detail) -> DataFrame:
@@ -34,26 +34,41 @@ def stale_sources(sources: DataFrame) -> DataFrame:
 
 def unlinked(docs: DataFrame) -> DataFrame:
     """Articles, concept stubs aside, whose title no link names."""
-    targets = docs.select(F.explode("links").alias("title")).distinct()
-    return docs.filter(~F.startswith("path", F.lit(CONCEPTS))).join(targets, "title", "left_anti")
+    return orphans(docs, "title", "links").filter(~F.startswith("path", F.lit(CONCEPTS)))
 
 
 def dangling(docs: DataFrame) -> DataFrame:
     """(path, link): links whose target no article has as title, an occurrence a row."""
-    return docs.select("path", F.explode("links").alias("link")).join(docs.select(F.col("title").alias("link")).distinct(), "link", "left_anti")
+    return docs.select("path", F.explode("links").alias("link")).join(docs.select(F.col("title").alias("link")).distinct(), "link", "left_anti").select("path", "link")
 
 
-def lint(docs: DataFrame, sources: DataFrame | None = None, tokens: str | None = None, *, threshold: float = 0.85, low: float = 0.2, high: float = 3.0) -> DataFrame:
-    """(check, severity, item, detail) of all checks; tokens names a column of token arrays for the check of duplicates."""
+def token_set(content) -> Column:
+    """Distinct runs of three word characters or more, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(content), F.lit(r"(?U)\w{3,}"), F.lit(0)))
+
+
+def unbalanced(docs: DataFrame) -> DataFrame:
+    """(folder, n, mean): first folders that hold one article where the mean is over 3, or over four times the mean and over 10.
+
+    Articles outside folders are in `root`; with one folder alone nothing is out of balance.
+    """
+    folder = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1)).otherwise("root")
+    n = docs.groupBy(folder.alias("folder")).agg(F.count("*").alias("n"))
+    mean = n.agg(F.avg("n").alias("mean"), F.count("*").alias("_folders"))
+    return n.crossJoin(F.broadcast(mean)).filter((F.col("_folders") > 1) & ((F.col("n") == 1) & (F.col("mean") > 3) | (F.col("n") > F.col("mean") * 4) & (F.col("n") > 10))).drop("_folders")
+
+
+def lint(docs: DataFrame, sources: DataFrame | None = None, *, duplicates: bool = True, threshold: float = 0.85) -> DataFrame:
+    """(check, severity, item, detail) of all checks; paths are relative to the wiki's folder."""
     out = _finding(unlinked(docs), "orphan_detection", "warning", F.col("path"), F.col("title"))
     out = out.unionByName(_finding(dangling(docs), "broken_links", "error", F.col("path"), F.col("link")))
     out = out.unionByName(_finding(missing_summaries(docs), "missing_summaries", "warning", F.col("path"), F.col("title")))
     if sources is not None:
         out = out.unionByName(_finding(stale_sources(sources), "stale_sources", "info", F.concat(F.lit("raw/"), F.col("original_name")), F.col("original_name")))
-    if tokens:
-        out = out.unionByName(_finding(jaccard_pairs(docs, "path", tokens, threshold), "duplicates", "warning", F.col("a"), F.col("b")))
-    balance = category_balance(docs, "category").filter((F.col("ratio") < low) | (F.col("ratio") > high))
-    return out.unionByName(_finding(balance, "category_balance", "info", F.col("category"), F.col("n")))
+    if duplicates:
+        pairs = jaccard_pairs(docs.select("path", token_set("content").alias("tokens")), "path", "tokens", threshold)
+        out = out.unionByName(_finding(pairs, "duplicate_content", "warning", F.col("a"), F.col("b")))
+    return out.unionByName(_finding(unbalanced(docs), "category_balance", "info", F.col("folder"), F.col("n")))
 
 
 def lint_summary(findings: DataFrame) -> DataFrame:

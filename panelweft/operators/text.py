@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweft.functions.exprs import raw_tokens, tokens
-from panelweft.functions.filters import maybe_in
 from panelweft.functions.stats import _back
+from panelweft.operators.mentions import containing
 from panelweft.operators.panel import keep_one
+from panelweft.session import stored
 
 UNMAPPED = "UNMAPPED"
 
@@ -122,33 +123,17 @@ def jaccard_pairs(docs: DataFrame, id_col: str, token_col: str, threshold: float
     return near.unionByName(copies)
 
 
-#: Words of a title on which it meets texts; a longer one is verified whole.
-RUN_WORDS = 8
+def backlinks(docs: DataFrame, id_col: str, title_col: str, text_col: str) -> DataFrame:
+    """(src, dst): documents whose text contains another's title, case aside, anywhere: inside words too, punctuation as it stands.
 
-
-def backlinks(docs: DataFrame, id_col: str, title_col: str, text_col: str, run_words: int = RUN_WORDS) -> DataFrame:
-    """(src, dst): documents whose text names another's title, of any length.
-
-    Titles meet texts on their first run_words words (all, if they have fewer).  A text's runs
-    are hashed in the scan and all but those that some title begins with are turned away by a
-    filter of fixed size before anything is shuffled; the rest are compared as words.
+    A title of any length will do; documents of one title (as written) don't name each other.
     """
-    low = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\w]+", " "))
-    titles = docs.select(F.col(id_col).alias("dst"), low(F.col(title_col)).alias("_title")).filter("_title <> ''").withColumn("_run", F.substring_index("_title", " ", run_words))
-    sizes = [r[0] for r in titles.select(F.size(F.split("_run", " "))).distinct().collect()]  # run_words at most
-    if not sizes:
-        return docs.select(F.col(id_col).alias("src"), F.col(id_col).alias("dst")).limit(0)
-    texts = docs.select(F.col(id_col).alias("src"), low(F.col(title_col)).alias("_own"), low(F.col(text_col)).alias("_body")).withColumn("_w", F.split("_body", " "))
-    # A hash of words skips nulls, so a title's shorter run hashes as a text's run of its width.
-    words = lambda c, at, k: F.xxhash64(*[F.get(c, at + j) for j in range(k)])
-    spots = texts.select("src", "_own", "_w", F.posexplode("_w").alias("_i", "_first"))
-    spots = spots.select("src", "_own", "_w", "_i", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), words("_w", F.col("_i"), k).alias("h")) for k in sizes])).alias("_s"))
-    met = maybe_in(spots, F.col("_s.h"), titles.select(words(F.split("_run", " "), F.lit(0), max(sizes)).alias("h")))
-    met = met.select("src", "_own", F.array_join(F.slice("_w", F.col("_i") + 1, F.col("_s.k")), " ").alias("_run")).distinct()
-    found = met.join(titles, "_run").filter("src <> dst AND _own <> _title").select("src", "dst", "_title", (F.col("_run") == F.col("_title")).alias("_whole"))
-    short = found.filter("_whole").select("src", "dst")
-    long = found.filter("NOT _whole").select("src", "dst", "_title").join(texts.select("src", "_body"), "src").filter(F.expr("contains(concat(' ', _body, ' '), concat(' ', _title, ' '))")).select("src", "dst")
-    return short.unionByName(long).distinct() if run_words in sizes else short.distinct()
+    held = stored(docs.select(F.col(id_col).alias("id"), F.col(title_col).alias("title"), F.lower(title_col).alias("low"), F.lower(text_col).alias("text")))
+    found = containing(held, held, needle_col="low")
+    own = held.select(F.col("id").alias("src"), F.col("title").alias("_own"))
+    named = held.select(F.col("id").alias("dst"), F.col("title").alias("_title"), "low").filter("low <> ''")
+    met = found.join(named, F.col("needle") == F.col("low")).join(own, F.col("id") == F.col("src"))
+    return met.filter(~F.col("_own").eqNullSafe(F.col("_title"))).select("src", "dst")
 
 
 def edges(docs: DataFrame, title_col: str, links_col: str) -> DataFrame:
@@ -157,16 +142,14 @@ def edges(docs: DataFrame, title_col: str, links_col: str) -> DataFrame:
 
 
 def broken_links(docs: DataFrame, title_col: str, links_col: str) -> DataFrame:
-    """Links whose target no document has as title (case aside), an occurrence a row."""
-    have = docs.select(F.lower(title_col).alias("_h")).distinct()
-    e = edges(docs, title_col, links_col)
-    return e.join(have, F.lower(e["dst"]) == have["_h"], "left_anti")
+    """(src, dst): links whose target no document has as title, as written, an occurrence a row."""
+    return edges(docs, title_col, links_col).join(docs.select(F.col(title_col).alias("dst")).distinct(), "dst", "left_anti").select("src", "dst")
 
 
 def orphans(docs: DataFrame, title_col: str, links_col: str) -> DataFrame:
-    """Documents that no other links to."""
-    e = edges(docs, title_col, links_col).filter(F.lower("src") != F.lower("dst")).select(F.lower("dst").alias("_d")).distinct()
-    return docs.join(e, F.lower(docs[title_col]) == e["_d"], "left_anti")
+    """Documents whose title no link names, as written."""
+    targets = docs.select(F.explode(links_col).alias("_target")).distinct()
+    return docs.join(targets, F.col(title_col) == F.col("_target"), "left_anti")
 
 
 def kb_stats(docs: DataFrame, title_col: str, text_col: str, links_col: str, category_col: str | None = None, tags_col: str | None = None, top: int = 10) -> DataFrame:

@@ -276,7 +276,7 @@ def _kb(spark, d):
     n = n.join(nxt, F.col("n_nationkey") == F.col("_k"), "left")
     k = F.col("n_nationkey")
     links = F.concat(F.coalesce(F.concat(F.lit("See [["), "_next", F.lit("]]. ")), F.lit("")), F.when(k % 5 == 0, "Also [[Nowhere|there]].").otherwise(""))
-    content = F.concat(F.lit("# "), F.col("n_name"), F.lit("\n\n"), F.when(k % 3 == 0, "## Summary\n\nA nation of some size and no small merit.\n\n").otherwise(""), links)
+    content = F.concat(F.lit("# "), F.col("n_name"), F.lit("\n\n"), F.when(k % 3 == 0, "> **Summary**: A nation of some size and no small merit.\n\n").otherwise(""), links)
     return knowledge.articles(n.select(F.concat(F.when(k % 8 == 7, "concepts/").otherwise(F.concat(F.lit("wiki/"), F.col("r_name"), F.lit("/"))), "n_name", F.lit(".md")).alias("path"), content.alias("content"), "r_name", "n_nationkey").withColumnRenamed("r_name", "category"))
 
 
@@ -294,10 +294,35 @@ SELECT 'orphan_detection' AS "check", 'warning' AS severity, path AS item, title
 UNION ALL SELECT 'broken_links', 'error', path, link FROM links WHERE link NOT IN (SELECT title FROM kb)
 UNION ALL SELECT 'missing_summaries', 'warning', path, title FROM kb WHERE NOT has_summary AND path NOT LIKE 'concepts/%'
 UNION ALL SELECT 'stale_sources', 'info', 'raw/' || r_name, r_name FROM region WHERE r_regionkey % 2 = 0
-UNION ALL SELECT 'category_balance', 'info', category, CAST(n AS VARCHAR) FROM n WHERE n / (SELECT avg(n) FROM n) > 3 OR n / (SELECT avg(n) FROM n) < 0.2""")
+""")
 def lint_findings(spark, d):
     sources = _t(spark, d, "region").select(F.col("r_name").alias("original_name"), (F.col("r_regionkey") % 2 == 1).alias("compiled"))
-    return knowledge.lint(_kb(spark, d), sources)
+    return knowledge.lint(_kb(spark, d), sources, duplicates=False)
+
+
+_WIKI = """a0 AS (SELECT c_custkey AS k, c_name, c_mktsegment, c_nationkey FROM customer),
+a AS (SELECT k, CASE WHEN k = 7 THEN 'solo/' WHEN k % 50 = 3 THEN '' WHEN k % 40 = 1 THEN 'concepts/' WHEN k % 3 = 0 THEN lower(c_mktsegment) || '/x/' ELSE 'wiki' || c_nationkey % 2 || '/' END || k || '.md' AS path, CASE WHEN k % 9 = 0 THEN lower(c_name) ELSE c_name END AS title, 'Customer#' || lpad(CAST(k + CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END AS VARCHAR), 9, '0') AS link, k % 5 = 0 AS has_summary, k % 6 < 4 AS linked FROM a0),
+f AS (SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE 'root' END AS folder, count(*) AS n FROM a GROUP BY 1)"""
+
+
+@query(f"""WITH {_WIKI} SELECT 'orphan_detection' AS "check", 'warning' AS severity, path AS item, title AS detail FROM a WHERE path NOT LIKE 'concepts/%' AND title NOT IN (SELECT link FROM a WHERE linked)
+UNION ALL SELECT 'broken_links', 'error', path, link FROM a WHERE linked AND link NOT IN (SELECT title FROM a)
+UNION ALL SELECT 'missing_summaries', 'warning', path, title FROM a WHERE NOT has_summary AND path NOT LIKE 'concepts/%'
+UNION ALL SELECT 'category_balance', 'info', folder, CAST(n AS VARCHAR) FROM f WHERE (SELECT count(*) FROM f) > 1 AND (n = 1 AND (SELECT avg(n) FROM f) > 3 OR n > 4 * (SELECT avg(n) FROM f) AND n > 10)""")
+def wiki_lint(spark, d):
+    c, k = _t(spark, d, "customer"), F.col("c_custkey")
+    folder = F.when(k == 7, "solo/").when(k % 50 == 3, "").when(k % 40 == 1, "concepts/").when(k % 3 == 0, F.concat(F.lower("c_mktsegment"), F.lit("/x/"))).otherwise(F.concat(F.lit("wiki"), (F.col("c_nationkey") % 2).cast("string"), F.lit("/")))
+    title = F.when(k % 9 == 0, F.lower("c_name")).otherwise(F.col("c_name"))
+    link = F.concat(F.lit("Customer#"), F.lpad((k + F.when(k % 4 == 0, 2).otherwise(1)).cast("string"), 9, "0"))
+    content = F.concat(F.lit("# "), title, F.lit("\n\n"), F.when(k % 5 == 0, "> **Summary**: of one customer\n\n").otherwise("## Summary\n\n"), F.when(k % 6 < 4, F.concat(F.lit("See [["), link, F.lit("]]."))).otherwise(""))
+    return knowledge.lint(knowledge.articles(c.select(F.concat(folder, k.cast("string"), F.lit(".md")).alias("path"), content.alias("content"))), duplicates=False)
+
+
+@query(r"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}\p{Pc}]{3,}')) AS s FROM documents), u AS (SELECT doc_id, unnest(s) AS w FROM t), x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL),
+r AS (SELECT doc_id, len(s) AS n, min(doc_id) OVER (PARTITION BY list_sort(s)) AS rep FROM t) SELECT 'duplicate_content' AS "check", CAST(a AS VARCHAR) AS item, CAST(b AS VARCHAR) AS detail FROM x JOIN r p ON p.doc_id = a JOIN r q ON q.doc_id = b WHERE CAST(c AS DOUBLE) / (p.n + q.n - c) >= 0.85 AND p.rep = a AND (q.rep = b OR q.rep = a)""")
+def wiki_duplicates(spark, d):
+    docs = _wide(spark, d, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    return text.jaccard_pairs(docs.select("path", knowledge.token_set("content").alias("t")), "path", "t").select(F.lit("duplicate_content").alias("check"), F.col("a").cast("string").alias("item"), F.col("b").cast("string").alias("detail"))
 
 
 @query(f"WITH {_KB} SELECT count(*) AS n_docs, CAST((SELECT count(*) FROM links) AS BIGINT) AS n_links, CAST((SELECT count(*) FROM kb WHERE path NOT IN (SELECT path FROM links)) AS BIGINT) AS n_without_links, CAST(1 AS BIGINT) AS n_broken, (SELECT string_agg(category || ': ' || n, ';' ORDER BY n DESC, category) FROM (SELECT category, count(*) AS n FROM kb GROUP BY 1)) AS top_categories FROM kb")

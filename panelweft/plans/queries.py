@@ -438,9 +438,10 @@ def jaccard_near_dupes(spark, d):
     return _round(text.jaccard_pairs(docs, "doc_id", "k"))
 
 
-@query("""WITH t AS (SELECT doc_id AS dst, trim(regexp_replace(lower(array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:2], ' ')), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+', ' ', 'g')) AS title FROM documents), b AS (SELECT doc_id AS src, trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+', ' ', 'g')) AS body, trim(regexp_replace(lower(array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:2], ' ')), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+', ' ', 'g')) AS own FROM documents) SELECT src, dst FROM b JOIN t ON src <> dst AND own <> title AND title <> '' AND contains(' ' || body || ' ', ' ' || title || ' ')""")
+# Titles are the third to fifth words of a document, without what precedes the third one's second letter: they begin inside words.
+@query("""WITH t AS (SELECT doc_id, text, substr(array_to_string(regexp_split_to_array(trim(text), '\\s+')[3:5], ' '), 2) AS title FROM documents) SELECT a.doc_id AS src, b.doc_id AS dst FROM t a JOIN t b ON a.title IS DISTINCT FROM b.title AND b.title <> '' AND contains(lower(a.text), lower(b.title))""")
 def title_mention_backlinks(spark, d):
-    docs = _wide(spark, d, "documents").select("doc_id", "text", F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 2), " ").alias("title"))
+    docs = _wide(spark, d, "documents").select("doc_id", "text", F.substring(F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 3, 3), " "), 2, 1 << 30).alias("title"))
     return text.backlinks(docs, "doc_id", "title", "text")
 
 

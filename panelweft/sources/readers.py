@@ -180,13 +180,39 @@ def digests(spark: SparkSession, path: str, piece: int = 1 << 20) -> DataFrame:
     return files.mapInArrow(run, "path string, sha256 string, length long")
 
 
+SIDECAR = "original_name string, tags array<string>, title string, category string, source string, compiled boolean"
+
+
+def sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """(path, SIDECAR) of the files <name>.meta.yml or <name>.meta.json under path: path is the file that they are about.
+
+    A name that the sidecar doesn't give is the file's; YAML needs PyYAML on the executors.
+    """
+    ship(spark)
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.{yml,yaml,json}").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("at"), "value")
+
+    def run(batches):
+        import pyarrow as pa
+        import yaml
+
+        for batch in batches:
+            bodies = []
+            for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                meta = json.loads(text or "{}") if at.endswith(".json") else yaml.safe_load(text or "")
+                bodies.append(json.dumps(meta if isinstance(meta, dict) else {}, default=str))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string())], ["at", "body"])
+
+    about = F.regexp_replace("at", r"\.meta\.(yml|yaml|json)$", "")
+    m = texts.mapInArrow(run, "at string, body string").select(about.alias("path"), F.from_json("body", SIDECAR).alias("m")).select("path", "m.*")
+    return m.withColumn("original_name", F.coalesce("original_name", F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1)))).withColumn("compiled", F.coalesce("compiled", F.lit(False)))
+
+
 def ingested(spark: SparkSession, path: str) -> DataFrame:
-    """Files with digest and size, and from the sidecars <name>.meta.json beside them tags, title and whether they are compiled."""
+    """Files with digest and size, and from the sidecars beside them tags, title and whether they are compiled; sidecars aren't files."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    files = digests(spark, path).filter(~F.col("path").rlike(r"\.meta\.(yml|json)$")).select(name.alias("original_name"), "path", "sha256", F.col("length").alias("size_bytes"), F.current_timestamp().alias("ingested_at"))
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").text(path, wholetext=True)
-    side = texts.select(F.regexp_replace("_metadata.file_path", r"\.meta\.json$", "").alias("path"), F.from_json("value", "tags array<string>, title string, compiled boolean").alias("m"))
-    return files.join(side, "path", "left").select(*files.columns, F.coalesce("m.tags", F.array().cast("array<string>")).alias("tags"), "m.title", F.coalesce("m.compiled", F.lit(False)).alias("compiled"))
+    files = digests(spark, path).filter(~F.col("path").rlike(r"\.meta\.(yml|yaml|json)$")).select(name.alias("original_name"), "path", "sha256", F.col("length").alias("size_bytes"), F.current_timestamp().alias("ingested_at"))
+    side = sidecars(spark, path).select("path", "tags", "title", "compiled")
+    return files.join(side, "path", "left").select(*files.columns, F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "title", F.coalesce("compiled", F.lit(False)).alias("compiled"))
 
 
 def download(spark: SparkSession, url: str, target: str, fetch=None) -> str:

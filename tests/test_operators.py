@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelweft.functions import exprs as X
 from panelweft.functions import stats as S
-from panelweft.operators import changes, econometrics, panel, spatial, survey, text, verify
+from panelweft.operators import changes, econometrics, knowledge, mentions, panel, spatial, survey, text, verify
 from panelweft.plans import tracks
 from panelweft.sources import readers
 
@@ -171,22 +171,43 @@ def test_jaccard_against_all_pairs(spark):
 
 def test_links(spark):
     df = frame(spark, [("A", "see [[B]] and [[C|label]] **Trust** ## x"), ("B", "[[a]] [[C]]"), ("D", "none")], "title string, body string").withColumn("links", X.wikilinks("body"))
-    assert text.broken_links(df, "title", "links").count() == 2
-    assert {r["title"] for r in text.orphans(df, "title", "links").collect()} == {"D"}
+    assert sorted(r["dst"] for r in text.broken_links(df, "title", "links").collect()) == ["C", "C", "a"]  # as written
+    assert {r["title"] for r in text.orphans(df, "title", "links").collect()} == {"A", "D"}
     one = text.kb_stats(df, "title", "body", "links").first()
-    assert (one["n_docs"], one["n_without_links"], one["n_broken"]) == (3, 1, 1)
+    assert (one["n_docs"], one["n_without_links"], one["n_broken"]) == (3, 1, 2)
 
 
-def test_backlinks_of_long_titles(spark):
+def contained(data):
+    return {(a, b) for a, own, body in data for b, title, _ in data if title and own != title and title.lower() in (body or "").lower()}
+
+
+def test_backlinks_are_containment(spark):
+    """As `in` finds them: inside words, with punctuation, of any length and script, nulls and empty ones aside."""
     long = "DCLO Data Plan from India Data Portal (Granular India Coverage)"
-    near = "DCLO Data Plan from India Data Portal Granular Other"
-    data = [(1, long, f"own {long}"), (2, "Short", f"See {long.upper()}, then."), (3, "Other", "dclo data plan from india data portal granular india"), (4, near, "short other"), (5, "More", near + "s and " + near), (6, long, f"x {long} y"), (7, "Some Eight Words That Make One Title Here", "nothing"), (8, "Z", "some eight words that make one title here")]
+    data = [(1, long, f"own {long}"), (2, "Short", f"See {long.upper()}, then."), (3, "Other", "shortest"), (4, "C++ (a?)", "short other's"), (5, "ort", "uses c++ (A?) here"), (6, long, f"x {long} y"), (7, "é", "CAFÉS"), (8, "Z", None), (9, None, "other z"), (10, "", "é"), (11, "日本", "この日本語"), (12, "e", "short"), (13, "x" * 300, "y" + "X" * 301)]
+    df = frame(spark, data, "id long, title string, text string")
+    got = text.backlinks(df, "id", "title", "text").collect()
+    assert {(r["src"], r["dst"]) for r in got} == contained(data) and len(got) == len(contained(data))
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("ab .É"), n))
+    data = [(i, word(rng.integers(1, 9)), word(rng.integers(0, 60))) for i in range(120)]
     df = frame(spark, data, "id long, title string, text string")
-    # Words 1 to 8 and 1 to 9 alone aren't the title; a title's own documents don't count.
-    want = {(2, 1), (2, 6), (5, 3), (5, 4), (4, 2), (4, 3), (8, 7)}
-    assert {(r["src"], r["dst"]) for r in text.backlinks(df, "id", "title", "text").collect()} == want
-    assert {(r["src"], r["dst"]) for r in text.backlinks(df, "id", "title", "text", run_words=1).collect()} == want
-    assert {(r["src"], r["dst"]) for r in text.backlinks(df.filter("id IN (1, 6) OR id = 2").withColumn("title", text.F.when(text.F.col("id") == 2, "").otherwise(text.F.col("title"))), "id", "title", "text").collect()} == {(2, 1), (2, 6)}
+    for gram in (3, 10):
+        pairs = mentions.containing(df.select("id", F.lower("text").alias("text")), df.select(F.lower("title").alias("needle")), gram=gram).collect()
+        assert {(r["id"], r["needle"]) for r in pairs} == {(i, t.lower()) for i, _, x in data for _, t, _ in data if t.lower() in x.lower()}
+        assert len(pairs) == len({tuple(r) for r in pairs})
+    assert mentions.containing(df, df.select(F.lit("").alias("needle"))).count() == 0
+
+
+def test_lint_follows_the_rules(spark):
+    """One article alone is out of balance only where the mean is over 3; a big folder only above four times the mean and 10."""
+    paths = [f"big/{i}.md" for i in range(60)] + [f"{c}/{i}.md" for c in "abcdefgh" for i in range(2)] + ["solo/x/1.md", "top.md"]
+    docs = knowledge.articles(frame(spark, [(p, f"# {p}\n") for p in paths], "path string, content string"))
+    assert {(r["folder"], r["n"]) for r in knowledge.unbalanced(docs).collect()} == {("big", 60), ("solo", 1), ("root", 1)}
+    assert knowledge.unbalanced(docs.filter("path LIKE 'big/%'")).count() == 0
+    twins = knowledge.articles(frame(spark, [("a.md", "# A\n\nthe same old words again"), ("b.md", "# A\n\nthe same old words, again!"), ("c.md", "# C\n\nnothing alike")], "path string, content string"))
+    found = {(r["check"], r["item"], r["detail"]) for r in knowledge.lint(twins).collect()}
+    assert ("duplicate_content", "a.md", "b.md") in found and sum(c == "duplicate_content" for c, *_ in found) == 1
 
 
 def test_feed(spark):
@@ -332,8 +353,15 @@ def test_files_are_hashed_in_pieces_and_have_their_sidecars(spark, tmp_path):
     (tmp_path / "a b.txt").write_bytes(b"x" * 100_000)
     (tmp_path / "a b.txt.meta.json").write_text('{"tags": ["t"], "title": "T", "compiled": true}')
     (tmp_path / "c.bin").write_bytes(b"y")
+    (tmp_path / "d.md").write_text("# D")
+    (tmp_path / "d.md.meta.yml").write_text("original_name: report d.md\ntags:\n- alpha\n- beta\ncategory: ''\ncompiled: true\ningested_at: 20240101T000000Z\n")
+    (tmp_path / "c.bin.meta.yml").write_text("original_name: c.bin\ntags: []\n")
+    (tmp_path / "e.md.meta.yml").write_text("\n")
     got = {r["original_name"]: r for r in readers.ingested(spark, str(tmp_path)).collect()}
     assert got["c.bin"]["sha256"] == hashlib.sha256(b"y").hexdigest() and got["c.bin"]["tags"] == [] and not got["c.bin"]["compiled"]
+    assert got["d.md"]["tags"] == ["alpha", "beta"] and got["d.md"]["compiled"] and set(got) >= {"c.bin", "d.md"} and len(got) == 3
+    side = readers.sidecars(spark, str(tmp_path))
+    assert {r["original_name"] for r in knowledge.stale_sources(side).collect()} == {"c.bin", "e.md"}
     one = next(v for k, v in got.items() if k.startswith("a"))
     assert one["sha256"] == hashlib.sha256(b"x" * 100_000).hexdigest() and one["size_bytes"] == 100_000
 
