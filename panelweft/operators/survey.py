@@ -30,30 +30,37 @@ def collapse(events: DataFrame, *, key: str, question: str, value: str, order: S
     return events.filter(F.col(question).isin(list(questions))).groupBy(key).pivot(question, list(questions)).agg(F.max_by(value, rank))
 
 
-def with_eligibility(rows: DataFrame, *, order: str, required: Sequence[str] = REQUIRED, min_duration: int = 120, max_duration: int = 1800, salt: str = "", phone: str = "phone") -> DataFrame:
-    """rows with completion_status, eligible and reason; strict order: consent, duplicate, breakoff, missing, duration.
-
-    A phone's later responses are duplicates, whether or not the first was eligible; a
-    duration of 0 is unknown; rows without a phone are never duplicates.
-    """
+def verdicts(rows: DataFrame, *, required: Sequence[str] = REQUIRED, min_duration: int = 120, max_duration: int = 1800, salt: str = "", phone: str = "phone") -> DataFrame:
+    """rows with _hash of the phone, and the reason of a phone's first (_if_first) and of a later response (_if_later)."""
     have = set(rows.columns)
     hashed = F.when(~is_blank(phone), salted_hash(phone, salt)) if phone in have else F.lit(None).cast("string")
     if "phone_hash" in have:
         hashed = F.coalesce(hashed, F.when(~is_blank("phone_hash"), F.trim("phone_hash")))
-    out = rows.withColumn("_hash", hashed)
-    nth = F.row_number().over(Window.partitionBy("_hash", F.when(F.col("_hash").isNull(), F.col(order))).orderBy(order))
     missing = F.lit(False)
     for f in required:
         missing = missing | (is_blank(f) if f in have else F.lit(True))
     duration = F.coalesce(to_number("interview_duration_sec").cast("int"), F.lit(0)) if "interview_duration_sec" in have else F.lit(0)
     consent = F.coalesce(F.lower(F.trim(F.col("consent").cast("string"))), F.lit("")).isin("yes", "1")
     breakoff = to_bool("breakoff_flag") if "breakoff_flag" in have else F.lit(False)
-    reason = (
-        F.when(~consent, "consent_not_granted").when(F.col("_hash").isNotNull() & (F.col("_nth") > 1), "duplicate_response").when(breakoff, "breakoff_detected").when(missing, "missing_required_fields")
+    denied = F.when(~consent, "consent_not_granted")
+    first = (
+        denied.when(breakoff, "breakoff_detected").when(missing, "missing_required_fields")
         .when((duration != 0) & ((duration < min_duration) | (duration > max_duration)), "duration_outlier").otherwise("eligible_full_completion")
     )
+    return rows.withColumns({"_hash": hashed, "_if_first": first, "_if_later": denied.otherwise("duplicate_response")})
+
+
+def with_eligibility(rows: DataFrame, *, order: str, **rules) -> DataFrame:
+    """rows with completion_status, eligible and reason; strict order: consent, duplicate, breakoff, missing, duration.
+
+    A phone's later responses are duplicates, whether or not the first was eligible; a
+    duration of 0 is unknown; rows without a phone are never duplicates.  rules: those of verdicts().
+    """
+    nth = F.row_number().over(Window.partitionBy("_hash", F.when(F.col("_hash").isNull(), F.col(order))).orderBy(order))
+    reason = F.when(F.col("_hash").isNotNull() & (F.col("_nth") > 1), F.col("_if_later")).otherwise(F.col("_if_first"))
     status = F.when(F.col("reason").isin("breakoff_detected", "missing_required_fields"), "partial").when(F.col("reason") == "eligible_full_completion", "complete").otherwise("invalid")
-    return out.withColumn("_nth", nth).withColumn("reason", reason).withColumns({"completion_status": status, "eligible": F.col("reason") == "eligible_full_completion", "phone_hash": F.col("_hash")}).drop("_hash", "_nth")
+    out = verdicts(rows, **rules).withColumn("_nth", nth).withColumn("reason", reason)
+    return out.withColumns({"completion_status": status, "eligible": F.col("reason") == "eligible_full_completion", "phone_hash": F.col("_hash")}).drop("_hash", "_nth", "_if_first", "_if_later")
 
 
 def payouts(classified: DataFrame, amount: float, currency: str = "INR") -> DataFrame:

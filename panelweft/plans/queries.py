@@ -11,7 +11,9 @@ from panelweft.functions import exprs as X
 from panelweft.functions import stats as S
 from panelweft.functions.order import average_ranks, big_groups
 from panelweft.operators import changes, econometrics, gating, panel, spatial, survey, text, verify
+from panelweft.session import scratch
 from panelweft.sources import readers
+from panelweft.streaming import live, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -477,6 +479,17 @@ def eligibility_rules(spark, d):
     return survey.with_eligibility(_responses(spark, d), order="response_id", required=("consent", "country")).select("response_id", "reason", "completion_status", "eligible")
 
 
+@query(f"WITH {_ELIG} SELECT response_id, reason FROM c")
+def eligibility_stream(spark, d):
+    """The responses as files that arrive in no order, judged by the stream."""
+    folder = scratch(spark)
+    r = _responses(spark, d)
+    r.repartition(4, F.xxhash64("response_id")).write.json(f"{folder}/in")
+    q = live.live_eligibility(spark, f"{folder}/in", r.schema.simpleString()[len("struct<") : -1].replace(":", " "), f"{folder}/out", f"{folder}/state", order="response_id", required=("consent", "country"))
+    q.awaitTermination()
+    return stateful.latest(spark, f"{folder}/out")
+
+
 @query(f"WITH {_ELIG} SELECT reason AS value, count(*) AS n FROM c GROUP BY reason")
 def eligibility_counts(spark, d):
     return survey.status_counts(survey.with_eligibility(_responses(spark, d), order="response_id", required=("consent", "country")), "reason")

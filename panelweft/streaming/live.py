@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from panelweft.functions.exprs import is_blank
-from panelweft.operators.survey import with_eligibility
+from panelweft.streaming import stateful
 
 
 def responses(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -16,17 +16,11 @@ def responses(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def live_eligibility(spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str, *, order: str, seconds: int | None = None, **rules) -> StreamingQuery:
-    """Eligibility of all responses so far, written anew whenever some arrive.
+    """Eligibility of all responses so far: each trigger reads what is new and appends the verdicts that it makes or takes back (stateful.latest() reads them).
 
-    First-come duplicates depend on every earlier response, so each trigger classifies the
-    whole folder by the batch operator; the stream tells when.  seconds None: what is there, then stop.
+    seconds None: what is there, then stop.
     """
-    def again(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            with_eligibility(spark.read.schema(schema).json(folder), order=order, **rules).write.mode("overwrite").parquet(target)
-
-    w = responses(spark, folder, schema).writeStream.foreachBatch(again).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if seconds is None else w.trigger(processingTime=f"{max(5, seconds)} seconds")).start()
+    return stateful.store_eligibility(stateful.eligibility(responses(spark, folder, schema), order=order, **rules), target, checkpoint, seconds=seconds)
 
 
 def rolling_articles(stream: DataFrame, *, key: str, published: str, days: int = 14) -> DataFrame:

@@ -4,7 +4,7 @@ import json
 import random
 
 from panelweft.operators.survey import with_eligibility
-from panelweft.streaming import live
+from panelweft.streaming import live, stateful
 
 SCHEMA = "response_id int, phone string, consent string, country string, interview_duration_sec string"
 
@@ -16,7 +16,7 @@ def test_stream_is_batch(spark, tmp_path):
         (folder / f"{k}.json").write_text("".join(json.dumps({"response_id": 3 * k + i, "phone": f"p{i}", "consent": "yes", "country": "x"}) + "\n" for i in range(3)))
     q = live.live_eligibility(spark, str(folder), SCHEMA, str(tmp_path / "out"), str(tmp_path / "cp"), order="response_id", required=("consent", "country"))
     q.awaitTermination(120)
-    got = {(r["response_id"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    got = {(r["response_id"], r["reason"]) for r in stateful.latest(spark, str(tmp_path / "out")).collect()}
     want = {(r["response_id"], r["reason"]) for r in with_eligibility(spark.read.schema(SCHEMA).json(str(folder)), order="response_id", required=("consent", "country")).collect()}
     assert got == want and len(got) == 9
 
