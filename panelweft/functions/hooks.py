@@ -1,34 +1,23 @@
-"""Functions for SQL users: an Arrow-batched UDF and table functions over the library's expressions."""
+"""Functions for SQL users, as SQL functions: they become expressions of the plan, without Python workers."""
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-
-from panelweft.session import ship
-
-
-def _p_values(t: pd.Series) -> pd.Series:
-    return t.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x is not None and x == x else None)
-
-
-class WordChunks:
-    """TABLE(word_chunks(text, size, overlap)): (no, chunk)."""
 
-    def eval(self, text: str, size: int, overlap: int):
-        words = (text or "").split()
-        for no, at in enumerate(range(0, max(1, len(words) - overlap), size - overlap)):
-            if words:
-                yield no, " ".join(words[at : at + size])
+#: The complementary error function: its series below 2, its continued fraction from there on.
+_ERFC = """
+CASE WHEN x < 2 THEN 1 - 2 / sqrt(pi()) * aggregate(sequence(1, 60), named_struct('s', x, 'u', x),
+   (a, n) -> named_struct('s', a.s - a.u * x * x / n * if(n % 2 = 1, 1D, -1D) / (2 * n + 1), 'u', a.u * x * x / n), a -> a.s)
+ ELSE exp(-x * x) / (x * sqrt(pi())) / aggregate(sequence(120, 1, -1), 1D, (a, k) -> 1 + k / (2 * x * x) / a) END
+"""
 
 
 def register(spark: SparkSession, **own) -> None:
-    """Register normal_p_value(t) and word_chunks(text, size, overlap), and own functions (UDFs) by name."""
-    ship(spark)
-    spark.udf.register("normal_p_value", F.pandas_udf(_p_values, "double"))
-    spark.udtf.register("word_chunks", F.udtf(WordChunks, returnType="no int, chunk string"))
+    """Register normal_p_value(t), erfc_of(x) for x of 0 or more, TABLE word_chunks(text, size, overlap), and own functions (UDFs) by name."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION erfc_of(x DOUBLE) RETURNS DOUBLE RETURN {_ERFC}")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION normal_p_value(t DOUBLE) RETURNS DOUBLE RETURN CASE WHEN NOT isnan(t) THEN erfc_of(abs(t) / sqrt(2D)) END")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION word_chunks(body STRING, size INT, overlap INT) RETURNS TABLE(no INT, chunk STRING) RETURN
+      SELECT p.no, p.chunk FROM (SELECT posexplode(flatten(transform(array(filter(split(body, '\\\\s+'), x -> x <> '')), w -> transform(
+        filter(sequence(1, greatest(size(w), 1), size - overlap), i -> size(w) > 0 AND (i = 1 OR i + overlap <= size(w))), i -> array_join(slice(w, i, size), ' '))))) AS (no, chunk)) p""")
     for name, f in own.items():
         spark.udf.register(name, f)

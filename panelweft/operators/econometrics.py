@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from panelweft.functions.order import average_ranks, big_groups, numbered
 from panelweft.functions.stats import _back, spearman
-from panelweft.operators.panel import demean, demean_iterated, shifted
+from panelweft.operators.panel import demean, demean_exact, shifted
 from panelweft.session import stored
 
 
@@ -79,7 +79,7 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], entity: str, time: str, *, ent
     cols = [y, *xs]
     use = df.select(entity, time, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
     if entity_effects and time_effects and exact:
-        use = demean_iterated(use, cols, entity, time)
+        use = demean_exact(use, cols, entity, time)
     elif entity_effects or time_effects:
         use = demean(use, cols, entity if entity_effects else None, time if time_effects else None)
     use = use.cache()

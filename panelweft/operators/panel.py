@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelweft.functions.order import quantiles
 from panelweft.functions.stats import _back
-from panelweft.session import checkpoints, stored
+from panelweft.session import checkpoints, ship, stored
 
 
 def select_or_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -138,6 +141,55 @@ def demean(df: DataFrame, columns: Sequence[str], entity: str | None, time: str
     return out.withColumns(new).drop(*[f"{t}{c}" for t in ("_e_", "_t_", "_g_") for c in columns])
 
 
+#: Times whose system the driver solves; panels of more are demeaned by alternating projections.
+MAX_TIMES = 2048
+
+
+def demean_exact(df: DataFrame, columns: Sequence[str], entity: str, time: str) -> DataFrame:
+    """Columns without entity and time effects, exact for unbalanced panels too, and for ones that fall apart.
+
+    Entities are absorbed, and what is left of the time effects is a system of a row a time
+    (a Schur complement), which tasks sum up from blocks of entities and which is solved once.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    df = stored(df)
+    times = [r[0] for r in df.select(time).distinct().limit(MAX_TIMES + 1).collect()]
+    if len(times) > MAX_TIMES:
+        return demean_iterated(df, columns, entity, time)
+    if not times:
+        return df
+    k, n_col = len(times), len(columns)
+    places = spark.createDataFrame([(t, i) for i, t in enumerate(times)], T.StructType([T.StructField("_t", df.schema[time].dataType), T.StructField("_i", T.IntegerType())]))
+    value = lambda c: F.col(c).cast("double")
+    cells = df.join(F.broadcast(places), F.col(time).eqNullSafe(F.col("_t"))).groupBy(F.col(entity).alias("_e"), "_i").agg(F.count("*").alias("_n"), F.array(*[F.sum(value(c)) for c in columns]).alias("_s"))
+    blocks = cells.groupBy("_e").agg(F.collect_list(F.struct("_i", "_n", "_s")).alias("c")).select("c")  # a row an entity, of at most a cell a time
+
+    def summed(batches):
+        m, b = np.zeros((k, k)), np.zeros((k, n_col))
+        for batch in batches:
+            c = batch.column(0)
+            flat, at = c.flatten(), np.asarray(c.offsets)
+            i, n, s = np.asarray(flat.field(0)), np.asarray(flat.field(1)).astype(float), np.asarray(flat.field(2).flatten()).reshape(-1, n_col)
+            for x, y in zip(at - at[0], at[1:] - at[0], strict=False):
+                j, w, z = i[x:y], n[x:y], s[x:y]
+                m[np.ix_(j, j)] -= np.outer(w, w) / w.sum()
+                m[j, j] += w
+                b[j] += z - np.outer(w, z.sum(axis=0) / w.sum())
+        whole = np.hstack([m, b])
+        row, col = np.nonzero(whole)
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), pa.array(whole[row, col])], ["i", "j", "x"])
+
+    whole = np.zeros((k, k + n_col))
+    for r in blocks.mapInArrow(summed, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toLocalIterator():
+        whole[r["i"], r["j"]] = r["x"]
+    effect = np.linalg.lstsq(whole[:, :k], whole[:, k:], rcond=None)[0]
+    known = spark.createDataFrame([(t, *map(float, effect[i])) for i, t in enumerate(times)], T.StructType([T.StructField("_t", df.schema[time].dataType), *[T.StructField(f"_f{j}", T.DoubleType()) for j in range(n_col)]]))
+    less = df.join(F.broadcast(known), F.col(time).eqNullSafe(F.col("_t"))).withColumns({c: value(c) - F.col(f"_f{j}") for j, c in enumerate(columns)}).drop("_t", *[f"_f{j}" for j in range(n_col)])
+    means = less.groupBy(entity).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
+    return _back(less, means, [entity]).withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).select(*df.columns)
+
+
 def demean_iterated(df: DataFrame, columns: Sequence[str], entity: str, time: str, tolerance: float = 1e-10, most: int = 200) -> DataFrame:
     """Alternating projections: exact for unbalanced panels too, to a part of each column's size. Lineage is cut by checkpoints; raises if most rounds aren't enough."""
     checkpoints(df.sparkSession)

@@ -11,7 +11,7 @@ from panelweft.operators import changes, econometrics, knowledge, panel, spatial
 from panelweft.plans import tracks
 from panelweft.plans.queries import _NEWS, _PLACES, _TOK, BASE, KEYWORDS, LONG, R, _news, _round, _t, _wide, base, long, query
 from panelweft.session import scratch
-from panelweft.sources import readers, sinks
+from panelweft.sources import databases, readers, sinks
 from panelweft.streaming import live
 
 
@@ -106,15 +106,31 @@ def catalog_scan(spark, d):
     return readers.table(spark, "panelweft_nation").filter("n_regionkey = 1").select("n_nationkey", "n_name")
 
 
-@query("SELECT i AS n, 'r' || i AS name FROM range(0, 2500) t(i)")
+@query("SELECT p_partkey, p_brand FROM part WHERE p_size > 25 AND p_brand IN ('Brand#11', 'Brand#22', 'Brand#33') AND p_partkey IS NOT NULL")
+def sqlite_scan(spark, d):
+    """The table written to a folder of SQLite databases and read back with the filters pushed down."""
+    databases.register(spark)
+    path = scratch(spark)
+    _t(spark, d, "part").select("p_partkey", "p_brand", "p_size").repartition(3, "p_partkey").write.format("panelweft_sqlite").option("path", path).option("table", "part").mode("append").save()
+    return spark.read.format("panelweft_sqlite").option("path", path).option("table", "part").option("rows", 1000).load().filter("p_size > 25 AND p_brand IN ('Brand#11', 'Brand#22', 'Brand#33')").select("p_partkey", "p_brand")
+
+
+@query("SELECT c_custkey, c_name FROM customer")
 def paged_records(spark, d):
-    """A REST source that is read by offset and limit on the executors."""
+    """A REST source that is read by offset and limit on the executors; the pages come from a database of the table."""
+    databases.register(spark)
+    path = scratch(spark)
+    rows = _t(spark, d, "customer").select("c_custkey", "c_name")
+    rows.coalesce(1).write.format("panelweft_sqlite").option("path", path).option("table", "customer").mode("append").save()
+
     def fetch(offset, limit):
         import json
+        import sqlite3
 
-        return json.dumps({"total": 2500, "records": [{"n": i, "name": f"r{i}"} for i in range(offset, min(offset + limit, 2500))]})
+        with sqlite3.connect(databases._databases(path)[0]) as con:
+            return json.dumps({"records": [{"c_custkey": k, "c_name": n} for k, n in con.execute("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT ? OFFSET ?", (limit, offset))]})
 
-    return readers.records(readers.paged(spark, 2500, fetch, 1000), "n:bigint,name:string")
+    return readers.records(readers.paged(spark, rows.count(), fetch, 1000), "c_custkey:bigint,c_name:string")
 
 
 # Expressions
@@ -174,11 +190,13 @@ def snippets(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.snippet("text", ["que", "und"], 60).alias("s"))
 
 
-@query("SELECT * FROM (VALUES (0.0e0, 1.0e0), (1.0e0, 0.317311e0), (-1.96e0, 0.049996e0), (3.0e0, 0.0027e0)) v(t, p)")
+# Two-sided p-values by the error function's series: |t| is at most 3 here, so 60 terms do.
+@query("WITH e AS (SELECT event_id, (event_id % 601 - 300) / 100.0e0 AS t FROM events), k AS (SELECT event_id, t, abs(t) / sqrt(2.0e0) AS x FROM e) SELECT event_id, round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(60), lambda n: pow(-1, n) * pow(x, 2 * n + 1) / (gamma(n + 1.0e0) * (2 * n + 1)))), 6) + 0.0e0 AS p FROM k")
 def normal_p_values(spark, d):
-    """The registered UDF for SQL users."""
+    """The function for SQL users, on a table."""
     hooks.register(spark)
-    return spark.sql("SELECT t, round(normal_p_value(t), 6) AS p FROM VALUES (0.0D), (1.0D), (-1.96D), (3.0D) v(t)")
+    _t(spark, d, "events").createOrReplaceTempView("panelweft_events")
+    return spark.sql("SELECT event_id, round(normal_p_value((event_id % 601 - 300) / 100.0D), 6) + 0.0D AS p FROM panelweft_events")
 
 
 # Statistics

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweft.functions import order
 from panelweft.functions import stats as S
-from panelweft.operators import econometrics, gating
+from panelweft.operators import econometrics, gating, panel as panels
 
 
 def panel(seed, n=240, missing=0.15):
@@ -132,3 +132,18 @@ def test_placebo_permutes_by_hash(spark, small, monkeypatch):
             new = [got.loc[(own["t"].iloc[0], e), c] if own["t"].notna().all() else got[got.index.get_level_values("t").isna()].droplevel("t").loc[e, c] for e in names]
             np.testing.assert_array_equal(np.array(new, float), values.loc[dealt].to_numpy(float))
             assert len(names) < 5 or list(new) != list(values.loc[names])
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_exact_effects(spark, apart):
+    """Residuals of a regression on all dummies: unbalanced, with repeated cells, in parts that share no time, nulls as keys."""
+    rng = np.random.default_rng(11)
+    rows = [(f"e{i}" if i else None, (t if i % 2 else t + 20) if apart else t, float(rng.normal() + i + t * t), float(rng.normal() * 1e3 + t)) for i in range(14) for t in range(9) if rng.random() < 0.6 for _ in range(rng.integers(1, 3))]
+    df = pd.DataFrame(rows, columns=["e", "t", "x", "y"])
+    dummies = np.column_stack([pd.get_dummies(df["e"].fillna("~")).to_numpy(float), pd.get_dummies(df["t"]).to_numpy(float)])
+    want = df[["x", "y"]].to_numpy() - dummies @ np.linalg.lstsq(dummies, df[["x", "y"]].to_numpy(), rcond=None)[0]
+    numbered = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, e string, t int, x double, y double")
+    got = panels.demean_exact(numbered, ["x", "y"], "e", "t").orderBy("n").toPandas()
+    assert list(got.columns) == ["n", "e", "t", "x", "y"]
+    np.testing.assert_allclose(got[["x", "y"]].to_numpy(), want, atol=1e-7)
+    assert panels.demean_exact(numbered.limit(0), ["x"], "e", "t").count() == 0
