@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from panelweft.functions.exprs import raw_tokens, tokens
 from panelweft.functions.stats import _back
 from panelweft.operators.mentions import containing
 from panelweft.operators.panel import keep_one
-from panelweft.session import stored
+from panelweft.session import ship, stored
 
 UNMAPPED = "UNMAPPED"
 
@@ -25,22 +27,66 @@ def keyword_index(config: dict[str, dict[str, Sequence[str]]]) -> list[tuple[str
     return [(d, lang, " ".join(str(k).lower().split())) for d, langs in config.items() for lang, ks in langs.items() for k in ks if str(k).strip()]
 
 
-def map_articles(articles: DataFrame, keywords: Sequence[tuple[str, str, str]], *, title: str = "title", summary: str = "summary") -> DataFrame:
+#: Keywords that are expressions of the plan; more become an automaton, whose list has a bound.
+FEW_KEYWORDS, MAX_KEYWORD_BYTES = 64, 64 << 20
+
+
+def _matched(articles: DataFrame, keywords: Sequence[tuple[str, str, str]], domains: Sequence[str]) -> DataFrame:
+    """articles with _scores (of domains in order) and _hits (JSON), by one automaton of all keywords, run over texts in batches."""
+    if sum(len(k.encode()) for _, _, k in keywords) > MAX_KEYWORD_BYTES:
+        raise ValueError(f"keywords of more than {MAX_KEYWORD_BYTES} bytes; join them to the texts by mentions.containing()")
+    spark = articles.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast((list(domains), [(d, k) for d, _, k in keywords]))
+    held = articles.withColumn("_row", F.struct(*articles.columns)).select("_row", "_t")
+
+    def run(batches):
+        import ahocorasick
+
+        order, entries = shared.value
+        place = {d: i for i, d in enumerate(order)}
+        said = [json.dumps({"domain": d, "keyword": k}, ensure_ascii=False, separators=(",", ":")) for d, k in entries]
+        of: dict[str, list[int]] = {}
+        for i, (_, k) in enumerate(entries):
+            of.setdefault(k, []).append(i)
+        machine = ahocorasick.Automaton()
+        for k, own in of.items():
+            machine.add_word(k, tuple(own))
+        machine.make_automaton()
+        for batch in batches:
+            scores, hits = [], []
+            for t in batch.column(1).to_pylist():
+                found = sorted(i for own in {own for _, own in machine.iter(t)} for i in own)
+                row = [0] * len(order)
+                for i in found:
+                    row[place[entries[i][0]]] += 1
+                scores.append(row)
+                hits.append("[" + ",".join(said[i] for i in found) + "]")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.list_(pa.int32())), pa.array(hits, pa.string())], ["_row", "_scores", "_hits"])
+
+    return held.mapInArrow(run, f"_row {held.schema['_row'].dataType.simpleString()}, _scores array<int>, _hits string").select("_row.*", "_scores", "_hits")
+
+
+def map_articles(articles: DataFrame, keywords: Sequence[tuple[str, str, str]], *, title: str = "title", summary: str = "summary", few: int = FEW_KEYWORDS) -> DataFrame:
     """articles with score_<domain>, primary_domain, secondary_domains, confidence and matched_keywords.
 
     A keyword adds one to its domain for each language that lists it.  Keywords come from a
-    configuration, so they are expressions of the scan: no join, no shuffle.
+    configuration, so they go with the scan, without a join or a shuffle: a few as expressions,
+    more as one automaton, so that the plan doesn't grow with them.
     """
     domains = sorted({d for d, _, _ in keywords})
     text = normal_text(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit(""))))
     out = articles.withColumn("_t", text)
-    score = lambda d: sum((F.col("_t").contains(k).cast("int") for x, _, k in keywords if x == d), F.lit(0))
+    many = len(keywords) > few
+    if many:
+        out = _matched(out, keywords, domains)
+    score = lambda d: F.get("_scores", domains.index(d)) if many else sum((F.col("_t").contains(k).cast("int") for x, _, k in keywords if x == d), F.lit(0))
     out = out.withColumns({f"score_{d}": score(d) for d in domains})
     ranked = F.sort_array(F.filter(F.array(*[F.struct((-F.col(f"score_{d}")).alias("s"), F.lit(d).alias("d")) for d in domains]), lambda x: x["s"] < 0))
     total = sum((F.col(f"score_{d}") for d in domains), F.lit(0))
-    hit = F.filter(F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(k).alias("keyword")) for d, _, k in keywords]), lambda x: F.contains(F.col("_t"), x["keyword"]))
-    out = out.withColumn("_r", ranked).withColumns({"primary_domain": F.coalesce(F.get("_r", 0)["d"], F.lit(UNMAPPED)), "secondary_domains": F.transform(F.slice("_r", 2, 2), lambda x: x["d"]), "confidence": F.coalesce(F.bround(F.try_divide((-F.get("_r", 0)["s"]).cast("double"), total.cast("double")), 4), F.lit(0.0)), "matched_keywords": F.to_json(hit)})
-    return out.drop("_t", "_r")
+    hit = F.col("_hits") if many else F.to_json(F.filter(F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(k).alias("keyword")) for d, _, k in keywords]), lambda x: F.contains(F.col("_t"), x["keyword"])))
+    out = out.withColumn("_r", ranked).withColumns({"primary_domain": F.coalesce(F.get("_r", 0)["d"], F.lit(UNMAPPED)), "secondary_domains": F.transform(F.slice("_r", 2, 2), lambda x: x["d"]), "confidence": F.coalesce(F.bround(F.try_divide((-F.get("_r", 0)["s"]).cast("double"), total.cast("double")), 4), F.lit(0.0)), "matched_keywords": hit})
+    return out.drop("_t", "_r", "_scores", "_hits")
 
 
 def news_summary(mapped: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelweft.functions import exprs as X
 from panelweft.functions import stats as S
 from panelweft.functions.order import average_ranks, big_groups
-from panelweft.operators import changes, econometrics, gating, panel, spatial, survey, text, verify
+from panelweft.operators import changes, econometrics, gating, panel, search_index, spatial, survey, text, verify
 from panelweft.session import scratch
 from panelweft.sources import readers
 from panelweft.streaming import live, stateful
@@ -433,6 +433,16 @@ def tfidf_search(spark, d):
     return text.search(_wide(spark, d, "documents"), "idiot thion que thion", id_col="doc_id", text_col="text")
 
 
+@query(f"""WITH {_TOK}, q AS (SELECT * FROM (VALUES ('a', 'idiot', 1), ('a', 'thion', 2), ('a', 'que', 1), ('b', 'erthing', 1), ('b', 'the', 1), ('b', 'ing', 1)) v(q, t, times)), tf AS (SELECT doc_id, t, count(*) AS tf FROM tokens WHERE t IN (SELECT t FROM q) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+s AS (SELECT q, doc_id, round(sum(times * (1 + ln(CAST(tf AS DOUBLE))) * ln((SELECT count(*) FROM documents) / CAST(df AS DOUBLE))), 3) AS score FROM tf JOIN df USING (t) JOIN q USING (t) GROUP BY q, doc_id) SELECT q, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS i FROM s) WHERE i <= 20""")
+def tfidf_index(spark, d):
+    """Two searches of one stored index."""
+    path = scratch(spark)
+    search_index.build(_wide(spark, d, "documents"), path, id_col="doc_id", text_col="text")
+    a, b = (search_index.search(spark, path, q).select(F.lit(n).alias("q"), F.col("id").alias("doc_id"), "score") for n, q in (("a", "idiot thion que thion"), ("b", "erthing the ing")))
+    return a.unionByName(b)
+
+
 @query(f"""WITH {_TOK}, u AS (SELECT DISTINCT doc_id, t FROM tokens), n AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id), x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL), j AS (SELECT a, b, CAST(c AS DOUBLE) / (m.n + k.n - c) AS jaccard FROM x JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b),
 s AS (SELECT doc_id, list(t ORDER BY t) AS s FROM u GROUP BY doc_id), r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM s) SELECT a, b, {R('jaccard')} AS jaccard FROM j JOIN r p ON p.doc_id = a JOIN r q ON q.doc_id = b WHERE jaccard >= 0.85 AND p.rep = a AND (q.rep = b OR q.rep = a)""")
 def jaccard_near_dupes(spark, d):

@@ -177,6 +177,24 @@ def test_links(spark):
     assert (one["n_docs"], one["n_without_links"], one["n_broken"]) == (3, 1, 2)
 
 
+def test_many_keywords_are_an_automaton(spark):
+    """The same as the expressions, for keywords inside others, of several languages and with quotes; and 50,000 in a plan of fixed size."""
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(rng.choice(list('ab "é語'), n))
+    config = {d: {lang: [word(rng.integers(1, 4)) for _ in range(12)] for lang in ("en", "fr", "ja")} for d in ("ACC", "ECO", "OUT")}
+    keywords = text.keyword_index(config)
+    df = frame(spark, [(i, word(rng.integers(0, 30)), None if i % 5 == 0 else word(rng.integers(0, 60)), "x") for i in range(60)] + [(99, None, "", "x")], "id int, title string, summary string, _row string")
+    one, two = (sorted(map(repr, text.map_articles(df, keywords, few=few).collect())) for few in (10**6, 0))
+    assert one == two
+    many = [("D%d" % (i % 6), f"l{i % 10}", f"key{i} word") for i in range(50_000)] + [("D1", "en", "zebra")]
+    out = text.map_articles(frame(spark, [(1, "a KEY77 word and key778  word", "zebra")], "id int, title string, summary string"), many)
+    row = out.first()
+    assert (row["score_D5"], row["score_D4"], row["score_D1"], row["primary_domain"]) == (1, 1, 1, "D1")
+    assert len(out._jdf.queryExecution().toString()) < 50_000
+    with pytest.raises(ValueError):
+        text.map_articles(df, [("A", "en", "x" * (1 << 26) + "y")] * 65)
+
+
 def contained(data):
     return {(a, b) for a, own, body in data for b, title, _ in data if title and own != title and title.lower() in (body or "").lower()}
 
