@@ -333,7 +333,7 @@ def test_country_and_api_tracks(spark):
     assert len(scored) == 6 and scored.composite_score.notna().all()
 
 
-def test_places_by_rings_are_those_of_the_scan(spark):
+def test_places_by_leaves_are_those_of_the_scan(spark):
     import random
 
     rng = random.Random(4)
@@ -342,9 +342,30 @@ def test_places_by_rings_are_those_of_the_scan(spark):
     args = dict(x="x", y="y", place="p", px="px", py="py")
     df, to = frame(spark, points, "id int, x double, y double"), frame(spark, places, "p string, px double, py double")
     scan = {r["id"]: (r["p"], r["distance"]) for r in spatial.nearest_place(df.filter("x IS NOT NULL"), to, **args).collect()}
-    rings = {r["id"]: (r["p"], r["distance"]) for r in spatial.nearest_place(df, to, few=10, **args).collect()}
-    assert rings.pop(900) == (None, None) and rings[901][0] == "a_same"
-    assert {i: (p, round(d, 9)) for i, (p, d) in rings.items()} == {i: (p, round(d, 9)) for i, (p, d) in scan.items()}
+    for leaf in (1, 16):
+        leaves = {r["id"]: (r["p"], r["distance"]) for r in spatial.nearest_place(df, to, few=10, leaf=leaf, **args).collect()}
+        assert leaves.pop(900) == (None, None) and leaves[901][0] == "a_same"
+        assert {i: (p, round(d, 9)) for i, (p, d) in leaves.items()} == {i: (p, round(d, 9)) for i, (p, d) in scan.items()}
+
+
+def test_crowded_places_fill_no_leaf(spark):
+    """99 of 100 places within a millionth of the rest's extent: leaves keep their bound, and the result is the scan's."""
+    rng = np.random.default_rng(3)
+    crowd = rng.normal(0, 1e-4, (1980, 2))
+    spots = np.concatenate([crowd, rng.uniform(-500, 500, (20, 2)), np.tile([[7.0, 7.0]], (3, 1)), np.stack([np.zeros(50), rng.integers(0, 9, 50) * 1e-7], axis=1)])
+    places = [(f"p{i:04}", float(a), float(b)) for i, (a, b) in enumerate(spots)]
+    to = frame(spark, places, "p string, px double, py double")
+    tree, bound = spatial.partitioned(to.groupBy(F.col("px").alias("_px"), F.col("py").alias("_py")).count(), leaf=20, sample=100)
+    distinct = np.unique(spots, axis=0)
+    sizes = np.bincount(tree.of(distinct[:, 0], distinct[:, 1]), minlength=tree.n)
+    assert bound == 20 and sizes.max() <= 20 and sizes.min() > 0
+    asked = np.concatenate([rng.normal(0, 1e-4, (80, 2)), rng.uniform(-600, 600, (60, 2)), [[1e6, -1e6], [7.0, 7.0]]])
+    df = frame(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(asked)], "id int, x double, y double")
+    got = {r["id"]: (r["p"], r["distance"]) for r in spatial.nearest_place(df, to, x="x", y="y", place="p", px="px", py="py", few=10, leaf=20).collect()}
+    for i, (a, b) in enumerate(asked):
+        d = np.sqrt((spots[:, 0] - a) ** 2 + (spots[:, 1] - b) ** 2)
+        assert got[i][1] == pytest.approx(d.min(), rel=1e-12) and d[int(got[i][0][1:])] == pytest.approx(d.min(), rel=1e-12)
+    assert got[len(asked) - 1][0] == "p2000"
 
 
 def test_constant_and_effects_equal_dummies(spark):
