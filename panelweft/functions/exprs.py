@@ -195,6 +195,23 @@ def parse_time(c: Column | str) -> Column:
     return F.coalesce(F.try_to_timestamp(s), F.try_to_timestamp(s, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(s, F.lit("d MMM yyyy HH:mm Z")))
 
 
+#: Named character references.
+REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "bull": "•", "middot": "·", "copy": "©", "reg": "®", "trade": "™", "euro": "€", "pound": "£", "deg": "°"}
+
+
+def unescaped(c: Column | str) -> Column:
+    """Text with its named, decimal and hexadecimal character references as characters, each once (&amp;lt; is &lt;)."""
+    out = _col(c)
+    for name, char in REFERENCES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    found = F.array_distinct(F.regexp_extract_all(out, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
+    hexed = lambda e: F.when(F.lower(F.substring(e, 1, 1)) == "x", F.substring(e, 2, 6)).otherwise(F.conv(e, 10, 16))
+    known = lambda e: F.conv(hexed(e), 16, 10).cast("long").between(1, 0x10FFFF) & ~F.conv(hexed(e), 16, 10).cast("long").between(0xD800, 0xDFFF)
+    char = lambda e: F.decode(F.unhex(F.lpad(hexed(e), 8, "0")), "UTF-32")
+    out = F.aggregate(F.filter(found, known), out, lambda t, e: F.replace(t, F.concat(F.lit("&#"), e, F.lit(";")), char(e)))
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+
+
 def word_chunks(c: Column | str, size: int, overlap: int = 0) -> Column:
     """Runs of size words, each beginning overlap words before the end of the one before; an empty text has none."""
     if not 0 <= overlap < size:

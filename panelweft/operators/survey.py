@@ -81,8 +81,10 @@ def long_export(export: DataFrame, *, fields: Sequence[str] = (*SCORES, *DOMAINS
 
 
 def experience_report(export: DataFrame, classified: DataFrame, scores: Sequence[str] = SCORES[:5]) -> DataFrame:
-    """One row: responses, completed share, eligible ones, mean scores."""
-    a = classified.agg(F.count("*").alias("n"), F.round(100 * F.avg((F.col("completion_status") == "complete").cast("double")), 2).alias("completion_pct"), F.count_if("eligible").alias("n_eligible"))
+    """One row: responses, completed share, eligible ones, mean scores, and mean_duration of what classified has as interview_duration_sec (0 if unknown)."""
+    timed = "interview_duration_sec" in classified.columns
+    duration = [F.coalesce(F.avg(to_number("interview_duration_sec")), F.lit(0.0)).alias("mean_duration")] if timed else []
+    a = classified.agg(*duration, F.count("*").alias("n"), F.round(100 * F.avg((F.col("completion_status") == "complete").cast("double")), 2).alias("completion_pct"), F.count_if("eligible").alias("n_eligible"))
     b = export.agg(*[F.avg(s).alias(f"mean_{s}") for s in scores])
     return a.crossJoin(F.broadcast(b))  # one row each
 

@@ -9,8 +9,9 @@ from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from importlib import metadata
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from panelweft.functions.exprs import row_count, to_number
@@ -310,12 +311,23 @@ def scan_reports(reports: DataFrame, wanted: Sequence[str], *, name: str = "name
     return bad.unionByName(errors)
 
 
+#: Distributions whose versions a manifest has, if they are installed.
+PACKAGES = ("pyspark", "pyarrow", "pandas", "numpy", "PyYAML", "pyahocorasick")
+
+
+def _version(package: str) -> str | None:
+    try:
+        return metadata.version(package)
+    except metadata.PackageNotFoundError:
+        return None
+
+
 class Audit:
     """A run's manifest: configuration hash, seeds, inputs, row accounting, outputs."""
 
-    def __init__(self, pipeline: str, config: dict | None = None, seeds: dict | None = None, commit: str | None = None) -> None:
+    def __init__(self, pipeline: str, config: dict | None = None, seeds: dict | None = None, commit: str | None = None, packages: Sequence[str] = PACKAGES) -> None:
         text = json.dumps(config or {}, sort_keys=True, default=str)
-        self.manifest: dict = {"pipeline": pipeline, "run_id": hashlib.sha256(f"{pipeline}{self._now()}".encode()).hexdigest()[:16], "started_at_utc": self._now(), "environment": {"python_version": platform.python_version(), "platform": platform.platform()}, "config_snapshot": config or {}, "git_commit": commit, "config_sha256": hashlib.sha256(text.encode()).hexdigest(), "random_seeds": seeds or {}, "inputs": [], "parameters": {}, "stages": [], "outputs": [], "status": "running"}
+        self.manifest: dict = {"pipeline": pipeline, "run_id": hashlib.sha256(f"{pipeline}{self._now()}".encode()).hexdigest()[:16], "started_at_utc": self._now(), "environment": {"python_version": platform.python_version(), "platform": platform.platform(), "packages": {p: v for p in packages if (v := _version(p))}}, "config_snapshot": config or {}, "git_commit": commit, "config_sha256": hashlib.sha256(text.encode()).hexdigest(), "random_seeds": seeds or {}, "inputs": [], "parameters": {}, "stages": [], "outputs": [], "status": "running"}
 
     @staticmethod
     def _now() -> str:
@@ -340,6 +352,15 @@ class Audit:
             row["accounting_warning"] = f"{rows_in} != {rows_out} + {rows_dropped}"
         self.manifest["stages"].append(row)
 
+    def filtered(self, stage: str, df: DataFrame, drops: dict[str, Column]) -> DataFrame:
+        """df without the rows for which a reason's condition is true; rows count for their first reason, all in one aggregate."""
+        reason = F.coalesce(*[F.when(c, F.lit(name)) for name, c in drops.items()], F.lit(""))
+        marked = df.withColumn("_drop", reason)
+        n = {r["_drop"]: r["n"] for r in marked.groupBy("_drop").agg(F.count("*").alias("n")).collect()}
+        kept, lost = n.pop("", 0), {name: n[name] for name in drops if name in n}
+        self.record_stage(stage, kept + sum(lost.values()), kept, sum(lost.values()), **({"drop_reasons": lost} if lost else {}))
+        return marked.filter("_drop = ''").drop("_drop")
+
     def record_parameter(self, name: str, value) -> None:
         self.manifest["parameters"][name] = value
 

@@ -9,7 +9,7 @@ from panelweft.functions import hooks
 from panelweft.functions import stats as S
 from panelweft.operators import changes, econometrics, knowledge, panel, spatial, survey, text, verify, views
 from panelweft.plans import tracks
-from panelweft.plans.queries import _NEWS, _PLACES, _TOK, BASE, KEYWORDS, LONG, R, _news, _round, _t, _wide, base, long, query
+from panelweft.plans.queries import _ELIG, _NEWS, _PLACES, _TOK, BASE, KEYWORDS, LONG, R, _news, _responses, _round, _t, _wide, base, long, query
 from panelweft.session import scratch
 from panelweft.sources import databases, readers, sinks
 from panelweft.streaming import live
@@ -477,6 +477,13 @@ def experience_report(spark, d):
     return _round(survey.experience_report(export, status, ("a", "b")))
 
 
+@query(f"WITH {_ELIG} SELECT round(avg(CAST(dur AS DOUBLE)), 6) AS mean_duration, count(*) AS n, round(100 * avg(CASE WHEN reason = 'eligible_full_completion' THEN 1.0e0 ELSE 0 END), 2) AS completion_pct, count(*) FILTER (reason = 'eligible_full_completion') AS n_eligible, round((SELECT avg(n_days) FROM (SELECT o_orderkey % 5 + 1.0e0 AS n_days FROM orders)), 6) AS mean_usability FROM c JOIN (SELECT response_id, dur FROM r) USING (response_id)")
+def experience_durations(spark, d):
+    r = _responses(spark, d)
+    scores = r.select((F.col("response_id") % 5 + 1.0).alias("usability"))
+    return _round(survey.experience_report(scores, survey.with_eligibility(r, order="response_id", required=("consent", "country")), ("usability",)))
+
+
 @query("""SELECT c_custkey, 'Hello ' || c_name || ', hi' AS message, 'https://wa.me/' || (c_custkey + 1000) || '?text=' || replace(url_encode('Hello ' || c_name || ', hi'), '%20', '+') AS link FROM customer WHERE c_custkey % 3 <> 0""")
 def outreach_links(spark, d):
     c = _t(spark, d, "customer").select("c_custkey", F.concat(F.lit("+"), (F.col("c_custkey") + 1000).cast("string")).alias("phone"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 != 0, "yes").otherwise("no").alias("opted_in"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweft.functions.exprs import parse_time, short_id, strip_tags, to_number
+from panelweft.functions.exprs import parse_time, short_id, strip_tags, to_number, unescaped
 from panelweft.session import ship
 
 #: What a cell without a value may hold.
@@ -130,9 +130,7 @@ def feed_entries(raw: DataFrame, column: str = "value", *, source: str = "source
             v = F.regexp_extract("x", rf"(?s)<(?:\w+:)?{n}\b[^>]*>(.*?)</(?:\w+:)?{n}>", 1)
             got = F.when(v != "", v).otherwise(got)
         got = F.regexp_replace(got, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-        for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-            got = F.replace(got, F.lit(a), F.lit(b))
-        return got
+        return unescaped(got)
 
     link = F.trim(tag("link"))
     href = F.regexp_extract("x", r"<(?:\w+:)?link\b(?![^>]*rel=[\"'](?:self|edit|enclosure)[\"'])[^>]*href=[\"']([^\"']+)[\"']", 1)

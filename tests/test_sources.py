@@ -9,9 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, LessThan, StringContains, StringStartsWith
 
+from panelweft.functions import exprs as X
 from panelweft.functions import hooks
+from panelweft.operators import verify
 from panelweft.plans import queries as library
 from panelweft.sources import databases, readers, sinks
+from panelweft.streaming import live
 
 ROWS = [(i, None if i % 7 == 0 else f"n{i % 5}'s", i / 4, i % 2 == 0, bytes([i % 256])) for i in range(1000)]
 
@@ -126,3 +129,33 @@ def test_downloads_configs_and_outputs(spark, tmp_path):
     assert readers.resolve(names, ["x", "state_name"]) == "State Name" and readers.resolve(names, include=("bank", "credit"), exclude=("x",)) == "Total  Bank-Credit (Rs.)" and readers.resolve(names, ["q"]) is None
     assert readers.normal_header(" A-b  (C) ") == "a_b_c"
     assert sinks.key_values({"changed": True, "n": 3}) == "changed=true\nn=3"
+
+
+def test_character_references(spark):
+    cases = {"it&#8217;s": "it’s", "&#x1F600;&#X41;": "😀A", "&amp;lt; &lt;b&gt;": "&lt; <b>", "&#0; &#99999999; &#xD800; &no;": "&#0; &#99999999; &#xD800; &no;", "a&nbsp;&mdash;&#39;&#39;": "a —''", "": ""}
+    got = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", X.unescaped("t").alias("u")).collect()
+    assert {r["t"]: r["u"] for r in got} == cases | {None: None}
+
+
+def test_audit_has_packages_and_reasons(spark):
+    audit = verify.Audit("p", packages=("pyspark", "no-such-package"))
+    df = spark.createDataFrame([(1, None), (2, 5), (-1, None), (-2, 7), (3, 8)], "a int, b int")
+    kept = audit.filtered("clean", df, {"negative": F.col("a") < 0, "no_b": F.col("b").isNull(), "never": F.col("a") > 100})
+    assert sorted(r["a"] for r in kept.collect()) == [2, 3] and kept.columns == ["a", "b"]
+    stage = audit.manifest["stages"][0]
+    assert (stage["rows_in"], stage["rows_out"], stage["rows_dropped"], stage["drop_reasons"]) == (5, 2, 3, {"negative": 2, "no_b": 1}) and "accounting_warning" not in stage
+    assert list(audit.manifest["environment"]["packages"]) == ["pyspark"]
+
+
+def test_suppression_and_activity(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "0.json").write_text("".join(json.dumps({"k": k, "t": f"2024-01-01T00:{m:02}:{s:02}Z"}) + "\n" for k, m, s in (("a", 0, 0), ("a", 0, 30), ("b", 0, 5), ("a", 59, 0), ("b", 59, 30))))
+    stream = spark.readStream.schema("k string, t timestamp").json(str(folder))
+    runs = {}
+    for name, s, mode in (("kept", live.suppressed(stream, key="k", time="t", seconds=120), "append"), ("acts", live.activity(stream, time="t", by="k"), "complete")):
+        q = s.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(200)
+        runs[name] = spark.table(name).collect()
+    assert {r["k"] for r in runs["kept"]} == {"a", "b"} and len(runs["kept"]) == 2  # within one trigger the watermark stands still
+    assert {(r["k"], r["n"]) for r in runs["acts"]} == {("a", 3), ("b", 2)}
