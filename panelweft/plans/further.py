@@ -24,6 +24,14 @@ def csv_scan(spark, d):
     return readers.csv(spark, path, columns=["n_nationkey", "n_name"])
 
 
+@query("SELECT doc_id, CASE WHEN trim(text) NOT IN ('', 'NA', 'N/A', 'NaN', 'nan', 'null', 'NULL', 'None', '#N/A') THEN md5(text) END AS text_md5 FROM documents")
+def csv_with_line_breaks(spark, d):
+    """Texts as quoted cells, read back by ranges of bytes."""
+    path = scratch(spark)
+    _t(spark, d, "documents").select("doc_id", "text").write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.quoted_csv(spark, path, "doc_id long, text string").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query("SELECT * FROM (VALUES ('r_regionkey'), ('r_name')) v(name)")
 def csv_header(spark, d):
     path = scratch(spark)

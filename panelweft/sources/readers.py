@@ -8,7 +8,7 @@ import urllib.request
 from collections.abc import Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,65 @@ def csv(spark: SparkSession, path, schema: T.StructType | str | None = None, col
     return df.withColumns({c: F.when(~F.trim(F.col(f"`{c}`")).isin(*NA_TEXT), F.col(f"`{c}`")) for c in text}) if text else df
 
 
+def quoted_csv(spark: SparkSession, path: str, schema: T.StructType | str, *, has_header: bool = True) -> DataFrame:
+    """A CSV whose quoted cells may hold line breaks, read in as many tasks as its size asks for; cells are typed by schema, marks of no value are null.
+
+    Tasks read ranges of bytes line by line.  Whether a line begins inside a quoted cell is told
+    by the number of quotes before it: a pass counts each range's, and their sums over the
+    ranges before, a row a range, are handed to the pass that parses.  Records of one line are
+    parsed where they are read, and only the lines of longer ones meet in a shuffle.  A quote in
+    a cell is doubled; line breaks are read as \\n; each file has a header, which is its first record.
+    """
+    ship(spark)
+    kinds = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    ranges = lines.groupBy("file", "start").agg((F.sum(quotes) % 2).alias("odd")).collect()  # a row a range
+    inside, before = {}, {}
+    for r in sorted(ranges, key=lambda r: (r["file"], r["start"])):
+        inside[r["file"], r["start"]] = before.get(r["file"], 0)
+        before[r["file"]] = (before.get(r["file"], 0) + r["odd"]) % 2
+    shared = spark.sparkContext.broadcast(inside)  # 128 MB of input are a range, and some bytes here
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at, open_, no, record = None, 0, 0, 0
+        for batch in batches:
+            odd = np.asarray(pc.bit_wise_and(pc.count_substring(batch.column(0), '"'), 1))
+            files, starts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            n = len(odd)
+            whole, of, line = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for k in range(n):
+                if (files[k], starts[k]) != at:
+                    at = files[k], starts[k]
+                    open_, no, record = shared.value[at], 0, -1
+                if not open_:
+                    record = no  # the line that its record begins with; -1: in a range before
+                whole[k] = not open_ and not odd[k]
+                of[k], line[k] = record, no
+                open_ ^= int(odd[k])
+                no += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(whole), pa.array(of), pa.array(line)], ["value", "file", "start", "whole", "record", "line"])
+
+    read = lines.mapInArrow(run, "value string, file string, start long, whole boolean, record long, line long")
+    one = read.filter("whole").select("value", "file", "start", "line")
+    # A record that began in a range before belongs to the last one that began there.
+    part = read.filter("NOT whole")
+    begun = part.filter("record >= 0").groupBy("file", "start").agg(F.max("record").alias("last"))
+    heads = part.select("file", "start").distinct().join(begun, ["file", "start"], "left").withColumn("from", F.last(F.when(F.col("last").isNotNull(), F.struct("start", "last")), ignorenulls=True).over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)))
+    placed = part.join(heads, ["file", "start"]).withColumn("own", F.when(F.col("record") >= 0, F.struct("start", F.col("record").alias("last"))).otherwise(F.col("from")))
+    many = placed.groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("start", "line", "value"))).alias("x")).select(F.array_join("x.value", "\n").alias("value"), "file", F.col("own.start").alias("start"), F.col("own.last").alias("line"))
+    records = one.unionByName(many)
+    if has_header:
+        records = records.filter("NOT (start = 0 AND line = 0)")
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in kinds.fields])
+    cells = records.filter("trim(value) <> ''").select(F.from_csv("value", text.simpleString()[len("struct<") : -1].replace(":", " "), {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}).alias("r")).select("r.*")
+    return cells.select(*[F.when(~F.trim(F.col(f"`{f.name}`")).isin(*NA_TEXT), F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in kinds.fields])
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 

@@ -3,6 +3,7 @@
 import io
 import json
 import math
+import random
 import sqlite3
 
 import pytest
@@ -159,3 +160,27 @@ def test_suppression_and_activity(spark, tmp_path):
         runs[name] = spark.table(name).collect()
     assert {r["k"] for r in runs["kept"]} == {"a", "b"} and len(runs["kept"]) == 2  # within one trigger the watermark stands still
     assert {(r["k"], r["n"]) for r in runs["acts"]} == {("a", 3), ("b", 2)}
+
+
+def test_csv_with_line_breaks_is_read_in_many_tasks(spark, tmp_path):
+    """Cells with breaks, quotes and separators, some longer than a range of bytes: the same as Spark's own reader of whole files."""
+    rng = random.Random(6)
+    cell = lambda: rng.choice(["plain", "", 'say ""hi""', "two\nlines", "a, b", "x\n\n\ny", "é\n" * rng.randrange(1, 40), '""\n""', "NA"])
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    for k in range(2):
+        rows = [f'{i},"{cell()}",{i / 8},"{cell()}"' for i in range(600)]
+        rows[300] = f'300,"{"long line" * 30}\n{"more, " * 900}\nend",1.5,"z"'
+        (folder / f"{k}.csv").write_text("id,a,x,b\n" + "\n".join(rows) + "\n")
+    schema = "id int, a string, x double, b string"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = readers.quoted_csv(spark, str(folder), schema)
+        assert got.rdd.getNumPartitions() > 4
+        want = readers.csv(spark, str(folder), "id int, a string, x double, b string", multi_line=True)
+        key = lambda r: repr(tuple(r))
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() == 1200
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
