@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweft.functions.order import average_ranks, big_groups, numbered
+from panelweft.functions.order import SMALL, average_ranks, big_groups, numbered
 from panelweft.functions.stats import _back, spearman
 from panelweft.operators.panel import demean, demean_exact, shifted
 from panelweft.session import stored
@@ -56,22 +56,34 @@ class Fit:
         return [(c - 1.96 * s, c + 1.96 * s) for c, s in zip(self.coef, self.se, strict=True)]
 
 
+def _ends(df: DataFrame, residual: str, entity: str, time: str, *more) -> DataFrame:
+    """A row an entity: _d, its squared successive differences, _s, its squared residuals, its _first and _last residual, and more sums."""
+    step = F.col(residual) - F.lag(residual).over(Window.partitionBy(entity).orderBy(time))
+    moved = df.withColumn("_step", step)
+    return moved.groupBy(entity).agg(F.coalesce(F.sum(F.col("_step") * F.col("_step")), F.lit(0.0)).alias("_d"), F.sum(F.col(residual) * F.col(residual)).alias("_s"), F.min_by(residual, time).alias("_first"), F.max_by(residual, time).alias("_last"), *more)
+
+
+def _linked(ends: DataFrame, entity: str, big) -> DataFrame:
+    """ends with _link: the squared difference between an entity's first residual and the last one of the entity before."""
+    jump = lambda before: (F.col("_first") - before) * (F.col("_first") - before)
+    if big is None:
+        return ends.withColumn("_link", jump(F.lag("_last").over(Window.orderBy(entity))))  # a row an entity, of few entities
+    nth = numbered(ends, [], [F.col(entity)], "_k", big=big)
+    return nth.join(nth.select((F.col("_k") + 1).alias("_k"), F.col("_last").alias("_before")), "_k", "left").withColumn("_link", jump(F.col("_before")))
+
+
 def durbin_watson(df: DataFrame, residual: str, entity: str, time: str, per_entity: bool = False) -> DataFrame:
     """(dw): squared successive differences over squared residuals, in (entity, time) order.
 
     Without per_entity a difference crosses from an entity's last row to the next entity's
     first: those links are taken from a table of entities, not from one sorted partition.
     """
-    w = Window.partitionBy(entity).orderBy(time)
-    inner = df.withColumn("_d", F.col(residual) - F.lag(residual).over(w)).agg(F.sum(F.col("_d") * F.col("_d")).alias("_n"), F.sum(F.col(residual) * F.col(residual)).alias("_s"))
-    if per_entity:
-        return inner.select(F.try_divide("_n", F.when(F.col("_s") != 0, F.col("_s"))).alias("dw"))
-    ends = df.groupBy(entity).agg(F.min_by(residual, time).alias("_first"), F.max_by(residual, time).alias("_last"))
-    ends = stored(ends)
-    nth = numbered(ends, [], [F.col(entity)], "_k", big=big_groups(ends, []))
-    linked = nth.select("_k", "_first").join(nth.select((F.col("_k") + 1).alias("_k"), "_last"), "_k")
-    cross = linked.agg(F.coalesce(F.sum((F.col("_first") - F.col("_last")) * (F.col("_first") - F.col("_last"))), F.lit(0.0)).alias("_c"))
-    return _back(inner, cross, []).select(F.try_divide(F.coalesce("_n", F.lit(0.0)) + F.col("_c"), F.when(F.col("_s") != 0, F.col("_s"))).alias("dw"))
+    ends = _ends(df, residual, entity, time)
+    if not per_entity:
+        ends = stored(ends)
+        ends = _linked(ends, entity, big_groups(ends, []))
+    both = F.sum("_d") if per_entity else F.sum("_d") + F.coalesce(F.sum("_link"), F.lit(0.0))
+    return ends.agg(both.alias("_n"), F.sum("_s").alias("_s")).select(F.try_divide("_n", F.when(F.col("_s") != 0, F.col("_s"))).alias("dw"))
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str], entity: str, time: str, *, entity_effects: bool = True, time_effects: bool = True, exact: bool = False, clustered: bool = True) -> Fit:
@@ -102,17 +114,21 @@ def _solve(use, y, xs, entity, time, entity_effects, time_effects, clustered) ->
     inv = np.linalg.pinv(gram[:k, :k])
     beta = inv @ gram[:k, k]
     resid = F.col(y) - sum((F.col(x) * float(b) for x, b in zip(xs, beta, strict=True)), F.lit(0.0))
-    with_u = use.withColumn("_u", resid)
     absorbed = (g - 1 if entity_effects else 0) + (t - 1 if time_effects else 0) + (1 if entity_effects or time_effects else 0)
     df_res = n - k - absorbed
-    ssr = float(with_u.agg(F.sum(F.col("_u") * F.col("_u"))).first()[0] or 0.0)
+    # One more pass: residuals, scores and successive differences, summed by entity and then over entities.
+    ends = _ends(use.withColumn("_u", resid), "_u", entity, time, *[F.sum(F.col(x) * F.col("_u")).alias(f"_s{i}") for i, x in enumerate(xs)])
+    big = None
+    if g > SMALL:
+        ends = stored(ends)
+        big = big_groups(ends, [])
+    sq = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = _linked(ends, entity, big).agg(F.sum("_s").alias("ssr"), (F.sum("_d") + F.coalesce(F.sum("_link"), F.lit(0.0))).alias("steps"), *[F.sum(F.col(f"_s{i}") * F.col(f"_s{j}")).alias(f"m{i}_{j}") for i, j in sq]).first()
+    ssr = float(sums["ssr"] or 0.0)
     if clustered:
-        scores = with_u.groupBy(entity).agg(*[F.sum(F.col(x) * F.col("_u")).alias(f"s{i}") for i, x in enumerate(xs)])
-        sq = [(i, j) for i in range(k) for j in range(i, k)]
-        m = scores.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in sq]).first()
         meat = np.zeros((k, k))
         for i, j in sq:
-            meat[i, j] = meat[j, i] = m[f"m{i}_{j}"] or 0.0
+            meat[i, j] = meat[j, i] = sums[f"m{i}_{j}"] or 0.0
         scale = (g / (g - 1)) * ((n - 1) / max(1, n - k)) if g > 1 else 1.0
         cov = scale * inv @ meat @ inv
     else:
@@ -121,7 +137,7 @@ def _solve(use, y, xs, entity, time, entity_effects, time_effects, clustered) ->
     sst = gram[k, k] - (0.0 if entity_effects or time_effects else n * (row["my"] or 0.0) ** 2)
     r2 = 1 - ssr / sst if sst > 0 else 0.0
     f = (r2 / k) / ((1 - r2) / df_res) if k and df_res > 0 and r2 < 1 else float("nan")
-    dw = durbin_watson(with_u, "_u", entity, time).first()[0]
+    dw = sums["steps"] / ssr if ssr else None
     return Fit(xs, beta.tolist(), se.tolist(), n, g, t, absorbed, df_res, r2, 1 - (1 - r2) * (n - 1) / df_res if df_res > 0 else float("nan"), f, math.sqrt(ssr / df_res) if df_res > 0 else float("nan"), dw, {"ssr": ssr, "sst": sst})
 
 
