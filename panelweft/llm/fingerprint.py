@@ -114,7 +114,7 @@ def edited(text: str, following: str) -> str:
 
 
 def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, k: int = K) -> DataFrame:
-    """Each document's fingerprint, that of its edited text, and its likeness to that and to the next document (descending id)."""
+    """Each document's fingerprint, that of its edited text, its likeness to that and to the next document (descending id), its number of distinct shingles and their share in the edited text; likenesses, number and share are estimates."""
     spark = docs.sparkSession
     C.ship(spark)
     n = C.width(spark)
@@ -125,8 +125,8 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # The first row of a shard (its greatest id) follows the last row of the next shard above it that has rows.
     also = {heads[own]: above for above, own in zip(present[-1:] + present[:-1], present, strict=True)}
     rows = ordered.dealt(ordered.packed(docs, id_col, text_col, cuts, also), max(n, len(cuts) + 1)).sortWithinPartitions("shard", "extra", F.col("id").desc_nulls_last(), "text")
-    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_distinct", "in_edited"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def run(batches):
@@ -138,7 +138,7 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             _, i, text, s = row
             e = edited(text, following[2])
             es = sketch(shingle_hashes(e.encode(), shingle), k)
-            return i, len(text), hashlib.sha256(e.encode()).hexdigest(), to_text(s), to_text(es), resemblance(s, es, k), resemblance(s, following[3], k)
+            return i, len(text), hashlib.sha256(e.encode()).hexdigest(), to_text(s), to_text(es), resemblance(s, es, k), resemblance(s, following[3], k), distinct(s, k), containment(s, es, k)
 
         for batch in batches:
             for part in C.blocks(batch, "text", 1 << 20):
@@ -157,7 +157,7 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         if held is not None:
             yield C.batch_of(schema, *map(list, zip(judged(held, first), strict=True)))
 
-    done = rows.mapInArrow(C.tidy(run), "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    done = rows.mapInArrow(C.tidy(run), "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, in_edited double")
     return done.withColumnRenamed("id", id_col)
 
 

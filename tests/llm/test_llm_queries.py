@@ -420,3 +420,55 @@ def test_toxicity_against_a_plain_fit(spark):
     ours = np.array([got[i] for i in range(300)])
     assert np.corrcoef(plain, ours)[0, 1] > 0.97
     assert ((plain >= 0.5) == (ours >= 0.5)).mean() > 0.97
+
+
+def test_fingerprints_against_sets_of_shingles(spark):
+    """Estimates of whole texts against exact sets of shingles, and edits against plain slicing; nothing of the operator is used."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas().sort_values("doc_id", ascending=False)
+    texts = [t or "" for t in docs["text"]]
+    got = {r["doc_id"]: r for r in queries.QUERIES["op9_fingerprint"](spark, SF).collect()}
+    shingles = lambda t: {t.encode()[i : i + 12] for i in range(max(len(t.encode()) - 11, 1))} if t else set()
+    off = {"near_edited": [], "near_next": [], "in_edited": [], "n_distinct": []}
+    for k, (i, t) in enumerate(zip(docs["doc_id"], texts, strict=True)):
+        after = texts[(k + 1) % len(texts)]
+        cut = len(t) // 3
+        e = t[: len(t) - cut] + after[:cut]
+        r = got[i]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+        a, b, c = shingles(t), shingles(e), shingles(after)
+        like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        off["near_edited"].append(r["near_edited"] - like(a, b))
+        off["near_next"].append(r["near_next"] - like(a, c))
+        if a:
+            off["in_edited"].append(r["in_edited"] - len(a & b) / len(a))
+            off["n_distinct"].append(r["n_distinct"] / len(a) - 1)
+    for name, x in off.items():  # 128 hashes tell a share to some 0.045, without a lean to a side
+        assert np.abs(x).max() < 0.25 and np.std(x) < (0.13 if name == "n_distinct" else 0.06) and abs(np.mean(x)) < 0.02, name
+    same = {}
+    for i, t in zip(docs["doc_id"], texts, strict=True):
+        assert same.setdefault(t, got[i]["fingerprint"]) == got[i]["fingerprint"]
+
+
+def test_scrubbing_against_plain_rules(spark):
+    """What op5 leaves of texts made of known entities: they are gone everywhere, everything else stays, and one entity has one surrogate of its form."""
+    rng = np.random.default_rng(7)
+    names, mails = ["Zorba", "Quentin", "Tamsin", "Wendel"], ["ann.lee@mail.org", "bo_9@x.co", "c-d@sub.host.net"]
+    phones, ips = ["+44 20 7946 0958", "+1 (555) 123-4567", "+49 170 1234567"], ["10.1.2.3", "8.8.4.4", "192.168.7.9"]
+    frames = ["Please write to {m} about it.", "Mr {n} called from {p} today.", "The host {i} was down; {m} knows.", "Nothing to see in 1984 or on page 12.", "Dr {n} wrote twice."]
+    data = []
+    for k in range(150):
+        pick = {"n": str(rng.choice(names)), "m": str(rng.choice(mails)), "p": str(rng.choice(phones)), "i": str(rng.choice(ips))}
+        data.append((k, "\n".join(str(rng.choice(frames)) for _ in range(4)), pick))
+    docs = spark.createDataFrame([(k, t.format(**pick)) for k, t, pick in data], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.scrub(docs, b"some key").collect()}
+    seen = {}
+    for k, frame, pick in data:
+        pattern = "".join(f"(?P<{x[1]}_{j}>.+?)" if len(x) == 3 and x[0] == "{" else re.escape(x) for j, x in enumerate(re.split(r"(\{.\})", frame)))
+        m = re.fullmatch(pattern, got[k], re.S)
+        assert m, got[k]  # all but the entities is as it was
+        for place, new in m.groupdict().items():
+            old = pick[place[0]]
+            assert new != old and seen.setdefault((place[0], old), new) == new
+            shape = lambda v: re.sub(r"[^\W\d_]", "a", re.sub(r"\d+" if place[0] == "i" else r"\d", "0", v))  # noqa: B023, E731
+            assert shape(new) == shape(old)
+    assert len(set(seen.values())) == len(seen)
