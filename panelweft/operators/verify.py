@@ -295,13 +295,14 @@ def check_api(df: DataFrame, years: tuple[int, int], *, entity: str = "iso3c", t
     return out
 
 
-def scan_reports(reports: DataFrame, wanted: Sequence[str], *, name: str = "name", content: str = "content") -> DataFrame:
+def scan_reports(reports: DataFrame, wanted: Sequence[str] | DataFrame, *, name: str = "name", content: str = "content") -> DataFrame:
     """(report, section, issue, n) of verification reports, a JSON document a row: missing, invalid, or with errors in a section.
 
-    A report is either one section (it has issues itself) or an object of sections.
+    A report is either one section (it has issues itself) or an object of sections.  wanted: names,
+    or a table whose first column has them.
     """
     section = "struct<issues:array<struct<severity:string>>>"
-    names = reports.sparkSession.createDataFrame([(w,) for w in wanted], "report string")
+    names = wanted.toDF(*["report", *wanted.columns[1:]]).select("report") if isinstance(wanted, DataFrame) else reports.sparkSession.createDataFrame([(w,) for w in wanted], "report string")
     read = names.join(reports.select(F.col(name).alias("report"), F.col(content).alias("_c")), "report", "left").withColumn("_m", F.from_json("_c", "map<string,string>"))
     valid = F.coalesce(F.col("_m").isNotNull() & F.startswith(F.ltrim("_c"), F.lit("{")) & F.expr("try_parse_json(_c) IS NOT NULL"), F.lit(False))
     bad = read.filter(~valid).select("report", F.lit(None).cast("string").alias("section"), F.when(F.col("_c").isNull(), "missing").otherwise("invalid").alias("issue"), F.lit(1).cast("long").alias("n"))
