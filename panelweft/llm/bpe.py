@@ -205,9 +205,17 @@ def chunks_of(text: str) -> list[str]:
     return text.split()
 
 
-def plain_pieces(chunk: str) -> tuple[str, str] | None:
-    """The word of a chunk that is letters alone, or letters and one closing mark, and that mark or nothing; None for others."""
-    if not chunk.isascii() and _LATER_SYMBOL.search(chunk):
+def has_later(text: str) -> bool:
+    """Whether a text has a character that Python's tables know and the library's don't."""
+    return not text.isascii() and _LATER_SYMBOL.search(text) is not None
+
+
+def plain_pieces(chunk: str, later: bool = True) -> tuple[str, str] | None:
+    """The word of a chunk that is letters alone, or letters and one closing mark, and that mark or nothing; None for others.
+
+    later: whether the chunk may have what has_later() looks for.
+    """
+    if later and has_later(chunk):
         return None
     if chunk.isalpha():
         return chunk, ""

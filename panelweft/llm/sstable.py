@@ -38,7 +38,7 @@ MAGIC = b"PWSST\x00\x00\x01"
 FOOTER = struct.Struct("<QQQQQQI8s")
 BLOCK_BYTES = 1 << 18
 #: Bytes of text that are encoded together, and chunks that a writing task remembers.
-ENCODE_BLOCK, REMEMBERED = 1 << 22, 400_000
+ENCODE_BLOCK, REMEMBERED = 1 << 20, 400_000
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
 
@@ -210,20 +210,22 @@ class LibraryEncoder(bpe.ChunkEncoder):
                 words[name] = [t.id for t in self.model.tokenize(name)]
             return words[name]
 
+        def named(w: str) -> list[int]:
+            return piece(w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_names))
+
         def word(w: str) -> list[int]:
             at = self.codes.get(w, known)
-            if at < known:
-                return self.flat[self.bounds[at] : self.bounds[at + 1]].tolist()
-            return piece(w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_names))
+            return self.flat[self.bounds[at] : self.bounds[at + 1]].tolist() if at < known else named(w)
 
+        later = bpe.has_later("".join(chunks))
         for c in chunks:
             if c[0] == " ":
                 ids.append([self.special[c[1:]]])
-            elif (plain := bpe.plain_pieces(c)) is None:
+            elif (plain := bpe.plain_pieces(c, later)) is None:
                 # Chunks are normalised; a second time might compose letters that became lower case.
                 ids.append([i for name, _ in self.library.pre_tokenizer.pre_tokenize_str(c) for i in piece(name)])
             else:
-                ids.append(word(plain[0]) + word(plain[1]) if plain[1] else word(c))
+                ids.append(word(plain[0]) + word(plain[1]) if plain[1] else named(c))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), np.concatenate([[0], np.cumsum(lengths)])
 
