@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -32,6 +34,11 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def by_value(module: str) -> None:
+    """Send what a module defines by value: the driver's own Python workers don't see shipped packages."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def shared_root(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir, which driver and executors share; on one machine, where it is unset, a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader, StringStartsWith, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from panelweft.session import ship
+from panelweft.session import by_value, ship
 
 #: Rows of one batch that a task reads.
 BATCH = 4096
@@ -32,6 +32,7 @@ BATCH = 4096
 
 def register(spark: SparkSession) -> None:
     ship(spark)
+    by_value(__name__)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (Sqlite, Pages):
         spark.dataSource.register(source)

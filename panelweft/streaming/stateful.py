@@ -15,13 +15,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from panelweft.functions.exprs import is_blank
 from panelweft.operators.survey import verdicts
-from panelweft.session import ship
+from panelweft.session import by_value, ship
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _prepared(spark: SparkSession) -> None:
     ship(spark)
+    by_value(__name__)
     spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the only one that keeps such state
 
 

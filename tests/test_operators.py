@@ -201,7 +201,7 @@ def contained(data):
 
 def test_backlinks_are_containment(spark):
     """As `in` finds them: inside words, with punctuation, of any length and script, nulls and empty ones aside."""
-    long = "DCLO Data Plan from India Data Portal (Granular India Coverage)"
+    long = "Open Data Plan from a State Data Portal (Granular Regional Coverage)"
     data = [(1, long, f"own {long}"), (2, "Short", f"See {long.upper()}, then."), (3, "Other", "shortest"), (4, "C++ (a?)", "short other's"), (5, "ort", "uses c++ (A?) here"), (6, long, f"x {long} y"), (7, "é", "CAFÉS"), (8, "Z", None), (9, None, "other z"), (10, "", "é"), (11, "日本", "この日本語"), (12, "e", "short"), (13, "x" * 300, "y" + "X" * 301)]
     df = frame(spark, data, "id long, title string, text string")
     got = text.backlinks(df, "id", "title", "text").collect()
