@@ -79,3 +79,20 @@ def test_eligibility_takes_verdicts_back(spark, tmp_path):
         assert got == want and len(got) == 10 * n + 10
     read = sum(p["numInputRows"] for p in q.recentProgress)
     assert read == 30  # the second run read the new files alone
+
+
+def test_a_call_judges_many_phones():
+    """A group of phones over two triggers, responses without phone or order among them: nulls come first, as in the batch."""
+
+    class State(dict):
+        getValue, updateValue = dict.get, dict.__setitem__  # noqa: N815
+
+    one = stateful._FirstCome("int", "int")
+    one.first, got, rng = State(), {}, random.Random(7)
+    rows = [{"phone": rng.choice(["a", "b", "c", None]), "rank": rng.choice([None, 1, 2, 3]), "id": i, "reason": "first", "otherwise": "later"} for i in range(40)]
+    rng.shuffle(rows)
+    for part in (rows[:15], rows[15:]):
+        got |= {r["id"]: r["reason"] for r in one.handleInputRows((5,), iter(part), None)}
+    heads = {p: min(((r["rank"] is not None, r["rank"] or 0, r["id"]) for r in rows if r["phone"] == p))[2] for p in "abc"}
+    assert got == {r["id"]: "first" if r["phone"] is None or heads[r["phone"]] == r["id"] else "later" for r in rows}
+    assert set(one.first) == {("a",), ("b",), ("c",)}
