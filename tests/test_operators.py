@@ -458,3 +458,12 @@ def test_news_turn(spark):
     assert {tuple(r) for r in turn["groups"].collect()} == {("IND", 1, 1, 1.0), ("KEN", 1, 1, 1.0)}
     none = tracks.news(old.limit(0), new.limit(0), kw, now="2024-01-20")
     assert none["groups"].count() == 0 and none["totals"].first()["n"] == 0
+
+
+def test_word_chunks_split_a_text_once(spark):
+    chunks = X.word_chunks("t", 3, 1)
+    assert str(chunks).count("split(") == 1
+    rows = spark.createDataFrame([(" ".join(map(str, range(n))),) for n in range(12)] + [(None,)], "t string").select("t", chunks.alias("c")).collect()
+    for t, c in rows:
+        w = (t or "").split()
+        assert c == [" ".join(w[i : i + 3]) for i in range(0, len(w), 2) if i == 0 or i + 1 < len(w)]
