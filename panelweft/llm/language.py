@@ -8,8 +8,9 @@ proportions; the language set is selected among the sets of the k largest propor
 log-likelihood penalised by `penalty` * k * log(words) / 2.  The prediction is the largest
 share of the selected mixture and the score that share, smoothed for short texts.
 
-A text is accepted unless it is `und` or speaks against every language that was learned:
-the best language of each word is held against a background in which all trigrams are alike.
+A text is accepted unless it is `und` or speaks against the languages selected for it: each
+word, by the one of them that suits it best, is held against a background in which all trigrams
+are alike.
 
 A text that is null or has no letter is `und` with score 0, as is every text where nothing
 could be learned (no labelled rows).  Repeated rows and ties: languages are in sorted order
@@ -175,17 +176,21 @@ def gains(model: Model) -> np.ndarray:
     return np.log((1 - FOREIGN) * BUCKETS * np.exp(model.log) + FOREIGN).astype(np.float32)
 
 
-def evidence(gain: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Log-odds of each text, every word by the language that suits it best, against the background; no matter how many languages there are."""
+def evidence(gain: np.ndarray, share: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Log-odds against the background of each text, every word by that language of the text's selected mixture which suits it best; 0 without a mixture."""
+    out = np.zeros(len(offsets) - 1)
     letter, start = _starts(data, offsets) if len(data) else (None, np.zeros(0, np.int64))
     if not len(start) or not len(gain):
-        return np.zeros(len(offsets) - 1)
+        return out
     grams = _trigrams(data, offsets)
-    best = np.full(len(start), -np.inf, np.float32)
-    for g in gain:
-        np.maximum(best, np.add.reduceat(np.where(letter, g[grams], np.float32(0)), start), out=best)
-    total = np.concatenate([[0.0], np.cumsum(best, dtype=np.float64)])
     bounds = np.searchsorted(start, offsets)
+    best = np.full(len(start), -np.inf, np.float32)
+    for k, g in enumerate(gain):
+        if not (share[:, k] > 0).any():
+            continue
+        own = np.repeat(share[:, k] > 0, np.diff(bounds))
+        np.maximum(best, np.add.reduceat(np.where(letter, g[grams], np.float32(0)), start), out=best, where=own)
+    total = np.concatenate([[0.0], np.cumsum(np.where(np.isfinite(best), best, 0), dtype=np.float64)])
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
@@ -243,18 +248,26 @@ def _has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
-def _judged(part: pa.RecordBatch, text_col: str, model: Model) -> tuple[list[str], list[float], list[list[tuple[str, float]]]]:
-    """Prediction, score and selected shares of each row."""
-    data, offsets = C.text_buffers(C.column(part, text_col))
-    share, words = mixtures(model, data, offsets)
+def _mixed(part: pa.RecordBatch, text_col: str, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and offsets of a block's texts, their selected shares and numbers of words, and which texts have a language."""
     texts = C.column(part, text_col)
+    data, offsets = C.text_buffers(texts)
+    share, words = mixtures(model, data, offsets)
     plain = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_LETTER[data] & (data < 128), out=plain[1:])
     sure = plain[offsets[1:]] > plain[offsets[:-1]]
+    some = (words > 0) & (len(model.languages) > 0)
+    known = np.array([bool(n and (s or _has_letter(texts[i].as_py()))) for i, (n, s) in enumerate(zip(some, sure, strict=True))], bool)
+    return data, offsets, share, words, known
+
+
+def _judged(part: pa.RecordBatch, text_col: str, model: Model) -> tuple[list[str], list[float], list[list[tuple[str, float]]]]:
+    """Prediction, score and selected shares of each row."""
+    _, _, share, words, known = _mixed(part, text_col, model)
     langs, scores, maps = [], [], []
     for i in range(part.num_rows):
         n, s = int(words[i]), share[i]
-        if not n or not len(s) or not (sure[i] or _has_letter(texts[i].as_py())):
+        if not known[i]:
             langs.append(UNKNOWN), scores.append(0.0), maps.append([])
             continue
         k = int(np.argmax(s))
@@ -265,20 +278,15 @@ def _judged(part: pa.RecordBatch, text_col: str, model: Model) -> tuple[list[str
 
 
 def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", odds: float = 1000.0) -> DataFrame:
-    """docs, with all its columns, without the rows of no known language: `und`, or odds against every learned language of more than `odds` to one."""
+    """docs, with all its columns, without the rows of no known language: `und` by predict(), or odds against the selected mixture's languages of more than `odds` to one."""
     C.ship(docs.sparkSession)
 
     def keep(batches):
         gain = gains(model)
         for batch in batches:
-            for part in C.blocks(batch, text_col, 1 << 21):
-                texts = C.column(part, text_col)
-                data, offsets = C.text_buffers(texts)
-                plain = np.zeros(len(data) + 1, np.int64)
-                np.cumsum(_LETTER[data] & (data < 128), out=plain[1:])
-                sure = plain[offsets[1:]] > plain[offsets[:-1]]
-                fit_ = evidence(gain, data, offsets) >= -np.log(odds)
-                yield part.filter(pa.array([bool(len(gain) and f and (s or _has_letter(texts[i].as_py()))) for i, (f, s) in enumerate(zip(fit_, sure, strict=True))], pa.bool_()))
+            for part in C.blocks(batch, text_col, _block(len(model.languages))):
+                data, offsets, share, _, known = _mixed(part, text_col, model)
+                yield part.filter(pa.array(known & (evidence(gain, share, data, offsets) >= -np.log(odds)), pa.bool_()))
 
     return docs.mapInArrow(C.tidy(keep), docs.schema)
 

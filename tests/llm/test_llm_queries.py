@@ -189,6 +189,19 @@ def test_accepted_whatever_the_number_of_languages(spark):
     assert left.filter("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").count() == 0
 
 
+def test_accepted_by_the_selected_mixture(spark, monkeypatch):
+    """What accepted() keeps hangs on the mixture that EM and the penalty select: texts for which none is selected go."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs.filter(~language.held_out()))
+    data, offsets = C.text_buffers(pa.array(["the children were playing with the dog in the garden", "les enfants jouaient dans le jardin avec le chien"]))
+    share, _ = language.mixtures(model, data, offsets)
+    own, none = language.evidence(language.gains(model), share, data, offsets), language.evidence(language.gains(model), share[::-1], data, offsets)
+    assert (own > none).all() and (share.argmax(axis=1) == [model.languages.index(x) for x in ("en", "fr")]).all()
+    monkeypatch.setattr(language, "mixtures", lambda m, data, offsets: (np.zeros((len(offsets) - 1, len(m.languages))), np.zeros(len(offsets) - 1, np.int64)))
+    part = pa.RecordBatch.from_pydict({"text": ["the children were playing"]})
+    assert not language._mixed(part, "text", model)[4].any()
+
+
 def near_truth(pairs):
     sets = {}
     for i, t in pairs:
