@@ -467,3 +467,15 @@ def test_word_chunks_split_a_text_once(spark):
     for t, c in rows:
         w = (t or "").split()
         assert c == [" ".join(w[i : i + 3]) for i in range(0, len(w), 2) if i == 0 or i + 1 < len(w)]
+
+
+@pytest.mark.parametrize("frequent", [0, 5, 1000])
+def test_jaccard_whatever_the_table_of_frequent_tokens(spark, monkeypatch, frequent):
+    monkeypatch.setattr(text, "FREQUENT", frequent)
+    rng = np.random.default_rng(8)
+    sets = [frozenset(rng.choice(60, rng.integers(1, 25), replace=False).tolist()) for _ in range(60)]
+    sets += [s ^ {int(rng.integers(60))} for s in sets for _ in range(2)] + [frozenset(range(900)), frozenset(range(40, 900)), frozenset()]
+    df = spark.createDataFrame([(i, [f"t{x}" for x in s]) for i, s in enumerate(sets)], "id int, k array<string>")
+    rep = {s: i for i, s in reversed(list(enumerate(sets)))}
+    want = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if x and y and len(x & y) >= 0.7 * len(x | y) and rep[x] == i and (rep[y] in (i, j))}
+    assert {(r["a"], r["b"]) for r in text.jaccard_pairs(df, "id", "k", 0.7).collect()} == want
