@@ -479,3 +479,12 @@ def test_jaccard_whatever_the_table_of_frequent_tokens(spark, monkeypatch, frequ
     rep = {s: i for i, s in reversed(list(enumerate(sets)))}
     want = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if x and y and len(x & y) >= 0.7 * len(x | y) and rep[x] == i and (rep[y] in (i, j))}
     assert {(r["a"], r["b"]) for r in text.jaccard_pairs(df, "id", "k", 0.7).collect()} == want
+
+
+def test_backlinks_search_copies_once(spark, monkeypatch):
+    searched = []
+    monkeypatch.setattr(text, "containing", lambda texts, needles, **o: searched.append((texts.count(), needles.count())) or mentions.containing(texts, needles, **o))
+    data = [(3 * i + k, t, body) for i in range(5) for k, (t, body) in enumerate([("Alpha", "of beta and gamma"), ("beta", "Alpha alone"), ("Beta", "OF beta and gamma")])] + [(20, None, "alpha"), (21, "", None)]
+    got = text.backlinks(frame(spark, data, "id long, title string, text string"), "id", "title", "text").collect()
+    assert {(r["src"], r["dst"]) for r in got} == contained(data) and len(got) == len(contained(data))
+    assert searched == [(3, 3)]
