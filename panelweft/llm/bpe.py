@@ -49,6 +49,8 @@ PIECES = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER}]]+|[\
 _LATER_SYMBOL = regex.compile(f"[{_LATER}]")
 #: Punctuation that ends a word and is a piece of its own; an apostrophe may begin a longer one.
 ENDS = frozenset('.,;:!?)]}"')
+#: The least characters that LATER and CAPITALS have.
+_FIRST_LATER, _FIRST_CAPITAL = LATER[0][0], CAPITALS[0][0]
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPLIT = regex.compile(f"[{WHITE}]+")
 #: Chunks that a worker remembers; then it forgets them all.
@@ -187,13 +189,18 @@ def encode_words(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray
     return index.ids()
 
 
+def _reaches(text: str, least: int) -> bool:
+    """Whether a text has a character from least on: most have none, and this is quicker than a search for classes."""
+    return not text.isascii() and int(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max()) >= least
+
+
 def normalised(text: str) -> str:
     """NFC, then lower case character by character (a final sigma isn't special)."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:
             text = text.replace("Σ", "σ")
-        if _CAPITAL.search(text):
+        if _reaches(text, _FIRST_CAPITAL) and _CAPITAL.search(text):
             text = text.translate(_LOWER)
     return text.lower()
 
@@ -207,7 +214,7 @@ def chunks_of(text: str) -> list[str]:
 
 def has_later(text: str) -> bool:
     """Whether a text has a character that Python's tables know and the library's don't."""
-    return not text.isascii() and _LATER_SYMBOL.search(text) is not None
+    return _reaches(text, _FIRST_LATER) and _LATER_SYMBOL.search(text) is not None
 
 
 def plain_pieces(chunk: str, later: bool = True) -> tuple[str, str] | None:
@@ -222,7 +229,7 @@ def plain_pieces(chunk: str, later: bool = True) -> tuple[str, str] | None:
     return (chunk[:-1], chunk[-1]) if chunk[-1] in ENDS and chunk[:-1].isalpha() else None
 
 
-class _Codes(dict):
+class Codes(dict):
     """Numbers chunks in the order in which they are first met."""
 
     def __missing__(self, chunk: str) -> int:
@@ -230,6 +237,14 @@ class _Codes(dict):
         return n
 
 
+def taken(flat: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of flat (part i in bounds[i]:bounds[i+1]) that which names, end to end, and their bounds."""
+    begin = bounds[which]
+    lengths = bounds[which + 1] - begin
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    return flat[np.repeat(begin - total[:-1], lengths) + np.arange(total[-1])], total
+
+
 class ChunkEncoder:
     """Ids of texts through their chunks: what stands between white space is encoded once and remembered.
 
@@ -241,7 +256,7 @@ class ChunkEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.codes = _Codes()
+        self.codes = Codes()
         self.flat = np.zeros(0, np.uint32)
         self.bounds = np.zeros(1, np.int64)
 
@@ -256,10 +271,7 @@ class ChunkEncoder:
             flat, bounds = self.encode_new(list(islice(self.codes, known, None)))
             self.bounds = np.concatenate([self.bounds, bounds[1:] + len(self.flat)])
             self.flat = np.concatenate([self.flat, flat])
-        begin = self.bounds[which]
-        lengths = self.bounds[which + 1] - begin
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(begin - total[:-1], lengths) + np.arange(total[-1])]
+        ids, total = taken(self.flat, self.bounds, which)
         return ids, total[np.concatenate([[0], np.cumsum(sizes)])]
 
 

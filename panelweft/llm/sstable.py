@@ -6,7 +6,8 @@ value) in key order, each key without the prefix it shares with the one before,
 compressed with zstd.  The index has each block's first key and place; the footer the place
 of index and filter.  A lookup asks the filter, bisects the index and reads one block.
 Texts are encoded by the `tokenizers` library's pre-tokeniser and BPE model, each distinct
-chunk between white space once; plain words need no pre-tokeniser.
+chunk between white space once, and each distinct piece of them; plain words need no
+pre-tokeniser.
 Keys are order-preserving: a flag byte (0 for a null identifier) and the identifier in
 big-endian with its sign bit turned.  A value is the start of the document's ids in its
 shard (64 bits) and the ids, all little-endian, 32 bits each.
@@ -18,11 +19,12 @@ their compressed text and each keeps its own entry; an empty table writes no fil
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import struct
 import zlib
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ FOOTER = struct.Struct("<QQQQQQI8s")
 BLOCK_BYTES = 1 << 18
 #: Bytes of text that are encoded together, and chunks that a writing task remembers.
 ENCODE_BLOCK, REMEMBERED = 1 << 20, 400_000
+#: Pieces that the library's model gets in a call.
+TOGETHER = 4096
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
 
@@ -191,43 +195,66 @@ class LibraryEncoder(bpe.ChunkEncoder):
     """Ids as the tokenizers library gives them; a chunk that begins with a space is a special token."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special_pattern = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.model, self.byte_names = self.library.model, dict(enumerate(bpe.byte_symbols()))
+        # The same model behind a split at spaces: many pieces in a call, and no offsets are kept.
+        self.words = Tokenizer(self.library.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.byte_names = np.array([*map(ord, bpe.byte_symbols())], "<u4")
+        self.byte_names[ord(" ")] = ord(" ")
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        suffix = json.loads(self.library.to_str())["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         super().__init__(self._new)
 
-    def _new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known, words, ids = len(self.bounds) - 1, {}, []
-
-        def piece(name: str) -> list[int]:
-            """name: the piece's bytes as the file names them."""
-            if name not in words:
-                words[name] = [t.id for t in self.model.tokenize(name)]
-            return words[name]
-
-        def named(w: str) -> list[int]:
-            return piece(w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_names))
-
-        def word(w: str) -> list[int]:
-            at = self.codes.get(w, known)
-            return self.flat[self.bounds[at] : self.bounds[at + 1]].tolist() if at < known else named(w)
+    def forget(self) -> None:
+        super().forget()
+        self.pieces = bpe.Codes({f" {t}": k for k, t in enumerate(self.special)})
+        self.piece_ids, self.piece_bounds = np.array([*self.special.values()], np.uint32), np.arange(len(self.special) + 1)
+
+    def _tokenised(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of pieces, by the library's model."""
+        ids: list[int] = []
+        for at in range(0, len(pieces), TOGETHER):
+            raw = np.frombuffer(" ".join(pieces[at : at + TOGETHER]).encode(), np.uint8)
+            text = self.byte_names[raw].tobytes().decode("utf-32-le")
+            ids += self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        flat = np.array(ids, np.uint32)
+        bounds = np.concatenate([[0], np.flatnonzero(self.ends[flat]) + 1])
+        if len(bounds) != len(pieces) + 1:
+            raise ValueError("a piece's last token isn't the only one that ends a word")
+        return flat, bounds
 
+    def _new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        known, piece, which, sizes = len(self.pieces), self.pieces.__getitem__, [], []
         later = bpe.has_later("".join(chunks))
+        add, ends = which.append, bpe.ENDS
         for c in chunks:
-            if c[0] == " ":
-                ids.append([self.special[c[1:]]])
-            elif (plain := bpe.plain_pieces(c, later)) is None:
-                # Chunks are normalised; a second time might compose letters that became lower case.
-                ids.append([i for name, _ in self.library.pre_tokenizer.pre_tokenize_str(c) for i in piece(name)])
+            # As bpe.plain_pieces() has it, without a call for each chunk.
+            if not later and c.isalpha():
+                add(piece(c))
+                sizes.append(1)
+            elif not later and c[-1] in ends and c[:-1].isalpha():
+                add(piece(c[:-1]))
+                add(piece(c[-1]))
+                sizes.append(2)
             else:
-                ids.append(word(plain[0]) + word(plain[1]) if plain[1] else named(c))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), np.concatenate([[0], np.cumsum(lengths)])
+                # Chunks are normalised; a second time might compose letters that became lower case.
+                own = [c] if c[0] == " " else [c[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(c)]
+                which += map(piece, own)
+                sizes.append(len(own))
+        if len(self.pieces) > known:
+            ids, bounds = self._tokenised(list(islice(self.pieces, known, None)))
+            self.piece_bounds = np.concatenate([self.piece_bounds, bounds[1:] + len(self.piece_ids)])
+            self.piece_ids = np.concatenate([self.piece_ids, ids])
+        flat, total = bpe.taken(self.piece_ids, self.piece_bounds, np.array(which, np.int64))
+        return flat, total[np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])]
 
     chunks, _plain = bpe.PairIndexEncoder.chunks, bpe.PairIndexEncoder._plain
 

@@ -98,6 +98,21 @@ def test_bpe_cases(library):
     _agrees(library, ["", " ", "a" * 5000, "the" * 900, "<|endoftext|>The<|startoftext|>'S", "<|ENDOFTEXT|>", "Hello, world's I'LL 123", "aaaa aaa aa", "é É é", "J\u030cab J\u030c1", "word. word, (word) don't. x' x.y 1. ͘.", "<|EndOfText|>x<|endoftext|>."])
 
 
+def test_a_piece_meets_the_model_once(library):
+    e, given = sstable.LibraryEncoder(bpe.default_vocabulary()), []
+    of_model = e._tokenised
+    e._tokenised = lambda pieces: given.append(pieces) or of_model(pieces)
+    blocks = [["word. été, x\x00y", "one <|endoftext|> two"], ["(word) word's été!", "a\x1fb <|startoftext|>"], ["word; ONE. two: x"], [""]]
+    for texts in blocks:
+        ids, at = e.encode([e.chunks(t) for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    pieces = [p for block in given for p in block]
+    assert len(pieces) == len(set(pieces)) and {"word", "été", "one", "x"} <= set(pieces)
+    assert len(given) == 3, "a block is one call"
+    e.forget()
+    assert e.encode([e.chunks("word <|endoftext|>")])[0].tolist() == library.encode("word <|endoftext|>", add_special_tokens=False).ids
+
+
 def test_sstable_round_trip(tmp_path):
     rng = random.Random(1)
     keys = sorted(rng.sample(range(-500, 500), 200))
