@@ -190,8 +190,8 @@ def encode_words(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray
 
 
 def _reaches(text: str, least: int) -> bool:
-    """Whether a text has a character from least on: most have none, and this is quicker than a search for classes."""
-    return not text.isascii() and int(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max()) >= least
+    """Whether a text may have a character from least on: most have none, and for all but short ones this is quicker than a search for classes."""
+    return not text.isascii() and (len(text) < 256 or int(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max()) >= least)
 
 
 def normalised(text: str) -> str:
