@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import numpy as np
 import pandas as pd
@@ -488,3 +489,41 @@ def test_backlinks_search_copies_once(spark, monkeypatch):
     got = text.backlinks(frame(spark, data, "id long, title string, text string"), "id", "title", "text").collect()
     assert {(r["src"], r["dst"]) for r in got} == contained(data) and len(got) == len(contained(data))
     assert searched == [(3, 3)]
+
+
+def test_containment_shuffles_nothing_whatever_the_bounds(spark, monkeypatch):
+    """Needles are looked up in the scan: in several tables, over slabs that end inside needles, a few candidates at a time."""
+    rng = np.random.default_rng(21)
+    word = lambda n: "".join(rng.choice(list("ab .É"), n))
+    texts = [(i, word(rng.integers(0, 300))) for i in range(80)] + [(80, "a" * 400), (81, None), (82, "")]
+    needles = [*{word(rng.integers(1, 30)) for _ in range(100)}, *{t[a : a + n] for _, t in texts[:80] for a, n in [(rng.integers(300), rng.integers(1, 200))]}, "a" * 399, "a" * 401, ""]
+    left, right = frame(spark, texts, "id long, text string"), frame(spark, list(enumerate(needles)) + [(-1, None)], "k long, needle string")
+    want = {(i, k) for i, t in texts for k, n in enumerate(needles) if n and n in (t or "")}
+    for bounds in ({}, {"TABLE": 2000, "SLAB": 37, "CANDIDATES": 5, "FOUND": 7, "SLOTS": 2}):
+        for name, value in bounds.items():
+            monkeypatch.setattr(mentions, name, value)
+        pairs = mentions.containing(left, right)
+        assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(r) for r in pairs.collect()]
+        assert set(got) == {(i, needles[k]) for i, k in want} and len(got) == len(set(got))
+        lists = [(r["id"], k) for r in mentions.containing(left, right, key_col="k").collect() for k in r["keys"]]
+        assert set(lists) == want and len(lists) == len(want)
+
+
+def test_backlinks_of_titles_of_many_documents(spark, monkeypatch):
+    """A title's documents in parts; copies that share their bits with other ids; a repeated document."""
+    for module, name, value in ((text, "PART", 3), (text, "LEAST_BITS", 256), (text, "MOST_BITS", 512)):
+        monkeypatch.setattr(module, name, value)
+    data = [(i, ("Alpha", "beta", "Gamma delta", None)[i % 4], ("of beta", "ALPHA alone", "gamma delta, alpha", None, f"beta {i}", "none")[i % 6]) for i in range(100)]
+    df = frame(spark, data + data[:1], "id long, title string, text string")
+    got = [(r["src"], r["dst"]) for r in text.backlinks(df, "id", "title", "text").collect()]
+    both = [(a, b) for a, own, body in data + data[:1] for b, title, _ in data + data[:1] if title and own != title and title.lower() in (body or "").lower()]
+    assert sorted(got) == sorted(both)
+
+
+def test_few_texts_are_shuffled_to_tell_copies(spark):
+    rows = spark.range(5000).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    out = text._firsts(rows, spark.range(5000).select("id", (F.col("id") % 7 == 3).alias("copy")))
+    assert sorted(r["id"] for r in out.collect()) == [i for i in range(5000) if i % 7 != 3]
+    joins = re.findall(r"Join (\w+)", out._jdf.queryExecution().optimizedPlan().toString())
+    assert joins == ["LeftOuter", "LeftAnti", "LeftOuter"]  # of the one branch, and of the other, where the join of ids is above that of bits
